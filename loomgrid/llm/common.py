@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 8 << 20
@@ -148,17 +149,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of the bytes, in order."""
-    if not data:
-        return np.zeros(0, np.uint64)
-    raw = np.frombuffer(data, np.uint8)
-    inside = ~_SPACE[raw]
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    return mixed(Rolling(BYTE_VALUES[raw]).of(starts, ends) + (ends - starts).astype(np.uint64))
-
-
 # ---------------------------------------------------------------- packed exchange
 
 
@@ -186,3 +176,67 @@ def lengths(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 def buckets_for(spark: SparkSession, total_bytes: int, bytes_per_bucket: int = 8 << 20) -> int:
     """As many buckets as keep one within a task's memory, and at least one for each shuffle partition."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // bytes_per_bucket), 1)
+
+
+# ---------------------------------------------------------------- chunks of neighbouring keys
+
+CHUNK_BYTES = 8 << 20
+
+
+def chunked(df: DataFrame, key: str, text: str, carried: list[str] | None = None) -> tuple[DataFrame, int]:
+    """((key, text, extra, chunk) with a chunk for each range of keys, bytes of all texts).
+
+    ``extra`` holds the carried columns as JSON, null without any.
+
+    Ranges are cut so that a chunk has about ``CHUNK_BYTES`` on average, less where there are many partitions to fill; chunk
+    numbers rise with the key, and a null key goes last.
+    """
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), (F.to_json(F.struct(*carried)) if carried else F.lit(None).cast("string")).alias("extra"))
+    low, high, n, size = rows.agg(F.min("key"), F.max("key"), F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    target = min(CHUNK_BYTES, max(64 << 10, size // (2 * parts)))
+    chunks = max(1, -(-size // target))
+    step = 1 if low is None else max(1, (high - low + 1) // chunks)
+    last = (1 << 62) if low is None else high
+    return rows.withColumn("chunk", F.expr(f"coalesce(key, {last}) div {step}L" if step > 1 else f"coalesce(key, {last})")), int(size)
+
+
+class Texts:
+    """Several byte strings side by side: which one each byte or word is of, and where in it."""
+
+    def __init__(self, datas: list[bytes]) -> None:
+        self.data = b"\n".join(datas)
+        sizes = np.fromiter(map(len, datas), np.int64, len(datas))
+        self.sizes = sizes
+        self.starts = np.concatenate(([0], np.cumsum(sizes + 1)))[: len(datas)].astype(np.int64)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of each word, the text it is of, its place there, words of each text)."""
+        if not self.data:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(self.sizes), np.int64)
+        raw = np.frombuffer(self.data, np.uint8)
+        inside = np.zeros(len(raw) + 2, np.int8)
+        inside[1:-1] = ~_SPACE[raw]
+        edges = np.flatnonzero(np.diff(inside))
+        starts, ends = edges[::2], edges[1::2]
+        hashes = mixed(Rolling(BYTE_VALUES[raw]).of(starts, ends) + (ends - starts).astype(np.uint64))
+        owner = np.searchsorted(self.starts, starts, side="right") - 1
+        counts = np.bincount(owner, minlength=len(self.sizes)).astype(np.int64)
+        return hashes, owner, np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner], counts
+
+
+def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted array."""
+    if not len(of):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(of, values)
+    at[at == len(of)] = 0
+    return of[at] == values
+
+
+def spread(marks: np.ndarray, before: int, after: int, size: int) -> np.ndarray:
+    """Positions within ``before`` ahead of a mark to ``after`` behind it, as booleans."""
+    edges = np.zeros(size + 1, np.int64)
+    np.add.at(edges, np.maximum(marks - before, 0), 1)
+    np.add.at(edges, np.minimum(marks + after, size), -1)
+    return np.cumsum(edges[:-1]) > 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import bpe, html_density, langid, ogg, quality, urlrep
+from loomgrid.llm import bpe, html_density, langid, ogg, packing, quality, radix, simhash, substring, urlrep
 from loomgrid.llm.common import read
 
 
@@ -36,6 +36,25 @@ def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digest(read(spark, sf_dir, "documents"))
 
 
+def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
+
+
+def op8_large_item_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = radix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     outcomes = urlrep.page_outcomes(pages, read(spark, sf_dir, "labels"))
@@ -43,7 +62,7 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_byte_bpe, op3_quality_rules, op4_text_density, op5_ogg, op9_host_reputation]
+    found = [op1_language_id, op2_byte_bpe, op3_quality_rules, op4_text_density, op5_ogg, op6_difference_cover, op7_simhash_pivots, op8_large_item_matching, op9_host_reputation, op10_radix_repeats]
     return {f.__name__: f for f in found}
 
 
