@@ -46,8 +46,7 @@ def scratch(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jpath)
+    drop_on_exit(spark, path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,11 +54,25 @@ def scratch(df: DataFrame) -> DataFrame:
 _WRITTEN: dict[str, list[str]] = {}
 
 
+def _place(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), jpath
+
+
+def drop_on_exit(spark: SparkSession, path: str) -> None:
+    fs, jpath = _place(spark, path)
+    fs.deleteOnExit(jpath)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    fs, jpath = _place(spark, path)
+    fs.delete(jpath, True)
+
+
 def release(spark: SparkSession) -> None:
     """Drop all scratch tables; only for a caller whose results are all written."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jpath, True)
+        drop(spark, path)
 
 
 # ---------------------------------------------------------------- Arrow slices

@@ -22,7 +22,7 @@ from loomgrid.llm import common
 
 CAPACITY = 1024
 END_ID = 2
-#: Rows of one length are ranked in so many parts, so that a length with most of the rows isn't one task's.
+#: Rows of one length are ranked in so many parts at least, so that a length with most of the rows isn't one task's.
 SALTS = 64
 _LOADED: dict[str, object] = {}
 #: Encoded stretches that a worker remembers at most.
@@ -194,13 +194,14 @@ def pack(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataF
     Sequences are filled from 0 without gaps and never over the capacity.  No pieces give no rows.
     """
     spark = cut.sparkSession
+    salts = max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row for each possible length at most
     runs, _ = plan(counts, capacity)
     by_length: dict[int, list] = {}
     for length, rank, number, first, each, offset in runs:
         by_length.setdefault(length, []).append((rank, number, first, each, offset))
     table = spark.createDataFrame([(n, sorted(r)) for n, r in by_length.items()], "length long, runs array<struct<rank:long,number:long,first:long,each:long,offset:long>>")
-    placed = ranked(cut, "length", [key, "piece"]).join(F.broadcast(table), "length")  # one row for each possible length at most
+    placed = ranked(cut, "length", [key, "piece"], salts).join(F.broadcast(table), "length")  # one row for each possible length at most
     run = F.expr("filter(runs, r -> r.rank <= rank and rank < r.rank + r.number)[0]")
     placed = placed.withColumn("_run", run).withColumn("_at", F.col("rank") - F.col("_run.rank"))
     return placed.withColumns({

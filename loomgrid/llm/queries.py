@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomgrid.llm import bpe, html_density, langid, ogg, packing, quality, radix, simhash, substring, urlrep
 from loomgrid.llm.common import read
 
@@ -63,7 +64,7 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_language_id, op2_byte_bpe, op3_quality_rules, op4_text_density, op5_ogg, op6_difference_cover, op7_simhash_pivots, op8_large_item_matching, op9_host_reputation, op10_radix_repeats]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

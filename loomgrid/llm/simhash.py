@@ -230,8 +230,12 @@ def hex_of(fp: str = "fp"):
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose key is the least of their group; of rows with one such key, one.  A null key stays only where no other is in its group."""
+    """The rows of ``df`` whose key is the least of their group; of rows with one such key, one.
+
+    Rows with a null key: one stays, and only where its group has no key.
+    """
     groups = near_groups(df, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
     kept = df.alias("d").join(groups.alias("g"), F.col(f"d.{key}").eqNullSafe(F.col(f"g.{key}")), "left_semi")
-    rank = Window.partitionBy(key).orderBy(*[c for c, kind in df.dtypes if not kind.startswith("map")])
+    same = Window.partitionBy(F.coalesce(F.col(key), F.lit(0).cast(df.schema[key].dataType)), F.isnull(F.col(key)))  # as the join deals them
+    rank = same.orderBy(*(c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))))
     return kept.withColumn("_nth", F.row_number().over(rank)).where("_nth = 1").drop("_nth")
