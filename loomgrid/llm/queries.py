@@ -67,5 +67,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
+def _op9_sql() -> str:
+    two = ", ".join(f"'{x}'" for x in urlrep.TWO_LABEL_SUFFIXES)
+    fits = []
+    for what, rule in sorted(urlrep.RULES, key=lambda r: -len(r[1])):
+        name, slash, rest = rule.partition("/")
+        fits.append((f"(host = '{name}' or ends_with(host, '.{name}')) and starts_with(path, '{slash}{rest}')", rule, what))
+    rule_case = " ".join(f"when {c} then '{r}'" for c, r, _ in fits)
+    what_case = " ".join(f"when {c} then '{w}'" for c, _, w in fits)
+
+    def strength(children: str, by: str) -> str:
+        return f"""select {by}, case when v <= 0 or noise <= 0 then {urlrep.MAX_STRENGTH} else least(greatest(noise / v - 1, {urlrep.MIN_STRENGTH}), {urlrep.MAX_STRENGTH}) end strength from (
+            select *, (ss - k * noise) / greatest(m - k, 1) v from (select {by}, sum(n * (bad / n - prior) * (bad / n - prior)) ss, count(*) k, sum(n) m, max(prior) * (1 - max(prior)) noise from {children} group by {by}))"""
+
+    def posterior(children: str, strengths: str, by: str) -> str:
+        return f"select c.*, prior * strength + bad as alpha, (1 - prior) * strength + n - bad as beta from {children} c join {strengths} s using ({by})"
+
+    return f"""
+    with parts as (
+        select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+            coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') path from pages),
+    worst as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) bad from labels where doc_id is not null group by doc_id),
+    numbered as (select host, regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1) number from parts),
+    seen as (select host, w.bad from (select * from numbered where number <> '') t join worst w on w.doc_id = cast(number as bigint) where host <> ''),
+    split as (select host, string_split(host, '.') p, count(*) n, sum(bad) bad from seen group by host),
+    hosts as (select host, n, bad, case when array_to_string(p[-2:], '.') in ({two}) then array_to_string(p[-2:], '.') else p[-1] end suffix,
+        case when array_to_string(p[-2:], '.') in ({two}) then array_to_string(p[-3:], '.') else array_to_string(p[-2:], '.') end domain from split),
+    domains as (select suffix, domain, sum(n) n, sum(bad) bad from hosts group by all),
+    suffixes as (select suffix, sum(n) n, sum(bad) bad, 0 as one from domains group by suffix),
+    top as (select (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) prior from suffixes),
+    s0 as (select suffixes.*, prior from suffixes, top),
+    s as ({posterior("s0", "(" + strength("s0", "one") + ")", "one")}),
+    d0 as (select d.*, alpha / (alpha + beta) prior from domains d join (select suffix, alpha, beta from s) using (suffix)),
+    d as ({posterior("d0", "(" + strength("d0", "suffix") + ")", "suffix")}),
+    h0 as (select h.*, alpha / (alpha + beta) prior from hosts h join (select suffix, domain, alpha, beta from d) using (suffix, domain)),
+    h as ({posterior("h0", "(" + strength("h0", "suffix, domain") + ")", "suffix, domain")}),
+    bounds as (select host, alpha / (alpha + beta) - {urlrep.Z} * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) bound from h)
+    select page_id, host, path, case {rule_case} end as rule, coalesce(case {what_case} end, case when bound > {urlrep.LIMIT} then 'block' else 'allow' end) as verdict
+    from parts left join bounds using (host)
+    """
+
+
+_OP6_SQL = r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+starts as (select doc_id, ws, unnest(range(1, len(ws) - 18)) i from docs where len(ws) >= 20),
+windows as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') w from starts),
+later as (select doc_id, i, row_number() over (partition by w order by doc_id, i) nth from windows),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) i from later where nth > 1),
+words as (select doc_id, unnest(ws) w, generate_subscripts(ws, 1) i from docs),
+kept as (select w.doc_id, count(g.i) n_removed, coalesce(string_agg(w.w, ' ' order by w.i) filter (where g.i is null), '') text
+    from words w left join gone g on g.doc_id = w.doc_id and g.i = w.i group by w.doc_id)
+select d.doc_id, cast(len(ws) as bigint) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(k.text, '')) kept_sha256 from docs d left join kept k using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins over whole tables.  The others have none (learned models, tokenizers, parsers, XXH64, 400-byte windows); tests hold them against brute force."""
+    return {"op6_difference_cover": _OP6_SQL, "op9_host_reputation": _op9_sql()}
