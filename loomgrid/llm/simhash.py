@@ -207,12 +207,8 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int = CAP) -> DataFrame:
-    """(key, fp, component_id) of each row; component_id is the least key that it reaches by links of at most three bits.
-
-    Texts with the same fingerprint are linked; so null, empty and wordless texts form one group (fingerprint 0) with what lies within
-    three bits of it.  Rows whose key is null get the least other key of their component, or null.  Repeated rows stay.
-    """
+def _groups(df: DataFrame, key: str, text: str, cap: int) -> tuple[DataFrame, DataFrame]:
+    """((key, fp) of each row, (fp, root, component_id) of each fingerprint), written to the shared folder as far as they are read again."""
     rows = common.scratch(fingerprints(df, key, text))
     distinct = common.scratch(rows.groupBy("fp").agg(F.min(key).alias("first")))
     first = common.scratch(_linked(_keyed(distinct, COARSE), cap))
@@ -221,21 +217,43 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int
     roots = components(edges)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(distinct["fp"], "first", F.coalesce("root", distinct["fp"]).alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    joined = named.join(least, "root").select("fp", "component_id")
-    return rows.join(joined, "fp").select(key, "fp", "component_id")
+    return rows, named.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int = CAP) -> DataFrame:
+    """(key, fp, component_id) of each row; component_id is the least key that it reaches by links of at most three bits.
+
+    Texts with the same fingerprint are linked; so null, empty and wordless texts form one group (fingerprint 0) with what lies within
+    three bits of it.  Rows whose key is null get the least other key of their component, or null.  Repeated rows stay.
+    """
+    rows, groups = _groups(df, key, text, cap)
+    return rows.join(groups, "fp").select(key, "fp", "component_id")
 
 
 def hex_of(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose key is the least of their group; of rows with one such key, one.
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int = CAP) -> DataFrame:
+    """One row of ``df`` for each group: of those with the group's least key the first by all columns.
 
-    Rows with a null key: one stays, and only where its group has no key.
+    A row with a null key stays only where no row of its group has one.
     """
-    groups = near_groups(df, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    kept = df.alias("d").join(groups.alias("g"), F.col(f"d.{key}").eqNullSafe(F.col(f"g.{key}")), "left_semi")
-    same = Window.partitionBy(F.coalesce(F.col(key), F.lit(0).cast(df.schema[key].dataType)), F.isnull(F.col(key)))  # as the join deals them
-    rank = same.orderBy(*(c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))))
-    return kept.withColumn("_nth", F.row_number().over(rank)).where("_nth = 1").drop("_nth")
+    _, groups = _groups(df, key, text, cap)
+    order = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+
+    def first_of(rows: DataFrame, by: str) -> DataFrame:
+        return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_nth = 1")
+
+    least = groups.where("component_id is not null").select(F.col("component_id").alias(key)).distinct()
+    named = first_of(df.where(F.col(key).isNotNull()).join(least, key, "left_semi"), key).select(df.columns)
+    whole = df.where(F.col(key).isNull()).select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            fps = np.array([fingerprint(x) for x in common.encoded(batch.column("text"))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fps)], names=["row", "fp"])
+
+    nameless = whole.mapInArrow(run, whole.select("row", F.lit(0).cast("long").alias("fp")).schema)
+    nameless = nameless.join(groups.where("component_id is null").select("fp", F.col("root").alias("_root")), "fp").select("row.*", "_root")
+    return named.union(first_of(nameless, "_root").select(df.columns))
