@@ -187,7 +187,7 @@ def packets(df: DataFrame, media: str = "media") -> DataFrame:
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in kept), *columns], names=[*kept, "serial", "packet", "granule", "data"])
 
-    schema = df.select(*kept, F.lit(0).cast("long").alias("serial"), F.lit(0).alias("packet"), F.lit(0).cast("long").alias("granule"), F.lit(None).cast("binary").alias("data")).schema
+    schema = df.select(*kept, F.lit(0).cast("long").alias("serial"), F.lit(0).alias("packet"), F.lit(None).cast("long").alias("granule"), F.lit(None).cast("binary").alias("data")).schema
     return df.mapInArrow(run, schema)
 
 
