@@ -1,27 +1,16 @@
-"""The registry of queries over the standard tables and their SQL twins."""
+"""All queries over the standard tables and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomgrid.plans import registry
+from loomgrid.plans import relational as _relational  # noqa: F401  registers its queries
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "a6_daily_usage"
 
-FLAGSHIP = "a4_daily_events"
 
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events")
-    return events.groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {FLAGSHIP: daily_events}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
