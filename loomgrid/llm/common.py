@@ -45,7 +45,7 @@ def scratch(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     drop_on_exit(spark, path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -253,3 +253,86 @@ def spread(marks: np.ndarray, before: int, after: int, size: int) -> np.ndarray:
     np.add.at(edges, np.maximum(marks - before, 0), 1)
     np.add.at(edges, np.minimum(marks + after, size), -1)
     return np.cumsum(edges[:-1]) > 0
+
+
+# ---------------------------------------------------------------- texts and questions by chunk
+
+
+def bundled(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(chunk, docs): the named columns of neighbouring rows of one chunk, as compressed Arrow streams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in slices(batches, "text"):
+            chunks = batch.column("chunk").to_numpy(zero_copy_only=False)
+            order = np.argsort(chunks, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(chunks[order])) + 1).tolist(), len(order)]
+            part, names, blobs = batch.select(columns), [], []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
+                    writer.write_batch(part.take(pa.array(order[a:b])))
+                names.append(int(chunks[order[a]]))
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "docs"])
+
+    return rows.select("chunk", *columns).mapInArrow(run, "chunk long, docs binary")
+
+
+def unbundled(docs: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in docs.to_pylist()])
+
+
+#: A window's 96 bits: 64 of one hash and 32 of another.  Among 10**13 windows two different ones meet with a chance below one in a hundred.
+QUESTION = "bucket int, chunk long, a binary, b binary"
+
+
+def questions(chunk: int, h1: np.ndarray, h2: np.ndarray, buckets: int) -> pa.Table:
+    rows = [(b, chunk, *x) for b, x in packed((h1 % np.uint64(buckets)).astype(np.int64), buckets, h1, h2.astype(np.uint32))]
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("bucket", "chunk", "a", "b"), kinds, strict=True))})
+
+
+def answered(table: pa.Table, judge) -> pa.Table:
+    """(chunk, bucket, bits) of one bucket's questions: ``judge`` gets (h1, h2, chunk) of all and returns booleans."""
+    h1, h2 = joined(table["a"], np.uint64), joined(table["b"], np.uint32)
+    sizes = lengths(table["a"], 8)
+    chunks = table["chunk"].to_numpy()
+    yes = judge(h1, h2, np.repeat(chunks, sizes))
+    ends = np.cumsum(sizes)
+    rows = [(c, table["bucket"][0].as_py(), np.packbits(yes[a:b]).tobytes()) for c, a, b in zip(chunks.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True) if yes[a:b].any()]
+    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "bits": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def answers(right: pa.Table, h1: np.ndarray, buckets: int) -> np.ndarray:
+    """The booleans for a chunk's questions, in their order."""
+    yes = np.zeros(len(h1), bool)
+    told = {b: x for b, x in zip(right["bucket"].to_pylist(), right["bits"].to_pylist(), strict=True) if b is not None}
+    if told and len(h1):
+        for b, (at,) in packed((h1 % np.uint64(buckets)).astype(np.int64), buckets, np.arange(len(h1))):
+            if b in told:
+                where = np.frombuffer(at, np.int64)
+                yes[where] = np.unpackbits(np.frombuffer(told[b], np.uint8), count=len(where)).astype(bool)
+    return yes
+
+
+def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts by the keys, the first most significant; whether each in that order differs from the one before)."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, new
+
+
+def asked_in_parts(datas: list, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of the texts with about ``limit`` characters each."""
+    start, size = 0, 0
+    for i, x in enumerate(datas):
+        if size and size + len(x or "") > limit:
+            yield start, i
+            start, size = i, 0
+        size += len(x or "")
+    if start < len(datas):
+        yield start, len(datas)

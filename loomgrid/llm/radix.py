@@ -9,7 +9,7 @@ as few suffixes as decide it:
    digit: the 273 bytes from the lead, which every window that it leads contains.  A lead alone with its digit ends here.
 2. Second digit: the rest, as the bytes of all windows of the stretch together.  Where these occur twice, all windows of the
    stretch are repeated.  Where a lead's group also has stretches that occur once (a repeat begins or ends there), ...
-3. ... the windows of these and of one stretch of each kind are sorted one by one, by 128 bits.
+3. ... the windows of these and of one stretch of each kind are sorted one by one, by 96 bits.
 
 Fingerprints travel packed, each once from a chunk of neighbouring documents, so a passage that many documents share never
 gathers its places in one task.
@@ -140,132 +140,114 @@ def _sorted_out(table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("chunk", "digit", "rest", "status"), kinds, strict=True))})
 
 
-_STATE = "bucket int, chunk long, key long, doc long, text string, extra string, a binary, b binary, c binary"
-_NAMES = ["bucket", "chunk", "key", "doc", "text", "extra", "a", "b", "c"]
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+_TOLD = "chunk long, digit binary, rest binary, status binary"
+_ANSWERS = "chunk long, bucket int, bits binary"
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(_NAMES, _KINDS, strict=True))})
+def _status(s: Stretches, told: np.ndarray, status: np.ndarray) -> np.ndarray:
+    """Each stretch's status by its two digits; ``told`` is ordered by them."""
+    found = np.zeros(len(s.first), np.uint8)
+    if not told.shape[1] or not len(s.first):
+        return found
+    lo, hi = np.searchsorted(told[0], s.digit), np.searchsorted(told[0], s.digit, side="right")
+    one = hi - lo == 1
+    at = np.where(one, lo, 0)
+    found[one] = np.where(told[1][at[one]] == s.rest[one], status[at[one]], 0)
+    for i in np.flatnonzero(hi - lo > 1).tolist():
+        k = lo[i] + np.searchsorted(told[1][lo[i] : hi[i]], s.rest[i])
+        if k < hi[i] and told[1][k] == s.rest[i]:
+            found[i] = status[k]
+    return found
 
 
-def _windows(buckets: int):
-    """For one chunk: a row for each text (``a`` has the windows known to be repeated, null if none can be), and the windows to sort one by one."""
+class _Chunk:
+    """The rows of one chunk in order, the windows known to be repeated, and those to sort one by one (96 bits, row and place)."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, datas, extras = (left[c].to_pylist() for c in ("key", "text", "extra"))
-        chunk = left["chunk"][0].as_py() if left.num_rows else None
+    def __init__(self, left: pa.Table, right: pa.Table) -> None:
+        docs = common.unbundled(left["docs"])
+        rows = zip(docs["key"].to_pylist(), docs["text"].to_pylist(), docs["extra"].to_pylist(), strict=True)
+        self.rows = sorted(rows, key=lambda d: (d[0] is None, d[0] or 0, (d[1] or "").encode(), d[2] or ""))
         told = np.stack([common.joined(right[c], np.uint64) for c in ("digit", "rest")])
         status = common.joined(right["status"], np.uint8)
         order = np.lexsort((told[1], told[0]))
         told, status = told[:, order], status[order]
-        final: list[tuple] = []
-        asked: list[np.ndarray] = []
+        #: (row, first window, last window) of stretches that are repeated
+        self.known: list[tuple[int, int, int]] = []
+        h1s, h2s, rows_of, places = [], [], [], []
         spoken: set[tuple[int, int]] = set()
-        start = 0
-        while start < len(keys):
-            end, size = start, 0
-            while end < len(keys) and (end == start or size < 2 << 20):
-                size += len(datas[end] or "")
-                end += 1
-            part = datas[start:end]
-            s = Stretches([(t or "").encode() for t in part])
+        for start, end in common.asked_in_parts([t for _, t, _ in self.rows]):
+            s = Stretches([(t or "").encode() for _, t, _ in self.rows[start:end]])
             found = _status(s, told, status)
-            known: dict[int, list[np.ndarray]] = {}
-            for i in np.flatnonzero((found == REPEATED) | (found == SPEAKER)).tolist():
-                o = int(s.owner[i])
-                known.setdefault(o, []).append(np.arange(s.first[i], s.last[i] + 1) - s.texts.starts[o])
-            for i in np.flatnonzero((found == ALONE) | (found == SPEAKER)).tolist():
+            for i in np.flatnonzero(found).tolist():
                 o = int(s.owner[i])
-                known.setdefault(o, [])
+                a, b = int(s.first[i]), int(s.last[i])
+                if found[i] != ALONE:
+                    self.known.append((start + o, a - int(s.texts.starts[o]), b - int(s.texts.starts[o])))
+                if found[i] == REPEATED:
+                    continue
                 if found[i] == SPEAKER:
                     pair = (int(s.digit[i]), int(s.rest[i]))
                     if pair in spoken:
                         continue
                     spoken.add(pair)
-                w = np.arange(s.first[i], s.last[i] + 1)
-                loc = np.uint64((start + o) << 32) | (w - s.texts.starts[o]).astype(np.uint64)
-                asked.append(np.stack([s.one.of(w, w + DEPTH), s.two.of(w, w + DEPTH), loc]))
-            for o, t in enumerate(part):
-                places = known.get(o)
-                packed = None if places is None else np.concatenate([np.zeros(0, np.int64), *places]).astype(np.uint32).tobytes()
-                final.append((None, chunk, keys[start + o], start + o, t, extras[start + o], packed, None, None))
-            start = end
-        if asked:
-            x = np.concatenate(asked, axis=1)
-            for b, parts in common.packed((x[0] % np.uint64(buckets)).astype(np.int64), buckets, *x):
-                final.append((b, chunk, None, None, None, None, *parts))
-        return _table(final)
+                w = np.arange(a, b + 1)
+                h1s.append(s.one.of(w, w + DEPTH))
+                h2s.append(s.two.of(w, w + DEPTH) & np.uint64(0xFFFFFFFF))
+                rows_of.append(np.full(len(w), start + o))
+                places.append(w - s.texts.starts[o])
+        self.h1, self.h2 = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (h1s, h2s))
+        self.row, self.place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows_of, places))
 
-    return run
 
+def _ask(buckets: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = _Chunk(left, right)
+        return common.questions(left["chunk"][0].as_py(), chunk.h1, chunk.h2, buckets)
 
-def _status(s: Stretches, told: np.ndarray, status: np.ndarray) -> np.ndarray:
-    """Each stretch's status by its two digits; ``told`` is ordered by them."""
-    found = np.zeros(len(s.first), np.uint8)
-    if not told.shape[1] or not len(s.first):
-        return found
-    lo, hi = np.searchsorted(told[0], s.digit), np.searchsorted(told[0], s.digit, side="right")
-    one = hi - lo == 1
-    at = np.where(one, lo, 0)
-    found[one] = np.where(told[1][at[one]] == s.rest[one], status[at[one]], 0)
-    for i in np.flatnonzero(hi - lo > 1).tolist():
-        k = lo[i] + np.searchsorted(told[1][lo[i] : hi[i]], s.rest[i])
-        if k < hi[i] and told[1][k] == s.rest[i]:
-            found[i] = status[k]
-    return found
+    return run
 
 
 def _equal(table: pa.Table) -> pa.Table:
-    """The last pass over one bucket: each chunk's windows whose 128 bits occur elsewhere."""
-    h1, h2, loc = (common.joined(table[c], np.uint64) for c in "abc")
-    order = np.lexsort((h2, h1))
-    new = np.ones(len(order), bool)
-    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-    group = np.cumsum(new) - 1
-    again = np.empty(len(order), bool)
-    again[order] = np.bincount(group)[group] > 1
-    ends = np.cumsum(common.lengths(table["a"], 8))
-    rows = [(c, loc[a:b][again[a:b]].tobytes()) for c, a, b in zip(table["chunk"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True) if again[a:b].any()]
-    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "locs": pa.array([r[1] for r in rows], pa.binary())})
+    """The last pass over one bucket: which of each chunk's windows equal another."""
 
+    def judge(h1: np.ndarray, h2: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        order, new = common.groups_of(h1, h2)
+        group = np.cumsum(new) - 1
+        again = np.empty(len(order), bool)
+        again[order] = np.bincount(group)[group] > 1
+        return again
 
-_RESULT = "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, extra string"
-_RESULT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
+    return common.answered(table, judge)
 
 
-def _result(rows: list[tuple]) -> pa.Table:
-    names = ["key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "extra"]
-    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, _RESULT_KINDS, strict=True))})
+_RESULT = "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, extra string"
+_RESULT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
 
 
-def _removed(with_kept: bool):
+def _removed(buckets: int, with_kept: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        locs = np.sort(common.joined(right["locs"], np.uint64))
-        docs = (locs >> np.uint64(32)).astype(np.int64)
-        rows = []
-        for key, doc, text, extra, known in zip(*(left[c].to_pylist() for c in ("key", "doc", "text", "extra", "a")), strict=True):
-            data = (text or "").encode()
-            lo, hi = np.searchsorted(docs, [doc, doc + 1])
-            starts = np.concatenate([np.frombuffer(known, np.uint32).astype(np.int64), (locs[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-            edges = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edges, starts, 1)
-            np.add.at(edges, starts + DEPTH, -1)
-            gone = np.cumsum(edges[:-1]) > 0
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-            rows.append((key, len(data), int(gone.sum()), spans, kept if with_kept else None, hashlib.sha256(kept).hexdigest(), extra))
-        return _result(rows)
-
-    return run
-
-
-def _unchanged(with_kept: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text"):
-            datas = common.encoded(batch.column("text"))
-            rows = [(k, len(x), 0, 0, x if with_kept else None, hashlib.sha256(x).hexdigest(), e) for k, x, e in zip(batch.column("key").to_pylist(), datas, batch.column("extra").to_pylist(), strict=True)]
-            yield from _result(rows).to_batches()
+        chunk = _Chunk(left, right)
+        again = common.answers(right, chunk.h1, buckets)
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for row, a, b in chunk.known:
+            spans.setdefault(row, []).append((a, b))
+        for row, place in zip(chunk.row[again].tolist(), chunk.place[again].tolist(), strict=True):
+            spans.setdefault(row, []).append((place, place))
+        out = []
+        for i, (key, text, extra) in enumerate(chunk.rows):
+            kept = data = (text or "").encode()
+            removed = runs = 0
+            if i in spans:
+                a, b = np.array(spans[i]).T
+                edges = np.zeros(len(data) + 1, np.int64)
+                np.add.at(edges, a, 1)
+                np.add.at(edges, b + DEPTH, -1)
+                gone = np.cumsum(edges[:-1]) > 0
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            out.append((key, len(data), removed, runs, kept if with_kept else None, hashlib.sha256(kept).hexdigest(), extra))
+        names = ("key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "extra")
+        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(names, _RESULT_KINDS, strict=True))})
 
     return run
 
@@ -275,14 +257,13 @@ def _repeats(df: DataFrame, key: str, text: str, with_kept: bool, carried: list[
     spark = df.sparkSession
     buckets = common.buckets_for(spark, size // 2)
     sent = rows.select("chunk", "text").mapInArrow(_send(buckets), "bucket int, chunk long, digit binary, rest binary, twice binary")
-    told = sent.groupBy("bucket").applyInArrow(_sorted_out, "chunk long, digit binary, rest binary, status binary")
+    told = common.scratch(sent.groupBy("bucket").applyInArrow(_sorted_out, _TOLD))
     asked = common.buckets_for(spark, size, 16 << 20)
-    state = common.scratch(rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_windows(asked), _STATE))
-    again = state.where("bucket is not null").select("bucket", "chunk", "a", "b", "c").groupBy("bucket").applyInArrow(_equal, "chunk long, locs binary")
-    docs = state.where("bucket is null").drop("bucket", "b", "c")
-    open_docs = docs.where("a is not null").groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(_removed(with_kept), _RESULT)
-    done = docs.where("a is null").select("key", "text", "extra").mapInArrow(_unchanged(with_kept), _RESULT)
-    return open_docs.union(done)
+    docs = common.bundled(rows, ["key", "text", "extra"])
+    again = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_ask(asked), common.QUESTION).groupBy("bucket").applyInArrow(_equal, _ANSWERS)
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    both = told.select("*", null("int", "bucket"), null("binary", "bits")).unionByName(again.select("*", *(null("binary", c) for c in ("digit", "rest", "status"))))
+    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_removed(asked, with_kept), _RESULT)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
@@ -290,7 +271,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_
 
     A byte goes if it is covered by a 400-byte string that also starts at another place, in this row or another: of copies none
     stays.  Each of repeated rows is a text of its own, and so a copy.  A null text is empty; keys may be null.  What is kept
-    need not be whole UTF-8.  Texts pass through one shuffle, those with a candidate through a second.
+    need not be whole UTF-8.  Texts pass through one shuffle, compressed, which both their users read.
     """
     return _repeats(df, key, text, with_kept, []).drop("extra").withColumnRenamed("key", key)
 
