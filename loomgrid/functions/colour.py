@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the OKLab transform.
@@ -35,8 +35,24 @@ def oklab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return _mul(TO_LAB, tuple(F.cbrt(x) for x in lms))
 
 
+def with_oklab(rows: DataFrame, names: tuple[str, str, str] = ("L", "A", "B")) -> DataFrame:
+    """``rows`` with the OKLab of r, g, b.  Each step is a column of its own, so that no expression holds another several times."""
+    linear = rows.withColumns({f"_{c}": to_linear(F.col(c)) for c in "rgb"})
+    lms = _mul(TO_LMS, tuple(F.col(f"_{c}") for c in "rgb"))
+    rooted = linear.withColumns({f"_m{i}": F.cbrt(x) for i, x in enumerate(lms)})
+    lab = _mul(TO_LAB, tuple(F.col(f"_m{i}") for i in range(3)))
+    return rooted.withColumns(dict(zip(names, lab, strict=True))).drop("_r", "_g", "_b", "_m0", "_m1", "_m2")
+
+
+def with_rgb(rows: DataFrame, lab: tuple[Column, Column, Column], names: tuple[str, str, str]) -> DataFrame:
+    """``rows`` with sRGB bytes of OKLab columns, channels clipped, step by step."""
+    cubed = rows.withColumns({f"_l{i}": F.pow(x, F.lit(3.0)) for i, x in enumerate(_mul(FROM_LAB, lab))})
+    linear = cubed.withColumns({f"_c{i}": x for i, x in enumerate(_mul(FROM_LMS, tuple(F.col(f"_l{i}") for i in range(3))))})
+    return linear.withColumns({n: to_byte(F.col(f"_c{i}")) for i, n in enumerate(names)}).drop(*(f"_{x}{i}" for x in "lc" for i in range(3)))
+
+
 def linear_of_oklab(lab: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
-    return _mul(FROM_LMS, tuple(x * x * x for x in _mul(FROM_LAB, lab)))
+    return _mul(FROM_LMS, tuple(F.pow(x, F.lit(3.0)) for x in _mul(FROM_LAB, lab)))
 
 
 def rgb_of_oklab(lab: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:

@@ -393,7 +393,7 @@ def fstr_text(spark, sf_dir):
     )
 
 
-@query("select o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') month_from, strftime(date_trunc('month', o_orderdate) + interval 1 month, '%Y-%m-%d') month_to, strftime(o_orderdate, '%Y-%m-%d %H:%M') as "minute" from orders")
+@query("select o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') month_from, strftime(date_trunc('month', o_orderdate) + interval 1 month, '%Y-%m-%d') month_to, strftime(o_orderdate, '%Y-%m-%d %H:%M') as \"minute\" from orders")
 def fdate_ranges(spark, sf_dir):
     month = S.month_range(F.to_date("o_orderdate"))
     return read(spark, sf_dir, "orders").select("o_orderkey", F.date_format(month["from"], "yyyy-MM-dd").alias("month_from"), F.date_format(month["to"], "yyyy-MM-dd").alias("month_to"), S.iso_minute(F.col("o_orderdate")).alias("minute"))

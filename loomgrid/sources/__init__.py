@@ -1 +1 @@
-
+"""Readers of pictures, charts, thread lists and dither tables."""
