@@ -35,7 +35,7 @@ def oklab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return _mul(TO_LAB, tuple(F.cbrt(x) for x in lms))
 
 
-def with_oklab(rows: DataFrame, names: tuple[str, str, str] = ("L", "A", "B")) -> DataFrame:
+def with_oklab(rows: DataFrame, names: tuple[str, str, str] = ("ok_l", "ok_a", "ok_b")) -> DataFrame:
     """``rows`` with the OKLab of r, g, b.  Each step is a column of its own, so that no expression holds another several times."""
     linear = rows.withColumns({f"_{c}": to_linear(F.col(c)) for c in "rgb"})
     lms = _mul(TO_LMS, tuple(F.col(f"_{c}") for c in "rgb"))

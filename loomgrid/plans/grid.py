@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions import colour
 from loomgrid.functions import scalars as S
 from loomgrid.operators import grid as G
+from loomgrid.operators import kernels as K
 from loomgrid.plans.registry import query, read
 from loomgrid.sources import matrices
 
@@ -36,6 +37,10 @@ def lines(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").where("l_orderkey < 3000").selectExpr("l_orderkey * 10 + l_linenumber line_id", "cast(l_partkey % 20 as int) x1", "cast(l_suppkey % 15 as int) y1", "cast(l_orderkey % 20 as int) x2", "l_linenumber * 2 y2", "cast(l_suppkey % 4 as int) label")
 
 
+def _lab():
+    return F.col("ok_l"), F.col("ok_a"), F.col("ok_b")
+
+
 def points(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"p{i}") for i in range(3)))
 
@@ -423,8 +428,8 @@ def _lab_sql() -> str:
 @query(_lab_sql())
 def p3_p4_oklab_round_trip(spark, sf_dir):
     lab = colour.with_oklab(pixels(spark, sf_dir))
-    back = colour.with_rgb(lab, (F.col("L"), F.col("A"), F.col("B")), ("r2", "g2", "b2"))
-    return back.select("image_id", "y", "x", "r2", "g2", "b2", *((F.round(c, 7) + 0.0).alias(f"lab{i}") for i, c in enumerate("LAB")))
+    back = colour.with_rgb(lab, _lab(), ("r2", "g2", "b2"))
+    return back.select("image_id", "y", "x", "r2", "g2", "b2", *((F.round(c, 7) + 0.0).alias(f"lab{i}") for i, c in enumerate(_lab())))
 
 
 @query(f"select image_id, r, g, b, count(*) n from {_P} p where a = 255 group by all")
@@ -432,15 +437,15 @@ def p10_distinct_then_map(spark, sf_dir):
     """The sliders at rest on distinct colours: each is adjusted once, then joined back and counted."""
     p = pixels(spark, sf_dir).where("a = 255")
     lab = colour.with_oklab(p.select("r", "g", "b").distinct())
-    once = colour.with_rgb(lab, colour.adjust_oklab((F.col("L"), F.col("A"), F.col("B"))), ("to_r", "to_g", "to_b")).drop("L", "A", "B")
+    once = colour.with_rgb(lab, colour.adjust_oklab(_lab()), ("to_r", "to_g", "to_b")).drop("ok_l", "ok_a", "ok_b")
     moved = p.join(once, ["r", "g", "b"]).select("image_id", *(F.col(f"to_{c}").alias(c) for c in "rgb"))
     return moved.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
 
 
 def p9_sliders(spark, sf_dir):
     lab = colour.with_oklab(pixels(spark, sf_dir).withColumnsRenamed({"a": "alpha"}))
-    moved = colour.adjust_oklab((F.col("L"), F.col("A"), F.col("B")), brightness=20, contrast=-10, saturation=30, temperature=15)
-    return colour.with_rgb(lab.select("image_id", "y", "x", "alpha", *(c.alias(n) for n, c in zip("LAB", moved, strict=True))), (F.col("L"), F.col("A"), F.col("B")), ("r", "g", "b")).select("image_id", "y", "x", "r", "g", "b", "alpha")
+    moved = colour.adjust_oklab(_lab(), brightness=20, contrast=-10, saturation=30, temperature=15)
+    return colour.with_rgb(lab.select("image_id", "y", "x", "alpha", *(c.alias(n) for n, c in zip(("ok_l", "ok_a", "ok_b"), moved, strict=True))), _lab(), ("r", "g", "b")).select("image_id", "y", "x", "r", "g", "b", "alpha")
 
 
 query()(p9_sliders)
@@ -460,3 +465,35 @@ def fmath_mulberry(spark, sf_dir):
 
 
 query()(fmath_mulberry)
+
+
+def _lab_cells(spark, sf_dir):
+    lab = colour.with_oklab(pixels(spark, sf_dir).where("a = 255"))
+    return lab.select(F.col("image_id").alias("chart_id"), "y", "x", "ok_l", "ok_a", "ok_b")
+
+
+@query()
+def i17_floyd_steinberg(spark, sf_dir):
+    return K.per_chart(_lab_cells(spark, sf_dir), K.registry()["floyd-steinberg"], ["ok_l", "ok_a", "ok_b"])
+
+
+@query()
+def i17_atkinson(spark, sf_dir):
+    return K.per_chart(_lab_cells(spark, sf_dir), K.registry()["atkinson"], ["ok_l", "ok_a", "ok_b"])
+
+
+@query()
+def i8_to_i16_chart(spark, sf_dir):
+    """k-means, refill, energy minimisation, small regions, diagonals and merging: a whole chart for each picture."""
+    return K.per_chart(_lab_cells(spark, sf_dir), K.registry()["chart"], ["ok_l", "ok_a", "ok_b"])
+
+
+@query()
+def i12_predict_colours(spark, sf_dir):
+    def run(rows):
+        import pandas as pd
+
+        found = K.predict_colours(rows[["ok_l", "ok_a", "ok_b"]].to_numpy())
+        return pd.DataFrame([{"chart_id": rows["chart_id"].iloc[0], **found}])
+
+    return _lab_cells(spark, sf_dir).groupBy("chart_id").applyInPandas(run, "chart_id long, low long, suggested long, high long, ceiling long")
