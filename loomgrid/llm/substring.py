@@ -2,7 +2,7 @@
 
 A window is 20 consecutive words.  Anchors are 8 words long and hashed only where a word's number modulo 13 lies in the cover
 {0, 1, 3, 9}: for any two places some shift below 13 brings both onto the cover, so any two equal windows share an anchor at
-the same place within them.  Anchors that occur once in all texts leave; around the others, windows are hashed whole (128
+the same place within them.  Anchors that occur once in all texts leave; around the others, windows are hashed whole (96
 bits) and the first place of each hash is found.
 
 Hashes travel packed: a row holds all hashes of one bucket from one chunk of neighbouring documents, each hash once, so a
@@ -50,7 +50,7 @@ def _send_anchors(buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["bucket", "chunk", "hashes", "twice"])
             held.clear()
 
-        for batch in common.slices(batches, "text", 2 << 20):
+        for batch in common.slices(batches, "text", common.HASHED_BYTES):
             texts = common.Texts(common.encoded(batch.column("text")))
             _, owner, _, _, at, hashes = _anchors(texts)
             chunk_of = batch.column("chunk").to_numpy(zero_copy_only=False)[owner[at]] if len(at) else np.zeros(0, np.int64)
@@ -83,81 +83,61 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary())})
 
 
-_STATE = "bucket int, chunk long, key long, doc long, copies long, text string, n_words long, a binary, b binary, c binary"
+_SHARED = "chunk long, hashes binary"
+_ANSWERS = "chunk long, bucket int, bits binary"
 
 
-def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.Table:
-    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+class _Chunk:
+    """The documents of one chunk in order, and those of their windows that may be repeated (96 bits, document and place).
 
+    ``first`` numbers the windows that no earlier one of the chunk equals; the others are repeated, whatever lies elsewhere.
+    """
 
-_NAMES = ["bucket", "chunk", "key", "doc", "copies", "text", "n_words", "a", "b", "c"]
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-
-
-def _candidates(buckets: int):
-    """For one chunk: a row for each document (its text only if a window may be repeated; ``a`` has the windows known to be), and the windows to ask about."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        seen = Counter(zip(left["key"].to_pylist(), left["text"].to_pylist(), strict=True))
-        docs = sorted(seen, key=lambda d: (d[0] is None, d[0] or 0, (d[1] or "").encode()))
-        chunk = left["chunk"][0].as_py() if left.num_rows else None
+    def __init__(self, left: pa.Table, right: pa.Table) -> None:
+        docs = common.unbundled(left["docs"])
+        seen = Counter(zip(docs["key"].to_pylist(), docs["text"].to_pylist(), strict=True))
+        self.docs = sorted(seen, key=lambda d: (d[0] is None, d[0] or 0, d[1] is not None, (d[1] or "").encode()))
+        self.copies = [seen[d] for d in self.docs]
         shared = np.unique(common.joined(right["hashes"], np.uint64))
-        rows: list[tuple] = []
-        h1s, h2s, locs = [], [], []
-        start = 0
-        while start < len(docs):
-            end, size = start, 0
-            while end < len(docs) and (end == start or size < 2 << 20):
-                size += len(docs[end][1] or "")
-                end += 1
-            part = docs[start:end]
-            texts = common.Texts([(t or "").encode() for _, t in part])
-            words, owner, place, counts, at, hashes = _anchors(texts)
+        h1s, h2s, doc_of, place_of, counted = [], [], [], [], []
+        for start, end in common.asked_in_parts([t for _, t in self.docs]):
+            words, owner, place, counts, at, hashes = _anchors(common.Texts([(t or "").encode() for _, t in self.docs[start:end]]))
+            counted.append(counts)
             at = at[common.member(hashes, shared)]
+            if not len(at):
+                continue
             # windows that begin at most PERIOD - 1 words ahead of the anchor, in the same document
-            maybe = common.spread(at, PERIOD - 1, 1, len(words)) & (place + WINDOW <= counts[owner]) if len(at) else np.zeros(len(words), bool)
-            w = np.flatnonzero(maybe)
-            first, second = common.both(words)
-            h1s.append(first.of(w, w + WINDOW))
-            h2s.append(second.of(w, w + WINDOW))
-            locs.append(((owner[w] + start).astype(np.uint64) << np.uint64(32)) | place[w].astype(np.uint64))
-            asked = set(np.unique(owner[w]).tolist())
-            for i, d in enumerate(part):
-                rows.append((None, chunk, d[0], start + i, seen[d], d[1] if i in asked or counts[i] else "", int(counts[i]), b"" if i in asked else None, None, None))
-            start = end
-        h1, h2, loc = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (h1s, h2s, locs))
-        order = np.lexsort((loc, h2, h1))
-        new = np.ones(len(order), bool)
-        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-        again = np.sort(loc[order[~new]])
-        ask = np.sort(order[new])
-        # windows repeated within the chunk are known by now
-        by_doc = np.split(again, np.flatnonzero(np.diff(again >> np.uint64(32))) + 1) if len(again) else []
-        known = {int(x[0] >> np.uint64(32)): (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for x in by_doc}
-        final = []
-        for r in rows:
-            final.append((*r[:7], known.get(r[3], b"") if r[7] is not None else None, None, None))
-        for b, (x, y, z) in common.packed((h1[ask] % np.uint64(buckets)).astype(np.int64), buckets, h1[ask], h2[ask], loc[ask]):
-            final.append((b, chunk, None, None, None, None, None, x, y, z))
-        return _rows(_NAMES, _KINDS, final)
+            w = np.flatnonzero(common.spread(at, PERIOD - 1, 1, len(words)) & (place + WINDOW <= counts[owner]))
+            one, two = common.both(words)
+            h1s.append(one.of(w, w + WINDOW))
+            h2s.append(two.of(w, w + WINDOW) & np.uint64(0xFFFFFFFF))
+            doc_of.append(owner[w] + start)
+            place_of.append(place[w])
+        self.counts = np.concatenate([np.zeros(0, np.int64), *counted])
+        self.h1, self.h2 = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (h1s, h2s))
+        self.doc, self.place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (doc_of, place_of))
+        order, new = common.groups_of(self.h1, self.h2)  # stable: the first of equal windows stands first
+        self.first = np.sort(order[new])
+
+
+def _ask(buckets: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = _Chunk(left, right)
+        return common.questions(left["chunk"][0].as_py(), chunk.h1[chunk.first], chunk.h2[chunk.first], buckets)
 
     return run
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """Of one bucket, each chunk's windows that also start in an earlier chunk."""
-    h1, h2, loc = (common.joined(table[c], np.uint64) for c in "abc")
-    sizes = common.lengths(table["a"], 8)
-    chunks = table["chunk"].to_numpy()
-    chunk = np.repeat(chunks, sizes)
-    order = np.lexsort((chunk, h2, h1))
-    new = np.ones(len(order), bool)
-    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-    late = np.empty(len(order), bool)
-    late[order] = ~new
-    ends = np.cumsum(sizes)
-    rows = [(c, loc[a:b][late[a:b]].tobytes()) for c, a, b in zip(chunks.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True) if late[a:b].any()]
-    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "locs": pa.array([r[1] for r in rows], pa.binary())})
+    """Of one bucket, which of each chunk's windows also start in an earlier chunk."""
+
+    def judge(h1: np.ndarray, h2: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        order = np.lexsort((chunk, h2, h1))
+        late = np.zeros(len(order), bool)
+        late[order[1:]] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+        return late
+
+    return common.answered(table, judge)
 
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -171,31 +151,23 @@ def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
 _RESULT = "key long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
-def _removed(with_text: bool):
+def _removed(buckets: int, with_text: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        locs = np.sort(common.joined(right["locs"], np.uint64))
-        docs = (locs >> np.uint64(32)).astype(np.int64)
+        chunk = _Chunk(left, right)
+        again = np.ones(len(chunk.h1), bool)
+        again[chunk.first] = common.answers(right, chunk.h1[chunk.first], buckets)
+        doc, place = chunk.doc[again], chunk.place[again]
+        cuts = np.searchsorted(doc, np.arange(len(chunk.docs) + 1))
         rows = []
-        for key, doc, copies, text, n, known in zip(*(left[c].to_pylist() for c in ("key", "doc", "copies", "text", "n_words", "a")), strict=True):
-            lo, hi = np.searchsorted(docs, [doc, doc + 1])
-            starts = np.concatenate([np.frombuffer(known, np.uint32).astype(np.int64), (locs[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-            words = (text or "").encode().split()
-            gone = covered(starts, WINDOW, n)
-            kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-            rows += [(key, n, int(gone.sum()), kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest())] * copies
-        return _rows(["key", "n_words", "n_removed", "kept_text", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()], rows)
-
-    return run
-
-
-def _unchanged(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text"):
-            rows = []
-            for key, copies, text, n in zip(*(batch.column(c).to_pylist() for c in ("key", "copies", "text", "n_words")), strict=True):
-                kept = b" ".join((text or "").encode().split())
-                rows += [(key, n, 0, kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest())] * copies
-            yield from _rows(["key", "n_words", "n_removed", "kept_text", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()], rows).to_batches()
+        for i, ((key, text), copies, n) in enumerate(zip(chunk.docs, chunk.copies, chunk.counts.tolist(), strict=True)):
+            words, removed = (text or "").encode().split(), 0
+            if cuts[i] < cuts[i + 1]:
+                gone = covered(place[cuts[i] : cuts[i + 1]], WINDOW, n)
+                words, removed = [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
+            kept = b" ".join(words)
+            rows += [(key, n, removed, kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest())] * copies
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("key", "n_words", "n_removed", "kept_text", "kept_sha256"), kinds, strict=True))})
 
     return run
 
@@ -206,19 +178,15 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_
     A word goes if it is covered by a window whose words also start earlier: in a smaller key, or in the same document at an
     earlier place.  Rows with the same key and text count as one document and get the same result each; of rows with the same
     key and different texts, that with the smaller bytes counts as earlier; null keys count as last.  A null text has no
-    words.  Texts pass through one shuffle, those with a candidate through a second.
+    words.  Texts pass through one shuffle, compressed, which both their users read.
     """
     spark = df.sparkSession
     rows, size = common.chunked(df, key, text)
-    rows = rows.select("chunk", "key", "text")
     buckets = common.buckets_for(spark, size // 2)
-    sent = rows.mapInArrow(_send_anchors(buckets), "bucket int, chunk long, hashes binary, twice binary")
-    shared = sent.groupBy("bucket").applyInArrow(_shared_anchors, "chunk long, hashes binary")
+    sent = rows.select("chunk", "text").mapInArrow(_send_anchors(buckets), "bucket int, chunk long, hashes binary, twice binary")
+    shared = common.scratch(sent.groupBy("bucket").applyInArrow(_shared_anchors, _SHARED))
     asked = common.buckets_for(spark, size * 2, 16 << 20)
-    state = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_candidates(asked), _STATE)
-    state = common.scratch(state)
-    late = state.where("bucket is not null").select("bucket", "chunk", "a", "b", "c").groupBy("bucket").applyInArrow(_later, "chunk long, locs binary")
-    docs = state.where("bucket is null").drop("bucket", "b", "c")
-    open_docs = docs.where("a is not null").groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(_removed(with_text), _RESULT)
-    done = docs.where("a is null").select("key", "copies", "text", "n_words").mapInArrow(_unchanged(with_text), _RESULT)
-    return open_docs.union(done).withColumnRenamed("key", key)
+    docs = common.bundled(rows, ["key", "text"])
+    late = docs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_ask(asked), common.QUESTION).groupBy("bucket").applyInArrow(_later, _ANSWERS)
+    told = shared.select("chunk", "hashes", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("bits")).unionByName(late.withColumn("hashes", F.lit(None).cast("binary")))
+    return docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_removed(asked, with_text), _RESULT).withColumnRenamed("key", key)
