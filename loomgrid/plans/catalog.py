@@ -5,6 +5,7 @@ from __future__ import annotations
 from loomgrid.plans import grid as _grid  # noqa: F401  registers its queries
 from loomgrid.plans import registry
 from loomgrid.plans import relational as _relational  # noqa: F401  registers its queries
+from loomgrid.plans import streams as _streams  # noqa: F401  registers its queries
 
 FLAGSHIP = "a6_daily_usage"
 
