@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Bytes of text whose bytes or words are hashed at once; the arrays take some hundred times as much.
+HASHED_BYTES = 512 << 10
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,7 +131,7 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(m, base, np.uint64), np.full(m, inverse, np.uint64)
         up[0] = down[0] = 1
         have = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-        if m <= 1 << 24:
+        if m <= 1 << 21:
             _POWERS[key] = have
     return have[0][:n], have[1][:n]
 
@@ -326,7 +328,7 @@ def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def asked_in_parts(datas: list, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def asked_in_parts(datas: list, limit: int = HASHED_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of the texts with about ``limit`` characters each."""
     start, size = 0, 0
     for i, x in enumerate(datas):

@@ -197,7 +197,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "l
     shared = df.sparkSession.sparkContext.broadcast(model._replace(edges=[e.copy() for e in model.edges]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text, 4 << 20):
+        for batch in common.slices(batches, text, 1 << 20):
             langs, scores = predict_texts(shared.value, batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores)], names=[*kept, lang_pred, score])
 
