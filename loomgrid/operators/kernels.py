@@ -59,12 +59,21 @@ def seeds(points: np.ndarray, k: int, rng: Mulberry) -> np.ndarray:
     return np.array(chosen)
 
 
-def assign(points: np.ndarray, centres: np.ndarray, block: int = 65_536) -> np.ndarray:
+def distances_sq(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(points, centres) squared distances, channel by channel, which numpy adds up far faster than a short last axis."""
+    out = np.zeros((len(points), len(centres)))
+    for c in range(points.shape[1]):
+        d = points[:, c, None] - centres[None, :, c]
+        d *= d
+        out += d
+    return out
+
+
+def assign(points: np.ndarray, centres: np.ndarray, block: int = 8_192) -> np.ndarray:
     """The nearest centre of each point, the first among equals."""
     out = np.empty(len(points), np.int64)
     for at in range(0, len(points), block):
-        part = points[at : at + block]
-        out[at : at + block] = ((part[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+        out[at : at + block] = distances_sq(points[at : at + block], centres).argmin(axis=1)
     return out
 
 
@@ -254,41 +263,50 @@ def pair_costs(evidence: np.ndarray, smoothness: float, edge_loss: float) -> np.
 
 
 def settle(labels: np.ndarray, lab: np.ndarray, palette: np.ndarray, evidence: np.ndarray, weights: tuple[float, float, float], passes: int = 8) -> np.ndarray:
-    """Energy minimisation cell by cell in reading order: colour distance and the cost of differing neighbours, least energy first, lower label on a tie.
+    """Energy minimisation in reading order: colour distance and the cost of differing neighbours, least energy first, lower label on a tie.
 
-    A cell is looked at again only after a neighbour changed.  Colour terms of all cells and labels are computed at once.
+    A cell reads what earlier ones have become, and is looked at again only after a neighbour changed.  Cells with the same
+    x + 2y neither neighbour each other nor wait for one another, so each such line is decided at once, with the same outcome.
     """
     h, w = labels.shape
     colour, smoothness, edge_loss = weights
     costs = pair_costs(evidence, smoothness, edge_loss)
-    terms = colour * ((lab[:, :, None, :] - palette[None, None]) ** 2).sum(axis=3)
-    grid, empty = labels.copy(), labels == EMPTY
-    dirty = ~empty
-    k = len(palette)
+    grid = np.full((h + 2, w + 2), EMPTY)
+    grid[1:-1, 1:-1] = labels
+    dirty = np.zeros((h + 2, w + 2), bool)
+    dirty[1:-1, 1:-1] = labels != EMPTY
+    filled, k = dirty.copy(), len(palette)
+    ys, xs = np.indices((h, w)).reshape(2, -1)
+    order = np.argsort(xs + 2 * ys, kind="stable")
+    cuts = np.cumsum(np.bincount((xs + 2 * ys), minlength=w + 2 * h - 2))
+    ys, xs = ys[order], xs[order]
     for _ in range(passes):
-        changed = False
-        for y in range(h):
-            for x in range(w):
-                if not dirty[y, x]:
-                    continue
-                dirty[y, x] = False
-                same, total = np.zeros(k), 0.0
-                for o, (dx, dy, _) in enumerate(OFFSETS):
-                    ny, nx = y + dy, x + dx
-                    if 0 <= ny < h and 0 <= nx < w and grid[ny, nx] != EMPTY:
-                        cost = costs[o, y, x]
-                        same[grid[ny, nx]] += cost
-                        total += cost
-                best = int((terms[y, x] + (total - same)).argmin())
-                if best != grid[y, x]:
-                    grid[y, x], changed = best, True
-                    near = dirty[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
-                    centre = dirty[y, x]
-                    near[...] = ~empty[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
-                    dirty[y, x] = centre
+        changed, start = False, 0
+        for end in cuts.tolist():
+            y, x = ys[start:end], xs[start:end]
+            start = end
+            due = dirty[y + 1, x + 1]
+            if not due.any():
+                continue
+            y, x = y[due], x[due]
+            dirty[y + 1, x + 1] = False
+            same, total, at = np.zeros((len(y), k)), np.zeros(len(y)), np.arange(len(y))
+            for o, (dx, dy, _) in enumerate(OFFSETS):
+                near = grid[y + 1 + dy, x + 1 + dx]
+                cost = np.where(near == EMPTY, 0.0, costs[o, y, x])
+                same[at, np.maximum(near, 0)] += cost
+                total += cost
+            best = (colour * distances_sq(lab[y, x], palette) + total[:, None] - same).argmin(axis=1)
+            moved = best != grid[y + 1, x + 1]
+            if moved.any():
+                changed = True
+                y, x, best = y[moved], x[moved], best[moved]
+                grid[y + 1, x + 1] = best
+                for dx, dy, _ in OFFSETS:
+                    dirty[y + 1 + dy, x + 1 + dx] = filled[y + 1 + dy, x + 1 + dx]
         if not changed:
             break
-    return grid
+    return grid[1:-1, 1:-1].copy()
 
 
 def settle_scales(labels: np.ndarray, lab: np.ndarray, palette: np.ndarray, evidence: np.ndarray) -> np.ndarray:
