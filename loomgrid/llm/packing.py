@@ -18,67 +18,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm import common
+from loomgrid.llm import bpe, common
 
 CAPACITY = 1024
 END_ID = 2
 #: Rows of one length are ranked in so many parts at least, so that a length with most of the rows isn't one task's.
 SALTS = 64
-_LOADED: dict[str, object] = {}
-#: Encoded stretches that a worker remembers at most.
-REMEMBERED = 200_000
+_LOADED: dict[str | None, tuple] = {}
 
 
 def tokenizer(path: str | None = None):
-    """The tokenizer of a local file, special tokens' strings taken as ordinary text; a worker loads it once."""
+    """The tokenizer of a local file, special tokens' strings taken as ordinary text."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = path or public_tokenizers.path("byte_bpe_50k.json")
-    if path not in _LOADED:
-        found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True
-        _LOADED[path] = found
-    return _LOADED[path]
+    found = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+    found.encode_special_tokens = True
+    return found
+
+
+def _byte_characters() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies: visible bytes stand for themselves, the others follow from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def ranked_vocabulary(found) -> dict[bytes, int] | None:
+    """Byte strings by id of a byte-level tokenizer whose ids follow its merges; None for any other.
+
+    Merging by lowest id then gives what merging by the list gives, which a faster library does.
+    """
+    import json
+
+    model = json.loads(found.to_str())
+    if model["model"]["type"] != "BPE" or (model.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model.get("normalizer") or model["pre_tokenizer"].get("add_prefix_space"):
+        return None
+    special = {t["content"] for t in model.get("added_tokens", [])}
+    vocabulary, stand = model["model"]["vocab"], _byte_characters()
+    merged = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["model"]["merges"]]
+    if None in merged or merged != sorted(merged) or len(set(merged)) != len(merged):
+        return None
+    return {bytes(stand[c] for c in token): i for token, i in vocabulary.items() if token not in special}
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes.
+    """Ids of texts as little-endian 32-bit bytes, as the tokenizer of a local file gives them without special tokens.
 
-    A text is cut before each space after a visible character, where the byte-level pre-tokenizer always begins a new match;
-    so equal stretches have equal ids and each is encoded once while it is remembered.
+    A byte-level tokenizer whose ids follow its merges is run by the rank library on its own vocabulary, which gives the same ids
+    in a third of the time; any other by itself.
     """
 
     def __init__(self, path: str | None = None) -> None:
-        self.tokenizer = tokenizer(path)
-        self.known: dict[str, bytes] = {}
+        import public_tokenizers
+        import tiktoken
+
+        if path not in _LOADED:  # a worker loads each file once and keeps one of the two
+            found = tokenizer(path)
+            ranks = ranked_vocabulary(found)
+            _LOADED[path] = (None, found) if ranks is None else (tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), None)
+        self.ranked, self.tokenizer = _LOADED[path]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self._stretches(t) for t in texts]
-        new = list({s for stretches in cut for s in stretches if s not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {s: self.known[s] for stretches in cut for s in stretches if s in self.known}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for s, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[s] = np.array(x.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[s] for s in stretches]) for stretches in cut]
-
-    @staticmethod
-    def _stretches(text: str) -> list[str]:
-        if not text:
-            return []
-        parts = text.split(" ")
-        found, held = [], parts[0]
-        for part in parts[1:]:
-            if held and not held[-1].isspace():
-                found.append(held)
-                held = " " + part
-            else:
-                held += " " + part
-        found.append(held)
-        return found
+        if self.ranked is not None:
+            return [np.array(bpe.ids_of(self.ranked, t), "<u4").tobytes() for t in texts]
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, with_ids: bool = False) -> DataFrame:
