@@ -43,6 +43,8 @@ _NAMES = re.compile(
     r"|header|masthead|footer|foot|copyright|comment|comments|commentlist|reply|replies|respond|discussion|disqus|share|sharing|social|related|recommended|recommendations|more-stories|trending|tags|skip|search|form|toolbar)(?:$|[\s_\d-])",
     re.I,
 )
+#: ``has-sidebar``, ``no-header`` and the like say what a page has, not what the element is.
+_ABOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|hide|show|is|js)[-_]\S+", re.I)
 _ARTICLE = frozenset(["article", "main"])
 _SPACES = re.compile(r"\s+")
 
@@ -66,7 +68,7 @@ def _boilerplate(tag: str, rest: str) -> bool:
         return True
     if found.get("role", "").strip().lower() in _DROPPED_ROLES:
         return True
-    names = " ".join(re.sub(r"([a-z])([A-Z])", r"\1-\2", found.get(k, "")) for k in ("class", "id", "itemprop"))
+    names = " ".join(re.sub(r"([a-z])([A-Z])", r"\1-\2", _ABOUT.sub("", found.get(k, ""))) for k in ("class", "id", "itemprop"))
     if tag in _ARTICLE:
         return bool(re.search(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_\d-])", names, re.I))
     return bool(_NAMES.search(names))

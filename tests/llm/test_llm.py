@@ -355,6 +355,7 @@ PAGES = {
     "<html><head><title>t</title><style>x</style></head><body><nav><a href=1>m</a></nav><article><h1>Title&nbsp;one</h1><p>First <b>bold</b> text &amp; more, long enough to count.<p>Second\n  paragraph with <a href=q>a link</a> in it.</article><footer>f</footer></body></html>": "Title one\nFirst bold text & more, long enough to count.\nSecond paragraph with a link in it.",
     "<body><div class=sidebar><p>Some long sidebar text that should never be kept at all.</p></div><div id=content><p>Paragraph one has quite some text in it, you see.</p><p>Paragraph two has more text in it, as you can see.</p></div><div class='comments'><p>I like this very much, said a reader at length.</p></div></body>": "Paragraph one has quite some text in it, you see.\nParagraph two has more text in it, as you can see.",
     "<body><script>var a='<p>no</p>'</script><!-- <p>no</p> --><p>Only &lt;this&gt; &#x41;&#66;.</p><form><p>no</p></form></body>": "Only <this> AB.",
+    "<body><div class='layout with-sidebar no-header'><div class='postBody'><p>Text of a page that names its parts in its classes.</p></div><ul class='relatedPosts'><li>Other text</li></ul></div></body>": "Text of a page that names its parts in its classes.",
     "": "",
     "<p>": "",
     "plain text": "plain text",
