@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import scalars
+from loomgrid.operators import grid
 from loomgrid.sources import images
 
 EMPTY = 255
@@ -234,3 +235,37 @@ def write_zip(pages: DataFrame, key: str, name: str, data: str) -> DataFrame:
         return pd.DataFrame({key: [rows[key].iloc[0]], "zip": [sink.getvalue()]})
 
     return pages.groupBy(key).applyInPandas(run, f"{key} {dict(pages.dtypes)[key]}, zip binary")
+
+
+def write_pages(cell_rows: DataFrame, palette_rows: DataFrame, size: tuple[int, int], per_page: tuple[int, int], overlap: int = 0, key: str = "chart_id") -> DataFrame:
+    """(key, zip): each chart cut into overlapping pages, a PNG a page named by its letter and number."""
+    shown = grid.onto_pages(cell_rows, cell_rows.sparkSession, size, per_page, overlap)
+    coloured = shown.join(palette_rows.select(key, F.col("idx").alias("label"), "r", "g", "b"), [key, "label"], "left")
+    named = coloured.withColumn("name", F.concat(scalars.page_letter(F.col("page_y")), F.col("page_x") + 1, F.lit(".png")))
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(y=rows["y"] - rows["y"].min(), x=rows["x"] - rows["x"].min())
+        return pd.DataFrame({key: [rows[key].iloc[0]], "name": [rows["name"].iloc[0]], "png": [_raster(rows, 4)]})
+
+    pictures = named.select(key, "name", "y", "x", "r", "g", "b").groupBy(key, "name").applyInPandas(draw, f"{key} long, name string, png binary")
+    return write_zip(pictures, key, "name", "png")
+
+
+def two_label(cell_rows: DataFrame, first: int) -> DataFrame:
+    """Cells with two labels only: 0 for one label, 1 for any other, none for an empty cell."""
+    return cell_rows.withColumn("label", F.when(F.col("label") == first, 0).when(F.col("label").isNotNull(), 1))
+
+
+def export(kind: str, cell_rows: DataFrame, palette_rows: DataFrame, key: str = "chart_id", **options) -> DataFrame:
+    """(key, the file): ``editable``, ``oxs``, ``png-color``, ``png-bw`` or ``pages``; any other kind is refused by name."""
+    grey = F.floor(0.2126 * F.col("r") + 0.7152 * F.col("g") + 0.0722 * F.col("b") + 0.5).cast("int")
+    writers = {
+        "editable": lambda: write_json(cell_rows, palette_rows, key),
+        "oxs": lambda: write_oxs(cell_rows, palette_rows, key),
+        "png-color": lambda: write_png(cell_rows, palette_rows, key, **options),
+        "png-bw": lambda: write_png(cell_rows, palette_rows.withColumns({c: grey for c in "rgb"}), key, **options),
+        "pages": lambda: write_pages(cell_rows, palette_rows, key=key, **options),
+    }
+    if kind not in writers:
+        raise ValueError(f"no export of the kind {kind}")
+    return writers[kind]()

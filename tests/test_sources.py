@@ -118,3 +118,21 @@ def test_palettes_pixel_art_png_and_zip(spark):
     assert charts.read_pixel_art(pixels.withColumn("a", F.lit(7)))[2].count() == 4
     zipped = charts.write_zip(drawn.select(F.lit(1).alias("k"), F.concat("chart_id", F.lit(".png")).alias("name"), "png"), "k", "name", "png").first().zip
     assert bytes(zipped)[:2] == b"PK"
+
+
+def test_exports_of_every_kind(spark):
+    import io
+    import zipfile
+
+    cells, palette = charts_of(spark)
+    for kind in ("editable", "oxs", "png-color", "png-bw"):
+        assert charts.export(kind, cells, palette).count() == 4
+    zipped = charts.export("pages", cells, palette, size=(48, 36), per_page=(20, 20), overlap=3).first().zip
+    names = zipfile.ZipFile(io.BytesIO(bytes(zipped))).namelist()
+    assert names == ["A1.png", "A2.png", "A3.png", "B1.png", "B2.png", "B3.png"]
+    try:
+        charts.export("fax", cells, palette)
+        raise AssertionError
+    except ValueError as refused:
+        assert "fax" in str(refused)
+    assert {r.label for r in charts.two_label(cells, 2).select("label").distinct().collect()} == {0, 1, None}
