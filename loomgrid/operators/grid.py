@@ -7,6 +7,7 @@ rows; everything else is joined on equal keys.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from functools import reduce
 
@@ -455,6 +456,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    spark = edges.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():  # a cluster names a shared folder; without one, as in tests, one of our own
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgrid-"))
     now = smaller(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))).checkpoint()
     seen = state(now)
     while True:
