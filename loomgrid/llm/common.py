@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -80,6 +82,13 @@ def release(spark: SparkSession) -> None:
 # ---------------------------------------------------------------- Arrow slices
 
 
+def trim() -> None:
+    """Give freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column holds about ``limit`` bytes at most; a longer value stands alone."""
     for batch in batches:
@@ -92,6 +101,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch, sizes
+        trim()
 
 
 def encoded(column: pa.Array) -> list[bytes]:
@@ -282,6 +293,7 @@ def bundled(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def unbundled(docs: pa.ChunkedArray) -> pa.Table:
+    trim()
     return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in docs.to_pylist()])
 
 

@@ -222,9 +222,12 @@ def _equal(table: pa.Table) -> pa.Table:
 
 _RESULT = "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, extra string"
 _RESULT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
+_TEXTS = "key long, text string, n long, extra string"
 
 
-def _removed(buckets: int, with_kept: bool):
+def _removed(buckets: int, with_kept: bool, as_text: bool = False):
+    """The result's rows, or (key, text, its length, extra) with characters cut in two left out."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = _Chunk(left, right)
         again = common.answers(right, chunk.h1, buckets)
@@ -245,14 +248,21 @@ def _removed(buckets: int, with_kept: bool):
                 gone = np.cumsum(edges[:-1]) > 0
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            out.append((key, len(data), removed, runs, kept if with_kept else None, hashlib.sha256(kept).hexdigest(), extra))
+            if as_text:
+                left_over = kept.decode("utf-8", "ignore")
+                out.append((key, left_over, len(left_over), extra))
+            else:
+                out.append((key, len(data), removed, runs, kept if with_kept else None, hashlib.sha256(kept).hexdigest(), extra))
+        if as_text:
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+            return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(("key", "text", "n", "extra"), kinds, strict=True))})
         names = ("key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "extra")
         return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(names, _RESULT_KINDS, strict=True))})
 
     return run
 
 
-def _repeats(df: DataFrame, key: str, text: str, with_kept: bool, carried: list[str]) -> DataFrame:
+def _repeats(df: DataFrame, key: str, text: str, with_kept: bool, carried: list[str], as_text: bool = False) -> DataFrame:
     rows, size = common.chunked(df, key, text, carried)
     spark = df.sparkSession
     buckets = common.buckets_for(spark, size // 2)
@@ -263,7 +273,7 @@ def _repeats(df: DataFrame, key: str, text: str, with_kept: bool, carried: list[
     again = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_ask(asked), common.QUESTION).groupBy("bucket").applyInArrow(_equal, _ANSWERS)
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     both = told.select("*", null("int", "bucket"), null("binary", "bits")).unionByName(again.select("*", *(null("binary", c) for c in ("digit", "rest", "status"))))
-    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_removed(asked, with_kept), _RESULT)
+    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_removed(asked, with_kept, as_text), _TEXTS if as_text else _RESULT)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
@@ -282,14 +292,7 @@ def remove_from(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars:
     A null text becomes an empty one; other columns pass unchanged.
     """
     others = [c for c in df.columns if c not in (key, text, n_chars)]
-    kept = _repeats(df, key, text, True, others).select("key", "kept", "extra")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "kept"):
-            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("extra")], names=["key", "text", "n", "extra"])
-
-    decoded = kept.mapInArrow(run, "key long, text string, n long, extra string")
+    decoded = _repeats(df, key, text, True, others, as_text=True)
     named = {key: F.col("key"), text: F.col("text"), n_chars: F.col("n")}
     if others:
         decoded = decoded.withColumn("extra", F.from_json("extra", df.select(others).schema))
