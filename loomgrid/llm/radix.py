@@ -75,25 +75,23 @@ class Stretches:
 
 
 def _send(buckets: int):
+    """(bucket, chunks, digit, rest, twice): a row for each bucket from all that a task gathers, whatever chunks its rows are of."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for chunk, parts in held.items():
-                pairs = np.concatenate(parts, axis=1)
-                pairs, weight = _distinct(pairs)
-                rows = [(b, chunk, *x) for b, x in common.packed((pairs[0] % np.uint64(buckets)).astype(np.int64), buckets, pairs[0], pairs[1], weight > 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "digit", "rest", "twice"])
-            held.clear()
+            if held:
+                (chunks, digit, rest), weight = _distinct(np.concatenate(held, axis=1))
+                held.clear()
+                rows = [(b, *x) for b, x in common.packed((digit % np.uint64(buckets)).astype(np.int64), buckets, chunks, digit, rest, weight > 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunks", "digit", "rest", "twice"])
 
         for batch in common.slices(batches, "text", common.HASHED_BYTES):
             s = Stretches(common.encoded(batch.column("text")))
             if len(s.first):
-                chunk_of = batch.column("chunk").to_numpy(zero_copy_only=False)[s.owner]
-                cuts = np.flatnonzero(np.diff(chunk_of)) + 1
-                for part, chunks in zip(np.split(np.stack([s.digit, s.rest]), cuts, axis=1), np.split(chunk_of, cuts), strict=True):
-                    held.setdefault(int(chunks[0]), []).append(part)
+                held.append(np.stack([batch.column("chunk").to_numpy(zero_copy_only=False)[s.owner].view(np.uint64), s.digit, s.rest]))
                 size += len(s.first)
             if size >= GATHERED:
                 yield from flush()
@@ -103,39 +101,35 @@ def _send(buckets: int):
     return run
 
 
-def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct columns of a pair of arrays, in order, and how often each occurs."""
-    order = np.lexsort((pairs[1], pairs[0]))
-    pairs = pairs[:, order]
-    new = np.ones(pairs.shape[1], bool)
-    new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+def _distinct(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct columns of an array of rows, ordered by the rows, and how often each occurs."""
+    order, new = common.groups_of(*columns)
     at = np.flatnonzero(new)
-    return pairs[:, at], np.diff(np.append(at, pairs.shape[1]))
+    return columns[:, order[at]], np.diff(np.append(at, len(order)))
 
 
 def _sorted_out(table: pa.Table) -> pa.Table:
     """The first two passes over one bucket: what each chunk's stretches are, where it is anything but unique."""
-    digit, rest = common.joined(table["digit"], np.uint64), common.joined(table["rest"], np.uint64)
+    chunks, digit, rest = (common.joined(table[c], np.uint64) for c in ("chunks", "digit", "rest"))
     weight = 1 + common.joined(table["twice"], bool).astype(np.int64)
-    order = np.lexsort((rest, digit))
-    d, r, w = digit[order], rest[order], weight[order]
-    new_d = np.ones(len(d), bool)
+    order, new_r = common.groups_of(digit, rest)
+    d, w = digit[order], weight[order]
+    new_d = np.zeros(len(d), bool)
+    new_d[:1] = True
     new_d[1:] = d[1:] != d[:-1]
-    new_r = new_d.copy()
-    new_r[1:] |= r[1:] != r[:-1]
     of_d, of_r = np.cumsum(new_d) - 1, np.cumsum(new_r) - 1
     in_d, in_r = np.bincount(of_d, weights=w), np.bincount(of_r, weights=w)
     alone = in_r[of_r] == 1
     mixed_group = np.bincount(of_d, weights=alone) > 0
     status = np.where(in_d[of_d] < 2, 0, np.where(alone, ALONE, np.where(mixed_group[of_d] & new_r, SPEAKER, REPEATED))).astype(np.uint8)
-    back = np.empty(len(order), np.uint8)
-    back[order] = status
-    ends = np.cumsum(common.lengths(table["digit"], 8))
-    rows = []
-    for c, a, b in zip(table["chunk"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        told = np.flatnonzero(back[a:b]) + a
-        if len(told):
-            rows.append((c, digit[told].tobytes(), rest[told].tobytes(), back[told].tobytes()))
+    told = np.flatnonzero(status)
+    # a chunk that several tasks have rows of asks as often; it is told once, and a speaker is told so
+    by_chunk, first = common.groups_of(chunks[order[told]], digit[order[told]], rest[order[told]], SPEAKER - status[told])
+    first[1:] = (np.diff(np.stack([x[order[told]][by_chunk].view(np.int64) for x in (chunks, digit, rest)])) != 0).any(axis=0)
+    told = told[by_chunk[first]]
+    of, status = order[told], status[told]
+    cuts = [0, *(np.flatnonzero(np.diff(chunks[of])) + 1).tolist(), len(of)]
+    rows = [(int(chunks[of[a]].astype(np.int64)), digit[of[a:b]].tobytes(), rest[of[a:b]].tobytes(), status[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("chunk", "digit", "rest", "status"), kinds, strict=True))})
 
@@ -266,7 +260,7 @@ def _repeats(df: DataFrame, key: str, text: str, with_kept: bool, carried: list[
     rows, size = common.chunked(df, key, text, carried)
     spark = df.sparkSession
     buckets = common.buckets_for(spark, size // 2)
-    sent = rows.select("chunk", "text").mapInArrow(_send(buckets), "bucket int, chunk long, digit binary, rest binary, twice binary")
+    sent = rows.select("chunk", "text").mapInArrow(_send(buckets), "bucket int, chunks binary, digit binary, rest binary, twice binary")
     told = common.scratch(sent.groupBy("bucket").applyInArrow(_sorted_out, _TOLD))
     asked = common.buckets_for(spark, size, 16 << 20)
     docs = common.bundled(rows, ["key", "text", "extra"])
