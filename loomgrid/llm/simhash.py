@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm import common
+from loomgrid.llm import common, jaccard
 
 DISTANCE = 3
 SHINGLE = 3
@@ -214,10 +214,22 @@ def _groups(df: DataFrame, key: str, text: str, cap: int) -> tuple[DataFrame, Da
     first = common.scratch(_linked(_keyed(distinct, COARSE), cap))
     hot = first.where("hot").select(F.col("a").alias("fp")).distinct()
     edges = first.where("not hot").select("a", "b").union(_linked(_keyed(hot, FINE), CAP).select("a", "b"))
+    return rows, _named(distinct, edges)
+
+
+def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of each of ``distinct`` (fp, first) by its links."""
     roots = components(edges)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(distinct["fp"], "first", F.coalesce("root", distinct["fp"]).alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows, named.join(least, "root").select("fp", "root", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
+
+
+def _similar(df: DataFrame, key: str, text: str, similarity: float, shingle: int) -> DataFrame:
+    """The groups by the similarity of whole texts; ``fp`` is the digest of a text's set of shingles."""
+    rows = jaccard.fingerprints(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", shingle, with_bands=True)
+    distinct = common.scratch(rows.groupBy("fp").agg(F.min("_key").alias("first"), F.first("bands").alias("bands")))
+    return _named(distinct.select("fp", "first"), jaccard.edges(df, distinct, key, text, shingle, similarity))
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int = CAP) -> DataFrame:
@@ -234,12 +246,15 @@ def hex_of(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int = CAP) -> DataFrame:
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int = CAP, similarity: float | None = None, shingle: int = SHINGLE) -> DataFrame:
     """One row of ``df`` for each group: of those with the group's least key the first by all columns.
 
-    A row with a null key stays only where no row of its group has one.
+    Links are fingerprints within three bits or, where a ``similarity`` is given, sets of ``shingle``-word shingles whose Jaccard
+    similarity is that or more.  A row with a null key stays only where no row of its group has one.
     """
-    _, groups = _groups(df, key, text, cap)
+    if similarity is None and shingle != SHINGLE:
+        raise ValueError("fingerprints within three bits are of three-word shingles")
+    groups = _groups(df, key, text, cap)[1] if similarity is None else _similar(df, key, text, similarity, shingle)
     order = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
 
     def first_of(rows: DataFrame, by: str) -> DataFrame:
@@ -254,6 +269,9 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int =
             fps = np.array([fingerprint(x) for x in common.encoded(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fps)], names=["row", "fp"])
 
-    nameless = whole.mapInArrow(run, whole.select("row", F.lit(0).cast("long").alias("fp")).schema)
+    if similarity is None:
+        nameless = whole.mapInArrow(run, whole.select("row", F.lit(0).cast("long").alias("fp")).schema)
+    else:
+        nameless = jaccard.fingerprints(whole, "text", shingle)
     nameless = nameless.join(groups.where("component_id is null").select("fp", F.col("root").alias("_root")), "fp").select("row.*", "_root")
     return named.union(first_of(nameless, "_root").select(df.columns))
