@@ -43,6 +43,7 @@ _NAMES = re.compile(
     r"|header|masthead|footer|foot|copyright|comment|comments|commentlist|reply|replies|respond|discussion|disqus|share|sharing|social|related|recommended|recommendations|more-stories|trending|tags|skip|search|form|toolbar)(?:$|[\s_\d-])",
     re.I,
 )
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|reply|replies|respond|discussion|disqus)(?:$|[\s_\d-])", re.I)
 #: ``has-sidebar``, ``no-header`` and the like say what a page has, not what the element is.
 _ABOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|hide|show|is|js)[-_]\S+", re.I)
 _ARTICLE = frozenset(["article", "main"])
@@ -50,28 +51,31 @@ _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "items", "link_chars", "link_tags", "parent", "sums", "tag", "tags")
+    __slots__ = ("chars", "density", "items", "link_chars", "link_tags", "named", "parent", "sums", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent = tag, parent
+        self.tag, self.parent, self.named = tag, parent, ""
         self.items: list[Node | str] = []
 
 
-def _boilerplate(tag: str, rest: str) -> bool:
-    """Whether an element is dropped whole.  The names do not count for body, main and article unless they are comments."""
+def _boilerplate(tag: str, rest: str) -> str:
+    """``dropped`` for an element that goes whole, ``comments`` or ``named`` for one whose names say so, or nothing.
+
+    The names do not count for body, main and article unless they are comments.
+    """
     if tag in DROPPED:
-        return True
+        return "dropped"
     if not rest or tag in ("html", "body"):
-        return False
+        return ""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return "dropped"
     if found.get("role", "").strip().lower() in _DROPPED_ROLES:
-        return True
+        return "dropped"
     names = " ".join(re.sub(r"([a-z])([A-Z])", r"\1-\2", _ABOUT.sub("", found.get(k, ""))) for k in ("class", "id", "itemprop"))
     if tag in _ARTICLE:
-        return bool(re.search(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_\d-])", names, re.I))
-    return bool(_NAMES.search(names))
+        return "dropped" if re.search(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_\d-])", names, re.I) else ""
+    return "" if not _NAMES.search(names) else "comments" if _COMMENTS.search(names) else "named"
 
 
 def parse(page: str) -> Node:
@@ -141,17 +145,45 @@ def parse(page: str) -> Node:
             close(*_IMPLIED[tag])
         if tag in ("html", "body") and any(x.tag == tag for x in open_nodes):
             continue
-        if _boilerplate(tag, rest):
+        why = _boilerplate(tag, rest)
+        if why == "dropped":
             if not closed:
                 skipped.append(tag)
             continue
         node = Node(tag, open_nodes[-1])
+        node.named = why
         open_nodes[-1].items.append(node)
         if not closed:
             open_nodes.append(node)
+    _drop_named(root)
     return root
 
 
+def _drop_named(root: Node) -> None:
+    """Drop what its names call boilerplate, unless it holds the page.
+
+    A subtree stays if it has over half of the page's characters outside links, or all its article and main elements (names of
+    comments: the first only, and only on a page without an article or main outside).
+    """
+    nodes = _order(root)
+    if not any(x.named for x in nodes):
+        return
+    measure(root)
+    text = root.chars - root.link_chars
+    articles = [x for x in nodes if x.tag in _ARTICLE]
+    waiting = [root]
+    while waiting:
+        node = waiting.pop()
+        for x in [x for x in node.items if isinstance(x, Node)]:
+            if x.named:
+                most = 2 * (x.chars - x.link_chars) > text
+                every = bool(articles) and all(_within(a, x) for a in articles)
+                if not (most and (every or not articles) if x.named == "comments" else most or every):
+                    node.items = [y for y in node.items if y is not x]
+                    continue
+            waiting.append(x)
+
+
 def _order(root: Node) -> list[Node]:
     """The nodes, each before those in it."""
     found, waiting = [], [root]
@@ -206,15 +238,14 @@ def chosen(root: Node) -> list[Node]:
         if up.tag in _ARTICLE:
             article = up
         up = up.parent
-    if article is not None:
-        return [article]
     path, up = [best], best
     while up is not body and up.parent is not None:
         up = up.parent
         path.append(up)
     threshold = min(x.density for x in path)
-    found, below = [best], best
-    for up in path[1:]:
+    top = best if article is None else article  # an article is taken whole; what lies beside it must pass the threshold
+    found, below = [top], top
+    for up in path[path.index(top) + 1 :]:
         for x in up.items:
             if isinstance(x, Node) and x is not below and x.chars and x.density >= threshold and x.link_chars * 2 <= x.chars:
                 found.append(x)

@@ -9,7 +9,7 @@ pytest.importorskip("loomgrid.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from loomgrid.llm import simhash  # noqa: E402
+from loomgrid.llm import html_density, simhash  # noqa: E402
 
 
 def sets_of(text: str, width: int = 5) -> frozenset:
@@ -51,3 +51,15 @@ def test_stage_drops_near_copies_of_similarity_0_8(spark, sf_dir):
     nulls = table.withColumn("doc_id", F.lit(None).cast("long"))
     assert simhash.keep_one(nulls, similarity=0.8, shingle=5).count() == len(want)
     assert simhash.keep_one(table.limit(0), similarity=0.8, shingle=5).count() == 0
+
+
+def test_page_text_takes_sibling_articles_and_keeps_named_subtrees_that_hold_the_page():
+    one, two = (["".join(f"{w}{i} part{j} " for j in range(25)).strip() for i in range(5)] for w in ("alpha", "gamma"))
+    parts = ["<article>" + "".join(f"<p>{x}</p>" for x in part) + "</article>" for part in (one, two)]
+    menu = "<div class='menu'><a href='/'>Home</a> short words</div>"
+    assert html_density.main_text(f"<html><body>{menu}{''.join(parts)}</body></html>") == "\n".join(one + two)
+    bare = "".join(f"<p>{x}</p>" for x in one)
+    assert html_density.main_text(f"<html><body><div class='menu'><a href='/'>Home</a></div><div class='page header'>{bare}</div></body></html>") == "\n".join(one)
+    assert html_density.main_text(f"<html><body><div class='widget'>{parts[0]}</div></body></html>") == "\n".join(one)
+    comments = "<section class='comments'><article><p>reader says this</p></article></section>"
+    assert html_density.main_text(f"<html><body>{parts[0]}{comments}</body></html>") == "\n".join(one)
