@@ -76,7 +76,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang
     """Learn from rows with a text and a language: per language the pieces of least hash, each from a place that its hash names.
 
     Languages beyond the ``max_langs`` with the most rows are left out; letters beyond the ``alphabet`` most frequent count
-    as one.  No labelled row gives a model without languages.
+    as one.  Copies of a text count once.  A language with less than ``piece_chars`` characters is normalised as if it had so many.
+    No labelled row gives a model without languages.
     """
     labelled = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null and t <> ''")
     top = [r.l for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()]
@@ -84,17 +85,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang
         return Model([], np.zeros(0, np.uint32), [], [], [])
     h = F.xxhash64("t")
     pieces = labelled.where(F.col("l").isin(top)).select("l", h.alias("h"), F.substring("t", F.expr(f"cast(1 + pmod(xxhash64(t), greatest(1, length(t) - {piece_chars - 1})) as int)"), F.lit(piece_chars)).alias("t"))
-    best = pieces.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("r") <= docs_per_lang)
+    least = pieces.select("l", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_lang)
+    best = pieces.join(F.broadcast(least.select("l", "h")), ["l", "h"]).dropDuplicates(["l", "h"])
     rows = best.select("l", "h", "t").collect()
     texts = {x: " ".join(normal(r.t) for r in sorted((r for r in rows if r.l == x), key=lambda r: (r.h, r.t))) for x in sorted(top)}
-    shortest = max(piece_chars, min(map(len, texts.values())))  # equal lengths keep the languages' match lengths comparable
-    texts = {x: t[: 4 * shortest] for x, t in texts.items()}
     points = np.concatenate([np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts.values()])
     seen, counts = np.unique(points[points != 32], return_counts=True)
     letters = np.sort(seen[np.argsort(-counts, kind="stable")[:alphabet]])
     classes = _classes(letters)
     built = [automaton(classes[np.frombuffer(t.encode("utf-32-le"), np.uint32)].tolist()) for t in texts.values()]
-    return Model(list(texts), letters, [e for e, _ in built], [n for _, n in built], [max(2, len(t)) for t in texts.values()])
+    return Model(list(texts), letters, [e for e, _ in built], [n for _, n in built], [max(2, piece_chars, len(t)) for t in texts.values()])
 
 
 _ALPHA: list[np.ndarray] = []

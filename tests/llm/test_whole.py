@@ -9,7 +9,7 @@ pytest.importorskip("loomgrid.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from loomgrid.llm import html_density, simhash  # noqa: E402
+from loomgrid.llm import html_density, langid, simhash  # noqa: E402
 
 
 def sets_of(text: str, width: int = 5) -> frozenset:
@@ -63,3 +63,16 @@ def test_page_text_takes_sibling_articles_and_keeps_named_subtrees_that_hold_the
     assert html_density.main_text(f"<html><body><div class='widget'>{parts[0]}</div></body></html>") == "\n".join(one)
     comments = "<section class='comments'><article><p>reader says this</p></article></section>"
     assert html_density.main_text(f"<html><body>{parts[0]}{comments}</body></html>") == "\n".join(one)
+
+
+def test_language_learns_distinct_texts_and_no_short_language_cuts_the_others(spark):
+    rng = random.Random(5)
+    rows = [(" ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(80)), lang) for lang, letters in (("aa", "abcde"), ("bb", "fghij")) for _ in range(130)]
+    plain = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    copied = langid.train(spark.createDataFrame(rows + rows[:130] * 20, "text string, lang string"))
+    short = langid.train(spark.createDataFrame([*rows, ("kkk", "zz")], "text string, lang string"))
+    assert min(plain.learned) > 120 * 395
+    assert copied.learned == plain.learned
+    assert [e.tolist() for e in copied.edges] == [e.tolist() for e in plain.edges]
+    assert short.learned[:2] == plain.learned
+    assert langid.predict_texts(short, [rows[0][0], rows[-1][0], "xyz qxw", "kkk"])[0][:2] == ["aa", "bb"]
