@@ -28,13 +28,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if not folder:
         known = context.getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="loomgrid-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not context.getCheckpointDir().isDefined():
@@ -42,14 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def scratch(df: DataFrame) -> DataFrame:
+def scratch(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage is cut and a lost executor costs no recomputation.
 
     The table goes when the application ends, or earlier by ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgrid-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     drop_on_exit(spark, path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -166,9 +168,9 @@ class Rolling:
         return mixed((self.sums[length:] - self.sums[:-length]) * self.down[:n])
 
 
-def both(values: np.ndarray) -> tuple[Rolling, Rolling]:
-    """Two independent rolling hashes, 128 bits together."""
-    return Rolling(values), Rolling(mixed(values + _ODD2), _ODD2)
+def both(values: np.ndarray, others: np.ndarray | None = None) -> tuple[Rolling, Rolling]:
+    """Two independent rolling hashes, 128 bits together; the second of ``others`` where each item has two values."""
+    return Rolling(values), Rolling(mixed((values if others is None else others) + _ODD2), _ODD2)
 
 
 _SPACE = np.zeros(256, bool)
@@ -204,27 +206,64 @@ def buckets_for(spark: SparkSession, total_bytes: int, bytes_per_bucket: int = 8
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // bytes_per_bucket), 1)
 
 
-# ---------------------------------------------------------------- chunks of neighbouring keys
+# ---------------------------------------------------------------- chunks of rows
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
-def chunked(df: DataFrame, key: str, text: str, carried: list[str] | None = None) -> tuple[DataFrame, int]:
-    """((key, text, extra, chunk) with a chunk for each range of keys, bytes of all texts).
+def chunked(df: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """((chunk, docs, size) in the shared folder, bytes of all texts).
 
-    ``extra`` holds the carried columns as JSON, null without any.
-
-    Ranges are cut so that a chunk has about ``CHUNK_BYTES`` on average, less where there are many partitions to fill; chunk
-    numbers rise with the key, and a null key goes last.
+    A task puts its rows, whatever their keys, into chunks of about ``CHUNK_BYTES`` of text (a longer text is a chunk), each a compressed
+    Arrow stream of whole rows with a number of its own.  So no chunk grows with a key's or a null's share of the rows.
     """
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), (F.to_json(F.struct(*carried)) if carried else F.lit(None).cast("string")).alias("extra"))
-    low, high, n, size = rows.agg(F.min("key"), F.max("key"), F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    target = min(CHUNK_BYTES, max(64 << 10, size // (2 * parts)))
-    chunks = max(1, -(-size // target))
-    step = 1 if low is None else max(1, (high - low + 1) // chunks)
-    last = (1 << 62) if low is None else high
-    return rows.withColumn("chunk", F.expr(f"coalesce(key, {last}) div {step}L" if step > 1 else f"coalesce(key, {last})")), int(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def full() -> pa.RecordBatch:
+            nonlocal number
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                for x in held:
+                    writer.write_batch(x)
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([size], pa.int64())], names=["chunk", "docs", "size"])
+
+        for batch in slices(batches, text, CHUNK_BYTES // 4):
+            n = pc.sum(pc.fill_null(pc.binary_length(batch.column(text)), 0)).as_py() or 0
+            if held and size + n > CHUNK_BYTES:
+                yield full()
+                held.clear()
+                size = 0
+            held.append(batch)
+            size += n
+        if held:
+            yield full()
+
+    docs = scratch(df.mapInArrow(run, "chunk long, docs binary, size long"), "none")
+    return docs, int(docs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+
+
+def unbundled(docs: bytes) -> pa.Table:
+    """The rows of a chunk."""
+    trim()
+    return pa.ipc.open_stream(docs).read_all()
+
+
+def keys_of(column: pa.ChunkedArray) -> np.ndarray:
+    """The keys as 64-bit integers; null as the largest."""
+    return np.array([_LAST_KEY if x is None else int(x) for x in column.to_pylist()], np.int64)
+
+
+_LAST_KEY = (1 << 63) - 1
+
+#: A word of more bytes is hashed by XXH3 of 128 bits: powers modulo 2**64 tell some long words badly apart.
+LONG_WORD = 64
 
 
 class Texts:
@@ -236,19 +275,74 @@ class Texts:
         self.sizes = sizes
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)))[: len(datas)].astype(np.int64)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash of each word, the text it is of, its place there, words of each text)."""
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(64 bits of each word, 64 others, the text it is of, its place there, words of each text)."""
         if not self.data:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(self.sizes), np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(self.sizes), np.int64)
         raw = np.frombuffer(self.data, np.uint8)
-        inside = np.zeros(len(raw) + 2, np.int8)
-        inside[1:-1] = ~_SPACE[raw]
-        edges = np.flatnonzero(np.diff(inside))
-        starts, ends = edges[::2], edges[1::2]
-        hashes = mixed(Rolling(BYTE_VALUES[raw]).of(starts, ends) + (ends - starts).astype(np.uint64))
+        starts, ends = _edges(raw)
+        lengths_ = (ends - starts).astype(np.uint64)
+        one, two = (mixed(x.of(starts, ends) + lengths_) for x in both(BYTE_VALUES[raw]))
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            one[i], two[i] = np.frombuffer(_xxh128(self.data[starts[i] : ends[i]]), np.uint64)
         owner = np.searchsorted(self.starts, starts, side="right") - 1
         counts = np.bincount(owner, minlength=len(self.sizes)).astype(np.int64)
-        return hashes, owner, np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner], counts
+        return one, two, owner, np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner], counts
+
+
+def _xxh128(data: bytes) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(data)
+
+
+def _edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[raw]
+    edges = np.flatnonzero(np.diff(inside))
+    return edges[::2], edges[1::2]
+
+
+def word_bounds(data: bytes, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and ends, found block by block."""
+    starts, ends, raw, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.frombuffer(data, np.uint8), 0
+    while at < len(raw):
+        a, b = _edges(raw[at : at + block])
+        if len(b) and at and b[0] and a[0] == 0 and not _SPACE[raw[at - 1]]:  # a word that goes on from the block before
+            ends[-1] = ends[-1][:-1]
+            a = a[1:]
+        starts.append(a + at)
+        ends.append(b + at)
+        at += block
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def pieces(datas: list[bytes], window: int, by_words: bool, limit: int = HASHED_BYTES) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+    """(pieces, the text of each, the place where each begins) in groups of about ``limit`` bytes.
+
+    A text is one piece; one beyond the limit is several, which overlap so that each window of ``window`` bytes or words lies whole in
+    the one where it starts, and in no other.
+    """
+    group: tuple[list[bytes], list[int], list[int]] = ([], [], [])
+    size = 0
+    for i, data in enumerate(datas):
+        if len(data) <= limit:
+            cut = [(data, 0)]
+        elif by_words:
+            starts, ends = word_bounds(data)
+            step = max(1, limit * len(starts) // len(data))
+            cut = ((data[starts[a] : ends[min(len(ends), a + step + window - 1) - 1]], a) for a in range(0, max(1, len(starts) - window + 1), step)) if len(starts) else [(b"", 0)]
+        else:
+            cut = ((data[a : a + limit + window - 1], a) for a in range(0, max(1, len(data) - window + 1), limit))
+        for part, at in cut:
+            if size and size + len(part) > limit:
+                yield group
+                group, size = ([], [], []), 0
+            for held, x in zip(group, (part, i, at), strict=True):
+                held.append(x)
+            size += len(part)
+    if group[0]:
+        yield group
 
 
 def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -268,51 +362,26 @@ def spread(marks: np.ndarray, before: int, after: int, size: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-# ---------------------------------------------------------------- texts and questions by chunk
-
-
-def bundled(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(chunk, docs): the named columns of neighbouring rows of one chunk, as compressed Arrow streams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in slices(batches, "text"):
-            chunks = batch.column("chunk").to_numpy(zero_copy_only=False)
-            order = np.argsort(chunks, kind="stable")
-            cuts = [0, *(np.flatnonzero(np.diff(chunks[order])) + 1).tolist(), len(order)]
-            part, names, blobs = batch.select(columns), [], []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
-                    writer.write_batch(part.take(pa.array(order[a:b])))
-                names.append(int(chunks[order[a]]))
-                blobs.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "docs"])
-
-    return rows.select("chunk", *columns).mapInArrow(run, "chunk long, docs binary")
-
-
-def unbundled(docs: pa.ChunkedArray) -> pa.Table:
-    trim()
-    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in docs.to_pylist()])
-
+# ---------------------------------------------------------------- questions by chunk
 
 #: A window's 96 bits: 64 of one hash and 32 of another.  Among 10**13 windows two different ones meet with a chance below one in a hundred.
 QUESTION = "bucket int, chunk long, a binary, b binary"
 
 
-def questions(chunk: int, h1: np.ndarray, h2: np.ndarray, buckets: int) -> pa.Table:
-    rows = [(b, chunk, *x) for b, x in packed((h1 % np.uint64(buckets)).astype(np.int64), buckets, h1, h2.astype(np.uint32))]
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("bucket", "chunk", "a", "b"), kinds, strict=True))})
+def questions(chunk: int, h1: np.ndarray, h2: np.ndarray, buckets: int, **more: np.ndarray) -> pa.Table:
+    """A row for each bucket; ``more`` are further columns of the questions."""
+    columns = {"a": h1, "b": h2.astype(np.uint32), **more}
+    rows = [(b, chunk, *x) for b, x in packed((h1 % np.uint64(buckets)).astype(np.int64), buckets, *columns.values())]
+    kinds = (pa.int32(), pa.int64(), *(pa.binary() for _ in columns))
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("bucket", "chunk", *columns), kinds, strict=True))})
 
 
 def answered(table: pa.Table, judge) -> pa.Table:
-    """(chunk, bucket, bits) of one bucket's questions: ``judge`` gets (h1, h2, chunk) of all and returns booleans."""
+    """(chunk, bucket, bits) of one bucket's questions: ``judge`` gets (h1, h2, the table) of all and returns booleans."""
     h1, h2 = joined(table["a"], np.uint64), joined(table["b"], np.uint32)
     sizes = lengths(table["a"], 8)
     chunks = table["chunk"].to_numpy()
-    yes = judge(h1, h2, np.repeat(chunks, sizes))
+    yes = judge(h1, h2, table)
     ends = np.cumsum(sizes)
     rows = [(c, table["bucket"][0].as_py(), np.packbits(yes[a:b]).tobytes()) for c, a, b in zip(chunks.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True) if yes[a:b].any()]
     return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "bits": pa.array([r[2] for r in rows], pa.binary())})
@@ -330,9 +399,9 @@ def answers(right: pa.Table, h1: np.ndarray, buckets: int) -> np.ndarray:
     return yes
 
 
-def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order that sorts by the keys, the first most significant; whether each in that order differs from the one before)."""
-    order = np.lexsort(keys[::-1])
+def groups_of(*keys: np.ndarray, then: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts by the keys, the first most significant, then by ``then``; whether each in that order differs from the one before by a key)."""
+    order = np.lexsort((*then[::-1], *keys[::-1]))
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:

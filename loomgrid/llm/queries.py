@@ -52,8 +52,9 @@ def op8_large_item_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = radix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=False)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Repeats of 400 bytes; beside them ``n_repeated_words`` counts the words in passages of 50 words or more that stand elsewhere."""
+    found = radix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=False, word_depth=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words")
 
 
 def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,27 @@
-"""Suffix-array deduplication by a depth-limited radix sort of byte suffixes.
+"""Suffix-array deduplication by a depth-limited radix sort of suffixes.
 
-Suffixes are told apart only through 400 bytes, most significant digit first; groups of one leave after each pass, and what is
-equal after the last is a repeated window.  Digits are long byte strings, represented by fingerprints, and each pass sends
-as few suffixes as decide it:
+Suffixes begin at bytes or at words and are told apart only through a depth (400 bytes, 50 words), most significant digit first;
+groups of one leave after each pass, and what is equal after the last is a repeated window.  Digits are long, and each is
+represented by a fingerprint, so a pass groups suffixes by prefix but in the order of fingerprints.  A window's key begins
+at its lead, so that few suffixes decide many windows:
 
-1. Of every window's first 128 places the one with the least hashed 16-gram is its lead; equal windows lead from the same
-   place.  Neighbouring windows mostly share a lead, so one suffix in about 65 stands for all windows of a stretch.  First
-   digit: the 273 bytes from the lead, which every window that it leads contains.  A lead alone with its digit ends here.
+1. Of a window's first places (128 bytes, 16 words) the one with the least hashed gram is its lead; equal windows lead from the
+   same place.  Neighbouring windows mostly share a lead, so one suffix stands for all windows of a stretch (65 bytes on
+   average).  First digit: what follows the lead and every window that it leads contains (273 bytes, 35 words).  A lead alone
+   with its digit ends here.
 2. Second digit: the rest, as the bytes of all windows of the stretch together.  Where these occur twice, all windows of the
    stretch are repeated.  Where a lead's group also has stretches that occur once (a repeat begins or ends there), ...
 3. ... the windows of these and of one stretch of each kind are sorted one by one, by 96 bits.
 
-Fingerprints travel packed, each once from a chunk of neighbouring documents, so a passage that many documents share never
-gathers its places in one task.
+Fingerprints travel packed, each once from a chunk of rows, so a passage that many documents share never gathers its places in
+one task.  Long texts are worked on in overlapping pieces, each window in one of them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,54 +30,85 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm import common
 
-DEPTH = 400
-LEADS = 128
-GRAM = 16
-DIGIT = DEPTH - LEADS + 1
+
+class Unit(NamedTuple):
+    """What suffixes are made of: windows of ``depth``, led from the first ``leads`` places by grams of ``gram``."""
+
+    words: bool
+    depth: int
+    leads: int
+    gram: int
+
+    @property
+    def digit(self) -> int:
+        return self.depth - self.leads + 1
+
+
+def unit(depth: int, words: bool = False) -> Unit:
+    """The unit of that depth; leads take up to a third of it."""
+    leads = 1 << max(0, (depth // 3).bit_length() - 1)
+    return Unit(words, depth, leads, max(1, min(3 if words else 16, depth - leads + 1)))
+
+
+BYTES = unit(400)
+WORDS = unit(50, words=True)
 #: Stretches that a task gathers before it sends them on.
 GATHERED = 1_000_000
-_LOW = np.uint64((1 << 20) - 1)
 REPEATED, ALONE, SPEAKER = 1, 2, 3
 
 
+_LOW = np.uint64((1 << 20) - 1)
+
+
+def _leads(grams: np.ndarray, leads: int) -> np.ndarray:
+    """For each place the last of those with the least gram (its upper 44 bits) among the ``leads`` places from it on.
+
+    A place's number stands in the lower bits, so places must stay below 2**20: pieces see to that.
+    """
+    if len(grams) > int(_LOW):
+        raise ValueError("too many places")
+    least, step = (grams & ~_LOW) | (_LOW - np.arange(len(grams), dtype=np.uint64)), 1
+    while step < leads:
+        np.minimum(least[:-step], least[step:], out=least[:-step])
+        step *= 2
+    return (_LOW - (least & _LOW)).astype(np.int64)
+
+
 class Stretches:
-    """The windows of some texts in stretches of one lead: their owners, first and last windows, and both digits."""
-
-    def __init__(self, datas: list[bytes]) -> None:
-        self.texts = common.Texts(datas)
-        raw = np.frombuffer(self.texts.data, np.uint8)
-        sizes, starts = self.texts.sizes, self.texts.starts
-        n = len(raw)
-        if n < DEPTH:
-            self.first = self.last = self.owner = np.zeros(0, np.int64)
-            self.digit = self.rest = np.zeros(0, np.uint64)
-            return
-        self.one, self.two = common.both(common.BYTE_VALUES[raw])
-        grams = self.one.windows(GRAM)
-        places = np.arange(len(grams), dtype=np.uint64)
-        least = (grams & ~_LOW) | (_LOW - (places & _LOW))  # of equal grams the last place
-        step = 1
-        while step < LEADS:
-            np.minimum(least[:-step], least[step:], out=least[:-step])
-            step *= 2
+    """The windows of some pieces in stretches of one lead: their pieces, first and last windows, and both digits."""
+
+    def __init__(self, pieces: list[bytes], of: Unit) -> None:
+        texts = common.Texts(pieces)
+        if of.words:
+            one, two, _, _, sizes = texts.words()
+            starts = np.cumsum(sizes) - sizes
+        else:
+            one = two = common.BYTE_VALUES[np.frombuffer(texts.data, np.uint8)]
+            sizes, starts = texts.sizes, texts.starts
+        self.starts, n = starts, len(one)
+        self.first = self.last = self.owner = np.zeros(0, np.int64)
+        self.digit = self.rest = np.zeros(0, np.uint64)
         edges = np.zeros(n + 1, np.int32)
-        long = sizes >= DEPTH
+        long = sizes >= of.depth
         edges[starts[long]] += 1
-        edges[starts[long] + sizes[long] - DEPTH + 1] -= 1
+        edges[starts[long] + sizes[long] - of.depth + 1] -= 1
         w = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-        lead = w + (((_LOW - (least[w] & _LOW)) - w.astype(np.uint64)) & _LOW).astype(np.int64)
+        if not len(w):
+            return
+        self.one, self.two = common.both(one, two)
+        lead = _leads(self.one.windows(of.gram), of.leads)[w]
         new = np.ones(len(w), bool)
         new[1:] = (np.diff(lead) != 0) | (np.diff(w) != 1)
         at = np.flatnonzero(new)
         self.first, self.last = w[at], w[np.append(at[1:], len(w)) - 1]
         lead = lead[at]
         self.owner = np.searchsorted(starts, self.first, side="right") - 1
-        self.digit = self.one.of(lead, lead + DIGIT)
-        shape = ((lead - self.first) * LEADS + (self.last - self.first)).astype(np.uint64)
-        self.rest = common.mixed(self.two.of(self.first, self.last + DEPTH) + shape)
+        self.digit = self.one.of(lead, lead + of.digit)
+        shape = ((lead - self.first) * of.leads + (self.last - self.first)).astype(np.uint64)
+        self.rest = common.mixed(self.two.of(self.first, self.last + of.depth) + shape)
 
 
-def _send(buckets: int):
+def _send(buckets: int, text: str, units: list[Unit]):
     """(bucket, chunks, digit, rest, twice): a row for each bucket from all that a task gathers, whatever chunks its rows are of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,14 +122,18 @@ def _send(buckets: int):
                 rows = [(b, *x) for b, x in common.packed((digit % np.uint64(buckets)).astype(np.int64), buckets, chunks, digit, rest, weight > 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunks", "digit", "rest", "twice"])
 
-        for batch in common.slices(batches, "text", common.HASHED_BYTES):
-            s = Stretches(common.encoded(batch.column("text")))
-            if len(s.first):
-                held.append(np.stack([batch.column("chunk").to_numpy(zero_copy_only=False)[s.owner].view(np.uint64), s.digit, s.rest]))
-                size += len(s.first)
-            if size >= GATHERED:
-                yield from flush()
-                size = 0
+        for batch in batches:
+            for chunk, docs in zip(batch.column("chunk").to_pylist(), batch.column("docs"), strict=True):
+                datas = common.encoded(common.unbundled(docs.as_py())[text])
+                for of in units:
+                    for parts, _, _ in common.pieces(datas, of.depth, of.words):
+                        s = Stretches(parts, of)
+                        if len(s.first):
+                            held.append(np.stack([np.full(len(s.first), chunk, np.uint64), s.digit, s.rest]))
+                            size += len(s.first)
+                        if size >= GATHERED:
+                            yield from flush()
+                            size = 0
         yield from flush()
 
     return run
@@ -155,47 +193,50 @@ def _status(s: Stretches, told: np.ndarray, status: np.ndarray) -> np.ndarray:
 
 
 class _Chunk:
-    """The rows of one chunk in order, the windows known to be repeated, and those to sort one by one (96 bits, row and place)."""
+    """The rows of one chunk, the windows known to be repeated, and those to sort one by one (96 bits, unit, row and place)."""
 
-    def __init__(self, left: pa.Table, right: pa.Table) -> None:
-        docs = common.unbundled(left["docs"])
-        rows = zip(docs["key"].to_pylist(), docs["text"].to_pylist(), docs["extra"].to_pylist(), strict=True)
-        self.rows = sorted(rows, key=lambda d: (d[0] is None, d[0] or 0, (d[1] or "").encode(), d[2] or ""))
+    def __init__(self, left: pa.Table, right: pa.Table, text: str, units: list[Unit]) -> None:
+        self.docs = common.unbundled(left["docs"][0].as_py())
+        self.datas = common.encoded(self.docs[text])
         told = np.stack([common.joined(right[c], np.uint64) for c in ("digit", "rest")])
         status = common.joined(right["status"], np.uint8)
         order = np.lexsort((told[1], told[0]))
         told, status = told[:, order], status[order]
-        #: (row, first window, last window) of stretches that are repeated
-        self.known: list[tuple[int, int, int]] = []
-        h1s, h2s, rows_of, places = [], [], [], []
+        #: (unit, row, first window, last window) of stretches that are repeated
+        self.known: list[tuple[int, int, int, int]] = []
+        h1s, h2s, units_of, rows_of, places = [], [], [], [], []
         spoken: set[tuple[int, int]] = set()
-        for start, end in common.asked_in_parts([t for _, t, _ in self.rows]):
-            s = Stretches([(t or "").encode() for _, t, _ in self.rows[start:end]])
-            found = _status(s, told, status)
-            for i in np.flatnonzero(found).tolist():
-                o = int(s.owner[i])
-                a, b = int(s.first[i]), int(s.last[i])
-                if found[i] != ALONE:
-                    self.known.append((start + o, a - int(s.texts.starts[o]), b - int(s.texts.starts[o])))
-                if found[i] == REPEATED:
-                    continue
-                if found[i] == SPEAKER:
-                    pair = (int(s.digit[i]), int(s.rest[i]))
-                    if pair in spoken:
+        for u, of in enumerate(units):
+            for parts, rows, begins in common.pieces(self.datas, of.depth, of.words):
+                s = Stretches(parts, of)
+                found = _status(s, told, status)
+                for i in np.flatnonzero(found).tolist():
+                    o = int(s.owner[i])
+                    a, b, shift = int(s.first[i]), int(s.last[i]), begins[o] - int(s.starts[o])
+                    if found[i] != ALONE:
+                        self.known.append((u, rows[o], a + shift, b + shift))
+                    if found[i] == REPEATED:
                         continue
-                    spoken.add(pair)
-                w = np.arange(a, b + 1)
-                h1s.append(s.one.of(w, w + DEPTH))
-                h2s.append(s.two.of(w, w + DEPTH) & np.uint64(0xFFFFFFFF))
-                rows_of.append(np.full(len(w), start + o))
-                places.append(w - s.texts.starts[o])
+                    if found[i] == SPEAKER:
+                        pair = (int(s.digit[i]), int(s.rest[i]))
+                        if pair in spoken:
+                            continue
+                        spoken.add(pair)
+                    w = np.arange(a, b + 1)
+                    h1s.append(s.one.of(w, w + of.depth))
+                    h2s.append(s.two.of(w, w + of.depth) & np.uint64(0xFFFFFFFF))
+                    units_of.append(np.full(len(w), u))
+                    rows_of.append(np.full(len(w), rows[o]))
+                    places.append(w + shift)
         self.h1, self.h2 = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (h1s, h2s))
-        self.row, self.place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows_of, places))
+        self.unit, self.row, self.place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (units_of, rows_of, places))
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, text: str, units: list[Unit]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = _Chunk(left, right)
+        if not left.num_rows:
+            return common.questions(0, np.zeros(0, np.uint64), np.zeros(0, np.uint64), buckets)
+        chunk = _Chunk(left, right, text, units)
         return common.questions(left["chunk"][0].as_py(), chunk.h1, chunk.h2, buckets)
 
     return run
@@ -204,7 +245,7 @@ def _ask(buckets: int):
 def _equal(table: pa.Table) -> pa.Table:
     """The last pass over one bucket: which of each chunk's windows equal another."""
 
-    def judge(h1: np.ndarray, h2: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    def judge(h1: np.ndarray, h2: np.ndarray, _: pa.Table) -> np.ndarray:
         order, new = common.groups_of(h1, h2)
         group = np.cumsum(new) - 1
         again = np.empty(len(order), bool)
@@ -214,80 +255,116 @@ def _equal(table: pa.Table) -> pa.Table:
     return common.answered(table, judge)
 
 
-_RESULT = "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, extra string"
-_RESULT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
-_TEXTS = "key long, text string, n long, extra string"
+def _spans(chunk: _Chunk, again: np.ndarray, u: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row to (first windows, last windows) of what is repeated in one unit."""
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for v, row, a, b in chunk.known:
+        if v == u:
+            spans.setdefault(row, []).append((a, b))
+    mine = again & (chunk.unit == u)
+    for row, place in zip(chunk.row[mine].tolist(), chunk.place[mine].tolist(), strict=True):
+        spans.setdefault(row, []).append((place, place))
+    return {row: tuple(np.array(x).T) for row, x in spans.items()}
+
+
+def _gone(spans: tuple[np.ndarray, np.ndarray], depth: int, n: int) -> np.ndarray:
+    """Which of ``n`` bytes or words a repeated window covers."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, spans[0], 1)
+    np.add.at(edges, spans[1] + depth, -1)
+    return np.cumsum(edges[:-1]) > 0
+
 
+def without_words(data: bytes, gone: np.ndarray) -> bytes:
+    """``data`` without the words that are gone and the white space behind each."""
+    starts, _ = common.word_bounds(data)
+    edges = np.append(starts, len(data))
+    dropped = np.zeros(len(data) + 1, np.int64)
+    np.add.at(dropped, edges[:-1][gone], 1)
+    np.add.at(dropped, edges[1:][gone], -1)
+    return np.frombuffer(data, np.uint8)[np.cumsum(dropped[:-1]) == 0].tobytes()
 
-def _removed(buckets: int, with_kept: bool, as_text: bool = False):
-    """The result's rows, or (key, text, its length, extra) with characters cut in two left out."""
+
+_COUNTS = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("n_repeated_words", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())]
+
+
+def _removed(buckets: int, key: str, text: str, units: list[Unit], with_kept: bool):
+    """The counts of each row; the first unit is that of bytes, a second one of words is only counted."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = _Chunk(left, right)
+        chunk = _Chunk(left, right, text, units)
         again = common.answers(right, chunk.h1, buckets)
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for row, a, b in chunk.known:
-            spans.setdefault(row, []).append((a, b))
-        for row, place in zip(chunk.row[again].tolist(), chunk.place[again].tolist(), strict=True):
-            spans.setdefault(row, []).append((place, place))
-        out = []
-        for i, (key, text, extra) in enumerate(chunk.rows):
-            kept = data = (text or "").encode()
-            removed = runs = 0
-            if i in spans:
-                a, b = np.array(spans[i]).T
-                edges = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edges, a, 1)
-                np.add.at(edges, b + DEPTH, -1)
-                gone = np.cumsum(edges[:-1]) > 0
+        spans = [_spans(chunk, again, u) for u in range(len(units))]
+        rows = []
+        for i, data in enumerate(chunk.datas):
+            kept, removed, runs, words = data, 0, 0, 0
+            if i in spans[0]:
+                gone = _gone(spans[0][i], units[0].depth, len(data))
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            if as_text:
-                left_over = kept.decode("utf-8", "ignore")
-                out.append((key, left_over, len(left_over), extra))
-            else:
-                out.append((key, len(data), removed, runs, kept if with_kept else None, hashlib.sha256(kept).hexdigest(), extra))
-        if as_text:
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
-            return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(("key", "text", "n", "extra"), kinds, strict=True))})
-        names = ("key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "extra")
-        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(names, _RESULT_KINDS, strict=True))})
+            if len(units) > 1 and i in spans[1]:
+                words = int(_gone(spans[1][i], units[1].depth, int(spans[1][i][1].max()) + units[1].depth).sum())
+            rows.append((len(data), removed, runs, words, kept if with_kept else None, hashlib.sha256(kept).hexdigest()))
+        return pa.table({key: chunk.docs[key], **{n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(_COUNTS)}})
+
+    return run
+
+
+def _left(buckets: int, text: str, n_chars: str, of: Unit, kinds: dict[str, pa.DataType]):
+    """The rows with what is left of their texts."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = _Chunk(left, right, text, [of])
+        spans = _spans(chunk, common.answers(right, chunk.h1, buckets), 0)
+        texts = []
+        for i, data in enumerate(chunk.datas):
+            if i in spans:
+                if of.words:
+                    data = without_words(data, _gone(spans[i], of.depth, len(common.word_bounds(data)[0])))
+                else:
+                    data = np.frombuffer(data, np.uint8)[~_gone(spans[i], of.depth, len(data))].tobytes()
+            texts.append(data.decode("utf-8", "ignore"))
+        new = {text: pa.array(texts, pa.string()), n_chars: pa.array([len(x) for x in texts], pa.int64()).cast(kinds.get(n_chars, pa.int64()))}
+        return pa.table({c: new[c] if c in new else chunk.docs[c] for c in chunk.docs.column_names})
 
     return run
 
 
-def _repeats(df: DataFrame, key: str, text: str, with_kept: bool, carried: list[str], as_text: bool = False) -> DataFrame:
-    rows, size = common.chunked(df, key, text, carried)
+def _repeats(df: DataFrame, text: str, units: list[Unit], finish, schema) -> DataFrame:
+    """``finish(buckets)`` over each chunk and what is told of it."""
+    docs, size = common.chunked(df, text)
     spark = df.sparkSession
     buckets = common.buckets_for(spark, size // 2)
-    sent = rows.select("chunk", "text").mapInArrow(_send(buckets), "bucket int, chunks binary, digit binary, rest binary, twice binary")
+    sent = docs.select("chunk", "docs").mapInArrow(_send(buckets, text, units), "bucket int, chunks binary, digit binary, rest binary, twice binary")
     told = common.scratch(sent.groupBy("bucket").applyInArrow(_sorted_out, _TOLD))
     asked = common.buckets_for(spark, size, 16 << 20)
-    docs = common.bundled(rows, ["key", "text", "extra"])
-    again = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_ask(asked), common.QUESTION).groupBy("bucket").applyInArrow(_equal, _ANSWERS)
+    docs = docs.select("chunk", "docs")
+    again = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_ask(asked, text, units), common.QUESTION).groupBy("bucket").applyInArrow(_equal, _ANSWERS)
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     both = told.select("*", null("int", "bucket"), null("binary", "bits")).unionByName(again.select("*", *(null("binary", c) for c in ("digit", "rest", "status"))))
-    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_removed(asked, with_kept, as_text), _TEXTS if as_text else _RESULT)
+    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish(asked), schema)
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept, kept_sha256) of each row; the kept bytes are null unless asked for.
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = True, depth: int = BYTES.depth, word_depth: int | None = None) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, n_repeated_words, kept, kept_sha256) of each row; the kept bytes are null unless asked for.
 
-    A byte goes if it is covered by a 400-byte string that also starts at another place, in this row or another: of copies none
-    stays.  Each of repeated rows is a text of its own, and so a copy.  A null text is empty; keys may be null.  What is kept
-    need not be whole UTF-8.  Texts pass through one shuffle, compressed, which both their users read.
+    A byte goes if it is covered by a string of ``depth`` bytes that also starts at another place, in this row or another: of copies
+    none stays.  Each of repeated rows is a text of its own, and so a copy.  A null text is empty; keys may be null.  What is kept
+    need not be whole UTF-8.  With a ``word_depth``, words covered by as many consecutive words that also stand elsewhere are
+    counted (white space between them does not matter); they stay.
     """
-    return _repeats(df, key, text, with_kept, []).drop("extra").withColumnRenamed("key", key)
+    units = [unit(depth), *([unit(word_depth, words=True)] if word_depth else [])]
+    rows = df.select(key, text)
+    schema = rows.select(key, *(F.lit(0).cast("long").alias(c) for c, _ in _COUNTS[:4]), F.lit(None).cast("binary").alias("kept"), F.lit("").alias("kept_sha256")).schema
+    return _repeats(rows, text, units, lambda asked: _removed(asked, key, text, units, with_kept), schema)
 
 
-def remove_from(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """``df`` with what is kept as its text and the text's length; bytes of characters cut in two go too.
+def remove_from(df: DataFrame, text: str = "text", n_chars: str = "n_chars", depth: int = BYTES.depth, words: bool = False) -> DataFrame:
+    """``df`` with what is kept as its text and the text's length.
 
-    A null text becomes an empty one; other columns pass unchanged.
+    Bytes of characters cut in two go too.  With ``words``, windows are of as many consecutive words, and with a word goes the white
+    space behind it.  A null text becomes an empty one; other columns pass unchanged.
     """
-    others = [c for c in df.columns if c not in (key, text, n_chars)]
-    decoded = _repeats(df, key, text, True, others, as_text=True)
-    named = {key: F.col("key"), text: F.col("text"), n_chars: F.col("n")}
-    if others:
-        decoded = decoded.withColumn("extra", F.from_json("extra", df.select(others).schema))
-    return decoded.select(*((named[c] if c in named else F.col("extra").getField(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns))
+    of = unit(depth, words)
+    kinds = {n_chars: pa.int32()} if n_chars in df.columns and df.schema[n_chars].dataType.simpleString() == "int" else {}
+    return _repeats(df, text, [of], lambda asked: _left(asked, text, n_chars, of, kinds), df.schema)

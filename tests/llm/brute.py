@@ -93,3 +93,36 @@ def op10(texts: list[str | None], depth: int = 400) -> list[tuple[int, int, int,
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         found.append((len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return found
+
+
+def near(docs: list[tuple[int, str | None]], similarity: float = 0.8, width: int = 5) -> dict[int, int]:
+    """Key to the least key that it reaches by links of sets of word shingles (fewer words: all of them) of that Jaccard similarity."""
+    sets = {}
+    for key, text in docs:
+        ws = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words(text)]
+        sets[key] = frozenset(tuple(ws[i : i + width]) for i in range(len(ws) - width + 1)) or frozenset([tuple(ws)] if ws else [])
+    least = {k: k for k in sets}
+
+    def root(k: int) -> int:
+        while least[k] != k:
+            k = least[k]
+        return k
+
+    holders: dict = {}
+    for key, held in sets.items():
+        for x in held or [None]:
+            holders.setdefault(x, []).append(key)
+    for key, held in sets.items():
+        shared = Counter(other for x in held or [None] for other in holders[x])
+        for other, same in shared.items():
+            if not held and not sets[other] or held and same >= similarity * (len(held) + len(sets[other]) - same):
+                a, b = root(key), root(other)
+                least[max(a, b)] = min(a, b)
+    return {k: root(k) for k in sets}
+
+
+def repeated_words(texts: list[str | None], depth: int = 50) -> list[set[int]]:
+    """The places of the words of each text that stand in a window found at two places or more."""
+    split = [words(t) for t in texts]
+    seen = Counter(tuple(ws[i : i + depth]) for ws in split for i in range(len(ws) - depth + 1))
+    return [{j for i in range(len(ws) - depth + 1) if seen[tuple(ws[i : i + depth])] > 1 for j in range(i, i + depth)} for ws in split]
