@@ -19,13 +19,20 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm import common
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Possessive, so that no character is looked at twice: comments and declarations, a tag's name, and the rest of a tag with quotes.
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset("script style noscript template title head nav header footer aside form button select textarea input option iframe object embed svg canvas math audio video map dialog menu fieldset label xmp noembed noframes".split())
 BLOCKS = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr center details summary hgroup search".split())
 _CLOSES_P = BLOCKS | frozenset("nav header footer aside form fieldset menu dialog".split())
+_P = frozenset(["p"])
+_HOLDS_P = frozenset("td th table article section div li".split())
+_HOLDS_INLINE = frozenset("td th table article body".split())
+_RAW_ENDS = {x: re.compile(rf"</{x}\s*+>", re.I) for x in RAW}
 #: A start tag closes an open element of these, up to the nearest of the second set.
 _IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -51,7 +58,7 @@ _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "items", "link_chars", "link_tags", "named", "parent", "sums", "tag", "tags")
+    __slots__ = ("chars", "density", "end", "first", "items", "link_chars", "link_tags", "named", "parent", "sums", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.named = tag, parent, ""
@@ -78,83 +85,124 @@ def _boilerplate(tag: str, rest: str) -> str:
     return "" if not _NAMES.search(names) else "comments" if _COMMENTS.search(names) else "named"
 
 
+class _Open:
+    """Names of open elements and where each name stands, so that no look-up walks through them."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, name: str) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def cut(self, n: int) -> None:
+        """Close all but the first ``n``."""
+        while len(self.names) > n:
+            self.at[self.names.pop()].pop()
+
+    def has(self, name: str) -> bool:
+        return bool(self.at.get(name))
+
+    def last(self, names: frozenset[str] | set[str]) -> int:
+        """The innermost of these names, -1 without one."""
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
+
+
 def parse(page: str) -> Node:
-    """The page's tree without boilerplate.  Unclosed and stray tags are taken as browsers take them, as far as text matters."""
+    """The page's tree without boilerplate, in time that grows with the page's length and no faster.
+
+    Unclosed and stray tags are taken as browsers take them, as far as text matters; a tag that the page's end cuts off is dropped.
+    """
     root = Node("#root", None)
-    open_nodes = [root]
-    skipped: list[str] = []  # the open elements from the outermost dropped one
-    at, size, find = 0, len(page), _MARKUP.search
+    nodes, opened, skipped = [root], _Open(), _Open()  # skipped: the open elements from the outermost dropped one
+    opened.push("#root")
+    at, size = 0, len(page)
 
     def text(x: str) -> None:
-        if x and not skipped:
-            open_nodes[-1].items.append(html.unescape(x) if "&" in x else x)
+        if x and not skipped.names:
+            nodes[-1].items.append(html.unescape(x) if "&" in x else x)
+
+    def cut(n: int) -> None:
+        opened.cut(n)
+        del nodes[n:]
 
     def close(tags: frozenset[str], stop: frozenset[str]) -> None:
         """Close the nearest open element of ``tags`` unless one of ``stop`` comes first."""
-        for i in range(len(open_nodes) - 1, 0, -1):
-            if open_nodes[i].tag in tags:
-                del open_nodes[i:]
-                return
-            if open_nodes[i].tag in stop:
-                return
+        i = opened.last(tags)
+        if i > 0 and i >= opened.last(stop):
+            cut(i)
 
     while at < size:
-        m = find(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt < 0:
             text(page[at:])
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
-            if m[1] and not skipped:
-                open_nodes[-1].items.append(m[1])
+        m = _TAG.match(page, lt)
+        if m is None:
+            other = _OTHER.match(page, lt)
+            if other is None:  # a bare sign
+                text(page[at : lt + 1])
+                at = lt + 1
+                continue
+            text(page[at:lt])
+            at = other.end()
+            if other[1] and not skipped.names:
+                nodes[-1].items.append(other[1])
             continue
-        tag, rest = m[3].lower(), m[4]
-        if m[2]:
-            if skipped:
-                if tag in skipped:
-                    del skipped[len(skipped) - 1 - skipped[::-1].index(tag) :]
-                elif tag in ("body", "html", "article", "main") and any(x.tag == tag for x in open_nodes):
-                    skipped.clear()  # a dropped element that nothing closed ends with what holds it
+        text(page[at:lt])
+        whole = _REST.match(page, m.end())
+        if whole:
+            rest, at = whole[1], whole.end()
+        else:  # a quote that nothing closes
+            end = page.find(">", m.end())
+            if end < 0:
+                break
+            rest, at = page[m.end() : end], end + 1
+        tag = m[2].lower()
+        if m[1]:
+            if skipped.names:
+                if skipped.has(tag):
+                    skipped.cut(skipped.at[tag][-1])
+                elif tag in ("body", "html", "article", "main") and opened.has(tag):
+                    skipped.cut(0)  # a dropped element that nothing closed ends with what holds it
                     close(frozenset([tag]), frozenset())
-            elif tag in ("br", "p") and not any(x.tag == tag for x in open_nodes):
-                open_nodes[-1].items.append(Node(tag, open_nodes[-1]))
+            elif tag in ("br", "p") and not opened.has(tag):
+                nodes[-1].items.append(Node(tag, nodes[-1]))
             elif tag not in ("html", "body"):
-                close(frozenset([tag]), frozenset() if tag in BLOCKS else frozenset(["td", "th", "table", "article", "body"]))
+                close(frozenset([tag]), frozenset() if tag in BLOCKS else _HOLDS_INLINE)
             continue
         if tag in RAW and not rest.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = _RAW_ENDS[tag].search(page, at)
             at = end.end() if end else size
             continue
         closed = tag in VOID or rest.rstrip().endswith("/") and tag not in BLOCKS and tag not in _CLOSES_P
-        if skipped:
-            if not closed:
-                if tag == "p" and skipped[-1] == "p":
-                    skipped.pop()
-                skipped.append(tag)
-                if skipped == ["head", "body"]:
-                    skipped.clear()
-                else:
-                    continue
-            else:
+        if skipped.names:
+            if closed:
+                continue
+            if tag == "p" and skipped.names[-1] == "p":
+                skipped.cut(len(skipped.names) - 1)
+            skipped.push(tag)
+            if skipped.names != ["head", "body"]:
                 continue
-        if tag in _CLOSES_P and any(x.tag == "p" for x in open_nodes):
-            close(frozenset(["p"]), frozenset(["td", "th", "table", "article", "section", "div", "li"]))
+            skipped.cut(0)
+        if tag in _CLOSES_P and opened.has("p"):
+            close(_P, _HOLDS_P)
         if tag in _IMPLIED:
             close(*_IMPLIED[tag])
-        if tag in ("html", "body") and any(x.tag == tag for x in open_nodes):
+        if tag in ("html", "body") and opened.has(tag):
             continue
         why = _boilerplate(tag, rest)
         if why == "dropped":
             if not closed:
-                skipped.append(tag)
+                skipped.push(tag)
             continue
-        node = Node(tag, open_nodes[-1])
+        node = Node(tag, nodes[-1])
         node.named = why
-        open_nodes[-1].items.append(node)
+        nodes[-1].items.append(node)
         if not closed:
-            open_nodes.append(node)
+            nodes.append(node)
+            opened.push(tag)
     _drop_named(root)
     return root
 
@@ -170,27 +218,33 @@ def _drop_named(root: Node) -> None:
         return
     measure(root)
     text = root.chars - root.link_chars
-    articles = [x for x in nodes if x.tag in _ARTICLE]
+    places = [x.first for x in nodes if x.tag in _ARTICLE]
+
+    def stays(x: Node) -> bool:
+        most = 2 * (x.chars - x.link_chars) > text
+        every = bool(places) and x.first <= places[0] and places[-1] < x.end
+        return most and (every or not places) if x.named == "comments" else most or every
+
     waiting = [root]
     while waiting:
         node = waiting.pop()
-        for x in [x for x in node.items if isinstance(x, Node)]:
-            if x.named:
-                most = 2 * (x.chars - x.link_chars) > text
-                every = bool(articles) and all(_within(a, x) for a in articles)
-                if not (most and (every or not articles) if x.named == "comments" else most or every):
-                    node.items = [y for y in node.items if y is not x]
-                    continue
-            waiting.append(x)
+        node.items = [x for x in node.items if not isinstance(x, Node) or not x.named or stays(x)]
+        waiting.extend(x for x in node.items if isinstance(x, Node))
 
 
 def _order(root: Node) -> list[Node]:
-    """The nodes, each before those in it."""
-    found, waiting = [], [root]
+    """The nodes, each before those in it; ``first`` and ``end`` bound the places of those within each."""
+    found: list[Node] = []
+    waiting: list[tuple[Node, bool]] = [(root, False)]
     while waiting:
-        node = waiting.pop()
+        node, over = waiting.pop()
+        if over:
+            node.end = len(found)
+            continue
+        node.first = len(found)
         found.append(node)
-        waiting.extend(x for x in reversed(node.items) if isinstance(x, Node))
+        waiting.append((node, True))
+        waiting.extend((x, False) for x in reversed(node.items) if isinstance(x, Node))
     return found
 
 
@@ -229,7 +283,7 @@ def chosen(root: Node) -> list[Node]:
     if not nodes:
         return []
     body = next((x for x in nodes if x.tag == "body"), root)
-    best = max((x for x in nodes if x is body or _within(x, body)), key=lambda x: x.sums)
+    best = max((x for x in nodes if body.first <= x.first < body.end), key=lambda x: x.sums)  # of equal sums the first on the page
     if best.sums == 0:
         best = body
     article = None
@@ -254,14 +308,6 @@ def chosen(root: Node) -> list[Node]:
     return sorted(found, key=lambda x: place[id(x)])
 
 
-def _within(node: Node, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
-    return False
-
-
 def blocks(tops: list[Node]) -> list[str]:
     """The text of each block, white space as one space; a line break inside a block is white space."""
     found: list[str] = []
