@@ -5,7 +5,8 @@ phrase goes on while it occurs in that language's text, and where it ends the ne
 the learned length, a character, estimate the cross entropy; the language with the least wins.
 
 The automata are learned on a bounded sample (``docs_per_lang`` pieces of ``piece_chars`` characters for each of at most
-``max_langs`` languages); predictions cover whole texts.
+``max_langs`` languages); predictions cover whole texts.  Each language has an alphabet of its own, so one script does not
+crowd out another.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ BLOCK = 1024
 
 
 class Model(NamedTuple):
-    """Per language its automaton's edges (from, character class, to), states and learned characters; the letters by class."""
+    """Per language its letters, their classes, its automaton's edges (from, character class, to), states and learned characters."""
 
     langs: list[str]
-    letters: np.ndarray
+    letters: list[np.ndarray]
+    classes: list[np.ndarray]
     edges: list[np.ndarray]
     states: list[int]
     learned: list[int]
@@ -72,78 +74,91 @@ def automaton(codes: list[int]) -> tuple[np.ndarray, int]:
     return np.array([(s, c, t) for s, m in enumerate(nexts) for c, t in m.items()], np.int32).reshape(-1, 3), len(nexts)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 120, piece_chars: int = 400, max_langs: int = 64, alphabet: int = 62) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 120, piece_chars: int = 400, max_langs: int = 64, alphabet: int = 254) -> Model:
     """Learn from rows with a text and a language: per language the pieces of least hash, each from a place that its hash names.
 
-    Languages beyond the ``max_langs`` with the most rows are left out; letters beyond the ``alphabet`` most frequent count
-    as one.  Copies of a text count once.  A language with less than ``piece_chars`` characters is normalised as if it had so many.
+    Languages beyond the ``max_langs`` with the most rows are left out; a language's letters beyond its ``alphabet`` most frequent count
+    as one, and one that its pieces lack matches nothing.  Copies of a text count once.  A language with less than ``piece_chars`` characters is normalised as if it had so many.
     No labelled row gives a model without languages.
     """
     labelled = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null and t <> ''")
     top = [r.l for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()]
     if not top:
-        return Model([], np.zeros(0, np.uint32), [], [], [])
+        return Model([], [], [], [], [], [])
     h = F.xxhash64("t")
     pieces = labelled.where(F.col("l").isin(top)).select("l", h.alias("h"), F.substring("t", F.expr(f"cast(1 + pmod(xxhash64(t), greatest(1, length(t) - {piece_chars - 1})) as int)"), F.lit(piece_chars)).alias("t"))
     least = pieces.select("l", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_lang)
     best = pieces.join(F.broadcast(least.select("l", "h")), ["l", "h"]).dropDuplicates(["l", "h"])
     rows = best.select("l", "h", "t").collect()
     texts = {x: " ".join(normal(r.t) for r in sorted((r for r in rows if r.l == x), key=lambda r: (r.h, r.t))) for x in sorted(top)}
-    points = np.concatenate([np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts.values()])
-    seen, counts = np.unique(points[points != 32], return_counts=True)
-    letters = np.sort(seen[np.argsort(-counts, kind="stable")[:alphabet]])
-    classes = _classes(letters)
-    built = [automaton(classes[np.frombuffer(t.encode("utf-32-le"), np.uint32)].tolist()) for t in texts.values()]
-    return Model(list(texts), letters, [e for e, _ in built], [n for _, n in built], [max(2, piece_chars, len(t)) for t in texts.values()])
+    letters, classes, built = [], [], []
+    for t in texts.values():
+        points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        seen, counts = np.unique(points[points != 32], return_counts=True)
+        letters.append(seen)
+        classes.append(np.empty(len(seen), np.int64))
+        classes[-1][np.argsort(-counts, kind="stable")] = np.minimum(np.arange(len(seen)), alphabet) + 2
+        built.append(automaton(_classes(seen, classes[-1])[points].tolist()))
+    return Model(list(texts), letters, classes, [e for e, _ in built], [n for _, n in built], [max(2, piece_chars, len(t)) for t in texts.values()])
 
 
 _ALPHA: list[np.ndarray] = []
 
 
-def _classes(letters: np.ndarray) -> np.ndarray:
-    """Code point to class: 0 for anything but a letter, 1 for a letter that was not learned, then the learned letters."""
+def _classes(letters: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
+    """Code point to class: 0 for anything but a letter, 1 for a letter that is not among these, and from 2 on these, each its own or as given."""
     if not _ALPHA:
         _ALPHA.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
-    classes = _ALPHA[0].astype(np.uint8)
-    classes[letters] = np.arange(2, len(letters) + 2, dtype=np.uint8)
-    return classes
+    table = _ALPHA[0].astype(np.uint16 if len(letters) < 65_000 else np.int32)
+    table[letters] = np.arange(2, len(letters) + 2) if classes is None else classes
+    return table
 
 
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def tables(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(classes, steps, roots).  ``steps[state * width + class]`` is the next state times four plus the phrases that end there."""
-    key = zlib.crc32(b"".join(e.tobytes() for e in model.edges), zlib.crc32(repr((model.langs, model.letters.tolist())).encode()))
+def tables(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, own, steps, roots) over all languages.
+
+    A code point's class is 0 for anything but a letter, 1 for a letter that no language has, or its place among all letters;
+    ``own[language, class]`` is its class there.  A state is where its row begins in ``steps``, which has at row + class the next
+    state times four plus the phrases that end there.
+    """
+    key = zlib.crc32(b"".join(e.tobytes() for e in model.edges), zlib.crc32(repr((model.langs, [(x.tolist(), c.tolist()) for x, c in zip(model.letters, model.classes, strict=True)])).encode()))
     if key not in _TABLES:
-        width, roots = len(model.letters) + 2, np.concatenate(([0], np.cumsum(model.states)))
-        steps = np.empty((int(roots[-1]), width), np.int32)
-        for base, n, edges in zip(roots.tolist(), model.states, model.edges, strict=False):
-            to = np.full((n, width), -1, np.int32)
+        every = np.unique(np.concatenate([np.zeros(0, np.uint32), *model.letters]))
+        own = np.ones((len(model.langs), len(every) + 2), np.int64)
+        own[:, 0] = 0
+        widths = [max(2, *c.tolist(), 2) + 1 for c in model.classes]
+        roots = np.concatenate(([0], np.cumsum([n * w for n, w in zip(model.states, widths, strict=True)]))).astype(np.int64)
+        steps = np.empty(int(roots[-1]), np.int64 if roots[-1] >= 1 << 29 else np.int32)
+        for i, (base, n, width, edges) in enumerate(zip(roots.tolist(), model.states, widths, model.edges, strict=False)):
+            own[i, 2 + np.searchsorted(every, model.letters[i])] = model.classes[i]
+            to = np.full((n, width), -1, np.int64)
             to[edges[:, 0], edges[:, 1]] = edges[:, 2]
-            fresh = np.where(to[0] >= 0, (base + to[0]) * 4 + 1, base * 4 + 2)  # the phrase ends; the character begins one, or is one
-            steps[base : base + n] = np.where(to >= 0, (base + to) * 4, fresh)
-            steps[base] = np.where(to[0] >= 0, (base + to[0]) * 4, base * 4 + 1)
+            there = (base + to * width) * 4
+            fresh = np.where(to[0] >= 0, there[0] + 1, base * 4 + 2)  # the phrase ends; the character begins one, or is one
+            part = steps[base : base + n * width].reshape(n, width)
+            part[:] = np.where(to >= 0, there, fresh)
+            part[0] = np.where(to[0] >= 0, there[0], base * 4 + 1)
         _TABLES.clear()
-        _TABLES[key] = (_classes(model.letters), steps.ravel(), roots[:-1])
+        _TABLES[key] = (_classes(every), own, steps, roots[:-1])
     return _TABLES[key]
 
 
 def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(phrases of each text against each language, characters of each text after normalisation; 0: no letter)."""
-    classes, steps, roots = tables(model)
-    width, langs = len(model.letters) + 2, len(roots)
-    points = np.frombuffer("\0".join([*(t.lower() for t in texts), ""]).encode("utf-32-le"), np.uint32)
-    owner = np.cumsum(points == 0) - (points == 0)
-    codes = classes[points]
+    classes, own, steps, roots = tables(model)
+    langs = len(roots)
+    lower = [t.lower() for t in texts]
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, lower), np.int64, len(lower)))
+    codes = classes[np.frombuffer("".join(lower).encode("utf-32-le"), np.uint32)]
     # one space for a run of other characters, none at a text's start or end
     gap = codes == 0
-    gap[1:] &= gap[:-1] | (points[:-1] == 0)
-    if len(gap):
-        gap[0] = codes[0] == 0
-    gap |= points == 0
-    keep = ~gap
-    codes, owner = codes[keep], owner[keep]
+    starts = np.ones(len(codes), bool)
+    starts[1:] = owner[1:] != owner[:-1]
+    gap[1:] &= (codes[:-1] == 0) | starts[1:]
+    codes, owner = codes[~gap], owner[~gap]
     last = np.ones(len(codes), bool)
     last[:-1] = owner[1:] != owner[:-1]
     keep = ~(last & (codes == 0))
@@ -162,7 +177,7 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ended = np.zeros((langs, n), np.int64)
     active = n - np.searchsorted(size[::-1], np.arange(int(size[0]) if n else 0), side="right")
     for t, m in enumerate(active.tolist()):
-        moved = steps[state[:, :m] * width + codes[first[:m] + t]]
+        moved = steps[state[:, :m] + own[:, codes[first[:m] + t]]]
         ended[:, :m] += moved & 3
         state[:, :m] = moved >> 2
     ended += state != roots[:, None]
