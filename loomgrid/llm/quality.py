@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -91,48 +92,90 @@ def base_failed() -> Column:
 
 
 def tail(k: int, n: int, rate: float) -> float:
-    """P(Binomial(n, rate) <= k), exactly summed: the p-value of ``the false rejection rate is above rate``."""
+    """P(Binomial(n, rate) <= k): the p-value of ``the false rejection rate is above rate``.
+
+    The regularised incomplete beta function at (n - k, k + 1), by its continued fraction: some hundred steps for any n.
+    """
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(rate) + (n - j) * math.log1p(-rate) for j in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    return _beta(n - k, k + 1, 1 - rate)
+
+
+def _beta(a: float, b: float, x: float) -> float:
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    value, m = d, 0
+    while True:
+        m += 1
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + step * d) or tiny)
+            c = (1 + step / c) or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-15 or m > 100_000:
+            return min(1.0, front * value)
+
+
+class Chosen(NamedTuple):
+    """(stratum, signal) to the cutoff.  ``apart`` names the strata decided each by itself; all others have the stratum ``REST``."""
 
+    cutoffs: dict[tuple[str | None, str], float]
+    apart: list[str]
 
-def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", risk: float = RISK, level: float = LEVEL, max_strata: int = 256) -> dict[tuple[str, str], float]:
-    """(stratum, signal) to the chosen cutoff.
+
+#: The stratum of all that are decided as one.
+REST = None
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", risk: float = RISK, level: float = LEVEL, max_strata: int = 256) -> Chosen:
+    """The chosen cutoffs.
 
     ``labels`` has the key and ``quality`` (1 good, 0 bad; null or absent: not used).  Good and bad documents that pass the base
-    rule are counted beyond each candidate in one aggregation, so the driver gets strata times candidates numbers.  A null
-    stratum is one of its own; those beyond the ``max_strata`` with the most labels are decided as one.  A key that is labelled
-    more than once takes its worst label.
+    rule are counted beyond each candidate in one aggregation; the driver gets the counts of at most ``max_strata`` strata and of the
+    rest together.  A null stratum is one of its own; those beyond the ``max_strata`` with the most labels (the first by name among
+    equals) are decided as one.  A key that is labelled more than once takes its worst label.
     """
     marks = labels.where("quality is not null").groupBy(key).agg(F.min("quality").alias("quality"))
     rows = measured.where(~base_failed()).select(key, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *FEATURES).join(marks, key)
     named = [(s, c) for s, cs in CUTOFFS.items() for c in cs]
     beyond = [F.sum(F.when(F.expr(f"({SIGNALS[s]}) > {c!r}") & (F.col("quality") == q), 1).otherwise(0)).alias(f"{'bg'[q]}{i}") for i, (s, c) in enumerate(named) for q in (0, 1)]
-    counted = rows.groupBy("stratum").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.count("*").alias("all"), *beyond)
-    counted = counted.orderBy(F.desc("all"), "stratum").limit(max_strata).collect()
-    tests = max(1, len(counted)) * len(SIGNALS)
-    found: dict[tuple[str, str], float] = {}
-    for row in counted:
+    counted = common.scratch(rows.groupBy("stratum").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.count("*").alias("all"), *beyond))
+    found = counted.orderBy(F.desc("all"), "stratum").limit(max_strata + 1).collect()
+    apart = [r.stratum for r in found[:max_strata]]
+    groups = [(r.stratum, r.asDict()) for r in found[:max_strata]]
+    if len(found) > max_strata:
+        rest = counted.join(F.broadcast(counted.sparkSession.createDataFrame([(x,) for x in apart], "stratum string")), "stratum", "left_anti")  # max_strata rows
+        groups.append((REST, rest.agg(*(F.sum(c).alias(c) for c in counted.columns if c != "stratum")).first().asDict()))
+    tests = max(1, len(groups)) * len(SIGNALS)
+    chosen: dict[tuple[str | None, str], float] = {}
+    for name, row in groups:
         for signal in SIGNALS:
             best = 0
             for i, (_, cutoff) in sorted(((i, x) for i, x in enumerate(named) if x[0] == signal), key=lambda x: -x[1][1]):
-                if not row.good or tail(row[f"g{i}"], row.good, risk / len(SIGNALS)) > level / tests:
+                if not row["good"] or tail(row[f"g{i}"], row["good"], risk / len(SIGNALS)) > level / tests:
                     break
                 gain = row[f"b{i}"] - WORTH * row[f"g{i}"]
                 if gain > best:
-                    best, found[row.stratum, signal] = gain, cutoff
-    return found
+                    best, chosen[name, signal] = gain, cutoff
+    return Chosen(chosen, apart)
+
 
+def judge(measured: DataFrame, chosen: Chosen, stratum: str = "lang") -> DataFrame:
+    """``measured`` with ``base_failed`` and ``kept``.  A stratum without cutoffs is judged by the base rule alone.
 
-def judge(measured: DataFrame, chosen: dict[tuple[str, str], float], stratum: str = "lang") -> DataFrame:
-    """``measured`` with ``base_failed`` and ``kept``.  A stratum without cutoffs is judged by the base rule alone."""
+    Strata that were not decided apart take the rest's cutoffs, if there was a rest.
+    """
     value = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
     rejected = F.lit(False)
-    for (s, signal), cutoff in sorted(chosen.items()):
-        rejected = rejected | ((value == s) & F.expr(f"({SIGNALS[signal]}) > {cutoff!r}"))
+    for signal, rule in SIGNALS.items():
+        own = {s: cutoff for (s, by), cutoff in sorted(chosen.cutoffs.items(), key=repr) if by == signal}
+        for cutoff in sorted(set(own.values())):
+            fits = value.isin([s for s, c in own.items() if c == cutoff and s is not REST])
+            if own.get(REST) == cutoff:
+                fits = fits | ~value.isin(chosen.apart)
+            rejected = rejected | (fits & F.expr(f"({rule}) > {cutoff!r}"))
     return measured.withColumns({"base_failed": base_failed(), "kept": ~(base_failed() | rejected)})
 
 
