@@ -24,6 +24,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Rows of one length are ranked in so many parts at least, so that a length with most of the rows isn't one task's.
 SALTS = 64
+#: How a byte-level pre-tokenizer with its own expression splits.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LOADED: dict[str | None, tuple] = {}
 
 
@@ -45,14 +47,17 @@ def _byte_characters() -> dict[str, int]:
 
 
 def ranked_vocabulary(found) -> dict[bytes, int] | None:
-    """Byte strings by id of a byte-level tokenizer whose ids follow its merges; None for any other.
+    """Byte strings by id of a byte-level tokenizer that splits by ``BYTE_LEVEL`` and whose ids follow its merges; None for any other.
 
     Merging by lowest id then gives what merging by the list gives, which a faster library does.
     """
     import json
 
     model = json.loads(found.to_str())
-    if model["model"]["type"] != "BPE" or (model.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model.get("normalizer") or model["pre_tokenizer"].get("add_prefix_space"):
+    split, kind = model.get("pre_tokenizer") or {}, model["model"]
+    if kind["type"] != "BPE" or kind.get("ignore_merges") or kind.get("dropout") or kind.get("continuing_subword_prefix") or kind.get("end_of_word_suffix"):
+        return None
+    if model.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
         return None
     special = {t["content"] for t in model.get("added_tokens", [])}
     vocabulary, stand = model["model"]["vocab"], _byte_characters()
@@ -70,13 +75,12 @@ class Encoder:
     """
 
     def __init__(self, path: str | None = None) -> None:
-        import public_tokenizers
         import tiktoken
 
         if path not in _LOADED:  # a worker loads each file once and keeps one of the two
             found = tokenizer(path)
             ranks = ranked_vocabulary(found)
-            _LOADED[path] = (None, found) if ranks is None else (tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), None)
+            _LOADED[path] = (None, found) if ranks is None else (tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}), None)
         self.ranked, self.tokenizer = _LOADED[path]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
