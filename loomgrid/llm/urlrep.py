@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm import common
+
 #: (verdict, host and path) as a rule is written.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 #: Public suffixes of two labels that the registered domain counts as one.
@@ -69,13 +71,14 @@ def _strength(rates: DataFrame, by: list[str], prior: str) -> DataFrame:
 def reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(hosts, domains, suffixes, all): each with its key, counts n and bad, and posterior alpha and beta.
 
-    Rows with a null or empty host or a null outcome are not used.
+    Rows with a null or empty host or a null outcome are not used.  Outcomes are read once: the counts of hosts, and the posteriors of
+    suffixes and domains, are written to the shared folder, so that each level is computed once from those above.
     """
     seen = outcomes.where(F.col(host).isNotNull() & (F.col(host) != "") & F.col(bad).isNotNull())
     hosts = seen.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col(bad).cast("long")).alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = common.scratch(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    domains = common.scratch(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    suffixes = common.scratch(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     top = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumns({"alpha": F.col("bad") + 0.5, "beta": F.col("n") - F.col("bad") + 0.5})
     mean = (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("prior")
 
@@ -86,8 +89,8 @@ def reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad") -> tup
         strong = with_prior.join(strengths, by) if by else with_prior.join(F.broadcast(strengths))  # one row
         return strong.withColumns({"alpha": F.col("prior") * F.col("strength") + F.col("bad"), "beta": (1 - F.col("prior")) * F.col("strength") + F.col("n") - F.col("bad")}).select(*children.columns, "alpha", "beta", "strength")
 
-    s = level(suffixes, top, [])
-    d = level(domains, s, ["suffix"])
+    s = common.scratch(level(suffixes, top, []))
+    d = common.scratch(level(domains, s, ["suffix"]))
     h = level(hosts, d, ["suffix", "domain"])
     return h, d, s, top
 
@@ -101,7 +104,8 @@ def lower_bound(alpha: Column, beta: Column, z: float = Z) -> Column:
 def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules: list[tuple[str, str]] | None = None, limit: float = LIMIT, z: float = Z) -> DataFrame:
     """``pages`` with host, path, rule, bound and verdict.
 
-    ``outcomes`` has host and bad (0 or 1) of labelled pages.  A page without a fitting rule is blocked if its host's lower
+    ``outcomes`` has host and bad (0 or 1) of labelled pages.  Only hosts whose posterior was learned are joined, one row each; a host
+    with most of the pages is split where Spark splits skewed joins, its pages need not meet.  A page without a fitting rule is blocked if its host's lower
     bound exceeds the limit; a host without outcomes has no evidence against it and is allowed.  Columns of those names are
     replaced; null urls have empty host and path and are allowed; repeated rows stay.
     """
