@@ -225,11 +225,11 @@ def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
     return named.join(least, "root").select("fp", "root", "component_id")
 
 
-def _similar(df: DataFrame, key: str, text: str, similarity: float, shingle: int) -> DataFrame:
+def _similar(df: DataFrame, key: str, text: str, similarity: float, shingle: int, **caps: int) -> DataFrame:
     """The groups by the similarity of whole texts; ``fp`` is the digest of a text's set of shingles."""
     rows = jaccard.fingerprints(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", shingle, with_bands=True)
     distinct = common.scratch(rows.groupBy("fp").agg(F.min("_key").alias("first"), F.first("bands").alias("bands")))
-    return _named(distinct.select("fp", "first"), jaccard.edges(df, distinct, key, text, shingle, similarity))
+    return _named(distinct.select("fp", "first"), jaccard.edges(df, distinct, key, text, shingle, similarity, **caps))
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int = CAP) -> DataFrame:

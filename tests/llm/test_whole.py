@@ -1,15 +1,20 @@
 """Jobs done whole: what earlier versions left out."""
 
+import os
 import random
+import sys
 
 import pytest
 
 pytest.importorskip("loomgrid.llm")
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from loomgrid.llm import html_density, langid, simhash  # noqa: E402
+from loomgrid.llm.common import read  # noqa: E402
 
 
 def sets_of(text: str, width: int = 5) -> frozenset:
@@ -76,3 +81,37 @@ def test_language_learns_distinct_texts_and_no_short_language_cuts_the_others(sp
     assert [e.tolist() for e in copied.edges] == [e.tolist() for e in plain.edges]
     assert short.learned[:2] == plain.learned
     assert langid.predict_texts(short, [rows[0][0], rows[-1][0], "xyz qxw", "kkk"])[0][:2] == ["aa", "bb"]
+
+
+def test_large_keys_are_worked_on_in_parts_and_lose_no_link(spark):
+    """A cluster of near copies, chains that leave it and sets apart, with so small bounds that nearly every key is large."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for size in (400, 60, 200):
+        base = [rng.choice(words) for _ in range(size)]
+        chain = list(base)
+        for i in range(40):
+            copy = list(base)
+            copy[rng.randrange(size)] = rng.choice(words)
+            texts.append(copy)
+            if i < 12:  # each step further from the cluster
+                chain = list(chain)
+                for at in rng.sample(range(size), max(1, size // 60)):
+                    chain[at] = rng.choice(words)
+                texts.append(chain)
+    texts += [[rng.choice(words) for _ in range(100)] for _ in range(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    groups = brute.near(rows)
+    want = {k for k, c in groups.items() if k == c}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for caps in ({}, {"cap_sets": 5, "cap_bytes": 6000}):
+        found = simhash._similar(table, "doc_id", "text", 0.8, 5, **caps)
+        assert {r.component_id for r in found.collect()} == want
+
+
+def test_recall_of_near_copies_against_brute_force(spark, sf_dir):
+    """Of the links that all pairs of texts have, those whose ends the operator puts into one group: 0.9 at least, here all."""
+    rows = [(r.doc_id, r.text) for r in read(spark, sf_dir, "documents").collect()]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8, shingle=5).collect()}
+    assert kept == {k for k, c in brute.near(rows).items() if k == c}
