@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from loomgrid.plans import files as _files  # noqa: F401  registers its queries
 from loomgrid.plans import grid as _grid  # noqa: F401  registers its queries
+from loomgrid.plans import more as _more  # noqa: F401  registers its queries
 from loomgrid.plans import palette as _palette  # noqa: F401  registers its queries
 from loomgrid.plans import registry
 from loomgrid.plans import relational as _relational  # noqa: F401  registers its queries

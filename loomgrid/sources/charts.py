@@ -193,6 +193,14 @@ def read_palettes(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return each.select(key, "idx", F.lower(F.regexp_extract("c.hex", "#?([0-9a-fA-F]{6})", 1)).alias("hex"), "c.name")
 
 
+def read_names(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(name, hex, r, g, b) of a colour-name dictionary: a name, a tab and ``#rrggbb`` a line; comments, blank and broken lines are left out."""
+    cell = F.split(line, "\t")
+    rows = lines.where(~F.col(line).startswith("#") & (F.trim(line) != "")).select(F.trim(cell[0]).alias("name"), F.get(cell, F.lit(1)).alias("hex"))
+    told = rows.withColumn("c", scalars.rgb_of_hex(F.trim("hex"))).where("c is not null and name <> ''")
+    return told.select("name", F.lower(F.regexp_replace(F.trim("hex"), "^#", "")).alias("hex"), "c.r", "c.g", "c.b")
+
+
 # ---------------------------------------------------------------- rasters of charts
 
 

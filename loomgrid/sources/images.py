@@ -121,6 +121,17 @@ def encode_png(rgba: np.ndarray) -> bytes:
     return PNG_MAGIC + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
+def write_png(pixel_rows: DataFrame, key: str = "photo_id") -> DataFrame:
+    """(key, png): each picture's pixels (y, x, r, g, b, a) as a PNG; a place without a row is clear."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((int(rows["y"].max()) + 1, int(rows["x"].max()) + 1, 4), np.uint8)
+        out[rows["y"], rows["x"]] = rows[list("rgba")].to_numpy()
+        return pd.DataFrame({key: [rows[key].iloc[0]], "png": [encode_png(out)]})
+
+    return pixel_rows.select(key, "y", "x", *"rgba").groupBy(key).applyInPandas(run, f"{key} {dict(pixel_rows.dtypes)[key]}, png binary")
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """An (h, w, 4) array of an 8-bit, not interlaced PNG; raises ValueError for any other or a broken one."""
     if data[:8] != PNG_MAGIC:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The ranks of four 8 x 8 patterns, row by row.
 RANKS = {
@@ -65,10 +66,14 @@ def matrix(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([(y, x, v) for y, row in enumerate(NAMES[name]()) for x, v in enumerate(row)], "my int, mx int, rank int")
 
 
-def read_matrices(spark: SparkSession, path: str) -> DataFrame:
-    """(name, size, my, mx, rank) of a tab-separated file with a line for each pattern: name, size, ranks joined by commas."""
-    from pyspark.sql import functions as F
-
-    rows = spark.read.csv(path, sep="\t", schema="name string, size int, ranks string")
+def parsed(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(name, size, my, mx, rank) of tab-separated lines, one for each pattern: name, size, ranks joined by commas."""
+    cell = F.split(line, "\t")
+    rows = lines.select(cell[0].alias("name"), cell[1].cast("int").alias("size"), cell[2].alias("ranks"))
     each = rows.select("name", "size", F.posexplode(F.split("ranks", ",")).alias("at", "rank"))
     return each.select("name", "size", F.floor(F.col("at") / F.col("size")).cast("int").alias("my"), (F.col("at") % F.col("size")).alias("mx"), F.col("rank").cast("int"))
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a file."""
+    return parsed(spark.read.text(path))
