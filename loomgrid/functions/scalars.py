@@ -184,3 +184,19 @@ def mulberry_step(state: Column) -> tuple[Column, Column]:
     t = times(s.bitwiseXOR(F.shiftright(s, 15)), s.bitwiseOR(F.lit(1)))
     t = t.bitwiseXOR((t + times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(mask))
     return s, t.bitwiseXOR(F.shiftright(t, 14))
+
+
+def free_name(name: Column, taken: Column) -> Column:
+    """``name``, or with the least number from 2 on that makes it one that is not taken (an array; null: none)."""
+    held = F.coalesce(taken, F.array().cast("array<string>"))
+    numbered = F.transform(F.sequence(F.lit(2), F.size(held) + 2), lambda n: F.concat_ws(" ", name, n.cast("string")))
+    return F.when(~F.array_contains(held, name), name).otherwise(F.get(F.filter(numbered, lambda n: ~F.array_contains(held, n)), F.lit(0)))
+
+
+#: Signs of a chart's colours, handed out in turn.
+SYMBOLS = "+x#o*%=/<>^v"
+
+
+def symbol_for(index: Column, symbols: str = SYMBOLS) -> Column:
+    """The colour's sign: the set is handed out in order and begins again when it ends."""
+    return F.substring(F.lit(symbols), (F.pmod(index, F.lit(len(symbols))) + 1).cast("int"), F.lit(1))

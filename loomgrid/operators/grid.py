@@ -393,6 +393,22 @@ def along(lines: DataFrame, step: float) -> DataFrame:
     return lines.withColumn("_len", length).select("*", at).select(*lines.columns, "i", (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
 
 
+def budgeted(rows: DataFrame, key: list[str], order: list[str], length: str, budget: float) -> DataFrame:
+    """The rows taken in order while their key's running sum stays within the budget; one too long is passed over, later ones may fit.
+
+    A key's rows, the lines of one chart, meet in one array that is folded in the JVM.
+    """
+    listed = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*rows.columns).alias("row")))).alias("all"))
+    zero = F.struct(F.lit(0.0).alias("used"), F.array().cast(listed.schema["all"].dataType).alias("taken"))
+
+    def step(state, v):
+        used = state["used"] + v["row"][length]
+        fits = used <= budget
+        return F.struct(F.when(fits, used).otherwise(state["used"]).alias("used"), F.when(fits, F.array_append(state["taken"], v)).otherwise(state["taken"]).alias("taken"))
+
+    return listed.select(F.inline(F.transform(F.aggregate("all", zero, step)["taken"], lambda v: v["row"])))
+
+
 # ---------------------------------------------------------------- generators
 
 
@@ -438,6 +454,17 @@ def by_threshold(points: DataFrame, matrix: DataFrame, size: int) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` checkpointed in the shared folder: the lineage is cut and a lost executor costs no recomputation."""
+    spark = rows.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomgrid-"))  # one of our own, as in tests, where all runs on one machine
+    return rows.checkpoint()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each node of the edges with the least node that it reaches.
 
@@ -456,13 +483,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():  # a cluster names a shared folder; without one, as in tests, one of our own
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgrid-"))
-    now = smaller(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))).checkpoint()
+    now = kept(smaller(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))))
     seen = state(now)
     while True:
-        now = stars(stars(now, True), False).checkpoint()
+        now = kept(stars(stars(now, True), False))
         after = state(now)
         if after == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

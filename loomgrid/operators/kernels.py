@@ -357,6 +357,15 @@ def mend_diagonals(labels: np.ndarray, lab: np.ndarray, palette: np.ndarray, cei
     return grid
 
 
+#: Cells of more importance keep their colour when the picture is calmed.
+IMPORTANT = 0.5
+
+
+def guarded(importance: np.ndarray, empty: np.ndarray | None = None) -> np.ndarray:
+    """Which cells are protected: those of importance above the bar, and empty ones."""
+    return importance > IMPORTANT if empty is None else (importance > IMPORTANT) | empty
+
+
 def medoid_filter(lab: np.ndarray, protect: np.ndarray | None = None) -> np.ndarray:
     """Each cell's 3 × 3 neighbour with the least summed distance to the others, the centre first on a tie; protected cells stay."""
     h, w = lab.shape[:2]
@@ -465,21 +474,51 @@ def per_chart(cells: DataFrame, function: Callable[[np.ndarray], np.ndarray], co
     return cells.select(key, "y", "x", *columns).groupBy(key).applyInPandas(run, f"{key} long, y long, x long, label int")
 
 
-def chart(lab: np.ndarray, colours: int) -> np.ndarray:
-    """A whole chart from OKLab cells (NaN: empty): quantize, settle coarse and fine, clear small regions, mend diagonals, merge near colours."""
-    empty = np.isnan(lab).any(axis=2)
-    flat = lab[~empty]
-    labels = np.full(lab.shape[:2], EMPTY)
-    if not len(flat):
-        return labels
-    calm = medoid_filter(np.where(empty[..., None], 0.0, lab), empty)
-    labels[~empty], palette = quantize(calm[~empty], colours)
-    filled = np.where(empty[..., None], 0.0, lab)
-    labels = settle_scales(labels, filled, palette, pair_evidence(filled))
-    labels = recolour_small(labels, filled, palette)
-    labels = mend_diagonals(labels, filled, palette)
-    labels = recolour_small(labels, filled, palette)
-    return merge_close(labels.ravel(), palette, MERGE_GENERATED)[0].reshape(labels.shape)
+class Run:
+    """A chart being made: OKLab cells (NaN: empty) and what the stages have found so far."""
+
+    def __init__(self, lab: np.ndarray, colours: int, importance: np.ndarray | None = None) -> None:
+        self.colours, self.empty = colours, np.isnan(lab).any(axis=2)
+        self.cells = np.where(self.empty[..., None], 0.0, lab)
+        self.protect = self.empty if importance is None else guarded(importance, self.empty)
+        self.calm, self.labels, self.palette = self.cells, np.full(lab.shape[:2], EMPTY), np.zeros((0, 3))
+
+
+def _calmed(run: Run) -> None:
+    run.calm = medoid_filter(run.cells, run.protect)
+
+
+def _quantized(run: Run) -> None:
+    run.labels[~run.empty], run.palette = quantize(run.calm[~run.empty], run.colours)
+
+
+def _settled(run: Run) -> None:
+    run.labels = settle_scales(run.labels, run.cells, run.palette, pair_evidence(run.cells))
+
+
+def _cleared(run: Run) -> None:
+    run.labels = recolour_small(run.labels, run.cells, run.palette)
+
+
+def _mended(run: Run) -> None:
+    run.labels = mend_diagonals(run.labels, run.cells, run.palette)
+
+
+def _merged(run: Run) -> None:
+    run.labels = merge_close(run.labels.ravel(), run.palette, MERGE_GENERATED)[0].reshape(run.labels.shape)
+
+
+#: The steps of a chart, in order: calm, quantize, settle coarse and fine, clear small regions, mend diagonals, merge near colours.
+STAGES = [("calm", _calmed), ("quantize", _quantized), ("settle", _settled), ("clear", _cleared), ("mend", _mended), ("clear again", _cleared), ("merge", _merged)]
+
+
+def chart(lab: np.ndarray, colours: int, importance: np.ndarray | None = None) -> np.ndarray:
+    """A whole chart's labels from OKLab cells (NaN: empty)."""
+    run = Run(lab, colours, importance)
+    if not run.empty.all():
+        for _, stage in STAGES:
+            stage(run)
+    return run.labels
 
 
 def registry() -> dict[str, Callable[[np.ndarray], np.ndarray]]:

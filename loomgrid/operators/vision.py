@@ -132,14 +132,20 @@ def edge_evidence(lab: np.ndarray, w: int, h: int) -> np.ndarray:
     return out
 
 
-def gaussian_derivatives(a: np.ndarray, sigma: float) -> dict[str, np.ndarray]:
-    """First and second derivatives of a picture smoothed by a Gaussian, the edges' values repeated."""
+def gaussian_taps(sigma: float) -> list[np.ndarray]:
+    """A Gaussian's taps and those of its first and second derivative, exact on straight lines and parabolas."""
     r = int(np.ceil(4 * sigma))
     t = np.arange(-r, r + 1)
     g = np.exp(-t * t / (2 * sigma * sigma))
     g /= g.sum()
     second = (t * t - (t * t * g).sum()) * g
-    taps = {0: g, 1: -t * g / (t * t * g).sum(), 2: 2 * second / (t * t * second).sum()}  # exact on straight lines and parabolas
+    return [g, -t * g / (t * t * g).sum(), 2 * second / (t * t * second).sum()]
+
+
+def gaussian_derivatives(a: np.ndarray, sigma: float) -> dict[str, np.ndarray]:
+    """First and second derivatives of a picture smoothed by a Gaussian, the edges' values repeated."""
+    taps = gaussian_taps(sigma)
+    r = len(taps[0]) // 2
 
     def run(x: np.ndarray, k: np.ndarray, axis: int) -> np.ndarray:
         padded = np.pad(x, [(r, r) if i == axis else (0, 0) for i in range(2)], mode="edge")
