@@ -21,6 +21,11 @@ LATE = "2 days"
 TRACKED = ["status", "tier", "price", "period_end", "cancel_at_end", "failed_at", "ended_at"]
 
 
+def in_time(arrived: Column, period_end: Column, late: str = LATE) -> Column:
+    """Whether a record came before its period's end or within the allowance after it."""
+    return arrived <= period_end + F.expr(f"interval {late}")
+
+
 def once(events: DataFrame, ident: str = "event_id", ts: str = "ts", late: str = LATE) -> DataFrame:
     """Each event once by its id; a stream forgets ids older than the allowance for late records."""
     if events.isStreaming:
@@ -28,6 +33,11 @@ def once(events: DataFrame, ident: str = "event_id", ts: str = "ts", late: str =
     return relational.latest(events, [ident], [F.col(ts)])
 
 
+def without_returned(uses: DataFrame, returned: DataFrame, ident: str) -> DataFrame:
+    """The uses that were not given back; of either, repeated rows count once."""
+    return once(uses, ident).join(returned.select(ident).distinct(), ident, "left_anti")
+
+
 def history(snapshots: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
     """(key, order, field, before, after): a row for each field that differs from the key's snapshot before; the first has no before.
 
@@ -48,11 +58,18 @@ def sticky_minimum(snapshots: DataFrame, key: str, order: list[str], holds: Colu
     return begun.withColumn("held", F.when(F.col("_holds"), least)).drop("_holds", "_value", "_run")
 
 
-def history_stream(snapshots: DataFrame, key: str, at: str, fields: list[str]) -> DataFrame:
-    """The same as a stream: the state is the key's last snapshot, so older and repeated ones change nothing."""
+def history_stream(snapshots: DataFrame, key: str, at: str, fields: list[str], keep_days: int | None = None) -> DataFrame:
+    """The same as a stream: the state is the key's last snapshot, so older and repeated ones change nothing.
+
+    With ``keep_days`` a key's state goes when the watermark is so far past its last snapshot; the next one then counts as the first.
+    """
     kind = dict(snapshots.dtypes)[key]
+    expiry = None if keep_days is None else int(timedelta(days=keep_days).total_seconds() * 1000)
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = list(state.get) if state.exists else None
         out = []
         for row in pd.concat(list(batches)).sort_values(at).itertuples(index=False):
@@ -65,35 +82,53 @@ def history_stream(snapshots: DataFrame, key: str, at: str, fields: list[str]) -
             last = [when, *now]
         if last is not None:
             state.update(tuple(last))
+            if expiry is not None:
+                state.setTimeoutTimestamp(max(last[0] // 1_000_000 + expiry, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, at, "field", "before", "after"])
 
     held = "at long, " + ", ".join(f"f{i} string" for i in range(len(fields)))
-    rows = snapshots.select(key, at, *(F.col(f).cast("string").alias(f) for f in fields))
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {at} timestamp, field string, before string, after string", held, "append", GroupStateTimeout.NoTimeout)
+    rows = (snapshots if expiry is None else snapshots.withWatermark(at, LATE)).select(key, at, *(F.col(f).cast("string").alias(f) for f in fields))
+    timeout = GroupStateTimeout.NoTimeout if expiry is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {at} timestamp, field string, before string, after string", held, "append", timeout)
 
 
-def quota_stream(requests: DataFrame, key: str, at: str, ident: str, value: int, hours: int) -> DataFrame:
+def quota_stream(requests: DataFrame, key: str, at: str, ident: str, value: int, hours: int, back: str | None = None, late: str | None = None) -> DataFrame:
     """(key, ident, at, allowed): a rolling limit of ``value`` uses in ``hours``; only allowed uses count.
 
-    The state holds the times in the period, at most ``value`` of them.
+    A row whose ``back`` column is true gives the use of that ident back, and is answered with null.  The state holds the times in the
+    period and their idents, at most ``value`` of them.  With ``late`` it goes when the watermark, so far behind the newest row, has left
+    the last use's period; rows later than that are dropped.
     """
     kinds = dict(requests.dtypes)
     period = timedelta(hours=hours).total_seconds() * 1e6
+    columns = [key, at, ident, *([back] if back else [])]
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        used = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used = list(zip(*state.get, strict=True)) if state.exists else []
         out = []
         for row in pd.concat(list(batches)).sort_values([at, ident]).itertuples(index=False):
-            now = getattr(row, at).value // 1000
-            used = [t for t in used if t > now - period]
+            now, name = getattr(row, at).value // 1000, str(getattr(row, ident))
+            used = [u for u in used if u[0] > now - period]
+            if back and bool(getattr(row, back)):
+                used = [u for u in used if u[1] != name]
+                out.append((keys[0], getattr(row, ident), getattr(row, at), None))
+                continue
             allowed = len(used) < value
             if allowed:
-                used.append(now)
+                used.append((now, name))
             out.append((keys[0], getattr(row, ident), getattr(row, at), allowed))
-        state.update((used,))
-        yield pd.DataFrame(out, columns=[key, ident, at, "allowed"])
-
-    return requests.select(key, at, ident).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {ident} {kinds[ident]}, {at} timestamp, allowed boolean", "used array<long>", "append", GroupStateTimeout.NoTimeout)
+        state.update(([t for t, _ in used], [n for _, n in used]))
+        last = max((t for t, _ in used), default=0)
+        if late is not None:
+            state.setTimeoutTimestamp(max(int((last + period) // 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, ident, at, "allowed"]).astype({"allowed": "boolean"})
+
+    rows = (requests if late is None else requests.withWatermark(at, late)).select(*columns)
+    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {ident} {kinds[ident]}, {at} timestamp, allowed boolean", "used array<long>, idents array<string>", "append", timeout)
 
 
 #: A notice and the days from a failure at which it is due.
