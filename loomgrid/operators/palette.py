@@ -183,7 +183,8 @@ def line_threads(lines: DataFrame, palette: DataFrame, parts: list[str], limit:
     near = grid.nearest(lines, palette, parts)
     count = palette.count()
     fresh = near.where(F.col("distance_sq") > limit * limit).groupBy(*parts).agg(F.min("line_id").alias("first"))
-    number = fresh.withColumn("new", (F.row_number().over(Window.orderBy("first")) + count - 1).cast("int")).where(F.col("new") < most)  # at most a palette's rows pass
+    few = fresh.orderBy("first").limit(max(0, most - count))  # what the palette has room for
+    number = few.withColumn("new", (F.row_number().over(Window.orderBy("first")) + count - 1).cast("int"))
     joined = near.join(number.drop("first"), parts, "left")
     return joined.select("line_id", F.when((F.col("distance_sq") > limit * limit) & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("nearest")).cast("int").alias("idx"))
 
@@ -218,6 +219,20 @@ def signature(body: Column, secret: str) -> Column:
     return F.sha2(F.concat(pad(0x5C), inner), 256)
 
 
+def signed_text(signed: Column, body: Column) -> Column:
+    """What is signed: the moment in seconds, a dot, and the body."""
+    return F.concat_ws(".", signed.cast("string"), body)
+
+
+def accepted(body: Column, signed: Column, given: Column, now: Column, secret: str, seconds: int = 300) -> Column:
+    """Whether an event's signature is its own and not older (or newer) than ``seconds``; null parts are refused.
+
+    Signatures are compared by their hashes, so how long it takes tells nothing about where two differ.
+    """
+    same = F.sha2(signature(signed_text(signed, body), secret), 256) == F.sha2(F.lower(given), 256)
+    return F.coalesce(same & (F.abs(now - signed) <= seconds), F.lit(False))
+
+
 def photo_store(store: DataFrame, new: DataFrame, now: str, hours: int = 24, most: int = 1000) -> DataFrame:
     """A content-addressed store after new photos: one row an id, those used within ``hours`` only, the ``most`` last used."""
     both = store.unionByName(new).groupBy("photo_id").agg(F.max("used_at").alias("used_at"), F.first("bytes").alias("bytes"))

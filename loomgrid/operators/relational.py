@@ -66,6 +66,10 @@ def by_label(events: DataFrame, label: Column, recent: Column, missing: str = "n
     return counted.withColumn("position", F.row_number().over(order).cast("long"))
 
 
+#: Declared limits; each becomes a part of one expression.
+MAX_LIMITS = 1000
+
+
 def limit_use(uses: DataFrame, limits: DataFrame, now: str, key: str = "user_id", ts: str = "ts") -> DataFrame:
     """(key, limit_id, value, used, left, next_at) for each counted limit in force.
 
@@ -73,7 +77,9 @@ def limit_use(uses: DataFrame, limits: DataFrame, now: str, key: str = "user_id"
     left and the value is above 0, one more is allowed a period after the (used - value + 1)-th oldest use: the value-th newest,
     which is found by rank, so no user's uses are gathered.
     """
-    in_force = limits.where("value is not null").limit(1000).collect()  # a declared list of limits
+    in_force = limits.where("value is not null").limit(MAX_LIMITS + 1).collect()  # a declared list of limits
+    if len(in_force) > MAX_LIMITS:
+        raise ValueError(f"more than {MAX_LIMITS} limits")
     longest = max((r.period_hours for r in in_force), default=0)
     seen = uses.select(key, ts).where((F.col(ts) > moment(uses, ts, now, hours=-longest)) & (F.col(ts) <= moment(uses, ts, now)))
     applies = F.array(*(F.when(F.col(ts) > moment(uses, ts, now, hours=-r.period_hours), F.struct(F.lit(r.limit_id).alias("limit_id"), F.lit(r.value).cast("long").alias("value"), F.lit(r.period_hours).alias("period_hours"))) for r in in_force))

@@ -1,5 +1,5 @@
-"""Grid queries over rasters that both engines build by the same integer arithmetic, over embeddings as points (first three
-components, the first sixteen as a palette) and over line items as lines."""
+"""Grid queries over rasters that both engines build by the same integer arithmetic, one picture and one chart for each supplier,
+over embeddings as points (first three components, the first sixteen as a palette) and over line items as lines."""
 
 from __future__ import annotations
 
@@ -12,29 +12,30 @@ from loomgrid.operators import kernels as K
 from loomgrid.plans.registry import query, read
 from loomgrid.sources import matrices
 
-W, H, IMAGES = 48, 36, 4
+W, H = 48, 36
 _CHANNELS = {"r": "(x * 7 + y * 3 + image_id * 31) % 256", "g": "(x * x + y * 5 + image_id * 17) % 256", "b": "(x * y + image_id * 7) % 256", "a": "case when (x + 2 * y + image_id) % 11 < 2 then 0 else 255 end"}
-_P = f"(select i.v image_id, t.v y, s.v x, {', '.join(e.replace('image_id', 'i.v').replace('x', 's.v').replace('y', 't.v') + ' ' + c for c, e in list(_CHANNELS.items())[:3])}, case when (s.v + 2 * t.v + i.v) % 11 < 2 then 0 else 255 end a from range({IMAGES}) i(v), range({H}) t(v), range({W}) s(v))"
-_C = "(select i.v chart_id, t.v y, s.v x, case when (s.v // 3 + t.v // 2) % 7 = 0 then null else ((s.v // 4) * 3 + (t.v // 5) * 2 + i.v) % 5 end as label, case when (s.v + t.v) % 9 = 0 then 1 else 0 end kind from range(4) i(v), range(36) t(v), range(48) s(v))"
-_L = "(select l_orderkey * 10 + l_linenumber line_id, l_partkey % 20 x1, l_suppkey % 15 y1, l_orderkey % 20 x2, l_linenumber * 2 y2, l_suppkey % 4 as label from lineitem where l_orderkey < 3000)"
+_P = f"(select i.v image_id, t.v y, s.v x, {', '.join(e.replace('image_id', 'i.v').replace('x', 's.v').replace('y', 't.v') + ' ' + c for c, e in list(_CHANNELS.items())[:3])}, case when (s.v + 2 * t.v + i.v) % 11 < 2 then 0 else 255 end a from (select s_suppkey v from supplier) i, range({H}) t(v), range({W}) s(v))"
+_C = "(select i.v chart_id, t.v y, s.v x, case when (s.v // 3 + t.v // 2) % 7 = 0 then null else ((s.v // 4) * 3 + (t.v // 5) * 2 + i.v) % 5 end as label, case when (s.v + t.v) % 9 = 0 then 1 else 0 end kind from (select s_suppkey v from supplier) i, range(36) t(v), range(48) s(v))"
+_L = "(select l_orderkey * 10 + l_linenumber line_id, l_partkey % 20 x1, l_suppkey % 15 y1, l_orderkey % 20 x2, l_linenumber * 2 y2, l_suppkey % 4 as label from lineitem)"
 
 
 def pixels(spark, sf_dir):
-    """(image_id, y, x, r, g, b, a) of four small pictures."""
-    n = F.col("id")
-    at = spark.range(IMAGES * H * W).select(F.floor(n / (W * H)).alias("image_id"), F.floor(n / W % H).alias("y"), (n % W).alias("x"))
+    """(image_id, y, x, r, g, b, a) of small pictures, one for each supplier."""
+    n = F.col("n")
+    each = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(H * W - 1))).alias("n"))
+    at = each.select("image_id", F.floor(n / W).alias("y"), (n % W).cast("long").alias("x"))
     return at.select("*", *(F.expr(e).cast("int").alias(c) for c, e in _CHANNELS.items()))
 
 
 def cells(spark, sf_dir):
-    """(chart_id, y, x, label, kind) of four small charts with empty cells."""
+    """(chart_id, y, x, label, kind) of small charts with empty cells, one for each supplier."""
     at = pixels(spark, sf_dir).select(F.col("image_id").alias("chart_id"), "y", "x")
     label = F.when((F.floor(F.col("x") / 3) + F.floor(F.col("y") / 2)) % 7 == 0, None).otherwise((F.floor(F.col("x") / 4) * 3 + F.floor(F.col("y") / 5) * 2 + F.col("chart_id")) % 5)
     return at.select("*", label.cast("int").alias("label"), F.when((F.col("x") + F.col("y")) % 9 == 0, 1).otherwise(0).alias("kind"))
 
 
 def lines(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").where("l_orderkey < 3000").selectExpr("l_orderkey * 10 + l_linenumber line_id", "cast(l_partkey % 20 as int) x1", "cast(l_suppkey % 15 as int) y1", "cast(l_orderkey % 20 as int) x2", "l_linenumber * 2 y2", "cast(l_suppkey % 4 as int) label")
+    return read(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber line_id", "cast(l_partkey % 20 as int) x1", "cast(l_suppkey % 15 as int) y1", "cast(l_orderkey % 20 as int) x2", "l_linenumber * 2 y2", "cast(l_suppkey % 4 as int) label")
 
 
 def _lab():
@@ -68,7 +69,8 @@ def a10_vivid_cutoff(spark, sf_dir):
 
 _LIGHT = "cast(floor(0.2126::double * r + 0.7152::double * g + 0.0722::double * b + 0.5) as int)"
 _SOBEL = f"""(with p as (select image_id, y, x, {_LIGHT} light from {_P} q),
-    n as (select p.image_id, p.y, p.x, p.light, dy.v dy, dx.v dx, q.light l from p, range(-1, 2) dy(v), range(-1, 2) dx(v), p q where q.image_id = p.image_id and q.y = least(greatest(p.y + dy.v, 0), 35) and q.x = least(greatest(p.x + dx.v, 0), 47)),
+    o as materialized (select p.*, dy.v dy, dx.v dx, least(greatest(p.y + dy.v, 0), 35) ny, least(greatest(p.x + dx.v, 0), 47) nx from p, range(-1, 2) dy(v), range(-1, 2) dx(v)),
+    n as (select o.*, q.light l from o join p q on q.image_id = o.image_id and q.y = ny and q.x = nx),
     s as (select image_id, y, x, any_value(light) light, sum(l * dx * (2 - abs(dy))) gx, sum(l * dy * (2 - abs(dx))) gy from n group by all)
     select image_id, y, x, light, gx, gy, case when sqrt((gx * gx + gy * gy)::double) < 40 then 0 else sqrt((gx * gx + gy * gy)::double) end::float magnitude from s)"""
 
@@ -120,13 +122,13 @@ def w7_central_difference(spark, sf_dir):
     return pixels(spark, sf_dir).select("image_id", "y", "x", ((F.coalesce(ahead, "r") - F.coalesce(behind, "r")) / span).alias("slope"))
 
 
-@query(f"select a.chart_id, a.y, a.x, count(*) filter (where a.label <> b.label) mismatches from {_C} a join {_C} b on a.chart_id = b.chart_id and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and (a.x <> b.x or a.y <> b.y) where a.label is not null and b.label is not null group by all")
+@query(f"select a.chart_id, a.y, a.x, count(*) filter (where a.label <> b.label) mismatches from {_C} a, range(-1, 2) dy(v), range(-1, 2) dx(v), {_C} b where b.chart_id = a.chart_id and b.y = a.y + dy.v and b.x = a.x + dx.v and (dy.v <> 0 or dx.v <> 0) and a.label is not null and b.label is not null group by all")
 def j12_neighbour_join(spark, sf_dir):
     filled = cells(spark, sf_dir).where("label is not null")
     return G.neighbours(filled, ["chart_id"], G.AROUND, ["label"]).groupBy("chart_id", "y", "x").agg(F.count_if(F.col("label") != F.col("n_label")).alias("mismatches"))
 
 
-@query(f"select a.chart_id, a.y, a.x from {_C} a where a.label is not null and exists (select 1 from {_C} b where b.chart_id = a.chart_id and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and (a.x <> b.x or a.y <> b.y) and b.label = a.label and b.kind = 1)")
+@query(f"select distinct a.chart_id, a.y, a.x from {_C} a, range(-1, 2) dy(v), range(-1, 2) dx(v), {_C} b where b.chart_id = a.chart_id and b.y = a.y + dy.v and b.x = a.x + dx.v and (dy.v <> 0 or dx.v <> 0) and b.label = a.label and b.kind = 1")
 def w12_neighbour_agreement(spark, sf_dir):
     filled = cells(spark, sf_dir).where("label is not null")
     return G.neighbours(filled, ["chart_id"], G.AROUND, ["label", "kind"]).where("n_kind = 1 and n_label = label").select("chart_id", "y", "x").distinct()
@@ -167,11 +169,12 @@ def j14_radius_join(spark, sf_dir):
     return G.radius_pairs(p, 0.1, []).withColumn("d2", F.round("d2", 9))
 
 
-@query(f"""select a.vec_id id, b.vec_id centre from {_PT} a join {_PT} b on b.vec_id < 100 and abs(floor(a.p0 / 0.5) - floor(b.p0 / 0.5)) <= 1 and abs(floor(a.p1 / 0.5) - floor(b.p1 / 0.5)) <= 1
+@query(f"""select a.vec_id id, b.vec_id centre from {_PT} a join {_PT} b on b.vec_id in (select vec_id from embeddings where label = 0) and abs(floor(a.p0 / 0.5) - floor(b.p0 / 0.5)) <= 1 and abs(floor(a.p1 / 0.5) - floor(b.p1 / 0.5)) <= 1
     qualify row_number() over (partition by a.vec_id order by pow(a.p0 - b.p0, 2) + pow(a.p1 - b.p1, 2), b.vec_id) = 1""")
 def j13_bucket_nearest(spark, sf_dir):
     p = points(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("p0").alias("x"), F.col("p1").alias("y"))
-    return G.bucket_nearest(p, p.where("id < 100").withColumnRenamed("id", "centre"), 0.5).select("id", "centre")
+    centres = read(spark, sf_dir, "embeddings").where("label = 0").select(F.col("vec_id").alias("id"))
+    return G.bucket_nearest(p, p.join(centres, "id").withColumnRenamed("id", "centre"), 0.5).select("id", "centre")
 
 
 @query(f"select a.vec_id a, b.vec_id b from {_PT} a, {_PT} b where a.vec_id < b.vec_id and b.vec_id < 16 order by pow(a.p0 - b.p0, 2) + pow(a.p1 - b.p1, 2) + pow(a.p2 - b.p2, 2), a, b limit 1")
@@ -180,7 +183,7 @@ def j16_closest_pair(spark, sf_dir):
     return spark.createDataFrame([found[:2]] if found else [], "a long, b long")
 
 
-@query(f"select chart_id, label, count(*) filter (where kind = 0) whole, count(*) filter (where kind = 1) half, cast(count(*) filter (where kind = 0) + ceil(count(*) filter (where kind = 1) / 2.0) as bigint) stitches from {_C} c where label is not null group by all union all select v, 9, 0, 0, 0 from range(4) t(v)")
+@query(f"select chart_id, label, count(*) filter (where kind = 0) whole, count(*) filter (where kind = 1) half, cast(count(*) filter (where kind = 0) + ceil(count(*) filter (where kind = 1) / 2.0) as bigint) stitches from {_C} c where label is not null group by all union all select s_suppkey, 9, 0, 0, 0 from supplier")
 def a15_a17_recount(spark, sf_dir):
     all_cells = cells(spark, sf_dir)
     palette = all_cells.where("label is not null").select("chart_id", "label").union(all_cells.select("chart_id", F.lit(9))).distinct()
@@ -272,10 +275,10 @@ def f7_f8_masks(spark, sf_dir):
     return pixels(spark, sf_dir).groupBy("image_id").agg(F.count_if(F.col("a") == 0).alias("transparent"), F.count_if(F.col("a") < 128).alias("absent"), F.count_if(near).alias("near_colour"))
 
 
-@query(f"select a.chart_id, a.y, a.x from {_C} a join {_C} b on b.chart_id = (a.chart_id + 1) % 4 and a.x = b.x and a.y = b.y where (a.label is null) = (b.label is null) and a.label is distinct from b.label")
+@query(f"select a.chart_id, a.y, a.x from {_C} a join {_C} b on b.chart_id = a.chart_id + 1 and a.x = b.x and a.y = b.y where (a.label is null) = (b.label is null) and a.label is distinct from b.label")
 def f12_transparency_lock(spark, sf_dir):
     now = cells(spark, sf_dir).select("chart_id", "y", "x", "label")
-    later = now.select(F.pmod(F.col("chart_id") - 1, F.lit(4)).alias("chart_id"), "y", "x", F.col("label").alias("after"))
+    later = now.select((F.col("chart_id") - 1).alias("chart_id"), "y", "x", F.col("label").alias("after"))
     change = now.join(later, ["chart_id", "y", "x"]).where(~F.col("label").eqNullSafe(F.col("after")))
     return change.where(F.col("label").isNull() == F.col("after").isNull()).select("chart_id", "y", "x")
 
@@ -339,7 +342,7 @@ def i5_orbit(spark, sf_dir):
     return G.orbit(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("x"), F.col("n_regionkey").alias("y")), W, H, ["v", "h"])
 
 
-@query(f"""with recursive e as (select a.chart_id, a.y * 100 + a.x u, b.y * 100 + b.x v from {_C} a join {_C} b on a.chart_id = b.chart_id and a.label = b.label and abs(a.x - b.x) + abs(a.y - b.y) = 1),
+@query(f"""with recursive e as (select a.chart_id, a.y * 100 + a.x u, b.y * 100 + b.x v from {_C} a, (values (-1, 0), (0, -1), (0, 1), (1, 0)) d(dy, dx), {_C} b where a.chart_id = b.chart_id and a.label = b.label and b.y = a.y + dy and b.x = a.x + dx),
     r(chart_id, start, node) as (select chart_id, y * 100 + x, y * 100 + x from {_C} c where label is not null union select r.chart_id, r.start, e.v from r join e on e.chart_id = r.chart_id and e.u = r.node where e.v > -1)
     select chart_id, node // 100 as y, node % 100 as x, min(start) // 100 region_y, min(start) % 100 region_x from r group by chart_id, node""")
 def i1_regions(spark, sf_dir):
@@ -347,37 +350,65 @@ def i1_regions(spark, sf_dir):
     return found.select("chart_id", "y", "x", F.shiftright("region", 32).alias("region_y"), (F.col("region") % (1 << 32)).alias("region_x"))
 
 
+#: Regions of the charts by closure: (chart_id, node, region), places as y * 100 + x.
+_REGIONS = f"""e as (select a.chart_id, a.y * 100 + a.x u, b.y * 100 + b.x v from {_C} a, (values (-1, 0), (0, -1), (0, 1), (1, 0)) d(dy, dx), {_C} b
+      where a.chart_id = b.chart_id and a.label = b.label and b.y = a.y + dy and b.x = a.x + dx),
+    r(chart_id, start, node) as (select chart_id, y * 100 + x, y * 100 + x from {_C} c where label is not null union select r.chart_id, r.start, e.v from r join e on e.chart_id = r.chart_id and e.u = r.node),
+    g as (select chart_id, node, min(start) region from r group by all)"""
+
+
+@query(f"""with recursive {_REGIONS}, i as (select g.chart_id, region, count(*) n from g join e on e.chart_id = g.chart_id and e.u = g.node group by all)
+    select chart_id, (region // 100) * 4294967296 + region % 100 region, label, count(*) area, min(x) "left", min(y) top, max(x) "right", max(y) bottom, 4 * count(*) - coalesce(any_value(n), 0) perimeter
+    from g join {_C} c using (chart_id) left join i using (chart_id, region) where node = y * 100 + x group by all""")
 def a19_region_stats(spark, sf_dir):
     return G.region_stats(G.regions(cells(spark, sf_dir), ["chart_id"]), ["chart_id"])
 
 
+@query(f"""with recursive {_REGIONS}, n as (select chart_id, region, count(*) n from g group by all)
+    select chart_id, sum(case when n <= 2 then n else 0 end)::double / sum(n) ratio from n group by 1""")
 def a20_confetti(spark, sf_dir):
     return G.confetti(G.regions(cells(spark, sf_dir), ["chart_id"]), ["chart_id"])
 
 
+#: A place of each chart.
+_SEEDS = "(select s_suppkey chart_id, s_suppkey % 36 y, s_suppkey * 7 % 48 x from supplier)"
+
+
+def seeds(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").selectExpr("s_suppkey chart_id", "s_suppkey % 36 y", "s_suppkey * 7 % 48 x")
+
+
+def _flooded(around: str, table: str, start: str) -> str:
+    """What is reached from each chart's seed."""
+    return f"""f(chart_id, y, x, label) as (select c.chart_id, c.y, c.x, c.label from {table} c join {start} s on s.chart_id = c.chart_id and s.y = c.y and s.x = c.x where c.label is not null
+      union select c.chart_id, c.y, c.x, c.label from f, (values {around}) d(dy, dx), {table} c where c.chart_id = f.chart_id and c.label = f.label and c.y = f.y + dy and c.x = f.x + dx)"""
+
+
+_CROSS, _AROUND = "(-1, 0), (0, -1), (0, 1), (1, 0)", "(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)"
+_REGION = "min((y * 4294967296 + x)::bigint) over (partition by chart_id) region"
+
+
+@query(f"with recursive {_flooded(_AROUND, _C, _SEEDS)} select chart_id, y, x, label, {_REGION} from f")
 def i2_flood(spark, sf_dir):
-    seeds = spark.createDataFrame([(0, 5, 5), (1, 20, 30)], "chart_id long, y long, x long")
-    return G.flood(cells(spark, sf_dir), seeds, ["chart_id"], corners=True)
+    return G.flood(cells(spark, sf_dir), seeds(spark, sf_dir), ["chart_id"], corners=True)
 
 
+@query(f"""with recursive p as (select * from {_P} p), t as (select p.image_id chart_id, p.y, p.x, 1 as label from p join p s on s.image_id = p.image_id and s.y = 10 and s.x = 10 where abs(p.r - s.r) + abs(p.g - s.g) <= 60),
+    s as (select distinct chart_id, 10 y, 10 x from t), {_flooded(_CROSS, "t", "s")} select chart_id, y, x, label, {_REGION} from f""")
 def i3_tolerance_flood(spark, sf_dir):
     """Pixels near the seed's colour (compared with the seed, not the neighbour), connected to it."""
     p = pixels(spark, sf_dir)
     seed = p.where("y = 10 and x = 10").select("image_id", F.col("r").alias("sr"), F.col("g").alias("sg"))
     near = p.join(seed, "image_id").where("abs(r - sr) + abs(g - sg) <= 60").select(F.col("image_id").alias("chart_id"), "y", "x", F.lit(1).alias("label"))
-    return G.flood(near, spark.createDataFrame([(i, 10, 10) for i in range(IMAGES)], "chart_id long, y long, x long"), ["chart_id"])
-
+    return G.flood(near, seed.select(F.col("image_id").alias("chart_id"), F.lit(10).cast("long").alias("y"), F.lit(10).cast("long").alias("x")), ["chart_id"])
 
-for _f in (a19_region_stats, a20_confetti, i2_flood, i3_tolerance_flood):
-    query()(_f)
 
-
-@query(f"""with recursive e as (select distinct least(a.line_id, b.line_id) u, greatest(a.line_id, b.line_id) v from (select line_id, label, x1 x, y1 y from {_L} l where line_id < 400 union select line_id, label, x2, y2 from {_L} l where line_id < 400) a
-      join (select line_id, label, x1 x, y1 y from {_L} l where line_id < 400 union select line_id, label, x2, y2 from {_L} l where line_id < 400) b using (label, x, y) where a.line_id <> b.line_id),
-    s as (select u, v from e union select v, u from e), r(start, node) as (select distinct u, u from s union select r.start, s.v from r join s on s.u = r.node)
-    select node, min(start) as root from r group by node""")
+@query(f"""with recursive e as (select line_id, label * 10000 + x1 * 100 + y1 corner from {_L} t union select line_id, label * 10000 + x2 * 100 + y2 from {_L} t),
+    s as (select distinct a.corner u, b.corner v from e a join e b using (line_id)), r(start, node) as (select u, u from s union select r.start, s.v from r join s on s.u = r.node),
+    c as (select node, min(start) whole from r group by 1), m as (select distinct line_id, whole from e join c on node = corner)
+    select line_id as node, first as root from (select line_id, min(line_id) over (partition by whole) as first, count(*) over (partition by whole) n from m) where n > 1""")
 def j17_j19_i6_connected_lines(spark, sf_dir):
-    return G.components(G.meets(lines(spark, sf_dir).where("line_id < 400")))
+    return G.components(G.meets(lines(spark, sf_dir)))
 
 
 @query("select p_partkey, cells from (select p_partkey, case when p_size = 0 then 1 else (p_size + 1) * 4 end cells from part)")
@@ -417,12 +448,26 @@ def p1_p7_linear_light(spark, sf_dir):
     return pixels(spark, sf_dir).select("image_id", "y", "x", F.round(colour.to_linear(F.col("r")), 9).alias("linear"), colour.luminance(F.col("r"), F.col("g"), F.col("b")).alias("light"))
 
 
-def _lab_sql() -> str:
+def _oklab_sql(table: str) -> str:
+    """``table`` with the OKLab of r, g, b as ok_l, ok_a, ok_b."""
     lin = lambda c: f"(case when {c} / 255.0::double <= 0.04045 then {c} / 255.0::double / 12.92 else pow(({c} / 255.0::double + 0.055) / 1.055, 2.4) end)"
-    lms = [f"cbrt({m[0]}::double * {lin('r')} + {m[1]}::double * {lin('g')} + {m[2]}::double * {lin('b')})" for m in colour.TO_LMS]
-    inner = f"select image_id, y, x, r, g, b, {', '.join(f'{e} as m{i}' for i, e in enumerate(lms))} from {_P} p"
-    lab = [f"round({m[0]}::double * m0 + {m[1]}::double * m1 + {m[2]}::double * m2, 7) + 0.0 as lab{i}" for i, m in enumerate(colour.TO_LAB)]
-    return f"select image_id, y, x, r r2, g g2, b b2, {', '.join(lab)} from ({inner})"
+    lms = [f"cbrt({m[0]}::double * {lin('r')} + {m[1]}::double * {lin('g')} + {m[2]}::double * {lin('b')}) m{i}" for i, m in enumerate(colour.TO_LMS)]
+    lab = [f"{m[0]}::double * m0 + {m[1]}::double * m1 + {m[2]}::double * m2 {n}" for n, m in zip(("ok_l", "ok_a", "ok_b"), colour.TO_LAB, strict=True)]
+    return f"(select * exclude (m0, m1, m2), {', '.join(lab)} from (select *, {', '.join(lms)} from {table} t))"
+
+
+def _rgb_sql(table: str, lab: tuple[str, str, str], names: tuple[str, str, str]) -> str:
+    """``table`` with the sRGB bytes of OKLab expressions, channels clipped."""
+    row = lambda m, x: " + ".join(f"{v}::double * {c}" for v, c in zip(m, x, strict=True))
+    cubes = [f"pow({row(m, lab)}, 3.0) l{i}" for i, m in enumerate(colour.FROM_LAB)]
+    clipped = [f"least(greatest({row(m, ('l0', 'l1', 'l2'))}, 0.0), 1.0) c{i}" for i, m in enumerate(colour.FROM_LMS)]
+    bytes_ = [f"cast(floor((case when c{i} <= 0.0031308 then c{i} * 12.92::double else 1.055::double * pow(c{i}, 1 / 2.4::double) - 0.055 end) * 255 + 0.5) as int) {n}" for i, n in enumerate(names)]
+    return f"(select * exclude (l0, l1, l2, c0, c1, c2), {', '.join(bytes_)} from (select *, {', '.join(clipped)} from (select *, {', '.join(cubes)} from {table} t)))"
+
+
+def _lab_sql() -> str:
+    lab = [f"round({c}, 7) + 0.0 as lab{i}" for i, c in enumerate(("ok_l", "ok_a", "ok_b"))]
+    return f"select image_id, y, x, r r2, g g2, b b2, {', '.join(lab)} from {_oklab_sql(_P)}"
 
 
 @query(_lab_sql())
@@ -442,21 +487,36 @@ def p10_distinct_then_map(spark, sf_dir):
     return moved.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
 
 
+def _sliders_sql() -> str:
+    light = f"least(greatest({colour.MID_L}::double + ((ok_l + 0.2::double * {colour.BRIGHTNESS_REACH}::double * (1.0 - ok_l)) - {colour.MID_L}::double) * (1.0 - 0.1::double * {colour.CONTRAST_REACH}::double), 0.0), 1.0)"
+    moved = f"(select image_id, y, x, a alpha, {light} n_l, ok_a * 1.3::double + 0.15::double * {colour.WARM_A}::double n_a, ok_b * 1.3::double + 0.15::double * {colour.WARM_B}::double n_b from {_oklab_sql(_P)})"
+    return f"select image_id, y, x, r, g, b, alpha from {_rgb_sql(moved, ('n_l', 'n_a', 'n_b'), ('r', 'g', 'b'))}"
+
+
+@query(_sliders_sql())
 def p9_sliders(spark, sf_dir):
     lab = colour.with_oklab(pixels(spark, sf_dir).withColumnsRenamed({"a": "alpha"}))
     moved = colour.adjust_oklab(_lab(), brightness=20, contrast=-10, saturation=30, temperature=15)
     return colour.with_rgb(lab.select("image_id", "y", "x", "alpha", *(c.alias(n) for n, c in zip(("ok_l", "ok_a", "ok_b"), moved, strict=True))), _lab(), ("r", "g", "b")).select("image_id", "y", "x", "r", "g", "b", "alpha")
 
 
-query()(p9_sliders)
-
-
 @query("select p_partkey, case when w >= h then 100 else greatest(1, cast(floor(100 * w / h::double + 0.5) as int)) end gw, case when w >= h then greatest(1, cast(floor(100 * h / w::double + 0.5) as int)) else 100 end gh from (select p_partkey, p_size + 10 w, p_partkey % 60 + 10 h from part)")
 def p12_grid_size(spark, sf_dir):
     w, h = G.grid_size(F.col("p_size") + 10, F.col("p_partkey") % 60 + 10, 100)
     return read(spark, sf_dir, "part").select("p_partkey", w.alias("gw"), h.alias("gh"))
 
 
+def _mulberry_sql() -> str:
+    def times(a: str, b: str) -> str:
+        return f"(({a})::hugeint * ({b})::hugeint % 4294967296)::bigint"
+
+    steps = "select p_partkey, n, (p_partkey + n * 1831565813) % 4294967296 s from part, range(1, 4) t(n)"
+    first = f"select *, {times('xor(s, s >> 15)', 's | 1')} t from ({steps})"
+    second = f"select *, xor(t, (t + {times('xor(t, t >> 7)', 't | 61')}) % 4294967296) u from ({first})"
+    return f"select p_partkey, max(d) filter (where n = 1) as first, max(d) filter (where n = 2) as second, max(d) filter (where n = 3) as third from (select *, xor(u, u >> 14) d from ({second})) group by 1"
+
+
+@query(_mulberry_sql())
 def fmath_mulberry(spark, sf_dir):
     """The first three draws of the generator for each part's key as a seed."""
     s1, d1 = S.mulberry_step(F.col("p_partkey"))
@@ -464,9 +524,6 @@ def fmath_mulberry(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", d1.alias("first"), d2.alias("second"), S.mulberry_step(s2)[1].alias("third"))
 
 
-query()(fmath_mulberry)
-
-
 def _lab_cells(spark, sf_dir):
     lab = colour.with_oklab(pixels(spark, sf_dir).where("a = 255"))
     return lab.select(F.col("image_id").alias("chart_id"), "y", "x", "ok_l", "ok_a", "ok_b")

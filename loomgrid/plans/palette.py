@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions import colour
 from loomgrid.operators import grid as G
 from loomgrid.operators import palette as P
-from loomgrid.plans.grid import _C, _P, _PT, PARTS, cells, pixels, points
+from loomgrid.plans.grid import _C, _CROSS, _P, _PT, _SEEDS, PARTS, _flooded, _oklab_sql, _rgb_sql, cells, pixels, points, seeds
 from loomgrid.plans.registry import query, read
 from loomgrid.sources import matrices
 
@@ -29,14 +29,18 @@ def _coloured(spark, sf_dir):
     return cells(spark, sf_dir).join(pixels(spark, sf_dir).withColumnRenamed("image_id", "chart_id").drop("a"), ["chart_id", "y", "x"])
 
 
-@query()
+_COLOURED = _oklab_sql(f"(select c.*, r, g, b from {_C} c join {_P} p on p.image_id = c.chart_id and p.y = c.y and p.x = c.x where label is not null)")
+
+
+@query(f"select chart_id, label, r, g, b from {_rgb_sql(f'(select chart_id, label, avg(ok_l) m_l, avg(ok_a) m_a, avg(ok_b) m_b from {_COLOURED} t group by all)', ('m_l', 'm_a', 'm_b'), ('r', 'g', 'b'))}")
 def a13_label_means(spark, sf_dir):
     return P.label_means(_coloured(spark, sf_dir))
 
 
-@query()
+@query(f"""with t as (select *, count(*) over (partition by chart_id, label) n, row_number() over (partition by chart_id, label order by round(ok_a * ok_a + ok_b * ok_b, 12) desc, y, x) nth from {_COLOURED} t)
+    select chart_id, label, round(avg(ok_l), 7) ok_l, round(avg(ok_a) filter (where nth <= ceil(n / 4.0)), 7) ok_a, round(avg(ok_b) filter (where nth <= ceil(n / 4.0)), 7) ok_b from t group by all""")
 def a14_vivid_label_means(spark, sf_dir):
-    return P.vivid_label_means(_coloured(spark, sf_dir))
+    return P.vivid_label_means(_coloured(spark, sf_dir)).select("chart_id", "label", *(F.round(c, 7).alias(c) for c in P.LAB))
 
 
 @query(f"select vec_id % 3 as part, avg((d > 0.36)::int) missing from (select p.vec_id, min(pow(p.p0 - q.p0, 2) + pow(p.p1 - q.p1, 2) + pow(p.p2 - q.p2, 2)) d from {_PT} p, {_PT} q where q.vec_id < 16 group by 1) group by 1")
@@ -45,24 +49,24 @@ def a25_coverage(spark, sf_dir):
     return P.coverage(p.withColumn("part", F.col("vec_id") % 3), p.where("vec_id < 16").withColumnRenamed("vec_id", "idx"), PARTS, "part", 0.6)
 
 
-@query(f"""with m as (select p.vec_id, q.vec_id ord from {_PT} p, {_PT} q where q.vec_id < 16 and p.vec_id between 100 and 199 qualify row_number() over (partition by p.vec_id order by pow(p.p0 - q.p0, 2) + pow(p.p1 - q.p1, 2) + pow(p.p2 - q.p2, 2), q.vec_id) = 1)
+@query(f"""with m as (select p.vec_id, q.vec_id ord from {_PT} p, {_PT} q where q.vec_id < 16 and p.vec_id >= 16 qualify row_number() over (partition by p.vec_id order by pow(p.p0 - q.p0, 2) + pow(p.p1 - q.p1, 2) + pow(p.p2 - q.p2, 2), q.vec_id) = 1)
     select row_number() over (order by min(vec_id)) - 1 as new_idx, ord, sum(vec_id)::bigint as count from m group by ord""")
 def a30_j7_onto_threads(spark, sf_dir):
     p = points(spark, sf_dir)
-    ours = p.where("vec_id between 100 and 199").select(F.lit(1).alias("chart_id"), F.col("vec_id").alias("idx"), F.col("vec_id").alias("count"), *PARTS)
+    ours = p.where("vec_id >= 16").select(F.lit(1).alias("chart_id"), F.col("vec_id").alias("idx"), F.col("vec_id").alias("count"), *PARTS)
     return P.onto_threads(ours, p.where("vec_id < 16").withColumnRenamed("vec_id", "ord"), "chart_id", PARTS)[1].drop("chart_id")
 
 
 @query()
 def j15_names(spark, sf_dir):
     p = points(spark, sf_dir)
-    ours = p.where("vec_id between 100 and 149").select(F.lit(1).cast("long").alias("chart_id"), F.col("vec_id").cast("int").alias("idx"), *PARTS)
-    return P.named(ours, p.where("vec_id between 200 and 400").select(F.concat(F.lit("name "), "vec_id").alias("name"), *PARTS), PARTS)
+    ours = p.select(F.floor(F.col("vec_id") / 40).alias("chart_id"), (F.col("vec_id") % 40).cast("int").alias("idx"), *PARTS)
+    return P.named(ours, p.select(F.concat(F.lit("name "), "vec_id").alias("name"), *PARTS), PARTS)
 
 
-@query(f"select 'name ' || vec_id as name from {_PT} p where vec_id between 200 and 400 and vec_id % 2 = 1 order by pow(p0 - 0.1, 2) + pow(p1 - 0.2, 2) + pow(p2, 2), name limit 1")
+@query(f"select 'name ' || vec_id as name from {_PT} p where vec_id % 2 = 1 order by pow(p0 - 0.1, 2) + pow(p1 - 0.2, 2) + pow(p2, 2), name limit 1")
 def r4_name_for(spark, sf_dir):
-    names = points(spark, sf_dir).where("vec_id between 200 and 400").select("vec_id", F.concat(F.lit("name "), "vec_id").alias("name"), *PARTS)
+    names = points(spark, sf_dir).select("vec_id", F.concat(F.lit("name "), "vec_id").alias("name"), *PARTS)
     return P.name_for({"p0": 0.1, "p1": 0.2, "p2": 0.0}, names.drop("vec_id"), names.where("vec_id % 2 = 0").select("name"), PARTS)
 
 
@@ -78,10 +82,10 @@ def j18_matched(spark, sf_dir):
     return P.matched(ours, theirs)[0]
 
 
-@query("""with c as (select p_partkey idx, p_brand || ':' || (p_partkey % 9) who from part where p_partkey < 90), f as (select idx, min(idx) over (partition by who) first from c) select idx, dense_rank() over (order by first) - 1 as "to" from f""")
+@query("""with c as (select p_partkey // 90 as chart_id, p_partkey idx, p_brand || ':' || (p_partkey % 9) who from part), f as (select chart_id, idx, min(idx) over (partition by chart_id, who) first from c) select chart_id, idx, dense_rank() over (partition by chart_id order by first) - 1 as "to" from f""")
 def r11_r12_merged_duplicates(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").where("p_partkey < 90").select(F.lit(1).alias("chart_id"), F.col("p_partkey").alias("idx"), F.concat(F.lit(" "), F.upper("p_brand")).alias("system"), (F.col("p_partkey") % 9).cast("string").alias("code"), F.col("p_name").alias("name"), F.lit("ffffff").alias("hex"))
-    return P.merged_duplicates(rows).select("idx", "to")
+    rows = read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 90).alias("chart_id"), F.col("p_partkey").alias("idx"), F.concat(F.lit(" "), F.upper("p_brand")).alias("system"), (F.col("p_partkey") % 9).cast("string").alias("code"), F.col("p_name").alias("name"), F.lit("ffffff").alias("hex"))
+    return P.merged_duplicates(rows).select("chart_id", "idx", "to")
 
 
 @query(f"select chart_id, y, x, case label when 1 then 4 when 2 then 0 else label end as label from {_C} c")
@@ -89,9 +93,9 @@ def i31_relabelled(spark, sf_dir):
     return P.relabelled(cells(spark, sf_dir), {1: 4, 2: 0}).select("chart_id", "y", "x", "label")
 
 
-@query()
+@query(f"with recursive {_flooded(_CROSS, _C, _SEEDS)} select c.chart_id, c.y, c.x, case when f.y is null then c.label else 9 end as label from {_C} c left join f on f.chart_id = c.chart_id and f.y = c.y and f.x = c.x")
 def i4_filled(spark, sf_dir):
-    return P.filled(cells(spark, sf_dir).drop("kind"), spark.createDataFrame([(0, 6, 6)], "chart_id long, y long, x long"), 9, ["chart_id"])
+    return P.filled(cells(spark, sf_dir).drop("kind"), seeds(spark, sf_dir), 9, ["chart_id"])
 
 
 @query(f"select chart_id, y, x, case when y between 5 and 10 and x between 5 and 10 then null when y between 20 and 25 and x between 30 and 35 and (select label from {_C} o where o.chart_id = c.chart_id and o.y = c.y - 15 and o.x = c.x - 25) is not null then (select label from {_C} o where o.chart_id = c.chart_id and o.y = c.y - 15 and o.x = c.x - 25) else label end as label from {_C} c")
@@ -128,12 +132,12 @@ def w11_rank_thresholds(spark, sf_dir):
     return P.rank_thresholds(read(spark, sf_dir, "part"), "p_size", "p_retailprice", "p_partkey").select("p_partkey", "threshold")
 
 
-@query(f"""with n as (select p.vec_id line_id, p.p0, p.p1, p.p2, q.vec_id idx, pow(p.p0 - q.p0, 2) + pow(p.p1 - q.p1, 2) + pow(p.p2 - q.p2, 2) d from {_PT} p, {_PT} q where q.vec_id < 16 and p.vec_id between 100 and 180 qualify row_number() over (partition by p.vec_id order by d, q.vec_id) = 1),
+@query(f"""with n as (select p.vec_id line_id, p.p0, p.p1, p.p2, q.vec_id idx, pow(p.p0 - q.p0, 2) + pow(p.p1 - q.p1, 2) + pow(p.p2 - q.p2, 2) d from {_PT} p, {_PT} q where q.vec_id < 16 and p.vec_id >= 16 qualify row_number() over (partition by p.vec_id order by d, q.vec_id) = 1),
     f as (select p0, p1, p2, 15 + row_number() over (order by min(line_id)) k from n where d > 0.81 group by all)
     select line_id, case when d > 0.81 and k < 20 then k else n.idx end as idx from n left join f using (p0, p1, p2)""")
 def r3_line_threads(spark, sf_dir):
     p = points(spark, sf_dir)
-    return P.line_threads(p.where("vec_id between 100 and 180").withColumnRenamed("vec_id", "line_id"), p.where("vec_id < 16").withColumnRenamed("vec_id", "idx"), PARTS, 0.9, 20)
+    return P.line_threads(p.where("vec_id >= 16").withColumnRenamed("vec_id", "line_id"), p.where("vec_id < 16").withColumnRenamed("vec_id", "idx"), PARTS, 0.9, 20)
 
 
 @query("select p_partkey, array_to_string([p_brand, p_type, 'new'], ',') added, array_to_string([p_type], ',') removed, array_to_string([p_type, p_brand], ',') moved from part")
@@ -153,9 +157,20 @@ def p21_ramp_preview(spark, sf_dir):
     return G.by_threshold(P.ramp(spark, 56, 8), matrices.matrix(spark, "bayer-4"), 4).select("y", "x", "label")
 
 
-@query()
+def _signature_sql(body: str, secret: str) -> str:
+    pad = lambda v: "'" + "".join(f"\\x{b ^ v:02X}" for b in secret.encode().ljust(64, b"\0")) + "'::blob"
+    return f"sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || encode({body}))))"
+
+
+@query(f"""with t as (select event_id, epoch_us(ts) // 1000000 || '.' || props body, event_id % 3 = 0 forged, event_id % 7 waited from events)
+    select event_id, {_signature_sql("body", "a secret")} as signature, not forged and waited <= 5 as accepted from t""")
 def s15_signatures(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", P.signature(F.col("props"), "a secret").alias("signature"))
+    """Each event arrives some minutes after it was signed; every third with a signature that is not its own."""
+    t = F.col("ts").cast("timestamp")
+    rows = read(spark, sf_dir, "events").select("event_id", "props", F.unix_seconds(t).alias("signed"), (F.unix_seconds(t) + F.col("event_id") % 7 * 60).alias("now"))
+    own = P.signature(P.signed_text(F.col("signed"), F.col("props")), "a secret")
+    rows = rows.withColumns({"signature": own, "given": F.when(F.col("event_id") % 3 == 0, F.sha2(own, 256)).otherwise(own)})
+    return rows.select("event_id", "signature", P.accepted(F.col("props"), F.col("signed"), F.col("given"), F.col("now"), "a secret").alias("accepted"))
 
 
 @query("select user_id as photo_id, max(event_id) used from events where ts > timestamp '2024-01-24 12:00:00' group by 1 order by max(ts) desc, 1 limit 20")
@@ -166,7 +181,7 @@ def s4_photo_store(spark, sf_dir):
     return kept.join(last, "photo_id").select("photo_id", "used")
 
 
-@query()
+@query(f"select image_id, y, x, r2, g2, b2 from {_rgb_sql(_oklab_sql(_P), ('ok_l', '(ok_a * 2)', '(ok_b * 2)'), ('r2', 'g2', 'b2'))}")
 def p4_gamut_clip(spark, sf_dir):
     """Colours with chroma pushed out of sRGB, clipped back channel by channel."""
     lab = colour.with_oklab(pixels(spark, sf_dir))

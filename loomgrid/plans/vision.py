@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions import colour
 from loomgrid.operators import kernels as K
 from loomgrid.operators import vision as V
-from loomgrid.plans.grid import pixels
+from loomgrid.plans.grid import _LIGHT, _P, _oklab_sql, pixels
 from loomgrid.plans.registry import query
 
 
@@ -56,18 +56,33 @@ def w8_edge_evidence(spark, sf_dir):
     return V.per_picture(_lab(spark, sf_dir), lambda lab: _cells(V.edge_evidence(lab, 12, 9), names), ["ok_l", "ok_a", "ok_b"], "cy long, cx long, " + ", ".join(f"{n} double" for n in names))
 
 
-@query()
+def _derivatives_sql() -> str:
+    """The same taps, applied along x and then along y, the edges' values repeated."""
+    taps = V.gaussian_taps(1.5)
+    r = len(taps[0]) // 2
+    rows = ", ".join(f"({i - r}, {', '.join(f'{float(taps[k][2 * r - i])!r}::double' for k in range(3))})" for i in range(2 * r + 1))
+    along = f"select p.image_id, p.y, p.x, {', '.join(f'sum(k{i} * q.v) v{i}' for i in range(3))} from (select l.*, k.*, least(greatest(x + d, 0), 47) nx from l, k) p join l q on q.image_id = p.image_id and q.y = p.y and q.x = nx group by all"
+    down = {"dx": "k0 * q.v1", "dy": "k1 * q.v0", "dxx": "k0 * q.v2", "dxy": "k1 * q.v1", "dyy": "k2 * q.v0"}
+    sums = ", ".join(f"round(sum({e}), 7) + 0.0 {n}" for n, e in down.items())
+    return f"""with l as (select image_id, y, x, {_LIGHT}::double v from {_P} p), k(d, k0, k1, k2) as (values {rows}), h as ({along})
+    select p.image_id, p.y cy, p.x cx, {sums} from (select h.*, k.*, least(greatest(y + d, 0), 35) ny from h, k) p join h q on q.image_id = p.image_id and q.x = p.x and q.y = ny group by all"""
+
+
+@query(_derivatives_sql())
 def w9_gaussian_derivatives(spark, sf_dir):
     def run(a: np.ndarray) -> pd.DataFrame:
         d = V.gaussian_derivatives(a[..., 0], 1.5)
-        return _cells(np.stack(list(d.values()), axis=2), [f"d{k}" for k in d])
+        return _cells(np.round(np.stack(list(d.values()), axis=2), 7) + 0.0, [f"d{k}" for k in d])
 
     return V.per_picture(_light(spark, sf_dir), run, ["light"], "cy long, cx long, dx double, dy double, dxx double, dxy double, dyy double")
 
 
-@query()
+@query(f"""with p as (select image_id, y, x, ok_l, ok_a, ok_b from {_oklab_sql(_P)}), o as materialized (select p.*, (dy + 1) * 3 + dx + 1 - (case when dy * 3 + dx < 0 then 0 else 1 end) * (case when dy = 0 and dx = 0 then 5 else 0 end) k, y + dy ny, x + dx nx from p, (select a.v dy, b.v dx from range(-1, 2) a(v), range(-1, 2) b(v))),
+    s as materialized (select o.image_id, o.y, o.x, o.k, q.ok_l, q.ok_a, q.ok_b from o join p q on q.image_id = o.image_id and q.y = ny and q.x = nx),
+    d as (select a.image_id, a.y, a.x, a.k, any_value(a.ok_l) ok_l, any_value(a.ok_a) ok_a, any_value(a.ok_b) ok_b, sum(sqrt(pow(a.ok_l - b.ok_l, 2) + pow(a.ok_a - b.ok_a, 2) + pow(a.ok_b - b.ok_b, 2))) total from s a join s b on a.image_id = b.image_id and a.y = b.y and a.x = b.x group by all)
+    select image_id, y cy, x cx, round(ok_l, 7) + 0.0 ok_l, round(ok_a, 7) + 0.0 ok_a, round(ok_b, 7) + 0.0 ok_b from d qualify row_number() over (partition by image_id, y, x order by round(total, 12), k) = 1""")
 def w10_medoid_filter(spark, sf_dir):
-    return V.per_picture(_lab(spark, sf_dir), lambda lab: _cells(K.medoid_filter(lab), ["ok_l", "ok_a", "ok_b"]), ["ok_l", "ok_a", "ok_b"], "cy long, cx long, ok_l double, ok_a double, ok_b double")
+    return V.per_picture(_lab(spark, sf_dir), lambda lab: _cells(np.round(K.medoid_filter(lab), 7) + 0.0, ["ok_l", "ok_a", "ok_b"]), ["ok_l", "ok_a", "ok_b"], "cy long, cx long, ok_l double, ok_a double, ok_b double")
 
 
 @query()
