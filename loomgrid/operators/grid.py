@@ -11,13 +11,18 @@ import tempfile
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import colour
+from loomgrid.operators import kernels
 
 #: The longest picture side and palette that are broadcast.
 MAX_SIDE, MAX_PALETTE = 65_536, 100
+#: The cells of the largest chart, which one task takes whole.
+MAX_CHART = 2_250_000
 AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 CROSS = [(-1, 0), (0, -1), (0, 1), (1, 0)]
 
@@ -505,8 +510,34 @@ def _runs(cells: DataFrame, key: list[str]) -> DataFrame:
 def regions(cells: DataFrame, key: list[str], corners: bool = False) -> DataFrame:
     """(key, y, x, label, region): connected cells of one label, 4-connected, or 8-connected with ``corners``.
 
+    ``region`` is the region's first cell in reading order, as (y << 32) + x.  A task labels a chart whole, at most ``MAX_CHART``
+    places from corner to corner; ``regions_by_runs`` takes planes of any size.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y, x = rows["y"].to_numpy(np.int64), rows["x"].to_numpy(np.int64)
+        top, left = int(y.min()), int(x.min())
+        h, w = int(y.max()) - top + 1, int(x.max()) - left + 1
+        if h * w > MAX_CHART:
+            raise ValueError(f"a chart has at most {MAX_CHART} cells")
+        grid = np.full((h, w), kernels.EMPTY, np.int64)
+        grid[y - top, x - left] = rows["label"].to_numpy(np.int64)
+        ids = kernels.label_regions(grid, corners)
+        _, first = np.unique(ids[ids >= 0], return_index=True)
+        fy, fx = (v[ids >= 0][first] for v in np.indices((h, w)))
+        region = ((fy + top) << 32) + fx + left
+        return rows.assign(region=region[ids[y - top, x - left]])
+
+    kept = [*key, "y", "x", "label"]
+    filled = cells.where("label is not null").select(*kept)
+    return filled.groupBy(*key).applyInPandas(run, filled.select("*", F.lit(0).cast("long").alias("region")).schema)
+
+
+def regions_by_runs(cells: DataFrame, key: list[str], corners: bool = False) -> DataFrame:
+    """The same for planes of any size.
+
     Rows become runs, runs that touch the row above become edges (each row pair is one equi-join), and only runs take part in the
-    iteration.  ``region`` is the region's first cell in reading order, as (y << 32) + x.
+    iteration.
     """
     runs = _runs(cells, key).withColumn("node", F.struct(*key, (F.shiftleft(F.col("y").cast("long"), 32) + F.col("x1")).alias("cell")))
     reach = 1 if corners else 0
@@ -530,9 +561,9 @@ def confetti(found: DataFrame, key: list[str], small: int = 2) -> DataFrame:
     return areas.groupBy(*key).agg((F.sum(F.when(F.col("area") <= small, F.col("area")).otherwise(0)) / F.sum("area")).alias("ratio"))
 
 
-def flood(cells: DataFrame, seeds: DataFrame, key: list[str], corners: bool = False) -> DataFrame:
-    """The cells of the regions that hold a seed."""
-    found = regions(cells, key, corners)
+def flood(cells: DataFrame, seeds: DataFrame, key: list[str], corners: bool = False, find=regions) -> DataFrame:
+    """The cells of the regions that hold a seed; ``find`` is ``regions`` or, for planes of any size, ``regions_by_runs``."""
+    found = find(cells, key, corners)
     hit = found.join(seeds.select(*key, "y", "x"), [*key, "y", "x"], "left_semi").select(*key, "region").distinct()
     return found.join(hit, [*key, "region"], "left_semi")
 

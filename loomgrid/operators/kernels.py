@@ -195,8 +195,8 @@ def _shifts(a: np.ndarray, dy: int, dx: int, fill) -> np.ndarray:
     return out
 
 
-def label_regions(labels: np.ndarray) -> np.ndarray:
-    """4-connected regions of one label numbered by their first cell in reading order; empty cells are -1.
+def label_regions(labels: np.ndarray, corners: bool = False) -> np.ndarray:
+    """4-connected regions of one label, 8-connected with ``corners``, numbered by their first cell in reading order; empty cells are -1.
 
     Labels fall to the least neighbour's, then to their own root's, until none moves: rounds grow with the logarithm of a region's turns.
     """
@@ -204,9 +204,15 @@ def label_regions(labels: np.ndarray) -> np.ndarray:
     ids = np.arange(h * w).reshape(h, w)
     filled = labels != EMPTY
     right, down = (labels[:, 1:] == labels[:, :-1]) & filled[:, 1:], (labels[1:] == labels[:-1]) & filled[1:]
+    slant, other = (labels[1:, 1:] == labels[:-1, :-1]) & filled[1:, 1:], (labels[1:, :-1] == labels[:-1, 1:]) & filled[1:, :-1]
     root = ids.copy()
     while True:
         new = root.copy()
+        if corners:
+            np.minimum(new[1:, 1:], root[:-1, :-1], out=new[1:, 1:], where=slant)
+            np.minimum(new[:-1, :-1], root[1:, 1:], out=new[:-1, :-1], where=slant)
+            np.minimum(new[1:, :-1], root[:-1, 1:], out=new[1:, :-1], where=other)
+            np.minimum(new[:-1, 1:], root[1:, :-1], out=new[:-1, 1:], where=other)
         np.minimum(new[:, 1:], root[:, :-1], out=new[:, 1:], where=right)
         np.minimum(new[:, :-1], root[:, 1:], out=new[:, :-1], where=right)
         np.minimum(new[1:], root[:-1], out=new[1:], where=down)

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 import pandas as pd
 import pytest
 
@@ -123,3 +124,14 @@ def test_matching_quota_and_budget():
     rows = pd.DataFrame({"x": [0.0, 1.0, 20.0, 3.0], "y": [0.0, 0.0, 0.0, 0.0], "strength": [1.0, 3.0, 2.0, 0.5]})
     assert sorted(K.quota_top(rows, 1, 10, 2.0).index) == [1, 2]
     assert K.budgeted([3, 5, 2], 6) == [0, 2]
+
+
+def test_regions_by_chart_and_by_runs_agree(spark, sf_dir):
+    from loomgrid.operators import grid as G
+    from loomgrid.plans import grid as plans
+
+    cells = plans.cells(spark, sf_dir).drop("kind").withColumn("y", F.col("y") - 3)
+    for corners in (False, True):
+        one, two = (sorted(tuple(r) for r in find(cells, ["chart_id"], corners).select("chart_id", "y", "x", "label", "region").collect()) for find in (G.regions, G.regions_by_runs))
+        assert one == two
+    assert G.regions(cells.limit(0), ["chart_id"]).count() == 0
