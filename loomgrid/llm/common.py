@@ -49,12 +49,23 @@ def scratch(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
     The table goes when the application ends, or earlier by ``release``.
     """
+    return placed(df, compression)[0]
+
+
+def placed(df: DataFrame, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """The same and its path, for ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgrid-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     drop_on_exit(spark, path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Drop a scratch table that nothing reads any more."""
+    _WRITTEN[spark.sparkContext.applicationId].remove(path)
+    drop(spark, path)
 
 
 _WRITTEN: dict[str, list[str]] = {}

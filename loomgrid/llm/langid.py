@@ -82,15 +82,25 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang
     No labelled row gives a model without languages.
     """
     labelled = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null and t <> ''")
-    top = [r.l for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()]
+    h = F.xxhash64("t")
+    top = labelled.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct(h).alias("texts")).orderBy(F.desc("n"), "l").limit(max_langs).collect()
     if not top:
         return Model([], [], [], [], [], [])
-    h = F.xxhash64("t")
-    pieces = labelled.where(F.col("l").isin(top)).select("l", h.alias("h"), F.substring("t", F.expr(f"cast(1 + pmod(xxhash64(t), greatest(1, length(t) - {piece_chars - 1})) as int)"), F.lit(piece_chars)).alias("t"))
-    least = pieces.select("l", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_lang)
-    best = pieces.join(F.broadcast(least.select("l", "h")), ["l", "h"]).dropDuplicates(["l", "h"])
+    pieces = labelled.select("l", h.alias("h"), F.substring("t", F.expr(f"cast(1 + pmod(xxhash64(t), greatest(1, length(t) - {piece_chars - 1})) as int)"), F.lit(piece_chars)).alias("t"))
+    # the share of all hashes below which a language's pieces lie: some four times as many as are taken, and more where that is too few
+    share = {r.l: 4 * docs_per_lang / max(1, r.texts) for r in top}
+    while True:
+        bounds = F.create_map(*(F.lit(x) for l, q in share.items() for x in (l, (1 << 63) - 1 if q >= 1 else int(q * (1 << 64)) - (1 << 63))))
+        few = pieces.where(F.col("h") <= F.element_at(bounds, F.col("l")))
+        least = few.select("l", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_lang)
+        taken = {r.l: r.n for r in least.groupBy("l").agg(F.count("*").alias("n")).collect()}
+        short = [l for l, q in share.items() if q < 1 and taken.get(l, 0) < docs_per_lang]
+        if not short:
+            break
+        share |= {l: 8 * share[l] for l in short}
+    best = few.join(F.broadcast(least.select("l", "h")), ["l", "h"]).dropDuplicates(["l", "h"])  # docs_per_lang rows a language
     rows = best.select("l", "h", "t").collect()
-    texts = {x: " ".join(normal(r.t) for r in sorted((r for r in rows if r.l == x), key=lambda r: (r.h, r.t))) for x in sorted(top)}
+    texts = {x: " ".join(normal(r.t) for r in sorted((r for r in rows if r.l == x), key=lambda r: (r.h, r.t))) for x in sorted(share)}
     letters, classes, built = [], [], []
     for t in texts.values():
         points = np.frombuffer(t.encode("utf-32-le"), np.uint32)

@@ -180,7 +180,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn until nothing changes: each links a node's neighbours to the least of them, so
     the edges of a component become a star around its least node in a number of rounds that grows with the logarithm of
-    its size.  Each round is written to the shared folder; the driver sees two numbers.
+    its size.  Each round is written to the shared folder and the one before dropped; the driver sees two numbers.
     """
 
     def smaller(e: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def components(edges: DataFrame) -> DataFrame:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
-    now = common.scratch(smaller(edges))
+    now, path = common.placed(smaller(edges))
     seen = state(now)
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -199,7 +199,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = smaller(large)
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
-        now = common.scratch(smaller(small))
+        before, (now, path) = path, common.placed(smaller(small))
+        common.discard(edges.sparkSession, before)
         after = state(now)
         if after == seen:
             break
