@@ -141,6 +141,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 #: A random 64-bit value for each byte value, by a fixed rule.
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+#: Others, for a second hash.
+OTHER_VALUES = mixed(BYTE_VALUES + _ODD2)
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -173,15 +175,17 @@ class Rolling:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
     def windows(self, length: int) -> np.ndarray:
+        return mixed(self.unmixed(length))
+
+    def unmixed(self, length: int) -> np.ndarray:
+        """The same, equal for equal windows but with less random bits, the upper ones most."""
         n = len(self.sums) - 1 - length + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        return mixed((self.sums[length:] - self.sums[:-length]) * self.down[:n])
+        return (self.sums[length:] - self.sums[:-length]) * self.down[:n] if n > 0 else np.zeros(0, np.uint64)
 
 
 def both(values: np.ndarray, others: np.ndarray | None = None) -> tuple[Rolling, Rolling]:
-    """Two independent rolling hashes, 128 bits together; the second of ``others`` where each item has two values."""
-    return Rolling(values), Rolling(mixed((values if others is None else others) + _ODD2), _ODD2)
+    """Two independent rolling hashes, 128 bits together; the second of ``others`` where these are at hand."""
+    return Rolling(values), Rolling(mixed(values + _ODD2) if others is None else others, _ODD2)
 
 
 _SPACE = np.zeros(256, bool)
@@ -273,7 +277,7 @@ def keys_of(column: pa.ChunkedArray) -> np.ndarray:
 
 _LAST_KEY = (1 << 63) - 1
 
-#: A word of more bytes is hashed by XXH3 of 128 bits: powers modulo 2**64 tell some long words badly apart.
+#: A word of more bytes is hashed by XXH3: powers modulo 2**64 tell some long words badly apart.
 LONG_WORD = 64
 
 
@@ -286,25 +290,24 @@ class Texts:
         self.sizes = sizes
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)))[: len(datas)].astype(np.int64)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(64 bits of each word, 64 others, the text it is of, its place there, words of each text)."""
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(64 bits of each word, the text it is of, its place there, words of each text)."""
         if not self.data:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(self.sizes), np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(self.sizes), np.int64)
         raw = np.frombuffer(self.data, np.uint8)
         starts, ends = _edges(raw)
-        lengths_ = (ends - starts).astype(np.uint64)
-        one, two = (mixed(x.of(starts, ends) + lengths_) for x in both(BYTE_VALUES[raw]))
+        hashes = mixed(Rolling(BYTE_VALUES[raw]).of(starts, ends) + (ends - starts).astype(np.uint64))
         for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
-            one[i], two[i] = np.frombuffer(_xxh128(self.data[starts[i] : ends[i]]), np.uint64)
+            hashes[i] = _xxh3(self.data[starts[i] : ends[i]])
         owner = np.searchsorted(self.starts, starts, side="right") - 1
         counts = np.bincount(owner, minlength=len(self.sizes)).astype(np.int64)
-        return one, two, owner, np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner], counts
+        return hashes, owner, np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner], counts
 
 
-def _xxh128(data: bytes) -> bytes:
+def _xxh3(data: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh3_128_digest(data)
+    return xxhash.xxh3_64_intdigest(data)
 
 
 def _edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -58,6 +58,7 @@ REPEATED, ALONE, SPEAKER = 1, 2, 3
 
 
 _LOW = np.uint64((1 << 20) - 1)
+_SPREAD = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _leads(grams: np.ndarray, leads: int) -> np.ndarray:
@@ -80,10 +81,11 @@ class Stretches:
     def __init__(self, pieces: list[bytes], of: Unit) -> None:
         texts = common.Texts(pieces)
         if of.words:
-            one, two, _, _, sizes = texts.words()
-            starts = np.cumsum(sizes) - sizes
+            one, _, _, sizes = texts.words()
+            two, starts = None, np.cumsum(sizes) - sizes
         else:
-            one = two = common.BYTE_VALUES[np.frombuffer(texts.data, np.uint8)]
+            raw = np.frombuffer(texts.data, np.uint8)
+            one, two = common.BYTE_VALUES[raw], common.OTHER_VALUES[raw]
             sizes, starts = texts.sizes, texts.starts
         self.starts, n = starts, len(one)
         self.first = self.last = self.owner = np.zeros(0, np.int64)
@@ -96,7 +98,7 @@ class Stretches:
         if not len(w):
             return
         self.one, self.two = common.both(one, two)
-        lead = _leads(self.one.windows(of.gram), of.leads)[w]
+        lead = _leads(self.one.unmixed(of.gram) * _SPREAD, of.leads)[w]
         new = np.ones(len(w), bool)
         new[1:] = (np.diff(lead) != 0) | (np.diff(w) != 1)
         at = np.flatnonzero(new)
@@ -176,20 +178,28 @@ _TOLD = "chunk long, digit binary, rest binary, status binary"
 _ANSWERS = "chunk long, bucket int, bits binary"
 
 
-def _status(s: Stretches, told: np.ndarray, status: np.ndarray) -> np.ndarray:
-    """Each stretch's status by its two digits; ``told`` is ordered by them."""
-    found = np.zeros(len(s.first), np.uint8)
-    if not told.shape[1] or not len(s.first):
-        return found
-    lo, hi = np.searchsorted(told[0], s.digit), np.searchsorted(told[0], s.digit, side="right")
-    one = hi - lo == 1
-    at = np.where(one, lo, 0)
-    found[one] = np.where(told[1][at[one]] == s.rest[one], status[at[one]], 0)
-    for i in np.flatnonzero(hi - lo > 1).tolist():
-        k = lo[i] + np.searchsorted(told[1][lo[i] : hi[i]], s.rest[i])
-        if k < hi[i] and told[1][k] == s.rest[i]:
-            found[i] = status[k]
-    return found
+class _Told:
+    """What is told of a chunk's stretches, looked up by both digits at once."""
+
+    def __init__(self, right: pa.Table) -> None:
+        digit, rest = (common.joined(right[c], np.uint64) for c in ("digit", "rest"))
+        key = self._key(digit, rest)
+        order = np.argsort(key, kind="stable")
+        self.key, self.digit, self.rest = key[order], digit[order], rest[order]
+        self.status = common.joined(right["status"], np.uint8)[order]
+
+    @staticmethod
+    def _key(digit: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        return common.mixed(digit) ^ rest
+
+    def of(self, digit: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Each stretch's status, 0 where nothing is told."""
+        if not len(self.key) or not len(digit):
+            return np.zeros(len(digit), np.uint8)
+        key = self._key(digit, rest)
+        at = np.searchsorted(self.key, key)
+        at[at == len(self.key)] = 0
+        return np.where((self.key[at] == key) & (self.digit[at] == digit) & (self.rest[at] == rest), self.status[at], 0).astype(np.uint8)
 
 
 class _Chunk:
@@ -198,38 +208,33 @@ class _Chunk:
     def __init__(self, left: pa.Table, right: pa.Table, text: str, units: list[Unit]) -> None:
         self.docs = common.unbundled(left["docs"][0].as_py())
         self.datas = common.encoded(self.docs[text])
-        told = np.stack([common.joined(right[c], np.uint64) for c in ("digit", "rest")])
-        status = common.joined(right["status"], np.uint8)
-        order = np.lexsort((told[1], told[0]))
-        told, status = told[:, order], status[order]
-        #: (unit, row, first window, last window) of stretches that are repeated
-        self.known: list[tuple[int, int, int, int]] = []
-        h1s, h2s, units_of, rows_of, places = [], [], [], [], []
+        told = _Told(right)
+        #: (unit, row, first window, last window) of stretches that are repeated, and (unit, row, window, hashes) of those to sort
+        known, asked = [[np.zeros(0, np.int64)] * 4], [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2]
         spoken: set[tuple[int, int]] = set()
         for u, of in enumerate(units):
             for parts, rows, begins in common.pieces(self.datas, of.depth, of.words):
                 s = Stretches(parts, of)
-                found = _status(s, told, status)
-                for i in np.flatnonzero(found).tolist():
-                    o = int(s.owner[i])
-                    a, b, shift = int(s.first[i]), int(s.last[i]), begins[o] - int(s.starts[o])
-                    if found[i] != ALONE:
-                        self.known.append((u, rows[o], a + shift, b + shift))
-                    if found[i] == REPEATED:
-                        continue
-                    if found[i] == SPEAKER:
-                        pair = (int(s.digit[i]), int(s.rest[i]))
-                        if pair in spoken:
-                            continue
-                        spoken.add(pair)
-                    w = np.arange(a, b + 1)
-                    h1s.append(s.one.of(w, w + of.depth))
-                    h2s.append(s.two.of(w, w + of.depth) & np.uint64(0xFFFFFFFF))
-                    units_of.append(np.full(len(w), u))
-                    rows_of.append(np.full(len(w), rows[o]))
-                    places.append(w + shift)
-        self.h1, self.h2 = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (h1s, h2s))
-        self.unit, self.row, self.place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (units_of, rows_of, places))
+                found = told.of(s.digit, s.rest)
+                at = np.flatnonzero(found)
+                if not len(at):
+                    continue
+                row, first, last = np.array(rows, np.int64)[s.owner[at]], s.first[at], s.last[at]
+                shift = np.array(begins, np.int64)[s.owner[at]] - s.starts[s.owner[at]]
+                sure = found[at] != ALONE
+                known.append([np.full(int(sure.sum()), u), row[sure], (first + shift)[sure], (last + shift)[sure]])
+                ask = ~sure
+                for i in np.flatnonzero(found[at] == SPEAKER).tolist():
+                    pair = (int(s.digit[at[i]]), int(s.rest[at[i]]))
+                    ask[i] = pair not in spoken
+                    spoken.add(pair)
+                if ask.any():
+                    first, size = first[ask], (last - first + 1)[ask]
+                    w = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                    h1, h2 = s.one.of(w, w + of.depth), s.two.of(w, w + of.depth) & np.uint64(0xFFFFFFFF)
+                    asked.append([np.full(len(w), u), np.repeat(row[ask], size), w + np.repeat(shift[ask], size), h1, h2])
+        self.known = np.stack([np.concatenate(x) for x in zip(*known, strict=True)])
+        self.unit, self.row, self.place, self.h1, self.h2 = (np.concatenate(x) for x in zip(*asked, strict=True))
 
 
 def _ask(buckets: int, text: str, units: list[Unit]):
@@ -257,14 +262,14 @@ def _equal(table: pa.Table) -> pa.Table:
 
 def _spans(chunk: _Chunk, again: np.ndarray, u: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Row to (first windows, last windows) of what is repeated in one unit."""
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for v, row, a, b in chunk.known:
-        if v == u:
-            spans.setdefault(row, []).append((a, b))
+    known = chunk.known[1:, chunk.known[0] == u]
     mine = again & (chunk.unit == u)
-    for row, place in zip(chunk.row[mine].tolist(), chunk.place[mine].tolist(), strict=True):
-        spans.setdefault(row, []).append((place, place))
-    return {row: tuple(np.array(x).T) for row, x in spans.items()}
+    rows = np.concatenate([known[0], chunk.row[mine]])
+    order = np.argsort(rows, kind="stable")
+    first, last = (np.concatenate([x, chunk.place[mine]])[order] for x in known[1:])
+    found, at = np.unique(rows[order], return_index=True)
+    cuts = np.append(at, len(rows))
+    return {row: (first[a:b], last[a:b]) for row, a, b in zip(found.tolist(), cuts.tolist(), cuts[1:].tolist(), strict=False)}
 
 
 def _gone(spans: tuple[np.ndarray, np.ndarray], depth: int, n: int) -> np.ndarray:

@@ -3,7 +3,7 @@
 A window is 20 consecutive words.  Anchors are 8 words long and hashed only where a word's number modulo 13 lies in the cover
 {0, 1, 3, 9}: for any two places some shift below 13 brings both onto the cover, so any two equal windows share an anchor at
 the same place within them.  Anchors that occur once in all texts leave; around the others, windows are hashed whole (96
-bits, of words hashed to 128) and the first place of each hash is found.
+bits) and the first place of each hash is found.
 
 Hashes travel packed: a row holds all hashes of one bucket from one chunk of rows, each hash once with the least key and place that
 the chunk has it at, so a passage that many documents share costs a row's part for each chunk and never gathers its places in
@@ -34,12 +34,12 @@ class _Words:
     """The words of some pieces, their hashes and where they stand; and the anchors."""
 
     def __init__(self, pieces: list[bytes], begins: list[int]) -> None:
-        self.one, self.two, self.owner, self.within, self.counts = common.Texts(pieces).words()
+        self.hashes, self.owner, self.within, self.counts = common.Texts(pieces).words()
         self.place = self.within + np.array(begins, np.int64)[self.owner]
         left = self.counts[self.owner] - self.within
         on_cover = np.isin(self.place % PERIOD, COVER) & (left >= ANCHOR) & (self.counts[self.owner] >= WINDOW)
         self.at = np.flatnonzero(on_cover)
-        self.anchors = common.Rolling(self.one).of(self.at, self.at + ANCHOR)
+        self.anchors = common.Rolling(self.hashes).of(self.at, self.at + ANCHOR)
         self.left = left
 
 
@@ -110,8 +110,8 @@ class _Chunk:
             if not len(at):
                 continue
             # windows that begin at most PERIOD - 1 words ahead of the anchor, in the same piece
-            w = np.flatnonzero(common.spread(at, PERIOD - 1, 1, len(x.one)) & (x.left >= WINDOW))
-            one, two = common.both(x.one, x.two)
+            w = np.flatnonzero(common.spread(at, PERIOD - 1, 1, len(x.hashes)) & (x.left >= WINDOW))
+            one, two = common.both(x.hashes)
             h1s.append(one.of(w, w + WINDOW))
             h2s.append(two.of(w, w + WINDOW) & np.uint64(0xFFFFFFFF))
             rows_of.append(rows[x.owner[w]])
