@@ -91,12 +91,12 @@ def a12_kth_smallest(spark, sf_dir):
 
 
 @query(f"""with e as (select *, x // 6 cx, y // 6 cy from {_SOBEL}), k as (select image_id, max(magnitude) m from e group by 1)
-    select image_id, cy, cx, round(least(1.0, 0.7::double * max(least(1.0, magnitude / m)) + 0.3::double * least(1.0, sqrt(greatest(0, avg((light / 255.0::double) ^ 2) - avg(light / 255.0::double) ^ 2)) / 0.5)), 5) importance from e join k using (image_id) group by all""")
+    select image_id, cy, cx, round(least(1.0, 0.7::double * max(least(1.0, magnitude::double / m::double)) + 0.3::double * least(1.0, sqrt(greatest(0, avg((light / 255.0::double) ^ 2) - avg(light / 255.0::double) ^ 2)) / 0.5)), 6) importance from e join k using (image_id) group by all""")
 def a11_j11_importance(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     most = edges.groupBy("image_id").agg(F.max("magnitude").alias("m"))
     scaled = edges.join(most, "image_id").withColumn("edge", F.least(F.lit(1.0), F.col("magnitude") / F.col("m")))
-    return G.importance(scaled, (W, H), (8, 6)).withColumn("importance", F.round("importance", 5))
+    return G.importance(scaled, (W, H), (8, 6)).withColumn("importance", F.round("importance", 6))
 
 
 @query(f"select image_id, y // 5 as y, x // 5 as x, round(avg(r), 6) r, round(avg(g), 6) g from {_P} p group by all")

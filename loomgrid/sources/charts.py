@@ -28,20 +28,26 @@ def read_json(rows: DataFrame, text: str = "text") -> DataFrame:
 
     Older versions are read as the newest: a missing version counts as 1 and missing fields are null.
     """
-    parsed = rows.withColumn("_c", F.from_json(text, CHART))
-    c = F.col("_c")
     side = lambda v: v.isNull() | (v < 1) | (v > 1500)
-    rules = [
-        (c.isNull() | (c["cellPalette"].isNull() & c["width"].isNull()), "not-a-chart"),
-        (F.coalesce(c["formatVersion"], F.lit(1)) > VERSION, "newer-version"),
-        (side(c["width"]) | side(c["height"]), "size"),
-        (F.coalesce(F.size(c["cellPalette"]), F.lit(-1)) != c["width"] * c["height"], "cell-count"),
-        (F.coalesce(F.size(c["palette"]), F.lit(0)) > 100, "too-many-colours"),
-        (F.exists(c["cellPalette"], lambda v: v.isNull() | ((v != EMPTY) & ((v < 0) | (v >= F.size(c["palette"]))))), "label-out-of-palette"),
-        (F.exists(c["palette"], lambda p: p["rgb"].isNull() | (F.size(p["rgb"]) != 3) | F.exists(p["rgb"], lambda v: v.isNull() | (v < 0) | (v > 255))), "colour"),
-    ]
-    problem = F.coalesce(*(F.when(condition, F.lit(name)) for condition, name in rules))
-    return parsed.withColumn("problem", problem).withColumn("chart", F.when(F.col("problem").isNull(), c)).drop("_c")
+
+    def judged(c: Column) -> Column:
+        colours = F.coalesce(F.size(c["palette"]), F.lit(0))
+        rules = [
+            (c.isNull() | (c["cellPalette"].isNull() & c["width"].isNull()), "not-a-chart"),
+            (F.coalesce(c["formatVersion"], F.lit(1)) > VERSION, "newer-version"),
+            (side(c["width"]) | side(c["height"]), "size"),
+            (F.coalesce(F.size(c["cellPalette"]), F.lit(-1)) != c["width"] * c["height"], "cell-count"),
+            (colours > 100, "too-many-colours"),
+            (F.array_contains(F.transform(c["cellPalette"], lambda v: v.isNull()), True), "label-out-of-palette"),
+            (F.array_min(c["cellPalette"]) < 0, "label-out-of-palette"),
+            (F.array_max(F.filter(c["cellPalette"], lambda v: v != EMPTY)) >= colours, "label-out-of-palette"),
+            (F.exists(c["palette"], lambda p: p["rgb"].isNull() | (F.size(p["rgb"]) != 3) | F.exists(p["rgb"], lambda v: v.isNull() | (v < 0) | (v > 255))), "colour"),
+        ]
+        return F.struct(c.alias("chart"), F.coalesce(*(F.when(condition, F.lit(name)) for condition, name in rules)).alias("problem"))
+
+    # the text is parsed once: the rules read it as the variable of a function, not as an expression that each of them repeats
+    told = F.get(F.transform(F.array(F.from_json(text, CHART)), judged), F.lit(0))
+    return rows.withColumn("_c", told).select(*rows.columns, F.when(F.col("_c.problem").isNull(), F.col("_c.chart")).alias("chart"), F.col("_c.problem").alias("problem"))
 
 
 def cells(charts: DataFrame, key: str = "chart_id", chart: str = "chart") -> DataFrame:

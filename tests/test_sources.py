@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 from loomgrid.plans import grid as plans
 from loomgrid.sources import charts, images
 
+SF = os.environ.get("LOOMGRID_TEST_SF", "/root/testdata/sf0.001")
+
 
 def test_png_round_trip_and_pixels(spark):
     rng = np.random.default_rng(1)
@@ -55,7 +58,7 @@ def test_other_headers(spark):
 
 
 def charts_of(spark):
-    cells = plans.cells(spark, "").select("chart_id", "y", "x", "label")
+    cells = plans.cells(spark, SF).where("chart_id < 4").select("chart_id", "y", "x", "label")
     palette = spark.createDataFrame([(c, i, 40 * i, 255 - i, 7, "+", f"<n{i}> & \"q\"") for c in range(4) for i in range(5)], "chart_id long, idx int, r int, g int, b int, symbol string, name string")
     return cells, palette
 

@@ -86,8 +86,8 @@ def test_hand_drawn_thresholds_fill_each_mark_evenly():
     assert np.array_equal(t, V.hand_drawn(40, 30)) and not np.array_equal(t, V.hand_drawn(40, 30, seed=2))
 
 
-def test_pictures_side_by_side(spark):
-    light = plans.pixels(spark, "").select("image_id", "y", "x", F.col("r").alias("light"))
+def test_pictures_side_by_side(spark, sf_dir):
+    light = plans.pixels(spark, sf_dir).where("image_id < 4").select("image_id", "y", "x", F.col("r").alias("light"))
     out = V.per_picture(light, lambda a: V.strokes(a[..., 0]).astype(float), ["light"], "x1 double, y1 double, x2 double, y2 double, strength double")
     assert {r.image_id for r in out.select("image_id").distinct().collect()} == {0, 1, 2, 3}
     assert isinstance(K.registry(), dict) and isinstance(pd.DataFrame(), pd.DataFrame)
