@@ -92,6 +92,26 @@ def release(spark: SparkSession) -> None:
         drop(spark, path)
 
 
+#: The most keys that are looked up in a table sent to every task.
+FREQUENT = 10_000
+
+
+def look_up(rows: DataFrame, table: DataFrame, counts: DataFrame, key: str, least: int = 4096) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key of theirs.
+
+    ``counts`` (key, n) tells how many rows have a key.  A key counts as frequent if it has over a ``FREQUENT``-th of all rows, so there are
+    fewer than ``FREQUENT`` of them whatever the input; those are sent to every task, and no other key can fill one.
+    """
+    total = rows.count()
+    frequent = counts.where(F.col("n") > max(least, total // FREQUENT)).select(key)
+    frequent = scratch(table.join(frequent, key, "left_semi").withColumn("frequent", F.lit(True)))
+    new = [c for c in table.columns if c != key]
+    both = rows.join(F.broadcast(frequent), key, "left")
+    told = both.where("frequent").select(*rows.columns, *new)
+    rest = both.where("frequent is null").select(rows.columns).join(table, key).select(*rows.columns, *new)
+    return told.union(rest)
+
+
 # ---------------------------------------------------------------- Arrow slices
 
 
@@ -184,7 +204,7 @@ class Rolling:
 
 
 def both(values: np.ndarray, others: np.ndarray | None = None) -> tuple[Rolling, Rolling]:
-    """Two independent rolling hashes, 128 bits together; the second of ``others`` where these are at hand."""
+    """Two independent rolling hashes, 128 bits together; the second of ``others`` where each item has two values."""
     return Rolling(values), Rolling(mixed(values + _ODD2) if others is None else others, _ODD2)
 
 
@@ -277,7 +297,7 @@ def keys_of(column: pa.ChunkedArray) -> np.ndarray:
 
 _LAST_KEY = (1 << 63) - 1
 
-#: A word of more bytes is hashed by XXH3: powers modulo 2**64 tell some long words badly apart.
+#: A word of more bytes is hashed by XXH3 of 128 bits: powers modulo 2**64 tell some long words badly apart.
 LONG_WORD = 64
 
 
@@ -290,24 +310,25 @@ class Texts:
         self.sizes = sizes
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)))[: len(datas)].astype(np.int64)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(64 bits of each word, the text it is of, its place there, words of each text)."""
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(64 bits of each word, 64 others, the text it is of, its place there, words of each text)."""
         if not self.data:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(self.sizes), np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(self.sizes), np.int64)
         raw = np.frombuffer(self.data, np.uint8)
         starts, ends = _edges(raw)
-        hashes = mixed(Rolling(BYTE_VALUES[raw]).of(starts, ends) + (ends - starts).astype(np.uint64))
+        sizes = (ends - starts).astype(np.uint64)
+        one, two = (mixed(x.of(starts, ends) + sizes) for x in both(BYTE_VALUES[raw], OTHER_VALUES[raw]))
         for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
-            hashes[i] = _xxh3(self.data[starts[i] : ends[i]])
+            one[i], two[i] = np.frombuffer(_xxh128(self.data[starts[i] : ends[i]]), np.uint64)
         owner = np.searchsorted(self.starts, starts, side="right") - 1
         counts = np.bincount(owner, minlength=len(self.sizes)).astype(np.int64)
-        return hashes, owner, np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner], counts
+        return one, two, owner, np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner], counts
 
 
-def _xxh3(data: bytes) -> int:
+def _xxh128(data: bytes) -> bytes:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(data)
+    return xxhash.xxh3_128_digest(data)
 
 
 def _edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
