@@ -228,8 +228,8 @@ def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _similar(df: DataFrame, key: str, text: str, similarity: float, shingle: int, **caps: int) -> DataFrame:
     """The groups by the similarity of whole texts; ``fp`` is the digest of a text's set of shingles."""
-    rows = jaccard.fingerprints(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", shingle, with_bands=True)
-    distinct = common.scratch(rows.groupBy("fp").agg(F.min("_key").alias("first"), F.first("bands").alias("bands")))
+    rows = jaccard.fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", shingle, with_bands=True)
+    distinct = common.scratch(rows.groupBy("fp").agg(F.min("key").alias("first"), *(F.first(c).alias(c) for c in ("bands", "size", "sketch"))))
     return _named(distinct.select("fp", "first"), jaccard.edges(df, distinct, key, text, shingle, similarity, **caps))
 
 
@@ -252,18 +252,21 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int =
 
     Links are fingerprints within three bits or, where a ``similarity`` is given, sets of ``shingle``-word shingles whose Jaccard
     similarity is that or more.  A row with a null key stays only where no row of its group has one.
+    Other columns pass unchanged, whatever their names; two columns of one name raise, as they do in Spark.
     """
     if similarity is None and shingle != SHINGLE:
         raise ValueError("fingerprints within three bits are of three-word shingles")
     groups = _groups(df, key, text, cap)[1] if similarity is None else _similar(df, key, text, similarity, shingle)
-    order = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    # rows travel as one struct, so that no column of theirs meets a name of ours
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    order = [F.col("row").getField(f.name) for f in df.schema if not f.dataType.simpleString().startswith(("map", "variant"))]
 
     def first_of(rows: DataFrame, by: str) -> DataFrame:
-        return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_nth = 1")
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("nth = 1").select("row")
 
-    least = groups.where("component_id is not null").select(F.col("component_id").alias(key)).distinct()
-    named = first_of(df.where(F.col(key).isNotNull()).join(least, key, "left_semi"), key).select(df.columns)
-    whole = df.where(F.col(key).isNull()).select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"))
+    least = groups.where("component_id is not null").select(F.col("component_id").alias("key")).distinct()
+    named = first_of(whole.where("key is not null").join(least, "key", "left_semi").select("row", "key"), "key")
+    nameless = whole.where("key is null").select("row", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
@@ -271,8 +274,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int =
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fps)], names=["row", "fp"])
 
     if similarity is None:
-        nameless = whole.mapInArrow(run, whole.select("row", F.lit(0).cast("long").alias("fp")).schema)
+        nameless = nameless.mapInArrow(run, nameless.select("row", F.lit(0).cast("long").alias("fp")).schema)
     else:
-        nameless = jaccard.fingerprints(whole, "text", shingle)
-    nameless = nameless.join(groups.where("component_id is null").select("fp", F.col("root").alias("_root")), "fp").select("row.*", "_root")
-    return named.union(first_of(nameless, "_root").select(df.columns))
+        nameless = jaccard.fingerprints(nameless, "text", shingle)
+    nameless = first_of(nameless.join(groups.where("component_id is null").select("fp", "root"), "fp").select("row", "root"), "root")
+    return named.union(nameless).select(*(F.col("row").getField(c).alias(c) for c in df.columns))
