@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgrid.llm import bpe, html_density, langid, ogg, packing, quality, radix, simhash, substring, urlrep
+from loomgrid.llm import audit, bpe, html_density, langid, oddsketch, ogg, packing, quality, radix, simhash, substring, urlrep, whitening
 from loomgrid.llm.common import read
 
 
@@ -52,9 +52,8 @@ def op8_large_item_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats of 400 bytes; beside them ``n_repeated_words`` counts the words in passages of 50 words or more that stand elsewhere."""
-    found = radix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=False, word_depth=50)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words")
+    found = radix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +62,21 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrep.filter_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_sets(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_byte_bpe, op3_quality_rules, op4_text_density, op5_ogg, op6_difference_cover, op7_simhash_pivots, op8_large_item_matching, op9_host_reputation, op10_radix_repeats]
+    found = [op1_language_id, op2_byte_bpe, op3_quality_rules, op4_text_density, op5_ogg, op6_difference_cover, op7_simhash_pivots, op8_large_item_matching, op9_host_reputation, op10_radix_repeats,
+             op11_tiled_whitening, op12_odd_sketches, op13_filter_audit]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -122,6 +134,41 @@ select d.doc_id, cast(len(ws) as bigint) n_words, coalesce(n_removed, 0) n_remov
 """
 
 
+_OP12_SQL = r"""
+with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+sets as (select doc_id, list_sort(list_distinct(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end)) s from docs),
+kinds as (select s, len(s) n, min(doc_id) id from sets group by s),
+items as (select id, n, unnest(s) x from kinds where n > 0),
+pairs as (select a.id a, b.id b from items a join items b on a.x = b.x and a.id < b.id group by a.id, a.n, b.id, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways as (select a, b from pairs union all select b, a from pairs),
+reach as (select id a, id b from kinds union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+least as (select a id, min(b) component_id from reach group by a),
+named as (select doc_id, n, case when n > 0 then component_id else doc_id end component_id from sets join kinds using (s) join least using (id))
+select doc_id, n n_shingles, component_id, doc_id = component_id kept from named
+"""
+
+_OP13_SQL = r"""
+with docs as (select doc_id, coalesce(source, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+firsts as (select t, min(doc_id) first_id from docs group by t),
+marks as (select doc_id, max(case when quality = 1 then 1 else 0 end) good, max(case when toxic = 1 then 1 else 0 end) toxic from labels group by doc_id),
+fails as (select doc_id, part, coalesce(good, 0) good, coalesce(toxic, 0) toxic,
+    {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+     'E': coalesce(doc_id > first_id, false)} f from docs join firsts using (t) left join marks using (doc_id)),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) l),
+orders as (select a.l || b.l || c.l || d.l || e.l o from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+combined as (select part, f.A a, f.B b, f.C c, f.D d, f.E e, f.A::int + f.B::int + f.C::int + f.D::int + f.E::int many, count(*) n, sum(good) good, sum(toxic) toxic from fails group by all),
+steps as (select o, unnest(range(1, 6)) step from orders),
+judged as (select part, o, step, n, good, toxic, many, case o[step] when 'A' then a when 'B' then b when 'C' then c when 'D' then d else e end fail,
+    coalesce(list_bool_or(list_transform(range(1, step), lambda i: case o[i] when 'A' then a when 'B' then b when 'C' then c when 'D' then d else e end)), false) gone from combined, steps),
+told as (select part, o filter_order, step, sum(case when not gone and not fail then n else 0 end) kept, sum(case when not gone and fail then n else 0 end) removed, sum(case when gone and fail then n else 0 end) redundant,
+    sum(case when fail and many = 1 then n else 0 end) unique_fails, sum(case when not gone and fail then good else 0 end) good_lost, sum(case when not gone and fail then toxic else 0 end) toxic_lost from judged group by all)
+select part, filter_order, cast(step as integer) step, cast(kept as bigint) kept, cast(removed as bigint) removed, cast(redundant as bigint) redundant, cast(unique_fails as bigint) unique_fails,
+    cast(good_lost as bigint) good_lost, cast(toxic_lost as bigint) toxic_lost, cast(sum(removed) over (partition by part, filter_order[step]) as bigint) shapley from told
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL twins over whole tables.  The others have none (learned models, tokenizers, parsers, XXH64, 400-byte windows); tests hold them against brute force."""
-    return {"op6_difference_cover": _OP6_SQL, "op9_host_reputation": _op9_sql()}
+    return {"op6_difference_cover": _OP6_SQL, "op9_host_reputation": _op9_sql(), "op12_odd_sketches": _OP12_SQL, "op13_filter_audit": _OP13_SQL}
