@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import colour
 from loomgrid.operators import kernels
+from loomgrid.operators import nearest as lists
 
-#: The longest picture side and palette that are broadcast.
+#: The longest picture side that is broadcast, and the longest palette that becomes literals; longer lists are searched by cubes.
 MAX_SIDE, MAX_PALETTE = 65_536, 100
 #: The cells of the largest chart, which one task takes whole.
 MAX_CHART = 2_250_000
@@ -167,31 +168,32 @@ def flat_share(pixels: DataFrame, value: str, block: int = 8, limit: float = 6.0
 # ---------------------------------------------------------------- nearest
 
 
-def _palette_rows(palette: DataFrame, idx: str, parts: list[str]) -> list:
+def _by_distance(points: DataFrame, palette: DataFrame, parts: list[str], idx: str, of: list[str], k: int) -> DataFrame:
+    """``points`` with ``_n``, an array of (d, idx, at) of the k nearest entries, ties to the lowest index.
+
+    A palette of at most ``MAX_PALETTE`` entries becomes literals, so that there is no join at all; a longer list is searched by cubes.
+    """
     rows = palette.select(idx, *parts).orderBy(idx).limit(MAX_PALETTE + 1).collect()
     if len(rows) > MAX_PALETTE:
-        raise ValueError("a palette has at most 100 colours")
-    return rows
-
+        return lists.nearest_lists(points, palette, parts, idx=idx, k=k, of=of).withColumnRenamed("near", "_n")
 
-def _distances(palette: DataFrame, idx: str, parts: list[str], of: list[str]) -> Column:
-    """An array of (distance, index) structs to each colour of a palette, as literals: no join at all."""
     def d(row) -> Column:
         return reduce(lambda a, b: a + b, ((F.col(c) - F.lit(float(row[p]))) * (F.col(c) - F.lit(float(row[p]))) for p, c in zip(parts, of, strict=True)))
 
-    return F.array(*(F.struct(d(r).alias("d"), F.lit(r[idx]).alias("idx"), F.array(*(F.lit(float(r[p])) for p in parts)).alias("at")) for r in _palette_rows(palette, idx, parts)))
+    told = F.array(*(F.struct(d(r).alias("d"), F.lit(r[idx]).alias("idx"), F.array(*(F.lit(float(r[p])) for p in parts)).alias("at")) for r in rows))
+    return points.withColumn("_n", F.array(F.array_min(told)) if k == 1 else F.slice(F.array_sort(told), 1, k))
 
 
 def nearest(points: DataFrame, palette: DataFrame, parts: list[str], idx: str = "idx", of: list[str] | None = None) -> DataFrame:
-    """``points`` with the nearest palette entry and its squared distance, ties to the lowest index."""
-    best = F.array_min(_distances(palette, idx, parts, of or parts))
-    return points.withColumn("_n", best).select(*points.columns, F.col("_n.idx").alias("nearest"), F.col("_n.d").alias("distance_sq"))
+    """``points`` with the nearest palette entry and its squared distance, ties to the lowest index; the list may have any length."""
+    near = _by_distance(points, palette, parts, idx, of or parts, 1)
+    return near.select(*points.columns, F.col("_n")[0]["idx"].alias("nearest"), F.col("_n")[0]["d"].alias("distance_sq"))
 
 
 def two_nearest(points: DataFrame, palette: DataFrame, parts: list[str], idx: str = "idx", of: list[str] | None = None) -> DataFrame:
     """``points`` with the two nearest entries, ties to the lowest index, and where on the way from the first to the second they lie (0 to 1)."""
     of = of or parts
-    out = points.withColumn("_n", F.slice(F.array_sort(_distances(palette, idx, parts, of)), 1, 2))
+    out = _by_distance(points, palette, parts, idx, of, 2)
     first, second = F.col("_n")[0], F.col("_n")[1]
     way = [second["at"][i] - first["at"][i] for i in range(len(parts))]
     gone = reduce(lambda a, b: a + b, ((F.col(c) - first["at"][i]) * w for i, (c, w) in enumerate(zip(of, way, strict=True))))
@@ -220,18 +222,6 @@ def bucket_nearest(points: DataFrame, centres: DataFrame, side: float, ident: st
     return best.select(ident, F.col("n.c").alias(centre), F.col("n.d2").alias("d2"))
 
 
-def closest_pair(palette: DataFrame, parts: list[str], idx: str = "idx") -> tuple[int, int, float] | None:
-    """(lower index, higher index, squared distance) of a palette's closest pair, the first among equals."""
-    rows = _palette_rows(palette, idx, parts)
-    best = None
-    for i, a in enumerate(rows):
-        for b in rows[i + 1 :]:
-            d = sum((a[p] - b[p]) ** 2 for p in parts)
-            if best is None or d < best[2]:
-                best = (a[idx], b[idx], d)
-    return best
-
-
 def pages(spark: SparkSession, cells: int, per_page: int, overlap: int) -> DataFrame:
     """(page, start, end): pages along one axis; each after the first begins ``overlap`` cells before the last ended."""
     step = per_page - overlap

@@ -1,16 +1,15 @@
-"""Palettes, threads and edits of a chart: matching, naming, merging, layers and selections; built-in operators but for one greedy step."""
+"""Palettes, threads and edits of a chart: matching, naming, merging, layers and selections; built-in operators."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import colour
-from loomgrid.operators import grid, kernels
+from loomgrid.operators import grid
+from loomgrid.operators import nearest as lists
 
 LAB = ("ok_l", "ok_a", "ok_b")
-MAX_NAMES = 50_000
 
 
 def swatch_difference(current: tuple[Column, Column], candidate: tuple[Column, Column]) -> Column:
@@ -55,8 +54,8 @@ def coverage(points: DataFrame, palette: DataFrame, parts: list[str], key: str,
 def onto_threads(colours: DataFrame, threads: DataFrame, key: str, parts: list[str]) -> tuple[DataFrame, DataFrame]:
     """(map, merged): each palette colour's nearest thread, the first in the list among equals, and the threads so used with their cells added up.
 
-    ``colours`` has the key, idx, count and parts; ``threads`` ord and parts, at most a palette's rows.  Threads keep the order of
-    the first colour that took them.
+    ``colours`` has the key, idx, count and parts; ``threads`` ord and parts, a list of any length.  Threads keep the order of the
+    first colour that took them.
     """
     mapped = grid.nearest(colours, threads, parts, "ord")
     used = mapped.groupBy(key, "nearest").agg(F.sum("count").alias("count"), F.min("idx").alias("first"))
@@ -68,20 +67,14 @@ def onto_threads(colours: DataFrame, threads: DataFrame, key: str, parts: list[s
 def named(colours: DataFrame, names: DataFrame, parts: list[str], key: str = "chart_id") -> DataFrame:
     """(key, idx, name): each colour's own name of a dictionary, the closest pair first, every name once a chart.
 
-    The dictionary, 50,000 names at most, goes to each chart's task; a chart has at most 100 colours.
+    A colour can lose at most as many names as its chart has other colours, so as many of the nearest as there are colours hold all
+    that it may get; those are found once for each distinct colour.  Equal pairs go to the lowest idx, then to the first name.
     """
-    rows = names.select("name", *parts).limit(MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES:
-        raise ValueError("a dictionary has at most 50,000 names")
-    table = pd.DataFrame([r.asDict() for r in rows]).sort_values("name", kind="stable").reset_index(drop=True)
-
-    def run(chart: pd.DataFrame) -> pd.DataFrame:
-        chart = chart.sort_values("idx")
-        d = kernels.distances_sq(chart[parts].to_numpy(float), table[parts].to_numpy(float))
-        pairs = kernels.greedy_match(d)
-        return pd.DataFrame({key: chart[key].iloc[0], "idx": [int(chart["idx"].iloc[i]) for i, _ in pairs], "name": [table["name"][j] for _, j in pairs]})
-
-    return colours.select(key, "idx", *parts).groupBy(key).applyInPandas(run, f"{key} long, idx int, name string")
+    most = colours.groupBy(key).count().agg(F.max("count")).first()[0] or 1
+    found = lists.nearest_lists(colours.select(*parts).distinct(), names.select("name", *parts), parts, idx="name", k=most)
+    near = found.select(*parts, F.explode("near").alias("n")).select(*parts, F.col("n.d").alias("d"), F.col("n.idx").alias("name"))
+    pairs = colours.select(key, "idx", *parts).join(near, parts).select(key, "idx", "name", "d")
+    return lists.matched(pairs, [key], "idx", "name", "d").select(key, "idx", "name")
 
 
 def name_for(colour_row: dict[str, float], names: DataFrame, taken: DataFrame, parts: list[str]) -> DataFrame:

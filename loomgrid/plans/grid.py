@@ -9,6 +9,7 @@ from loomgrid.functions import colour
 from loomgrid.functions import scalars as S
 from loomgrid.operators import grid as G
 from loomgrid.operators import kernels as K
+from loomgrid.operators import nearest as N
 from loomgrid.plans.registry import query, read
 from loomgrid.sources import matrices
 
@@ -179,8 +180,8 @@ def j13_bucket_nearest(spark, sf_dir):
 
 @query(f"select a.vec_id a, b.vec_id b from {_PT} a, {_PT} b where a.vec_id < b.vec_id and b.vec_id < 16 order by pow(a.p0 - b.p0, 2) + pow(a.p1 - b.p1, 2) + pow(a.p2 - b.p2, 2), a, b limit 1")
 def j16_closest_pair(spark, sf_dir):
-    found = G.closest_pair(points(spark, sf_dir).where("vec_id < 16").withColumnRenamed("vec_id", "idx"), PARTS)
-    return spark.createDataFrame([found[:2]] if found else [], "a long, b long")
+    found = N.closest_pairs(points(spark, sf_dir).where("vec_id < 16").withColumnRenamed("vec_id", "idx"), PARTS, [])
+    return found.where("a is not null").select("a", "b")
 
 
 @query(f"select chart_id, label, count(*) filter (where kind = 0) whole, count(*) filter (where kind = 1) half, cast(count(*) filter (where kind = 0) + ceil(count(*) filter (where kind = 1) / 2.0) as bigint) stitches from {_C} c where label is not null group by all union all select s_suppkey, 9, 0, 0, 0 from supplier")

@@ -57,7 +57,13 @@ def a30_j7_onto_threads(spark, sf_dir):
     return P.onto_threads(ours, p.where("vec_id < 16").withColumnRenamed("vec_id", "ord"), "chart_id", PARTS)[1].drop("chart_id")
 
 
-@query()
+@query(f"""with recursive pairs as (select c.vec_id // 40 chart_id, (c.vec_id % 40)::int idx, 'name ' || n.vec_id as name, (c.p0 - n.p0) * (c.p0 - n.p0) + (c.p1 - n.p1) * (c.p1 - n.p1) + (c.p2 - n.p2) * (c.p2 - n.p2) d from {_PT} c, {_PT} n),
+    t as (select *, false take from pairs union all
+        select chart_id, idx, name, d, a = 1 and b = 1 from (
+            select *, max((a = 1 and b = 1)::int) over (partition by chart_id, idx) ga, max((a = 1 and b = 1)::int) over (partition by chart_id, name) gb from (
+                select *, row_number() over (partition by chart_id, idx order by d, idx, name) a, row_number() over (partition by chart_id, name order by d, idx, name) b from t where not take))
+        where (a = 1 and b = 1) or (ga = 0 and gb = 0))
+    select chart_id, idx, name from t where take""")
 def j15_names(spark, sf_dir):
     p = points(spark, sf_dir)
     ours = p.select(F.floor(F.col("vec_id") / 40).alias("chart_id"), (F.col("vec_id") % 40).cast("int").alias("idx"), *PARTS)
