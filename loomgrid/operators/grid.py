@@ -8,6 +8,7 @@ rows; everything else is joined on equal keys.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -450,20 +451,32 @@ def by_threshold(points: DataFrame, matrix: DataFrame, size: int) -> DataFrame:
 
 
 def kept(rows: DataFrame) -> DataFrame:
-    """``rows`` checkpointed in the shared folder: the lineage is cut and a lost executor costs no recomputation."""
+    """``rows`` written to the shared folder and read again: the lineage is cut and a lost executor costs no recomputation.
+
+    A table, and no checkpoint: a checkpointed plan keeps its estimated size, and that of a loop's self-join squares with each round
+    until arithmetic on it takes longer than the work.  The table goes when the application ends.
+    """
     spark = rows.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext._jsc.sc()
+    if not folder and context.getCheckpointDir().isDefined():
+        folder = context.getCheckpointDir().get()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomgrid-"))  # one of our own, as in tests, where all runs on one machine
-    return rows.checkpoint()
+        folder = tempfile.mkdtemp(prefix="loomgrid-")  # one of our own, as in tests, where all runs on one machine
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/loomgrid-kept-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each node of the edges with the least node that it reaches.
 
-    Large-star and small-star steps in turn, each checkpointed, until the edges form stars.
+    Large-star and small-star steps in turn, each kept, until the edges form stars.
     """
 
     def smaller(e: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def closest_pairs(entries: DataFrame, parts: list[str], key: list[str], idx: str
 
 def close_pairs(entries: DataFrame, parts: list[str], key: list[str], limit: float, idx: str = "idx") -> DataFrame:
     """(key, a, b, d2): the pairs, a < b, whose squared distance is under the limit; each entry meets those of the cubes around its own."""
-    side = limit**0.5
+    side = limit**0.5 or 1.0
     at = [F.floor(F.col(p) / side) for p in parts]
     own = entries.select(*key, F.col(idx).alias("a"), *(F.col(p).alias(f"p{i}") for i, p in enumerate(parts)), *(c.alias(f"c{i}") for i, c in enumerate(at)))
     around = entries.select(*key, F.col(idx).alias("b"), *(F.col(p).alias(f"q{i}") for i, p in enumerate(parts)), *(c.alias(f"c{i}") for i, c in enumerate(at)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import colour
 from loomgrid.functions import scalars as S
+from loomgrid.operators import clustering as C
 from loomgrid.operators import grid as G
 from loomgrid.operators import kernels as K
 from loomgrid.operators import nearest as N
@@ -525,6 +526,9 @@ def fmath_mulberry(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", d1.alias("first"), d2.alias("second"), S.mulberry_step(s2)[1].alias("third"))
 
 
+_LAB = ["ok_l", "ok_a", "ok_b"]
+
+
 def _lab_cells(spark, sf_dir):
     lab = colour.with_oklab(pixels(spark, sf_dir).where("a = 255"))
     return lab.select(F.col("image_id").alias("chart_id"), "y", "x", "ok_l", "ok_a", "ok_b")
@@ -548,10 +552,19 @@ def i8_to_i16_chart(spark, sf_dir):
 
 @query()
 def i12_predict_colours(spark, sf_dir):
-    def run(rows):
-        import pandas as pd
+    """How many colours each picture needs, read from the curve of its clusters' unions; all pictures together."""
+    return C.predicted(C.Blocks(_lab_cells(spark, sf_dir), "chart_id", _LAB))
+
+
+@query()
+def i7_i8_clusters(spark, sf_dir):
+    """Eight clusters of every picture at once: joint seeds and Lloyd steps over distinct colours."""
+    blocks = C.Blocks(_lab_cells(spark, sf_dir), "chart_id", _LAB)
+    return blocks.used(C.kmeans(blocks, 8)).select("chart_id", "idx", F.col("count").cast("long").alias("count"), *(F.round(c, 7).alias(c) for c in _LAB))
 
-        found = K.predict_colours(rows[["ok_l", "ok_a", "ok_b"]].to_numpy())
-        return pd.DataFrame([{"chart_id": rows["chart_id"].iloc[0], **found}])
 
-    return _lab_cells(spark, sf_dir).groupBy("chart_id").applyInPandas(run, "chart_id long, low long, suggested long, high long, ceiling long")
+@query()
+def i9_quantized(spark, sf_dir):
+    """The palette of twelve colours of every picture after near clusters merged and freed slots went to the worst fitted colours."""
+    blocks = C.Blocks(_lab_cells(spark, sf_dir), "chart_id", _LAB)
+    return C.quantize(blocks, 12).select("chart_id", "idx", F.col("count").cast("long").alias("count"), *(F.round(c, 7).alias(c) for c in _LAB))
