@@ -54,7 +54,7 @@ BYTES = unit(400)
 WORDS = unit(50, words=True)
 #: Stretches that a task gathers before it sends them on.
 GATHERED = 1_000_000
-REPEATED, ALONE, SPEAKER = 1, 2, 3
+REPEATED, ALONE, SPEAKER, FIRST = 1, 2, 3, 4
 
 
 _LOW = np.uint64((1 << 20) - 1)
@@ -148,11 +148,15 @@ def _distinct(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return columns[:, order[at]], np.diff(np.append(at, len(order)))
 
 
-def _sorted_out(table: pa.Table) -> pa.Table:
-    """The first two passes over one bucket: what each chunk's stretches are, where it is anything but unique."""
+def _sorted_out(table: pa.Table, keep_first: bool = False) -> pa.Table:
+    """The first two passes over one bucket: what each chunk's stretches are, where it is anything but unique.
+
+    Where first places are kept, a lead's only kind of stretch has its first one told so, and a speaker is its kind's first; windows of
+    a lead with several kinds may be shared between them, so all these are sorted one by one.
+    """
     chunks, digit, rest = (common.joined(table[c], np.uint64) for c in ("chunks", "digit", "rest"))
     weight = 1 + common.joined(table["twice"], bool).astype(np.int64)
-    order, new_r = common.groups_of(digit, rest)
+    order, new_r = common.groups_of(digit, rest, then=(chunks,))
     d, w = digit[order], weight[order]
     new_d = np.zeros(len(d), bool)
     new_d[:1] = True
@@ -161,10 +165,15 @@ def _sorted_out(table: pa.Table) -> pa.Table:
     in_d, in_r = np.bincount(of_d, weights=w), np.bincount(of_r, weights=w)
     alone = in_r[of_r] == 1
     mixed_group = np.bincount(of_d, weights=alone) > 0
-    status = np.where(in_d[of_d] < 2, 0, np.where(alone, ALONE, np.where(mixed_group[of_d] & new_r, SPEAKER, REPEATED))).astype(np.uint8)
+    if keep_first:
+        several = np.bincount(of_d, weights=new_r) > 1
+        equal = np.where(new_r, np.where(several[of_d], SPEAKER, FIRST), REPEATED)
+    else:
+        equal = np.where(mixed_group[of_d] & new_r, SPEAKER, REPEATED)
+    status = np.where(in_d[of_d] < 2, 0, np.where(alone, ALONE, equal)).astype(np.uint8)
     told = np.flatnonzero(status)
     # a chunk that several tasks have rows of asks as often; it is told once, and a speaker is told so
-    by_chunk, first = common.groups_of(chunks[order[told]], digit[order[told]], rest[order[told]], SPEAKER - status[told])
+    by_chunk, first = common.groups_of(chunks[order[told]], digit[order[told]], rest[order[told]], FIRST - status[told])
     first[1:] = (np.diff(np.stack([x[order[told]][by_chunk].view(np.int64) for x in (chunks, digit, rest)])) != 0).any(axis=0)
     told = told[by_chunk[first]]
     of, status = order[told], status[told]
@@ -205,7 +214,7 @@ class _Told:
 class _Chunk:
     """The rows of one chunk, the windows known to be repeated, and those to sort one by one (96 bits, unit, row and place)."""
 
-    def __init__(self, left: pa.Table, right: pa.Table, text: str, units: list[Unit]) -> None:
+    def __init__(self, left: pa.Table, right: pa.Table, text: str, units: list[Unit], keep_first: bool = False) -> None:
         self.docs = common.unbundled(left["docs"][0].as_py())
         self.datas = common.encoded(self.docs[text])
         told = _Told(right)
@@ -222,12 +231,14 @@ class _Chunk:
                 row, first, last = np.array(rows, np.int64)[s.owner[at]], s.first[at], s.last[at]
                 shift = np.array(begins, np.int64)[s.owner[at]] - s.starts[s.owner[at]]
                 sure = found[at] != ALONE
-                known.append([np.full(int(sure.sum()), u), row[sure], (first + shift)[sure], (last + shift)[sure]])
                 ask = ~sure
-                for i in np.flatnonzero(found[at] == SPEAKER).tolist():
+                for i in np.flatnonzero(found[at] >= SPEAKER).tolist():
                     pair = (int(s.digit[at[i]]), int(s.rest[at[i]]))
-                    ask[i] = pair not in spoken
+                    if pair not in spoken:
+                        ask[i] = found[at[i]] == SPEAKER
+                        sure[i] = not keep_first
                     spoken.add(pair)
+                known.append([np.full(int(sure.sum()), u), row[sure], (first + shift)[sure], (last + shift)[sure]])
                 if ask.any():
                     first, size = first[ask], (last - first + 1)[ask]
                     w = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
@@ -237,24 +248,25 @@ class _Chunk:
         self.unit, self.row, self.place, self.h1, self.h2 = (np.concatenate(x) for x in zip(*asked, strict=True))
 
 
-def _ask(buckets: int, text: str, units: list[Unit]):
+def _ask(buckets: int, text: str, units: list[Unit], keep_first: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return common.questions(0, np.zeros(0, np.uint64), np.zeros(0, np.uint64), buckets)
-        chunk = _Chunk(left, right, text, units)
+        chunk = _Chunk(left, right, text, units, keep_first)
         return common.questions(left["chunk"][0].as_py(), chunk.h1, chunk.h2, buckets)
 
     return run
 
 
-def _equal(table: pa.Table) -> pa.Table:
-    """The last pass over one bucket: which of each chunk's windows equal another."""
+def _equal(table: pa.Table, keep_first: bool = False) -> pa.Table:
+    """The last pass over one bucket: which of each chunk's windows equal another, or an earlier one where first places are kept."""
 
-    def judge(h1: np.ndarray, h2: np.ndarray, _: pa.Table) -> np.ndarray:
-        order, new = common.groups_of(h1, h2)
+    def judge(h1: np.ndarray, h2: np.ndarray, asked: pa.Table) -> np.ndarray:
+        # a chunk's questions come in the order of its rows and places
+        order, new = common.groups_of(h1, h2, then=(np.repeat(asked["chunk"].to_numpy(), common.lengths(asked["a"], 8)),))
         group = np.cumsum(new) - 1
         again = np.empty(len(order), bool)
-        again[order] = np.bincount(group)[group] > 1
+        again[order] = ~new if keep_first else np.bincount(group)[group] > 1
         return again
 
     return common.answered(table, judge)
@@ -315,11 +327,11 @@ def _removed(buckets: int, key: str, text: str, units: list[Unit], with_kept: bo
     return run
 
 
-def _left(buckets: int, text: str, n_chars: str, of: Unit, kinds: dict[str, pa.DataType]):
+def _left(buckets: int, text: str, n_chars: str, of: Unit, kinds: dict[str, pa.DataType], keep_first: bool):
     """The rows with what is left of their texts."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = _Chunk(left, right, text, [of])
+        chunk = _Chunk(left, right, text, [of], keep_first)
         spans = _spans(chunk, common.answers(right, chunk.h1, buckets), 0)
         texts = []
         for i, data in enumerate(chunk.datas):
@@ -335,16 +347,16 @@ def _left(buckets: int, text: str, n_chars: str, of: Unit, kinds: dict[str, pa.D
     return run
 
 
-def _repeats(df: DataFrame, text: str, units: list[Unit], finish, schema) -> DataFrame:
+def _repeats(df: DataFrame, text: str, units: list[Unit], finish, schema, keep_first: bool = False) -> DataFrame:
     """``finish(buckets)`` over each chunk and what is told of it."""
     docs, size = common.chunked(df, text)
     spark = df.sparkSession
     buckets = common.buckets_for(spark, size // 2)
     sent = docs.select("chunk", "docs").mapInArrow(_send(buckets, text, units), "bucket int, chunks binary, digit binary, rest binary, twice binary")
-    told = common.scratch(sent.groupBy("bucket").applyInArrow(_sorted_out, _TOLD))
+    told = common.scratch(sent.groupBy("bucket").applyInArrow(lambda table: _sorted_out(table, keep_first), _TOLD))
     asked = common.buckets_for(spark, size, 16 << 20)
     docs = docs.select("chunk", "docs")
-    again = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_ask(asked, text, units), common.QUESTION).groupBy("bucket").applyInArrow(_equal, _ANSWERS)
+    again = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_ask(asked, text, units, keep_first), common.QUESTION).groupBy("bucket").applyInArrow(lambda table: _equal(table, keep_first), _ANSWERS)
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     both = told.select("*", null("int", "bucket"), null("binary", "bits")).unionByName(again.select("*", *(null("binary", c) for c in ("digit", "rest", "status"))))
     return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish(asked), schema)
@@ -364,12 +376,15 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_
     return _repeats(rows, text, units, lambda asked: _removed(asked, key, text, units, with_kept), schema)
 
 
-def remove_from(df: DataFrame, text: str = "text", n_chars: str = "n_chars", depth: int = BYTES.depth, words: bool = False) -> DataFrame:
+def remove_from(df: DataFrame, text: str = "text", n_chars: str = "n_chars", depth: int = BYTES.depth, words: bool = False, keep_first: bool = False) -> DataFrame:
     """``df`` with what is kept as its text and the text's length.
 
+    With ``keep_first`` a window goes only if it also starts earlier: in a chunk of rows before, or in this one in a row before or at
+    an earlier place.  Chunks are numbered by the tasks that read the rows, so for a table the first place is that in its files.
+
     Bytes of characters cut in two go too.  With ``words``, windows are of as many consecutive words, and with a word goes the white
     space behind it.  A null text becomes an empty one; other columns pass unchanged.
     """
     of = unit(depth, words)
     kinds = {n_chars: pa.int32()} if n_chars in df.columns and df.schema[n_chars].dataType.simpleString() == "int" else {}
-    return _repeats(df, text, [of], lambda asked: _left(asked, text, n_chars, of, kinds), df.schema)
+    return _repeats(df, text, [of], lambda asked: _left(asked, text, n_chars, of, kinds, keep_first), df.schema, keep_first)

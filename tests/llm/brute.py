@@ -126,3 +126,74 @@ def repeated_words(texts: list[str | None], depth: int = 50) -> list[set[int]]:
     split = [words(t) for t in texts]
     seen = Counter(tuple(ws[i : i + depth]) for ws in split for i in range(len(ws) - depth + 1))
     return [{j for i in range(len(ws) - depth + 1) if seen[tuple(ws[i : i + depth])] > 1 for j in range(i, i + depth)} for ws in split]
+
+
+def later_words(texts: list[str | None], depth: int = 50) -> list[set[int]]:
+    """The places of the words of each text that stand in a window found at an earlier place too, in this text or one before."""
+    seen, out = set(), []
+    for ws in map(words, texts):
+        gone: set[int] = set()
+        for i in range(len(ws) - depth + 1):
+            window = tuple(ws[i : i + depth])
+            if window in seen:
+                gone |= set(range(i, i + depth))
+            seen.add(window)
+        out.append(gone)
+    return out
+
+
+def op12(docs: list[tuple[int, str | None]], similarity: tuple[int, int] = (85, 100)) -> dict[int, tuple[int, int]]:
+    """Key to (shingles, least key that it reaches); sets without a shingle reach themselves only."""
+    sets = {}
+    for key, text in docs:
+        ws = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words(text)]
+        sets[key] = frozenset(tuple(ws[i : i + 3]) for i in range(len(ws) - 2)) or frozenset([tuple(ws)] if ws else [])
+    least = {k: k for k in sets}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    holders: dict = {}
+    for key, held in sets.items():
+        for x in held:
+            holders.setdefault(x, []).append(key)
+    for key, held in sets.items():
+        for other, same in Counter(o for x in held for o in holders[x]).items():
+            if similarity[1] * same >= similarity[0] * (len(held) + len(sets[other]) - same):
+                a, b = root(key), root(other)
+                least[max(a, b)] = min(a, b)
+    return {k: (len(s), root(k)) for k, s in sets.items()}
+
+
+def op13(docs: list[tuple], labels: list[tuple]) -> list[tuple]:
+    """The rows of the audit from (id, text, source) and (id, quality, toxic), document by document."""
+    from itertools import permutations
+
+    good, toxic = {k for k, q, _ in labels if q == 1}, {k for k, _, t in labels if t == 1}
+    fails, parts = [], []
+    for key, text, source in docs:
+        t, ws = text or "", words(text)
+        a = len(ws) < 200
+        b = 100 * len(set(ws)) < 50 * len(ws)
+        c = 100 * sum("A" <= x <= "Z" for x in t) > 2 * len(t)
+        d = any(x in "#$%&*|" for x in t)
+        e = key is not None and any(k is not None and k < key and (u or "") == t for k, u, _ in docs)
+        fails.append({x for x, yes in zip("ABCDE", (a, b, c, d, e), strict=True) if yes})
+        parts.append(source or "")
+    out = []
+    for part in set(parts):
+        mine = [i for i, p in enumerate(parts) if p == part]
+        rows, shares = [], Counter()
+        for order in permutations("ABCDE"):
+            left = set(mine)
+            for step, x in enumerate(order, 1):
+                here = {i for i in left if x in fails[i]}
+                gone = [i for i in mine if i not in left and x in fails[i]]
+                left -= here
+                shares[x] += len(here)
+                alone = sum(fails[i] == {x} for i in mine)
+                rows.append((part, "".join(order), step, len(left), len(here), len(gone), alone, sum(docs[i][0] in good for i in here), sum(docs[i][0] in toxic for i in here)))
+        out += [(*r, shares[r[1][r[2] - 1]]) for r in rows]
+    return out

@@ -418,7 +418,7 @@ def test_pipeline_stages_agree_with_plain_versions(spark, sf_dir):
     assert {k for k, _ in single} == {k for k, c in groups.items() if k == c}
     left = dict(cut)
     assert set(left) == {k for k, _ in single}
-    gone = brute.repeated_words([t for _, t in single])
+    gone = brute.later_words([t for _, t in single])
     for (k, t), places in zip(single, gone, strict=True):
         assert brute.words(left[k]) == [w for i, w in enumerate(brute.words(t)) if i not in places]
         assert places or left[k] == (t or "")

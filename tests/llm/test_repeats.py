@@ -42,10 +42,10 @@ def test_stage_takes_out_passages_of_fifty_words(spark, sf_dir):
             text[at:at] = passage if i % 2 else passage[:50]
         texts.append(rng.choice([" ", "  ", "\n"]).join(text))
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, table, sf_dir).collect()}
-    gone = brute.repeated_words(texts)
-    assert sum(bool(x) for x in gone) == 10
+    gone = brute.later_words(texts)
+    assert sum(bool(x) for x in gone) == 9  # the first of ten stays
     for i, text, lang, _, n in rows:
         assert (out[i].lang, out[i].n_chars) == (lang, len(out[i].text))
         assert brute.words(out[i].text) == [w for j, w in enumerate(brute.words(text)) if j not in gone[i]]
@@ -119,3 +119,39 @@ def test_words_that_powers_tell_badly_apart(spark):
     got = {r.doc_id: r.n_removed for r in substring.remove_repeats(spark.createDataFrame([(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{word} {rest}")], "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 0, 3: 20}
     assert hashlib.sha256(word.encode()).digest() != hashlib.sha256(other.encode()).digest()
+
+
+def test_first_places_stay_whatever_overlaps(spark):
+    """Passages that overlap, end inside each other and stand several times in one text, cut out as by hand."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(400)}" for _ in range(400)]
+    texts: list[str | None] = [None]
+    for i in range(60):
+        text: list[str] = []
+        for _ in range(rng.randrange(1, 5)):
+            text += [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 40))]
+            at = rng.randrange(0, 300)
+            text += base[at : at + rng.randrange(20, 130)]
+        texts.append(" ".join(text))
+    rows = list(enumerate(texts))
+    gone = brute.later_words(texts)
+    assert sum(map(len, gone)) > 3000
+    for parts in (1, 5):
+        table = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        out = {r.doc_id: r.text for r in radix.remove_from(table, depth=50, words=True, keep_first=True).collect()}
+        assert {k: brute.words(t) for k, t in out.items()} == {k: [w for j, w in enumerate(brute.words(t)) if j not in gone[k]] for k, t in rows}
+
+
+def test_words_that_share_half_their_bits_stay_apart(spark, monkeypatch):
+    """Two words whose first 64 bits agree are two words: windows are told apart by 128 bits of each."""
+    whole = common.Texts.words
+
+    def halved(self):
+        one, *rest = whole(self)
+        return (np.zeros_like(one), *rest)
+
+    monkeypatch.setattr(common.Texts, "words", halved)
+    pieces = substring._Words([" ".join(f"a{i}" for i in range(30)).encode(), " ".join(f"b{i}" for i in range(30)).encode()], [0, 0])
+    one, two = common.both(pieces.one, pieces.two)
+    assert one.of(np.array([0]), np.array([20])) == one.of(np.array([30]), np.array([50]))
+    assert two.of(np.array([0]), np.array([20])) != two.of(np.array([30]), np.array([50]))
