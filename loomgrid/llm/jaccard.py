@@ -94,7 +94,7 @@ def fingerprints(rows: DataFrame, text: str, width: int, with_bands: bool = Fals
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], names=names)
 
     added = [F.lit(b"").alias("fp")]
-    added += [F.array(F.lit(0).cast("long")).alias("bands"), F.lit(0).cast("long").alias("size"), F.lit(b"").alias("sketch")] if with_bands else []
+    added += [F.lit(None).cast("array<long>").alias("bands"), F.lit(0).cast("long").alias("size"), F.lit(b"").alias("sketch")] if with_bands else []
     added += [F.lit(b"").alias("held")] if with_set else []
     out = rows.select(*kept, *added)
     names = out.columns

@@ -249,9 +249,7 @@ def transform(df: DataFrame, model: Whitening, key: str = "vec_id", vector: str
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * white.shape[1]), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), deviations(model, x), lists], names=[key, "deviation", "whitened"])
 
-    schema = rows.select(key, F.lit(0).cast("long").alias("deviation"), F.array(F.lit(0.0)).alias("whitened")).schema
-    for field in schema:
-        field.nullable = True
+    schema = rows.select(key, F.lit(None).cast("long").alias("deviation"), F.lit(None).cast("array<double>").alias("whitened")).schema
     return rows.mapInArrow(run, schema)
 
 
