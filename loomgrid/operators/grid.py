@@ -450,13 +450,8 @@ def by_threshold(points: DataFrame, matrix: DataFrame, size: int) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """``rows`` written to the shared folder and read again: the lineage is cut and a lost executor costs no recomputation.
-
-    A table, and no checkpoint: a checkpointed plan keeps its estimated size, and that of a loop's self-join squares with each round
-    until arithmetic on it takes longer than the work.  The table goes when the application ends.
-    """
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where the session names none and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if not folder and context.getCheckpointDir().isDefined():
@@ -464,13 +459,28 @@ def kept(rows: DataFrame) -> DataFrame:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="loomgrid-")  # one of our own, as in tests, where all runs on one machine
+        folder = tempfile.mkdtemp(prefix="loomgrid-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/loomgrid-kept-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    return folder
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that goes when the application ends."""
+    path = f"{shared_folder(spark)}/loomgrid-{kind}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
-    return spark.read.schema(rows.schema).parquet(path)
+    return path
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read again: the lineage is cut and a lost executor costs no recomputation.
+
+    A table, and no checkpoint: a checkpointed plan keeps its estimated size, and that of a loop's self-join squares with each round
+    until arithmetic on it takes longer than the work.
+    """
+    path = new_folder(rows.sparkSession, "kept")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

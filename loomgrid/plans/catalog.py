@@ -9,6 +9,7 @@ from loomgrid.plans import more as _more  # noqa: F401  registers its queries
 from loomgrid.plans import palette as _palette  # noqa: F401  registers its queries
 from loomgrid.plans import registry
 from loomgrid.plans import relational as _relational  # noqa: F401  registers its queries
+from loomgrid.plans import stateful as _stateful  # noqa: F401  registers its queries
 from loomgrid.plans import streams as _streams  # noqa: F401  registers its queries
 from loomgrid.plans import vision as _vision  # noqa: F401  registers its queries
 
