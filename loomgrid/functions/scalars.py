@@ -200,3 +200,13 @@ SYMBOLS = "+x#o*%=/<>^v"
 def symbol_for(index: Column, symbols: str = SYMBOLS) -> Column:
     """The colour's sign: the set is handed out in order and begins again when it ends."""
     return F.substring(F.lit(symbols), (F.pmod(index, F.lit(len(symbols))) + 1).cast("int"), F.lit(1))
+
+
+def mix_of_two(at: list[Column], one: list[float], two: list[float]) -> tuple[Column, Column]:
+    """(weight of the second, distance left) of the mixture of two points, weights summing to 1, that comes nearest to a point; all of the first where they are the same."""
+    way = [b - a for a, b in zip(one, two, strict=True)]
+    length = sum(w * w for w in way)
+    from_one = [c - a for c, a in zip(at, one, strict=True)]
+    weight = sum((d * w for d, w in zip(from_one, way, strict=True)), F.lit(0.0)) / length if length else F.lit(0.0)
+    left = [d - weight * w for d, w in zip(from_one, way, strict=True)]
+    return weight, F.sqrt(sum((x * x for x in left), F.lit(0.0)))

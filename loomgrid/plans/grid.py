@@ -11,6 +11,9 @@ from loomgrid.operators import clustering as C
 from loomgrid.operators import grid as G
 from loomgrid.operators import kernels as K
 from loomgrid.operators import nearest as N
+from loomgrid.operators import tiles
+from loomgrid.operators import versions as V
+from loomgrid.operators.grid import kept
 from loomgrid.plans.registry import query, read
 from loomgrid.sources import matrices
 
@@ -327,6 +330,32 @@ def i30_apply(spark, sf_dir):
     return G.apply_delta(first, G.delta(first, second, ["y", "x"], "label"), ["y", "x"], "label")
 
 
+_VERSIONS = _C.replace("(select i.v chart_id,", "(select i.v chart_id, z.v as version,").replace("+ i.v) % 5", "+ i.v + z.v * z.v) % 5").replace("range(36) t(v)", "range(4) z(v), range(36) t(v)")
+
+
+def versions(spark, sf_dir):
+    """(chart_id, version, y, x, label): four versions of every chart."""
+    grown = cells(spark, sf_dir).withColumn("version", F.explode(F.array(*(F.lit(i) for i in range(4)))))
+    return grown.select("chart_id", "version", "y", "x", ((F.col("label") + F.col("version") * F.col("version")) % 5).cast("int").alias("label"))
+
+
+@query(f"""with d as (select a.chart_id, a.version, a.y, a.x, xor(coalesce(a.label + 1, 0), coalesce(b.label + 1, 0)) value from {_VERSIONS} a left join {_VERSIONS} b on b.chart_id = a.chart_id and b.version = a.version - 1 and b.y = a.y and b.x = a.x),
+    s as (select *, x - row_number() over (partition by chart_id, version, y, value order by x) run from d where value <> 0)
+    select chart_id, version, y, min(x) x, count(*) n, value::bigint as value from s group by chart_id, version, y, value, run""")
+def i30_runs(spark, sf_dir):
+    """The XOR runs between each version of every chart and the one before it."""
+    key = ["chart_id", "version"]
+    return V.runs(V.deltas(V.changes(versions(spark, sf_dir), key, "label"), ["chart_id"], "version"), key)
+
+
+@query(f"select chart_id, y, x, label::bigint as label from {_VERSIONS} v where version = chart_id % 4 and label is not null")
+def i30_rebuilt(spark, sf_dir):
+    """A version of every chart, another for each, from its deltas; the history before version 1 folded."""
+    history = V.deltas(V.changes(versions(spark, sf_dir), ["chart_id", "version"], "label"), ["chart_id"], "version")
+    late = V.compacted(history.where("chart_id % 4 > 0"), ["chart_id"], "version", 1).union(history.where("chart_id % 4 = 0"))
+    return V.cells(V.at_version(late, ["chart_id"], "version", F.col("chart_id") % 4), ["chart_id"]).withColumnRenamed("value", "label")
+
+
 @query(f"select c.chart_id, c.y, c.x, dy, dx from {_C} c, (values (-1, 0), (0, -1), (0, 1), (1, 0)) d(dy, dx) where label = 2 and not exists (select 1 from {_C} o where o.chart_id = c.chart_id and o.label = 2 and o.y = c.y + dy and o.x = c.x + dx)")
 def r5_outline(spark, sf_dir):
     return G.outline(cells(spark, sf_dir).where("label = 2"), ["chart_id"])
@@ -550,6 +579,16 @@ def i8_to_i16_chart(spark, sf_dir):
     return K.per_chart(_lab_cells(spark, sf_dir), K.registry()["chart"], ["ok_l", "ok_a", "ok_b"])
 
 
+@query()
+def i14_settled(spark, sf_dir):
+    """Eight colours of every picture after energy minimisation, in tiles of 64 cells."""
+    lab = _lab_cells(spark, sf_dir)
+    blocks = C.Blocks(lab, "chart_id", _LAB)
+    palettes = kept(blocks.used(C.kmeans(blocks, 8)))
+    labelled = lab.join(blocks.labels(kept(C.listed(palettes, "chart_id", _LAB))), ["chart_id", *_LAB])
+    return tiles.settled(labelled, palettes, "chart_id", _LAB, K.FINE, side=64)
+
+
 @query()
 def i12_predict_colours(spark, sf_dir):
     """How many colours each picture needs, read from the curve of its clusters' unions; all pictures together."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from loomgrid.functions import colour
@@ -10,7 +9,6 @@ from loomgrid.functions import scalars as S
 from loomgrid.operators import crisp, registry
 from loomgrid.operators import grid as G
 from loomgrid.operators import relational as R
-from loomgrid.operators import vision as V
 from loomgrid.plans.grid import _P, _PT, PARTS, _oklab_sql, lines, pixels, points
 from loomgrid.plans.registry import query, read
 from loomgrid.streaming import events as E
@@ -115,16 +113,9 @@ def x1_overlays(spark, sf_dir):
 def r19_mixtures(spark, sf_dir):
     """Each point as a mixture of the first two: the second's weight and what is left."""
     p = points(spark, sf_dir)
-    ends = [[r[c] for c in PARTS] for r in p.where("vec_id < 2").orderBy("vec_id").collect()]
-
-    @F.pandas_udf("second double, residual double")
-    def mixed(*columns: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
-        found = [V.mix_weights(np.array(x), np.array(ends)) for x in zip(*columns, strict=True)]
-        return pd.DataFrame({"second": [w[1] for w, _ in found], "residual": [r for _, r in found]})
-
-    return p.withColumn("m", mixed(*PARTS)).select("vec_id", *((F.round(f"m.{c}", 6) + 0.0).alias(c) for c in ("second", "residual")))
+    one, two = ([r[c] for c in PARTS] for r in p.where("vec_id < 2").orderBy("vec_id").collect())
+    second, residual = S.mix_of_two([F.col(c) for c in PARTS], one, two)
+    return p.select("vec_id", (F.round(second, 6) + 0.0).alias("second"), (F.round(residual, 6) + 0.0).alias("residual"))
 
 
 @query("select distinct y, x from (select x1 x, y1 y from (select l_partkey % 20 x1, l_suppkey % 15 y1, l_suppkey % 4 as label from lineitem) where label in (1, 2))")
