@@ -93,12 +93,33 @@ def vivid_means(pixels: DataFrame, size: tuple[int, int], cells: tuple[int, int]
 
 
 def neighbours(cells: DataFrame, key: list[str], offsets: list[tuple[int, int]], values: list[str]) -> DataFrame:
-    """Each cell with its neighbours' values as n_…, a row for each neighbour that exists: offsets exploded, then one equi-join."""
+    """Each cell with its neighbours' values as n_…, a row for each neighbour that exists; (dy, dx) is the way to it.
+
+    A place has one cell.  Neighbours that touch are found line by line: a cell goes to its own line and the two beside it, and windows
+    along the line do the rest, so three rows a cell are shuffled.  Others are exploded and joined by place.
+    """
+    if all(abs(dy) <= 1 and abs(dx) <= 1 for dy, dx in offsets):
+        return _touching(cells, key, sorted((-dy, -dx) for dy, dx in offsets), values)
     moved = cells.select(*key, F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx")) for dy, dx in offsets))).alias("n"), *(F.col(v).alias(f"n_{v}") for v in values))
     flat = moved.select(*key, "n.*", *(f"n_{v}" for v in values))
     return cells.join(flat, [*key, "y", "x"])
 
 
+def _touching(cells: DataFrame, key: list[str], ways: list[tuple[int, int]], values: list[str]) -> DataFrame:
+    rest = [c for c in cells.columns if c not in (*key, "y", "x")]
+    roles = sorted({dy for dy, _ in ways} | {0})
+    spots = F.explode(F.array(*(F.struct((F.col("y") - dy).alias("ly"), F.lit(dy).alias("role")) for dy in roles))).alias("s")
+    sent = cells.select(*key, "x", F.struct("y", *rest).alias("own"), F.struct(*values).alias("v"), spots)
+    sent = sent.select(*key, F.col("s.ly").alias("ly"), "x", "s.role", F.when(F.col("s.role") == 0, F.col("own")).alias("own"), "v")
+    held = lambda dy: F.first(F.when(F.col("role") == dy, F.col("v")), ignorenulls=True).alias(f"v{dy + 1}")
+    places = sent.repartition(*key, "ly").groupBy(*key, "ly", "x").agg(F.first("own", ignorenulls=True).alias("own"), *(held(dy) for dy in roles))
+    line = Window.partitionBy(*key, "ly").orderBy("x")
+    at = {-1: lambda c: F.when(F.lag("x").over(line) == F.col("x") - 1, F.lag(c).over(line)), 0: F.col, 1: lambda c: F.when(F.lead("x").over(line) == F.col("x") + 1, F.lead(c).over(line))}
+    near = places.select(*key, "ly", "x", "own", *(at[dx](f"v{dy + 1}").alias(f"n{i}") for i, (dy, dx) in enumerate(ways))).where("own is not null")
+    found = F.explode(F.filter(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.col(f"n{i}").alias("v")) for i, (dy, dx) in enumerate(ways))), lambda n: n["v"].isNotNull())).alias("n")
+    return near.select(*key, F.col("ly").alias("y"), "x", "own", found).select(*key, F.col("own.y").alias("y"), "x", *(F.col(f"own.{c}").alias(c) for c in rest), "n.dy", "n.dx", *(F.col(f"n.v.{v}").alias(f"n_{v}") for v in values))
+
+
 def shifted(column: str, by: int, key: list[str], along: str, across: str) -> Column:
     """The value ``by`` places along one axis, the edge's own beyond it."""
     w = Window.partitionBy(*key, across).orderBy(along)
