@@ -11,7 +11,7 @@ from loomgrid.operators import clustering as C
 from loomgrid.operators import grid as G
 from loomgrid.operators import kernels as K
 from loomgrid.operators import nearest as N
-from loomgrid.operators import tiles
+from loomgrid.operators import regiongraph, tiles
 from loomgrid.operators import versions as V
 from loomgrid.operators.grid import kept
 from loomgrid.plans.registry import query, read
@@ -579,13 +579,24 @@ def i8_to_i16_chart(spark, sf_dir):
     return K.per_chart(_lab_cells(spark, sf_dir), K.registry()["chart"], ["ok_l", "ok_a", "ok_b"])
 
 
-@query()
-def i14_settled(spark, sf_dir):
-    """Eight colours of every picture after energy minimisation, in tiles of 64 cells."""
+def _clustered(spark, sf_dir):
+    """(cells with labels, palettes) of every picture in eight clusters."""
     lab = _lab_cells(spark, sf_dir)
     blocks = C.Blocks(lab, "chart_id", _LAB)
     palettes = kept(blocks.used(C.kmeans(blocks, 8)))
-    labelled = lab.join(blocks.labels(kept(C.listed(palettes, "chart_id", _LAB))), ["chart_id", *_LAB])
+    return kept(lab.join(blocks.labels(kept(C.listed(palettes, "chart_id", _LAB))), ["chart_id", *_LAB])), palettes
+
+
+@query()
+def i15_small_regions(spark, sf_dir):
+    """Eight clusters of every picture after regions of one or two cells took a neighbour's label, on the graph of regions."""
+    return regiongraph.recoloured(*_clustered(spark, sf_dir), ["chart_id"], _LAB, 2)
+
+
+@query()
+def i14_settled(spark, sf_dir):
+    """Eight clusters of every picture after energy minimisation, in tiles of 64 cells."""
+    labelled, palettes = _clustered(spark, sf_dir)
     return tiles.settled(labelled, palettes, "chart_id", _LAB, K.FINE, side=64)
 
 
