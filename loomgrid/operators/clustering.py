@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from loomgrid.operators import kernels, nearest
 from loomgrid.operators.grid import kept
 
-#: Colours of one block, and the parts that a chart's colours are dealt into before.
-BLOCK, SALTS = 8_192, 8
+#: Colours of one block, and of the part of a chart that one task cuts into blocks.
+BLOCK, PART = 8_192, 131_072
 #: Bytes of centres that are sent to every task; beyond it they meet their blocks by a shuffle.
 MAX_SENT = 64 << 20
 #: Draws of seeds after the first one.
@@ -31,9 +31,11 @@ class Blocks:
     def __init__(self, points: DataFrame, key: str, parts: list[str], weight: Column | None = None) -> None:
         self.key, self.parts, self.kind = key, parts, dict(points.dtypes)[key]
         width = len(parts)
-        one = points.select(key, *(F.col(p).cast("double").alias(p) for p in parts), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w")).dropna(subset=parts)
-        distinct = one.groupBy(key, *parts).agg(F.sum("w").alias("w"))
-        dealt = distinct.withColumn("salt", F.pmod(F.xxhash64(*parts), F.lit(SALTS))).repartition(key, "salt").sortWithinPartitions(key, "salt", *parts)
+        one = points.select(key, *(F.col(p).cast("double").alias(p) for p in parts), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
+        # nulls are dropped behind the table: a filter on parts that are long expressions would be evaluated again for each of them
+        distinct = kept(one.groupBy(key, *parts).agg(F.sum("w").alias("w"))).dropna(subset=parts)
+        most = distinct.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+        dealt = distinct.withColumn("salt", F.pmod(F.xxhash64(*parts), F.lit(-(-most // PART) or 1))).repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "salt").sortWithinPartitions(key, "salt", *parts)
         schema = f"{key} {self.kind}, p array<double>, w array<double>"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,15 +70,17 @@ class Blocks:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                every, of = [], []
                 for i in range(batch.num_rows):
                     array = lambda c, i=i: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
                     row = {c: batch.column(c)[i].as_py() for c in also}
                     row["c"] = array("c").reshape(-1, width)
-                    row["key"] = batch.column(0)[i].as_py()
                     found = step(array("p").reshape(-1, width), array("w"), row)
-                    n = len(found[names[0]])
-                    if n:
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * n)), *(pa.array(found[c]) for c in names)], names=[key, *names])
+                    every.append(found)
+                    of += [i] * len(found[names[0]])
+                if of:  # one batch of rows for all blocks of the batch
+                    lists = {c: [x for f in every for x in f[c]] if isinstance(every[0][c], list) else np.concatenate([f[c] for f in every]) for c in names}
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *(pa.array(lists[c]) for c in names)], names=[key, *names])
 
         return joined.mapInArrow(run, f"{key} {self.kind}, {schema}")
 
