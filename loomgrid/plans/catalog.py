@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomgrid.plans import files as _files  # noqa: F401  registers its queries
+from loomgrid.plans import formats as _formats  # noqa: F401  registers its queries
 from loomgrid.plans import grid as _grid  # noqa: F401  registers its queries
 from loomgrid.plans import lists as _lists  # noqa: F401  registers its queries
 from loomgrid.plans import more as _more  # noqa: F401  registers its queries

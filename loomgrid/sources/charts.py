@@ -20,6 +20,7 @@ from loomgrid.sources import images
 
 EMPTY = 255
 VERSION = 7
+LONGEST_SIDE = 1500
 CHART = "formatVersion int, width int, height int, isLandscape boolean, cellPalette array<int>, palette array<struct<rgb:array<int>,symbol:string,name:string,source:struct<brand:string,code:string>>>, name string"
 
 
@@ -28,7 +29,7 @@ def read_json(rows: DataFrame, text: str = "text") -> DataFrame:
 
     Older versions are read as the newest: a missing version counts as 1 and missing fields are null.
     """
-    side = lambda v: v.isNull() | (v < 1) | (v > 1500)
+    side = lambda v: v.isNull() | (v < 1) | (v > LONGEST_SIDE)
 
     def judged(c: Column) -> Column:
         colours = F.coalesce(F.size(c["palette"]), F.lit(0))
