@@ -156,18 +156,6 @@ def sobel(pixels: DataFrame, key: list[str], value: str, floor: float = 40.0) ->
     return both.withColumn("magnitude", F.when(m < floor, 0.0).otherwise(m).cast("float")).drop("_d", "_s")
 
 
-def kth_smallest(rows: DataFrame, key: list[str], value: str, share: float) -> DataFrame:
-    """(key, value): the element at floor((n - 1) * share) of the sorted values of each key.
-
-    Equal values are counted before they are ranked, so the window sees distinct values only.
-    """
-    counted = rows.groupBy(*key, value).agg(F.count("*").alias("n"))
-    line = Window.partitionBy(*key).orderBy(value)
-    upto, total = F.sum("n").over(line), F.sum("n").over(Window.partitionBy(*key))
-    ranked = counted.withColumns({"upto": upto, "k": F.floor((total - 1) * share)})
-    return ranked.where("upto > k").groupBy(*key).agg(F.min(value).alias(value))
-
-
 def importance(edges: DataFrame, size: tuple[int, int], cells: tuple[int, int], light: str = "light") -> DataFrame:
     """(image_id, cy, cx, importance): 0.7 of the largest edge and 0.3 of the contrast (deviation over a half, at most 1)."""
     rows = onto_cells(edges, size, cells, weighted=False)
@@ -410,22 +398,6 @@ def along(lines: DataFrame, step: float) -> DataFrame:
     return lines.withColumn("_len", length).select("*", at).select(*lines.columns, "i", (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
 
 
-def budgeted(rows: DataFrame, key: list[str], order: list[str], length: str, budget: float) -> DataFrame:
-    """The rows taken in order while their key's running sum stays within the budget; one too long is passed over, later ones may fit.
-
-    A key's rows, the lines of one chart, meet in one array that is folded in the JVM.
-    """
-    listed = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*rows.columns).alias("row")))).alias("all"))
-    zero = F.struct(F.lit(0.0).alias("used"), F.array().cast(listed.schema["all"].dataType).alias("taken"))
-
-    def step(state, v):
-        used = state["used"] + v["row"][length]
-        fits = used <= budget
-        return F.struct(F.when(fits, used).otherwise(state["used"]).alias("used"), F.when(fits, F.array_append(state["taken"], v)).otherwise(state["taken"]).alias("taken"))
-
-    return listed.select(F.inline(F.transform(F.aggregate("all", zero, step)["taken"], lambda v: v["row"])))
-
-
 # ---------------------------------------------------------------- generators
 
 

@@ -11,7 +11,7 @@ from loomgrid.operators import clustering as C
 from loomgrid.operators import grid as G
 from loomgrid.operators import kernels as K
 from loomgrid.operators import nearest as N
-from loomgrid.operators import regiongraph, tiles
+from loomgrid.operators import ranks, regiongraph, tiles
 from loomgrid.operators import versions as V
 from loomgrid.operators.grid import kept
 from loomgrid.plans.registry import query, read
@@ -92,7 +92,7 @@ def w6_sobel(spark, sf_dir):
 
 @query(f"select image_id, round(magnitude::double, 3) magnitude from (select *, row_number() over (partition by image_id order by magnitude) nth, count(*) over (partition by image_id) n from {_SOBEL}) where nth = floor((n - 1) * 0.999::double) + 1")
 def a12_kth_smallest(spark, sf_dir):
-    return G.kth_smallest(_edges(spark, sf_dir), ["image_id"], "magnitude", 0.999).withColumn("magnitude", F.round(F.col("magnitude").cast("double"), 3))
+    return ranks.kth(_edges(spark, sf_dir), ["image_id"], "magnitude", lambda n: F.floor((n - 1) * 0.999)).withColumn("magnitude", F.round(F.col("magnitude").cast("double"), 3))
 
 
 @query(f"""with e as (select *, x // 6 cx, y // 6 cy from {_SOBEL}), k as (select image_id, max(magnitude) m from e group by 1)
@@ -217,8 +217,7 @@ def a32_distinct_colours(spark, sf_dir):
 
 @query(f"select image_id, x, list(r order by r)[count(*) // 2 + 1] as median from {_P} p group by all")
 def a29_upper_median(spark, sf_dir):
-    counted = pixels(spark, sf_dir).groupBy("image_id", "x").agg(F.sort_array(F.collect_list("r")).alias("rs"))  # a column of one picture
-    return counted.select("image_id", "x", F.col("rs")[F.floor(F.size("rs") / 2).cast("int")].alias("median"))
+    return ranks.upper_median(pixels(spark, sf_dir), ["image_id", "x"], "r").withColumnRenamed("r", "median")
 
 
 @query(f"select image_id, p_hue as bin, count(*) n from (select image_id, least(cast(floor(((atan2(b - 128, r - 128) / (2 * pi()) + 1) % 1.0) * 12) as int), 11) p_hue from {_P} p) group by all")
@@ -317,17 +316,23 @@ def u6_used_colours(spark, sf_dir):
     return cells(spark, sf_dir).where("label is not null").select("label").distinct()
 
 
-@query(f"with a as (select y, x, label from {_C} c where chart_id = 0), b as (select y, x, label from {_C} c where chart_id = 1) select y, x, a.label as before, b.label as after from a full join b using (y, x) where a.label is distinct from b.label")
+def _next(c):
+    """Each chart's successor under its own number; the last chart has none, and its cells turn empty."""
+    return c.withColumn("chart_id", F.col("chart_id") - 1).where("chart_id >= 0")
+
+
+@query(f"with a as (select chart_id, y, x, label from {_C} c), b as (select chart_id - 1 as chart_id, y, x, label from {_C} c) select chart_id, y, x, a.label as before, b.label as after from a left join b using (chart_id, y, x) where a.label is distinct from b.label")
 def i30_delta(spark, sf_dir):
+    """What changes from each chart to the next."""
     c = cells(spark, sf_dir).select("chart_id", "y", "x", "label")
-    return G.delta(c.where("chart_id = 0").drop("chart_id"), c.where("chart_id = 1").drop("chart_id"), ["y", "x"], "label")
+    return G.delta(c, _next(c), ["chart_id", "y", "x"], "label")
 
 
-@query(f"select y, x, label from {_C} c where chart_id = 1")
+@query(f"select a.chart_id, a.y, a.x, b.label from {_C} a left join {_C} b on b.chart_id = a.chart_id + 1 and a.x = b.x and a.y = b.y")
 def i30_apply(spark, sf_dir):
-    c = cells(spark, sf_dir).select("chart_id", "y", "x", "label")
-    first, second = (c.where(f"chart_id = {i}").drop("chart_id") for i in (0, 1))
-    return G.apply_delta(first, G.delta(first, second, ["y", "x"], "label"), ["y", "x"], "label")
+    """Each chart with that change made is the next."""
+    c, key = cells(spark, sf_dir).select("chart_id", "y", "x", "label"), ["chart_id", "y", "x"]
+    return G.apply_delta(c, G.delta(c, _next(c), key, "label"), key, "label")
 
 
 _VERSIONS = _C.replace("(select i.v chart_id,", "(select i.v chart_id, z.v as version,").replace("+ i.v) % 5", "+ i.v + z.v * z.v) % 5").replace("range(36) t(v)", "range(4) z(v), range(36) t(v)")
@@ -373,14 +378,24 @@ def i5_orbit(spark, sf_dir):
     return G.orbit(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("x"), F.col("n_regionkey").alias("y")), W, H, ["v", "h"])
 
 
-@query(f"""with recursive e as (select a.chart_id, a.y * 100 + a.x u, b.y * 100 + b.x v from {_C} a, (values (-1, 0), (0, -1), (0, 1), (1, 0)) d(dy, dx), {_C} b where a.chart_id = b.chart_id and a.label = b.label and b.y = a.y + dy and b.x = a.x + dx),
+_REGION_ROWS = f"""with recursive e as (select a.chart_id, a.y * 100 + a.x u, b.y * 100 + b.x v from {_C} a, (values (-1, 0), (0, -1), (0, 1), (1, 0)) d(dy, dx), {_C} b where a.chart_id = b.chart_id and a.label = b.label and b.y = a.y + dy and b.x = a.x + dx),
     r(chart_id, start, node) as (select chart_id, y * 100 + x, y * 100 + x from {_C} c where label is not null union select r.chart_id, r.start, e.v from r join e on e.chart_id = r.chart_id and e.u = r.node where e.v > -1)
-    select chart_id, node // 100 as y, node % 100 as x, min(start) // 100 region_y, min(start) % 100 region_x from r group by chart_id, node""")
+    select chart_id, node // 100 as y, node % 100 as x, min(start) // 100 region_y, min(start) % 100 region_x from r group by chart_id, node"""
+
+
+@query(_REGION_ROWS)
 def i1_regions(spark, sf_dir):
     found = G.regions(cells(spark, sf_dir), ["chart_id"])
     return found.select("chart_id", "y", "x", F.shiftright("region", 32).alias("region_y"), (F.col("region") % (1 << 32)).alias("region_x"))
 
 
+@query(_REGION_ROWS)
+def i1_regions_by_runs(spark, sf_dir):
+    """The same regions by runs of cells and connected components, for planes of any size."""
+    found = G.regions_by_runs(cells(spark, sf_dir), ["chart_id"])
+    return found.select("chart_id", "y", "x", F.shiftright("region", 32).alias("region_y"), (F.col("region") % (1 << 32)).alias("region_x"))
+
+
 #: Regions of the charts by closure: (chart_id, node, region), places as y * 100 + x.
 _REGIONS = f"""e as (select a.chart_id, a.y * 100 + a.x u, b.y * 100 + b.x v from {_C} a, (values (-1, 0), (0, -1), (0, 1), (1, 0)) d(dy, dx), {_C} b
       where a.chart_id = b.chart_id and a.label = b.label and b.y = a.y + dy and b.x = a.x + dx),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import colour
 from loomgrid.functions import scalars as S
-from loomgrid.operators import crisp, registry
+from loomgrid.operators import crisp, ranks, registry
 from loomgrid.operators import grid as G
 from loomgrid.operators import relational as R
 from loomgrid.plans.grid import _P, _PT, PARTS, _oklab_sql, lines, pixels, points
@@ -72,7 +72,7 @@ def i21_finalised(spark, sf_dir):
 def w14_budgeted(spark, sf_dir):
     """Of each order the lines that fit into 60 pieces, taken in turn."""
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return G.budgeted(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity", 60.0).select("l_orderkey", "l_linenumber", "l_partkey")
+    return ranks.budgeted(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity", 60.0).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("""with n as (select max(ts) as moment from events), u as (select user_id, count(*) used from events, n where event_type <> 'error' and ts > moment - interval 72 hours group by 1)
