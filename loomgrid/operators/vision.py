@@ -228,11 +228,13 @@ def smooth(line: np.ndarray, every: float = 0.1, sigma: float = 2.0) -> np.ndarr
     s = np.linspace(0, total, max(2, int(np.ceil(total / every)) + 1))
     even = np.stack([np.interp(s, at, line[:, c]) for c in (0, 1)], axis=1)
     out = even.copy()
-    for i in range(1, len(even) - 1):
-        r = min(i, len(even) - 1 - i, int(3 * sigma))
+    i = np.arange(len(even))
+    reach = np.minimum(np.minimum(i, len(even) - 1 - i), int(3 * sigma))
+    for r in range(1, int(reach.max()) + 1):  # places of one reach at once
+        mine = i[reach == r]
         t = np.arange(-r, r + 1)
         g = np.exp(-t * t / (2 * sigma * sigma))
-        out[i] = (g[:, None] * even[i - r : i + r + 1]).sum(axis=0) / g.sum()
+        out[mine] = sum((w * even[mine + k] for k, w in zip(t.tolist(), g.tolist(), strict=True)), np.zeros((len(mine), 2))) / g.sum()
     return out
 
 
@@ -246,14 +248,18 @@ def segments(line: np.ndarray, per_segment: float = 0.3, longest: int = 40) -> l
     cost, back = np.full(n, np.inf), np.zeros(n, int)
     cost[0] = 0.0
     for j in range(1, n):
-        for i in range(max(0, j - longest), j):
-            a, b = corners[i].astype(float), corners[j].astype(float)
-            part, d = path[stops[i] : stops[j] + 1], b - a
-            length = float(d @ d)
-            t = np.clip((part - a) @ d / length, 0, 1) if length else np.zeros(len(part))
-            off = np.hypot(*(part - (a + t[:, None] * d)).T).mean()
-            if cost[i] + off + per_segment < cost[j]:
-                cost[j], back[j] = cost[i] + off + per_segment, i
+        # all starts at once: a line for each, and of the path what lies behind its start
+        first = max(0, j - longest)
+        a, at = corners[first:j].astype(float), np.arange(stops[first], stops[j] + 1)
+        d, within = corners[j] - a, at >= stops[first:j, None]
+        px, py = (path[at, c] - a[:, c : c + 1] for c in (0, 1))
+        dx, dy = d[:, :1], d[:, 1:]
+        length = dx * dx + dy * dy
+        t = np.clip((px * dx + py * dy) / np.where(length > 0, length, 1.0), 0, 1)
+        off = np.where(within, np.hypot(px - t * dx, py - t * dy), 0.0).sum(axis=1) / within.sum(axis=1)
+        total = cost[first:j] + off + per_segment
+        back[j] = first + int(total.argmin())
+        cost[j] = total.min()
     found, j = set(), n - 1
     while j > 0:
         i = back[j]
@@ -332,22 +338,30 @@ def mix_weights(x: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, float]:
 
 def two_modes(samples: np.ndarray, weights: np.ndarray, places: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
     """(two means, labels, confidence) of one cell's weighted samples: far seeds, a few moves, then how clearly the two lie apart in colour and in place."""
-    mean = (samples * weights[:, None]).sum(axis=0) / weights.sum()
-    first = samples[((samples - mean) ** 2).sum(axis=1).argmax()]
-    means = np.stack([first, samples[((samples - first) ** 2).sum(axis=1).argmax()]])
-    labels = np.zeros(len(samples), int)
+    means, labels, sure = modes_of_cells(samples[None], weights[None], places[None], rounds)
+    return means[0], labels[0], float(sure[0])
+
+
+def modes_of_cells(samples: np.ndarray, weights: np.ndarray, places: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``two_modes`` of many cells of as many samples each: (cells, n, parts), (cells, n) and (cells, n, 2)."""
+    each = np.arange(len(samples))
+    gap = lambda to: ((samples - to[:, None]) ** 2).sum(axis=2)
+    share = lambda of, values: (values * of[..., None]).sum(axis=1) / np.where(of.sum(axis=1) > 0, of.sum(axis=1), 1.0)[:, None]
+    first = samples[each, gap(share(weights, samples)).argmax(axis=1)]
+    means = np.stack([first, samples[each, gap(first).argmax(axis=1)]], axis=1)
+    labels = np.zeros(weights.shape, int)
     for _ in range(rounds):
-        d = kernels.distances_sq(samples, means)
-        labels = (d[:, 1] < d[:, 0]).astype(int)
+        labels = (gap(means[:, 1]) < gap(means[:, 0])).astype(int)
         for k in (0, 1):
-            if weights[labels == k].sum() > 0:
-                means[k] = np.average(samples[labels == k], axis=0, weights=weights[labels == k])
-    if len(set(labels.tolist())) < 2:
-        return means, labels, 0.0
-    apart = float(np.sqrt(((means[0] - means[1]) ** 2).sum()))
-    spread = max(float(np.sqrt(np.average(((samples[labels == k] - means[k]) ** 2).sum(axis=1), weights=weights[labels == k]))) for k in (0, 1))
-    middles = [np.average(places[labels == k], axis=0, weights=weights[labels == k]) for k in (0, 1)]
-    return means, labels, apart / (apart + spread) * min(1.0, float(np.hypot(*(middles[0] - middles[1]))) / 0.5) if apart else 0.0
+            mine = np.where(labels == k, weights, 0.0)
+            means[:, k] = np.where(mine.sum(axis=1)[:, None] > 0, share(mine, samples), means[:, k])
+    mine = [np.where(labels == k, weights, 0.0) for k in (0, 1)]
+    apart = np.sqrt(((means[:, 0] - means[:, 1]) ** 2).sum(axis=1))
+    spread = np.maximum(*(np.sqrt(share(mine[k], gap(means[:, k])[..., None])[:, 0]) for k in (0, 1)))
+    middles = share(mine[0], places) - share(mine[1], places)
+    both = (labels.min(axis=1) != labels.max(axis=1)) & (apart > 0)
+    sure = apart / np.where(both, apart + spread, 1.0) * np.minimum(1.0, np.hypot(middles[:, 0], middles[:, 1]) / 0.5)
+    return means, labels, np.where(both, sure, 0.0)
 
 
 def hand_drawn(w: int, h: int, spacing: float = 4.0, seed: int = 1, lumps: float = 0.25) -> np.ndarray:

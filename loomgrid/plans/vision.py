@@ -116,12 +116,16 @@ def i19_two_modes(spark, sf_dir):
     """Each 6 × 6 block's two colours, how many of its pixels take the second, and how clearly they part."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        lab = rows[["ok_l", "ok_a", "ok_b"]].to_numpy()
-        means, labels, sure = V.two_modes(lab, np.ones(len(lab)), rows[["x", "y"]].to_numpy(float) % 6 / 6)
-        return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "cy": [rows["y"].iloc[0] // 6], "cx": [rows["x"].iloc[0] // 6], "second": [int(labels.sum())], "confidence": [sure]})
-
-    blocks = _lab(spark, sf_dir).groupBy("image_id", F.floor(F.col("y") / 6), F.floor(F.col("x") / 6))
-    return blocks.applyInPandas(run, "image_id long, cy long, cx long, second long, confidence double")
+        rows = rows.assign(cy=rows["y"] // 6, cx=rows["x"] // 6).sort_values(["cy", "cx", "y", "x"], ignore_index=True)
+        size = rows.groupby(["cy", "cx"])["y"].transform("size")
+        found = []
+        for n, same in rows.groupby(size):  # blocks of as many pixels, all of a picture at once
+            values = lambda *c, n=n, same=same: same[list(c)].to_numpy(float).reshape(-1, n, len(c))
+            _, labels, sure = V.modes_of_cells(values("ok_l", "ok_a", "ok_b"), np.ones((len(same) // n, n)), values("x", "y") % 6 / 6)
+            found.append(same.iloc[::n][["image_id", "cy", "cx"]].assign(second=labels.sum(axis=1), confidence=sure))
+        return pd.concat(found)
+
+    return _lab(spark, sf_dir).groupBy("image_id").applyInPandas(run, "image_id long, cy long, cx long, second long, confidence double")
 
 
 @query()
