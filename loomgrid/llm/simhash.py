@@ -208,13 +208,18 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _edges(distinct: DataFrame, cap: int) -> DataFrame:
+    """(a, b): links that connect what links within three bits connect among ``distinct`` fingerprints (fp)."""
+    first = common.scratch(_linked(_keyed(distinct, COARSE), cap))
+    hot = first.where("hot").select(F.col("a").alias("fp")).distinct()
+    return first.where("not hot").select("a", "b").union(_linked(_keyed(hot, FINE), CAP).select("a", "b"))
+
+
 def _groups(df: DataFrame, key: str, text: str, cap: int) -> tuple[DataFrame, DataFrame]:
     """((key, fp) of each row, (fp, root, component_id) of each fingerprint), written to the shared folder as far as they are read again."""
     rows = common.scratch(fingerprints(df, key, text))
     distinct = common.scratch(rows.groupBy("fp").agg(F.min(key).alias("first")))
-    first = common.scratch(_linked(_keyed(distinct, COARSE), cap))
-    hot = first.where("hot").select(F.col("a").alias("fp")).distinct()
-    edges = first.where("not hot").select("a", "b").union(_linked(_keyed(hot, FINE), CAP).select("a", "b"))
+    edges = _edges(distinct, cap)
     return rows, _named(distinct, edges)
 
 
@@ -226,11 +231,55 @@ def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
     return named.join(least, "root").select("fp", "root", "component_id")
 
 
+def _with_fingerprint(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, text) with ``sim``, each text's fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            fps = np.array([fingerprint(x) for x in common.encoded(batch.column("text"))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "sim"])
+
+    return rows.mapInArrow(run, rows.select("*", F.lit(0).cast("long").alias("sim")).schema)
+
+
+def _confirmed(rows: DataFrame, distinct: DataFrame, similarity: float, shingle: int, cap: int = CAP) -> DataFrame:
+    """(a, b): digests of ``distinct`` (fp, first, bands, sim) by fingerprints within three bits, confirmed on the whole sets.
+
+    ``rows`` has the texts (key, text).  Of the sets of one fingerprint each is held against one of them, which also stands for them in
+    links to other fingerprints.  Pairs with a min-hash key in common are compared under that key and left out here.
+    """
+    sims = distinct.where("bands is not null").select("fp", "sim", "bands")
+    one = common.scratch(sims.groupBy("sim").agg(F.min(F.struct("fp", "bands")).alias("one")))
+    ends = lambda c: one.select(F.col("sim").alias(c), F.col("one").alias(f"{c}_one"))
+    same = sims.join(one, "sim").select(F.col("one").alias("a_one"), F.struct("fp", "bands").alias("b_one"))
+    near = _edges(one.select(F.col("sim").alias("fp")), cap).distinct().join(ends("a"), "a").join(ends("b"), "b").select("a_one", "b_one")
+    new = same.where("a_one.fp <> b_one.fp").union(near).where(~F.arrays_overlap("a_one.bands", "b_one.bands"))
+    pairs = common.scratch(new.select(F.col("a_one.fp").alias("a"), F.col("b_one.fp").alias("b")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    firsts = distinct.join(wanted, "fp", "left_semi").select(F.col("first").alias("key")).distinct()
+    texts = rows.where("key is not null").join(firsts, "key", "left_semi").union(rows.where("key is null"))
+    sets = common.scratch(jaccard.fingerprints(texts.select("text"), "text", shingle, with_set=True).join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
+    held = lambda c: sets.select(F.col("fp").alias(c), F.col("held").alias(f"{c}_held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("a_held", "b_held"))
+            good = pa.array([bool(jaccard.similar(x, [y], similarity)[0]) for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+
+    return pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "a_held", "b_held").mapInArrow(run, pairs.schema)
+
+
 def _similar(df: DataFrame, key: str, text: str, similarity: float, shingle: int, **caps: int) -> DataFrame:
-    """The groups by the similarity of whole texts; ``fp`` is the digest of a text's set of shingles."""
-    rows = jaccard.fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", shingle, with_bands=True)
-    distinct = common.scratch(rows.groupBy("fp").agg(F.min("key").alias("first"), *(F.first(c).alias(c) for c in ("bands", "size", "sketch"))))
-    return _named(distinct.select("fp", "first"), jaccard.edges(df, distinct, key, text, shingle, similarity, **caps))
+    """The groups by the similarity of whole texts; ``fp`` is the digest of a text's set of shingles.
+
+    Candidates are texts with fingerprints within three bits, and those that share a min-hash key; either are confirmed on whole sets.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    told = jaccard.fingerprints(_with_fingerprint(rows), "text", shingle, with_bands=True)
+    distinct = common.scratch(told.groupBy("fp").agg(F.min("key").alias("first"), F.min("sim").alias("sim"), *(F.first(c).alias(c) for c in ("bands", "size", "sketch"))))
+    links = jaccard.edges(df, distinct, key, text, shingle, similarity, **caps).select("a", "b").union(_confirmed(rows, distinct, similarity, shingle))
+    return _named(distinct.select("fp", "first"), links)
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int = CAP) -> DataFrame:
@@ -251,7 +300,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int =
     """One row of ``df`` for each group: of those with the group's least key the first by all columns.
 
     Links are fingerprints within three bits or, where a ``similarity`` is given, sets of ``shingle``-word shingles whose Jaccard
-    similarity is that or more.  A row with a null key stays only where no row of its group has one.
+    similarity is that or more, among texts with fingerprints within three bits or a min-hash key in common.  A row with a null key stays only where no row of its group has one.
     Other columns pass unchanged, whatever their names; two columns of one name raise, as they do in Spark.
     """
     if similarity is None and shingle != SHINGLE:
