@@ -72,8 +72,11 @@ def _sets(batch: pa.RecordBatch, text: str, width: int) -> Iterator[np.ndarray]:
         yield from shingles(datas[a:b], width)
 
 
-def fingerprints(rows: DataFrame, text: str, width: int, with_bands: bool = False, with_set: bool = False, sketch: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
-    """``rows`` without the text, with the digest ``fp`` of each row's set, and its keys, size and sketch or the set itself where asked."""
+def fingerprints(rows: DataFrame, text: str, width: int, with_bands: bool = False, with_set: bool = False, sketch: Callable[[np.ndarray], bytes] | None = None, number: Callable[[bytes], int] | None = None) -> DataFrame:
+    """``rows`` without the text, with the digest ``fp`` of each row's set, and its keys, size and sketch or the set itself where asked.
+
+    ``number`` gives an unsigned 64-bit number of each text, ``sim``: one pass over the texts, and one worker, for both.
+    """
     kept = [c for c in rows.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,11 +94,13 @@ def fingerprints(rows: DataFrame, text: str, width: int, with_bands: bool = Fals
             more = [pa.array(fps, pa.binary())]
             more += [pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())] if with_bands else []
             more += [pa.array(whole, pa.binary())] if with_set else []
+            more += [pa.array(np.array([number(x) for x in common.encoded(batch.column(text))], np.uint64).view(np.int64))] if number else []
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], names=names)
 
     added = [F.lit(b"").alias("fp")]
     added += [F.lit(None).cast("array<long>").alias("bands"), F.lit(0).cast("long").alias("size"), F.lit(b"").alias("sketch")] if with_bands else []
     added += [F.lit(b"").alias("held")] if with_set else []
+    added += [F.lit(0).cast("long").alias("sim")] if number else []
     out = rows.select(*kept, *added)
     names = out.columns
     return rows.mapInArrow(run, out.schema)
@@ -193,6 +198,7 @@ def _linked(keyed: DataFrame, similarity: float, cap_bytes: int, most: int | Non
                 yield out([fps[i] for i, _ in pairs], [fps[j] for _, j in pairs], [None] * len(pairs))
 
         for batch in batches:
+            common.trim()
             for band, fp, sketch, held in zip(batch.column("band").to_pylist(), batch.column("fp").to_pylist(), batch.column("sketch").to_pylist(), batch.column("held"), strict=True):
                 if band != at:
                     yield from finished()
@@ -226,7 +232,8 @@ def _large(keyed: DataFrame, similarity: float, cap_bytes: int, most: int | None
                 far.append(1 - same / (len(one) + len(two) - same))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("band", "fp", "sketch", "held", "lead")), pa.array(far, pa.float64())], names=["band", "fp", "sketch", "held", "lead", "far"])
 
-    rows = common.scratch(met.select("band", "fp", "sketch", "held", "lead", "lead_held").mapInArrow(distances, "band long, fp binary, sketch binary, held binary, lead binary, far double"))
+    with common.short_batches(keyed.sparkSession):
+        rows = common.scratch(met.select("band", "fp", "sketch", "held", "lead", "lead_held").mapInArrow(distances, "band long, fp binary, sketch binary, held binary, lead binary, far double"))
     bar = 1 - similarity + 1e-9
     aside = F.col("far") > bar
     size = F.octet_length("held")
@@ -348,7 +355,8 @@ def edges(df: DataFrame, distinct: DataFrame, key: str, text: str, width: int, s
     if crowded:  # read twice
         sets = common.scratch(sets)
     keyed = met.join(sets, "fp").select("band", "fp", "sketch", "held")
-    found = common.scratch(_linked(keyed, similarity, cap_bytes, most))
+    with common.short_batches(df.sparkSession):
+        found = common.scratch(_linked(keyed, similarity, cap_bytes, most))
     edges = found.where("hot is null").select("a", "b")
     large = found.where("hot is not null").select(F.col("hot").alias("band"))
     groups = [] if large.isEmpty() else [met.join(large, "band", "left_semi")]

@@ -232,7 +232,7 @@ def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _with_fingerprint(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, text) with ``sim``, each text's fingerprint."""
+    """``rows`` with ``sim``, each text's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
@@ -263,11 +263,13 @@ def _confirmed(rows: DataFrame, distinct: DataFrame, similarity: float, shingle:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            common.trim()
             left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("a_held", "b_held"))
             good = pa.array([bool(jaccard.similar(x, [y], similarity)[0]) for x, y in zip(left, right, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(good)
 
-    return pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "a_held", "b_held").mapInArrow(run, pairs.schema)
+    with common.short_batches(rows.sparkSession):
+        return common.scratch(pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "a_held", "b_held").mapInArrow(run, pairs.schema))
 
 
 def _similar(df: DataFrame, key: str, text: str, similarity: float, shingle: int, **caps: int) -> DataFrame:
@@ -276,7 +278,7 @@ def _similar(df: DataFrame, key: str, text: str, similarity: float, shingle: int
     Candidates are texts with fingerprints within three bits, and those that share a min-hash key; either are confirmed on whole sets.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    told = jaccard.fingerprints(_with_fingerprint(rows), "text", shingle, with_bands=True)
+    told = jaccard.fingerprints(rows, "text", shingle, with_bands=True, number=fingerprint)
     distinct = common.scratch(told.groupBy("fp").agg(F.min("key").alias("first"), F.min("sim").alias("sim"), *(F.first(c).alias(c) for c in ("bands", "size", "sketch"))))
     links = jaccard.edges(df, distinct, key, text, shingle, similarity, **caps).select("a", "b").union(_confirmed(rows, distinct, similarity, shingle))
     return _named(distinct.select("fp", "first"), links)
@@ -317,13 +319,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", cap: int =
     named = first_of(whole.where("key is not null").join(least, "key", "left_semi").select("row", "key"), "key")
     nameless = whole.where("key is null").select("row", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text"):
-            fps = np.array([fingerprint(x) for x in common.encoded(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fps)], names=["row", "fp"])
-
     if similarity is None:
-        nameless = nameless.mapInArrow(run, nameless.select("row", F.lit(0).cast("long").alias("fp")).schema)
+        nameless = _with_fingerprint(nameless).select("row", F.col("sim").alias("fp"))
     else:
         nameless = jaccard.fingerprints(nameless, "text", shingle)
     nameless = first_of(nameless.join(groups.where("component_id is null").select("fp", "root"), "fp").select("row", "root"), "root")
