@@ -3,6 +3,9 @@
 A chart's distinct colours, with the cells of each as weights, are dealt into blocks of arrays, so a chart may have any size and lie in
 many tasks.  A step sends every chart's centres to its blocks, adds up each block's cells by centre there, and sums these parts;
 what is shuffled is a row for each block and centre.  Charts whose centres rest take no further part.
+
+A chart whose colours fill one block takes all its steps there: its block has all that they read, so nothing is shuffled and no round
+waits for other charts.
 """
 
 from __future__ import annotations
@@ -32,40 +35,47 @@ class Blocks:
         self.key, self.parts, self.kind = key, parts, dict(points.dtypes)[key]
         width = len(parts)
         one = points.select(key, *(F.col(p).cast("double").alias(p) for p in parts), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
-        # nulls are dropped behind the table: a filter on parts that are long expressions would be evaluated again for each of them
-        distinct = kept(one.groupBy(key, *parts).agg(F.sum("w").alias("w"))).dropna(subset=parts)
-        most = distinct.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-        dealt = distinct.withColumn("salt", F.pmod(F.xxhash64(*parts), F.lit(-(-most // PART) or 1))).repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "salt").sortWithinPartitions(key, "salt", *parts)
-        schema = f"{key} {self.kind}, p array<double>, w array<double>"
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = batch.column(0)
-                salts = batch.column("salt").to_numpy()
-                same = np.ones(max(batch.num_rows - 1, 0), bool)
-                if batch.num_rows > 1:
-                    codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy()
-                    same = (codes[1:] == codes[:-1]) & (salts[1:] == salts[:-1])
-                cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), batch.num_rows]
-                at = [a + i for a, b in zip(cuts, cuts[1:], strict=False) for i in range(0, b - a, BLOCK)]
-                ends = [*at[1:], batch.num_rows]
-                if not at:
-                    continue
-                p = np.stack([batch.column(c).to_numpy() for c in parts], axis=1).ravel()
-                offsets = np.array([*at, ends[-1]], np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(offsets * width), pa.array(p)), pa.ListArray.from_arrays(pa.array(offsets), batch.column("w"))]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *lists], names=[key, "p", "w"])
-
-        self.rows = kept(dealt.select(key, "salt", *parts, "w").mapInArrow(run, schema))
-
-    def met(self, centres: DataFrame, step: Callable[[np.ndarray, np.ndarray, dict], dict[str, np.ndarray]], schema: str, *also: str) -> DataFrame:
+        distinct = one.groupBy(key, *parts).agg(F.sum("w").alias("w"))
+        most = points.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+        if most > PART:  # so many cells may yet be few colours
+            distinct = kept(distinct)
+            most = distinct.groupBy(key).count().agg(F.max("count")).first()[0]
+        salts = -(-most // PART) or 1
+        # points that lie together by key already stay where they are
+        together = distinct.groupBy(key) if salts == 1 else distinct.withColumn("salt", F.pmod(F.xxhash64(*parts), F.lit(salts))).groupBy(key, "salt")
+        kind = distinct.select(key).schema[0].dataType
+
+        def cut(rows: pa.Table) -> pa.Table:
+            p = np.stack([rows[c].to_numpy() for c in parts], axis=1).astype(float)
+            # nulls are dropped here: a filter on parts that are long expressions would be evaluated again for each of them
+            whole = np.flatnonzero(~np.isnan(p).any(axis=1))
+            whole = whole[np.lexsort(p[whole].T[::-1])]
+            at = np.append(np.arange(0, len(whole), BLOCK), len(whole)).astype(np.int32)
+            p, w = pa.array(p[whole].ravel()), pa.array(rows["w"].to_numpy()[whole])
+            lists = [pa.ListArray.from_arrays(pa.array(at * n), x) for n, x in ((width, p), (1, w))]
+            n = len(at) - 1
+            return pa.table([rows[key].combine_chunks().take(pa.array([0] * n, pa.int32())), *lists, pa.array([salts == 1 and n == 1] * n, pa.bool_())], names=[key, "p", "w", "lone"])
+
+        self.rows = kept(together.applyInArrow(cut, f"{key} {kind.simpleString()}, p array<double>, w array<double>, lone boolean"))
+        #: Charts of one block, and whether there are others.
+        self.lone, self.split = self.rows.where("lone"), not self.rows.where("not lone").isEmpty()
+
+    def met(self, centres: DataFrame, step: Callable[[np.ndarray, np.ndarray, dict], dict[str, np.ndarray]], schema: str, *also: str, rows: DataFrame | None = None) -> DataFrame:
         """``step(points, weights, the centres' row)`` of each block, as rows of the key and what it returns.
 
-        ``centres`` has one row a key: c, the centres one after another, and the columns ``also``.
+        ``centres`` has one row a key: c, the centres one after another, and the columns ``also``.  ``rows`` are the blocks, all if not named.
         """
-        key, width = self.key, len(self.parts)
+        key = self.key
         small = (centres.agg(F.sum(F.size("c"))).first()[0] or 0) * 8 <= MAX_SENT
-        joined = self.rows.join(F.broadcast(centres) if small else centres, key).select(key, "p", "w", "c", *also)
+        joined = (self.rows if rows is None else rows).join(F.broadcast(centres) if small else centres, key).select(key, "p", "w", "c", *also)
+        return self._stepped(joined, step, schema, *also)
+
+    def alone(self, step: Callable[[np.ndarray, np.ndarray, dict], dict[str, np.ndarray]], schema: str) -> DataFrame:
+        """The same of each chart of one block, without centres and so without a join."""
+        return self._stepped(self.lone.select(self.key, "p", "w", F.array().cast("array<double>").alias("c")), step, schema)
+
+    def _stepped(self, joined: DataFrame, step: Callable, schema: str, *also: str) -> DataFrame:
+        key, width = self.key, len(self.parts)
         names = [f.split()[0] for f in schema.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +124,7 @@ class Blocks:
         schema = "e double, at array<double>"
 
         def step(p: np.ndarray, w: np.ndarray, row: dict) -> dict[str, np.ndarray]:
-            gap = np.full(len(p), 1.0)
-            if len(row["c"]):
-                gap = np.full(len(p), np.inf)
-                for a in range(0, len(row["c"]), 16):
-                    gap = np.minimum(gap, kernels.distances_sq(p, row["c"][a : a + 16]).min(axis=1))
-            e = race(p, draw) / np.where(gap > 0, w * gap, np.nan)
-            order = np.argsort(e, kind="stable")[: row["take"]]
-            order = order[~np.isnan(e[order])]
+            e, order = _draw(p, w, row["c"], row["take"], draw)
             return {"e": e[order], "at": p[order].tolist()}
 
         best = self.met(asked, step, schema, "take").join(asked.select(key, "take"), key)
@@ -131,18 +134,25 @@ class Blocks:
 
     def seeds(self, k: int) -> DataFrame:
         """(key, c): up to k seeds of each key, a first one and then ``DRAWS`` draws of an equal share; fewer where there are fewer points."""
-        empty = self.rows.select(self.key).distinct().withColumn("c", F.array().cast("array<double>"))
-        now, left = kept(self.drawn(empty, 1, 0)), k - 1
-        for draw in range(1, DRAWS + 1):
-            share = -(-left // (DRAWS + 1 - draw))
-            if share > 0:
-                now, left = kept(self.drawn(now, share, draw)), left - share
-        return now
+        mine = self.alone(lambda p, w, row: {"s": [_seeded(p, w, k).ravel().tolist()]}, "s array<double>").withColumnRenamed("s", "c")
+        if not self.split:
+            return kept(mine)
+        now = self._apart().withColumn("c", F.array().cast("array<double>"))
+        for draw, share in _shares(k):
+            now = kept(self.drawn(now, share, draw))
+        return kept(mine.union(now))
+
+    def _apart(self) -> DataFrame:
+        """The keys of more than one block."""
+        return self.rows.where("not lone").select(self.key).distinct()
 
     def lloyd(self, centres: DataFrame, rounds: int = kernels.MAX_ROUNDS, stop: float = kernels.STOP) -> DataFrame:
         """(key, c) after moving centres to the means of their cells until none of a key moves by more than the root of ``stop``; an empty one stays."""
         key, width = self.key, len(self.parts)
-        resting, moving = [], kept(centres.select(key, "c"))
+        mine = self.met(centres, lambda p, w, row: {"r": [_rested(p, w, row["c"], rounds, stop).ravel().tolist()]}, "r array<double>", rows=self.lone).withColumnRenamed("r", "c")
+        if not self.split:
+            return kept(mine)
+        resting, moving = [mine], kept(centres.join(self._apart(), key, "left_semi").select(key, "c"))
         for _ in range(rounds):
             if moving.isEmpty():
                 break
@@ -165,6 +175,36 @@ class Blocks:
         place = (F.row_number().over(Window.partitionBy(self.key).orderBy("idx")) - 1).cast("int")
         return flat.select(self.key, place.alias("idx"), F.col("mass").alias("count"), "sse", *self.parts)
 
+    def _told(self) -> tuple[str, Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]]:
+        """The same of one block, which has all of a chart."""
+        names = [f"s{i}" for i in range(len(self.parts))]
+
+        def told(p: np.ndarray, w: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+            labels = kernels.assign(p, c)
+            mass, sse = (np.bincount(labels, weights=v, minlength=len(c)) for v in (w, w * ((p - c[labels]) ** 2).sum(axis=1)))
+            held = np.flatnonzero(mass > 0)
+            return {"idx": np.arange(len(held), dtype=np.int32), "count": mass[held], "sse": sse[held]} | {n: c[held, i] for i, n in enumerate(names)}
+
+        return "idx int, count double, sse double, " + ", ".join(f"{n} double" for n in names), told
+
+    def _as_used(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumnsRenamed({f"s{i}": p for i, p in enumerate(self.parts)})
+
+    def clusters(self, k: int) -> DataFrame:
+        """``used`` of the centres after Lloyd steps from drawn seeds; charts of one block do it all in one pass."""
+        schema, told = self._told()
+        mine = self._as_used(self.alone(lambda p, w, row: told(p, w, _rested(p, w, _seeded(p, w, k))), schema))
+        return mine.union(self.used(kmeans(self, k).join(self._apart(), self.key, "left_semi"))) if self.split else mine
+
+    def refitted(self, centres: DataFrame, free: str) -> DataFrame:
+        """``used`` of the centres (key, c, ``free``) after refilling and Lloyd steps."""
+        schema, told = self._told()
+        mine = self._as_used(self.met(centres, lambda p, w, row: told(p, w, _rested(p, w, _refilled(p, row["c"], row[free]))), schema, free, rows=self.lone))
+        if not self.split:
+            return mine
+        others = kept(centres.join(self._apart(), self.key, "left_semi"))
+        return mine.union(self.used(self.lloyd(self.refilled(others, F.col(free)).select(self.key, "c"))))
+
     def refilled(self, centres: DataFrame, free: Column) -> DataFrame:
         """(key, c): to each key's centres up to ``free`` points are added, always the one farthest from its nearest centre, the first by its parts among equals."""
         key = self.key
@@ -172,9 +212,7 @@ class Blocks:
         schema = "far double, at array<double>"
 
         def step(p: np.ndarray, w: np.ndarray, row: dict) -> dict[str, np.ndarray]:
-            gap = np.full(len(p), np.inf)
-            for a in range(0, len(row["c"]), 16):
-                gap = np.minimum(gap, kernels.distances_sq(p, row["c"][a : a + 16]).min(axis=1))
+            gap = _gaps(p, row["c"])
             at = int(gap.argmax())
             return {"far": gap[at : at + 1], "at": p[at : at + 1].tolist()} if gap[at] > 0 else {"far": gap[:0], "at": []}
 
@@ -201,6 +239,67 @@ class Blocks:
         return found.select(self.key, *(F.col(f"p{i}").alias(p) for i, p in enumerate(self.parts)), "label")
 
 
+def _gaps(p: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Each point's squared distance to its nearest centre."""
+    gap = np.full(len(p), np.inf)
+    for a in range(0, len(c), 16):
+        gap = np.minimum(gap, kernels.distances_sq(p, c[a : a + 16]).min(axis=1))
+    return gap
+
+
+def _draw(p: np.ndarray, w: np.ndarray, c: np.ndarray, take: int, draw: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each point, places of the least ``take``); see ``drawn``."""
+    gap = _gaps(p, c) if len(c) else np.full(len(p), 1.0)
+    e = race(p, draw) / np.where(gap > 0, w * gap, np.nan)
+    order = np.argsort(e, kind="stable")[:take]
+    return e, order[~np.isnan(e[order])]
+
+
+def _shares(k: int) -> list[tuple[int, int]]:
+    """(draw, how many): a first seed and ``DRAWS`` draws of an equal share."""
+    out, left = [(0, 1)], k - 1
+    for draw in range(1, DRAWS + 1):
+        share = -(-left // (DRAWS + 1 - draw))
+        if share > 0:
+            out.append((draw, share))
+            left -= share
+    return out
+
+
+def _seeded(p: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """The seeds of a chart that lies here whole."""
+    c = np.zeros((0, p.shape[1]))
+    for draw, share in _shares(k):
+        c = np.concatenate([c, p[_draw(p, w, c, share, draw)[1]]])
+    return c
+
+
+def _rested(p: np.ndarray, w: np.ndarray, c: np.ndarray, rounds: int = kernels.MAX_ROUNDS, stop: float = kernels.STOP) -> np.ndarray:
+    """The Lloyd steps of a chart that lies here whole."""
+    for _ in range(rounds):
+        labels = kernels.assign(p, c)
+        mass = np.bincount(labels, weights=w, minlength=len(c))[:, None]
+        sums = np.stack([np.bincount(labels, weights=w * x, minlength=len(c)) for x in p.T], axis=1)
+        new = np.where(mass > 0, sums / np.where(mass > 0, mass, 1), c)
+        shift = ((new - c) ** 2).sum(axis=1).max()
+        c = new
+        if shift < stop:
+            break
+    return c
+
+
+def _refilled(p: np.ndarray, c: np.ndarray, free: int) -> np.ndarray:
+    """The centres and up to ``free`` points of a chart that lies here whole, always the one farthest from its nearest centre."""
+    gap = _gaps(p, c)
+    for _ in range(free):
+        at = int(gap.argmax())
+        if not gap[at] > 0:
+            break
+        c = np.concatenate([c, p[at : at + 1]])
+        gap = np.minimum(gap, kernels.distances_sq(p, p[at : at + 1])[:, 0])
+    return c
+
+
 def race(p: np.ndarray, draw: int) -> np.ndarray:
     """-ln(u) for each point, u uniform in (0, 1) by the bits of its parts and the number of the draw."""
     h = np.full(len(p), (draw + 1) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
@@ -227,54 +326,51 @@ def kmeans(blocks: Blocks, k: int) -> DataFrame:
 def quantize(blocks: Blocks, k: int, limit: float = kernels.MERGE_QUANTIZED) -> DataFrame:
     """(key, idx, count, sse, parts): k-means, then near centres merge and the slots so freed go to the worst fitted points; nothing freed, nothing merged."""
     key, parts = blocks.key, blocks.parts
-    first = kept(blocks.used(kmeans(blocks, k)))
+    first = kept(blocks.clusters(k))
     into = kept(nearest.merged(first, parts, [key], limit))
     alive = first.join(into.where("idx = into").select(key, "idx"), [key, "idx"])
     freed = first.groupBy(key).agg(F.count("*").alias("n")).join(alive.groupBy(key).agg(F.count("*").alias("left")), key).select(key, (F.col("n") - F.col("left")).alias("freed")).where("freed > 0")
     fewer = kept(listed(alive, key, parts).join(freed, key))
-    again = blocks.lloyd(blocks.refilled(fewer, F.col("freed")).select(key, "c"))
-    rest = listed(first, key, parts).join(freed, key, "left_anti")
-    return blocks.used(kept(rest.union(again)))
+    return first.join(freed, key, "left_anti").union(blocks.refitted(fewer, "freed"))
 
 
 def ward(entries: DataFrame, key: str, parts: list[str]) -> DataFrame:
     """(key, colours, sse): the squared error of every key's clusters (key, idx, count, sse, parts) as those whose union costs least merge, down to 2.
 
-    Clusters that are each other's cheapest merge at once, whatever the others do: the cost of a union never falls by other unions
-    (Ward's is reducible), so the same unions come out as one by one, and sorted by cost they come in the same order.  A round joins
-    a palette's clusters among themselves, at most 100 a key.
+    A palette has at most 100 colours a key, so a task takes one whole: a union changes the costs of one row.  Equal costs go to the
+    lowest idx, then to the lowest of the other.
     """
-    width = len(parts)
-    now = kept(entries.select(key, "idx", F.col("count").cast("double").alias("m"), *(F.col(p).alias(f"p{i}") for i, p in enumerate(parts))))
-    start = entries.groupBy(key).agg(F.count("*").alias("n"), F.sum("sse").alias("base"))
-    unions = []
-    while True:
-        one, two = (now.select(key, *(F.col(c).alias(f"{c}_{s}") for c in ("idx", "m", *(f"p{i}" for i in range(width))))) for s in "ab")
-        gap = sum(((F.col(f"p{i}_a") - F.col(f"p{i}_b")) * (F.col(f"p{i}_a") - F.col(f"p{i}_b")) for i in range(1, width)), (F.col("p0_a") - F.col("p0_b")) * (F.col("p0_a") - F.col("p0_b")))
-        pairs = one.join(two, key).where("idx_a < idx_b").withColumn("cost", gap * F.col("m_a") * F.col("m_b") / (F.col("m_a") + F.col("m_b")))
-        ends = pairs.select(key, F.explode(F.array("idx_a", "idx_b")).alias("idx"), F.struct("cost", F.col("idx_a").alias("a"), F.col("idx_b").alias("b")).alias("o"))
-        best = ends.groupBy(key, "idx").agg(F.min("o").alias("o"))
-        met = kept(best.groupBy(key, "o").agg(F.count("*").alias("times")).where("times = 2").select(key, "o.cost", "o.a", "o.b"))
-        if met.isEmpty():
-            break
-        unions.append(met.select(key, "cost"))
-        moved = now.join(met.select(key, F.col("b").alias("idx"), "a"), [key, "idx"], "left").withColumn("to", F.coalesce("a", "idx"))
-        now = kept(moved.groupBy(key, "to").agg(*(F.sum(F.col(f"p{i}") * F.col("m")).alias(f"s{i}") for i in range(width)), F.sum("m").alias("m")).select(key, F.col("to").alias("idx"), "m", *((F.col(f"s{i}") / F.col("m")).alias(f"p{i}") for i in range(width))))
-    top = start.select(key, F.col("n").cast("int").alias("colours"), F.col("base").alias("sse"))
-    if not unions:
-        return top
-    every = unions[0]
-    for more in unions[1:]:
-        every = every.union(more)
-    line = Window.partitionBy(key).orderBy("cost").rowsBetween(Window.unboundedPreceding, 0)  # fewer rows than a palette's
-    steps = every.withColumns({"nth": F.count("*").over(line), "more": F.sum("cost").over(line)}).join(start, key)
-    return top.union(steps.select(key, (F.col("n") - F.col("nth")).cast("int").alias("colours"), (F.col("base") + F.col("more")).alias("sse")).where("colours >= 2"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["idx"].to_numpy())
+        m, at = rows["count"].to_numpy().astype(float)[order], np.stack([rows[p].to_numpy() for p in parts], axis=1)[order]
+        n, error, alive = len(m), [float(rows["sse"].to_numpy().sum())], np.ones(len(m), bool)
+        costs = np.full((n, n), np.inf)
+
+        def cost(i: int, others: np.ndarray) -> np.ndarray:
+            return ((at[others] - at[i]) ** 2).sum(axis=1) * m[others] * m[i] / (m[others] + m[i])
+
+        for i in range(n - 1):
+            costs[i, i + 1 :] = cost(i, np.arange(i + 1, n))
+        for _ in range(n - 2):
+            i, j = np.unravel_index(costs.argmin(), costs.shape)
+            error.append(error[-1] + costs[i, j])
+            at[i] = (at[i] * m[i] + at[j] * m[j]) / (m[i] + m[j])
+            m[i] += m[j]
+            alive[j] = False
+            costs[j], costs[:, j] = np.inf, np.inf
+            rest = np.flatnonzero(alive)
+            rest = rest[rest != i]
+            costs[np.minimum(i, rest), np.maximum(i, rest)] = cost(i, rest)
+        return pa.table({key: rows[key].combine_chunks().take(pa.array([0] * len(error))), "colours": pa.array(np.arange(n, n - len(error), -1, dtype=np.int32)), "sse": pa.array(error)})
+
+    return entries.select(key, "idx", F.col("count").cast("double").alias("count"), "sse", *parts).groupBy(key).applyInArrow(run, f"{key} {dict(entries.dtypes)[key]}, colours int, sse double")
 
 
 def predicted(blocks: Blocks, start: int = 48) -> DataFrame:
     """(key, low, suggested, high, ceiling): how many colours each key needs, by the gain of one more in root mean square error."""
     key = blocks.key
-    curve = ward(kept(blocks.used(kmeans(blocks, start))), key, blocks.parts)
+    curve = ward(blocks.clusters(start), key, blocks.parts)
     cells = blocks.rows.groupBy(key).agg(F.sum(F.aggregate("w", F.lit(0.0), lambda s, x: s + x)).alias("cells"))
     error = curve.join(cells, key).withColumn("rmse", F.sqrt(F.col("sse") / F.col("cells")))
     gain = F.lag("rmse").over(Window.partitionBy(key).orderBy("colours")) - F.col("rmse")
