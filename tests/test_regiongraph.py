@@ -30,3 +30,13 @@ def test_small_regions_in_their_order(spark, find):
         changed += int((want != labels).sum())
         assert {(y, x): int(v) if v != K.EMPTY else None for (y, x), v in np.ndenumerate(want)} == {(y, x): v for (k, y, x), v in got.items() if k == c}
     assert len(got) == len(rows) and changed > 50
+
+
+def test_cells_and_regions_are_never_broadcast(spark):
+    rows = [(1, y, x, (x // 2 + y // 3) % 3, x / 7.0) for y in range(6) for x in range(8)]
+    cells = spark.createDataFrame(rows, "chart_id long, y long, x long, label int, p double").repartition(2)
+    _, nodes, _ = R.graph(cells, ["chart_id"], ["p"])
+    assert "BroadcastHashJoin" not in nodes._jdf.queryExecution().executedPlan().toString()
+    palette = spark.createDataFrame([(1, i, i / 3.0) for i in range(3)], "chart_id long, idx int, p double")
+    done = R.recoloured(cells, palette, ["chart_id"], ["p"], 2)
+    assert done.count() == len(rows)
