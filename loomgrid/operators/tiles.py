@@ -4,6 +4,9 @@ A cell reads what the cells before it in reading order have become, so cells wit
 tiles with the same column + 2 row: of what such a tile reads, the tiles above, to the left and to the upper right have had their
 turn and the others not.  A round decides the tiles of one such line, of all charts; each gets the border cells of its eight
 neighbours.  A task holds one tile; the labels are those of one sweep over the whole plane, whatever the tiles' size.
+
+A plane that one tile holds has no neighbours to wait for: it takes all passes where it lies, many such planes at once, a line of all of
+them at a time.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from loomgrid.operators.grid import kept
 
 #: Cells on a tile's side.
 SIDE = 256
+#: Cells of small planes that are swept at once, and that one task takes.
+HELD, TASK = 1 << 18, 1 << 19
 AROUND = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
 _STATE = "labels binary, dirty binary, top binary, bottom binary, lefts binary, rights binary, moved boolean"
 
@@ -106,12 +111,136 @@ def _halo(grid: np.ndarray, near: list[dict]) -> np.ndarray:
     return new
 
 
+def sweep_many(labels: list[np.ndarray], labs: list[np.ndarray], palettes: list[np.ndarray], weights: tuple[float, float, float], passes: int) -> list[np.ndarray]:
+    """``kernels.settle`` of many planes at once: what it decides for a line of one plane, this decides for that line of all."""
+    n, h, w, k = len(labels), max(len(g) for g in labels), max(g.shape[1] for g in labels), max(1, *(len(p) for p in palettes))
+    colour, smoothness, edge_loss = weights
+    width = labs[0].shape[2]
+    grid, costs, lab = np.full((n, h + 2, w + 2), kernels.EMPTY), np.zeros((8, n, h, w)), np.zeros((n, h, w, width))
+    colours, missing = np.zeros((n, k, width)), np.ones((n, k), bool)
+    for i, (g, at, p) in enumerate(zip(labels, labs, palettes, strict=True)):
+        b, a = g.shape
+        grid[i, 1 : b + 1, 1 : a + 1], lab[i, :b, :a] = g, at
+        costs[:, i, :b, :a] = kernels.pair_costs(kernels.pair_evidence(at), smoothness, edge_loss)
+        colours[i, : len(p)], missing[i, : len(p)] = p, False
+    filled = grid != kernels.EMPTY
+    dirty = filled.copy()
+    lines = [(y, line - 2 * y) for line in range(w + 2 * h - 2) for y in [np.arange(max(0, -(-(line - w + 1) // 2)), min(h - 1, line // 2) + 1)]]
+    for _ in range(passes):
+        if not dirty.any():
+            break
+        for ys, xs in lines:
+            c, i = np.nonzero(dirty[:, ys + 1, xs + 1])
+            if not len(c):
+                continue
+            y, x = ys[i], xs[i]
+            dirty[c, y + 1, x + 1] = False
+            same, total, each = np.zeros((len(c), k)), np.zeros(len(c)), np.arange(len(c))
+            for o, (dx, dy, _) in enumerate(kernels.OFFSETS):
+                near = grid[c, y + 1 + dy, x + 1 + dx]
+                cost = np.where(near == kernels.EMPTY, 0.0, costs[o, c, y, x])
+                same[each, np.maximum(near, 0)] += cost
+                total += cost
+            far, mine = np.zeros((len(c), k)), lab[c, y, x]
+            for j in range(width):
+                d = mine[:, j, None] - colours[c, :, j]
+                d *= d
+                far += d
+            energy = colour * far + total[:, None] - same
+            energy[missing[c]] = np.inf
+            best = energy.argmin(axis=1)
+            moved = best != grid[c, y + 1, x + 1]
+            if moved.any():
+                c, y, x = c[moved], y[moved], x[moved]
+                grid[c, y + 1, x + 1] = best[moved]
+                for dx, dy, _ in kernels.OFFSETS:
+                    dirty[c, y + 1 + dy, x + 1 + dx] = filled[c, y + 1 + dy, x + 1 + dx]
+    return [grid[i, 1 : len(g) + 1, 1 : g.shape[1] + 1] for i, g in enumerate(labels)]
+
+
+def _whole(cells: DataFrame, palettes: DataFrame, key: str, parts: list[str], weights: tuple[float, float, float], passes: int, tasks: int) -> DataFrame:
+    """``settled`` of planes that one tile holds: a plane's colours and then its cells come to one task, which holds ``HELD`` cells of planes."""
+    kind = dict(cells.dtypes)[key]
+    values = [F.col(p).cast("double").alias(p) for p in parts]
+    one = palettes.select(key, F.lit(0).alias("_cell"), F.lit(0).cast("long").alias("y"), F.col("idx").cast("long").alias("x"), F.lit(0).alias("label"), *values)
+    two = cells.where("label is not null").select(key, F.lit(1).alias("_cell"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("label").cast("int").alias("label"), *values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []  # (key as an array of one, y, x, first y, first x, labels, lab, palette)
+        open_: list[pa.RecordBatch] = []  # of the plane that is still coming
+        tall = wide = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                done = sweep_many([v[5] for v in waiting], [v[6] for v in waiting], [v[7] for v in waiting], weights, passes)
+                for (name, y, x, top, left, *_), grid in zip(waiting, done, strict=True):
+                    yield pa.RecordBatch.from_arrays([name.take(pa.array(np.zeros(len(y), np.int64))), pa.array(y), pa.array(x), pa.array(grid[y - top, x - left].astype(np.int32))], names=[key, "y", "x", "label"])
+                waiting.clear()
+
+        def plane() -> tuple | None:
+            rows = pa.Table.from_batches(open_)
+            at = np.stack([rows[p].to_numpy() for p in parts], axis=1).astype(float)
+            cell = rows["_cell"].to_numpy() == 1
+            y, x = rows["y"].to_numpy()[cell], rows["x"].to_numpy()[cell]
+            if not len(y) or cell.all():  # nothing to settle, or no colour to take
+                return None
+            top, left = int(y.min()), int(x.min())
+            shape = (int(y.max()) - top + 1, int(x.max()) - left + 1)
+            labels, lab = np.full(shape, kernels.EMPTY), np.full((*shape, len(parts)), np.nan)
+            labels[y - top, x - left], lab[y - top, x - left] = rows["label"].to_numpy()[cell], at[cell]
+            order = np.argsort(rows["x"].to_numpy()[~cell], kind="stable")
+            return rows[key].combine_chunks().slice(0, 1), y, x, top, left, labels, lab, at[~cell][order]
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal tall, wide
+            found = plane() if open_ else None
+            open_.clear()
+            if found:
+                h, w = found[5].shape
+                if waiting and (len(waiting) + 1) * max(tall, h) * max(wide, w) > HELD:
+                    yield from flush()
+                    tall = wide = 0
+                tall, wide = max(tall, h), max(wide, w)
+                waiting.append(found)
+
+        for batch in batches:
+            keys = batch.column(0)
+            cuts = [0, *(np.flatnonzero(keys.slice(1).to_numpy(zero_copy_only=False) != keys.slice(0, len(keys) - 1).to_numpy(zero_copy_only=False)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    if open_ and open_[-1].column(0)[0] != keys[a]:
+                        yield from closed()
+                    open_.append(batch.slice(a, b - a))
+        yield from closed()
+        yield from flush()
+
+    dealt = one.union(two).repartition(tasks, key).sortWithinPartitions(key, "_cell")
+    return dealt.mapInArrow(run, f"{key} {kind}, y long, x long, label int")
+
+
 def settled(cells: DataFrame, palettes: DataFrame, key: str, parts: list[str], weights: tuple[float, float, float], passes: int = 8, side: int = SIDE) -> DataFrame:
     """(key, y, x, label) after energy minimisation, from cells (key, y, x, label, parts) and palettes (key, idx, parts), idx from 0 on.
 
     Colour distance and the cost of differing neighbours, least energy first, lower label on a tie, in reading order, until a pass changes
     nothing.  An empty cell has a null label and stays empty.
     """
+    span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    planes = kept(cells.where("label is not null").groupBy(key).agg((span < side).alias("lone"), F.count("*").alias("n")))
+    size = {r["lone"]: r["n"] for r in planes.groupBy("lone").agg(F.sum("n").alias("n")).collect()}
+    empty = cells.where("label is null").select(key, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.lit(None).cast("int").alias("label"))
+    found = []
+    for lone, cells_of in size.items():
+        mine, colours = cells, palettes
+        if len(size) > 1:
+            held = planes.where("lone" if lone else "not lone").select(key)
+            mine, colours = (rows.join(held, key, "left_semi") for rows in (cells, palettes))
+        tasks = max(cells.sparkSession.sparkContext.defaultParallelism, -(-cells_of // TASK))
+        found.append(_whole(mine, colours, key, parts, weights, passes, tasks) if lone else _tiled(mine, colours, key, parts, weights, passes, side))
+    return reduce(DataFrame.union, found, empty)
+
+
+def _tiled(cells: DataFrame, palettes: DataFrame, key: str, parts: list[str], weights: tuple[float, float, float], passes: int, side: int) -> DataFrame:
+    """``settled`` of planes of any size, without their empty cells."""
     width, kind = len(parts), dict(cells.dtypes)[key]
     colours = palettes.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.array(*parts).alias("at")))), lambda x: x["at"])).alias("c"))
     tiles = kept(cut(cells, key, parts, side).join(colours, key))
@@ -171,6 +300,4 @@ def settled(cells: DataFrame, palettes: DataFrame, key: str, parts: list[str], w
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array([i] * len(y))), pa.array(y + tj * side), pa.array(x + ti * side), pa.array(grid[y, x].astype(np.int32))], names=[key, "y", "x", "label"])
 
     done = reduce(DataFrame.union, [s.select(*tile, "labels") for s in state.values()]) if state else tiles.select(*tile, "labels")
-    filled = done.mapInArrow(spread, f"{key} {kind}, y long, x long, label int")
-    empty = cells.where("label is null").select(key, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.lit(None).cast("int").alias("label"))
-    return filled.union(empty)
+    return done.mapInArrow(spread, f"{key} {kind}, y long, x long, label int")
