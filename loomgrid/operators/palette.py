@@ -71,7 +71,7 @@ def named(colours: DataFrame, names: DataFrame, parts: list[str], key: str = "ch
     that it may get; those are found once for each distinct colour.  Equal pairs go to the lowest idx, then to the first name.
     """
     most = colours.groupBy(key).count().agg(F.max("count")).first()[0] or 1
-    found = lists.nearest_lists(colours.select(*parts).distinct(), names.select("name", *parts), parts, idx="name", k=most)
+    found = lists.nearest_lists(colours.select(*parts).distinct(), names.select("name", *parts), parts, idx="name", k=most, apart=True)
     near = found.select(*parts, F.explode("near").alias("n")).select(*parts, F.col("n.d").alias("d"), F.col("n.idx").alias("name"))
     pairs = colours.select(key, "idx", *parts).join(near, parts).select(key, "idx", "name", "d")
     return lists.matched(pairs, [key], "idx", "name", "d").select(key, "idx", "name")
