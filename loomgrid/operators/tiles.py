@@ -214,7 +214,8 @@ def _whole(cells: DataFrame, palettes: DataFrame, key: str, parts: list[str], we
         yield from closed()
         yield from flush()
 
-    dealt = one.union(two).repartition(tasks, key).sortWithinPartitions(key, "_cell")
+    # by the key's hash, not the key: Spark 4.1.2 takes a union of sides that are dealt by the key for dealt, and then lets each merge its parts
+    dealt = one.union(two).repartition(tasks, F.xxhash64(key)).sortWithinPartitions(key, "_cell")
     return dealt.mapInArrow(run, f"{key} {kind}, y long, x long, label int")
 
 
