@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,24 +212,78 @@ def read_names(lines: DataFrame, line: str = "value") -> DataFrame:
 # ---------------------------------------------------------------- rasters of charts
 
 
-def _raster(rows: pd.DataFrame, size: int) -> bytes:
-    h, w = int(rows["y"].max()) + 1, int(rows["x"].max()) + 1
-    out = np.zeros((h, w, 4), np.uint8)
-    filled = rows[rows["r"].notna()]
-    for i, c in enumerate("rgb"):
-        out[filled["y"], filled["x"], i] = filled[c].astype(int)
-    out[filled["y"], filled["x"], 3] = 255
-    return images.encode_png(np.repeat(np.repeat(out, size, axis=0), size, axis=1))
+def _drawn(cell_rows: DataFrame, palette_rows: DataFrame, key: str, page: list[str], size: int) -> DataFrame:
+    """(key, page, png): a picture for each key and page, a square of ``size`` pixels a cell; cells without a label or a colour are clear.
+
+    A chart's palette and then its cells come as lines to one task, and pictures are put together from lines that follow each other: a
+    task holds one picture, and no row of a cell carries a colour.
+    """
+    of = [key, *page]
+    cells = cell_rows.select(*of, F.col("y").cast("int").alias("y"), F.struct(F.col("x").cast("int").alias("x"), F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("l")).alias("v"))
+    colours = palette_rows.groupBy(key).agg(F.collect_list(F.struct("idx", "r", "g", "b")).alias("p"))
+    entry = F.transform("p", lambda p: F.struct(*(p[c].cast("int").alias(c) for c in ("idx", "r", "g", "b"))))
+    line = cells.groupBy(*of, "y").agg(F.collect_list("v").alias("v")).withColumn("p", F.lit(None).cast("array<struct<idx:int,r:int,g:int,b:int>>"))
+    kinds = dict(line.dtypes)
+    first = colours.select(*(F.col(c) if c == key else F.lit(None).cast(kinds[c]).alias(c) for c in of), F.lit(None).cast("int").alias("y"), F.lit(None).cast(kinds["v"]).alias("v"), entry.alias("p"))
+    # A number of parts of its own: lines are short for the work that they make, and parts of a usual size would be few.  By the key's
+    # hash, not the key: Spark 4.1.2 takes a union of sides that are dealt by the key for dealt, and then lets each side merge its parts.
+    tasks = max(cell_rows.sparkSession.sparkContext.defaultParallelism, int(cell_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = line.union(first).repartition(tasks, F.xxhash64(key)).sortWithinPartitions(key, F.col("y").isNotNull(), *page)
+
+    def picture(rows: list[tuple[int, np.ndarray, np.ndarray]], palette: list[dict]) -> bytes:
+        top = min(y for y, _, _ in rows) if page else 0
+        left = min(int(x.min()) for _, x, _ in rows) if page else 0
+        labels = np.full((max(y for y, _, _ in rows) + 1 - top, max(int(x.max()) for _, x, _ in rows) + 1 - left), -1)
+        for y, x, v in rows:
+            labels[y - top, x - left] = v
+        table = np.zeros((max((p["idx"] for p in palette), default=-1) + 2, 4), np.uint8)  # the last is clear
+        for p in palette:
+            table[p["idx"]] = (p["r"], p["g"], p["b"], 255)
+        labels[labels >= len(table)] = -1
+        return images.encode_png(np.repeat(np.repeat(table[labels], size, axis=0), size, axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, palette, mine, known, rows, done, kinds = None, [], None, [], [], [], []
+
+        def told() -> pa.RecordBatch:
+            out = [pa.array([n[i] for n, _ in done], k) for i, k in enumerate(kinds)] + [pa.array([d for _, d in done], pa.binary())]
+            done.clear()
+            return pa.RecordBatch.from_arrays(out, names=[*of, "png"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in of]
+            names = list(zip(*(batch.column(c).to_pylist() for c in of), strict=True))
+            v = batch.column("v")
+            ends, x, label = v.offsets.to_numpy(), v.values.field("x").to_numpy(), v.values.field("l").to_numpy()
+            for i, (name, y) in enumerate(zip(names, batch.column("y").to_pylist(), strict=True)):
+                if y is None:
+                    mine, known = name[0], batch.column("p")[i].as_py()
+                    continue
+                if not rows or name != now:
+                    if rows:
+                        done.append((now, picture(rows, palette)))
+                    now, rows, palette = name, [], known if mine == name[0] else []
+                # copies: the batch is gone when the picture goes on in the next
+                rows.append((y, x[ends[i] : ends[i + 1]].copy(), label[ends[i] : ends[i + 1]].copy()))
+            if done:
+                yield told()
+        if rows:
+            done.append((now, picture(rows, palette)))
+            yield told()
+
+    schema = ", ".join(f"{c} {dict(cell_rows.dtypes)[c]}" for c in of)
+    return dealt.mapInArrow(run, f"{schema}, png binary")
 
 
 def write_png(cell_rows: DataFrame, palette_rows: DataFrame, key: str = "chart_id", size: int = 1) -> DataFrame:
     """(key, png): a square of ``size`` pixels a cell, empty cells clear."""
-    coloured = cell_rows.join(palette_rows.select(key, F.col("idx").alias("label"), "r", "g", "b"), [key, "label"], "left")
-    return coloured.select(key, "y", "x", "r", "g", "b").groupBy(key).applyInPandas(lambda rows: pd.DataFrame({key: [rows[key].iloc[0]], "png": [_raster(rows, size)]}), f"{key} long, png binary")
+    return _drawn(cell_rows, palette_rows, key, [], size)
 
 
 def read_pixel_art(pixel_rows: DataFrame, key: str = "photo_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells, palette, refused): a pixel a cell; labels by luminance, then by first place.  A picture with a half-clear pixel or over 100 colours is refused."""
+    # what made the pixels, a decoder perhaps, runs once, not for each of their three uses
+    pixel_rows = grid.kept(pixel_rows)
     spoiled = pixel_rows.groupBy(key).agg(F.max((~F.col("a").isin(0, 255)).cast("int")).alias("half"), F.countDistinct(F.when(F.col("a") == 255, F.struct("r", "g", "b"))).alias("colours"))
     refused = spoiled.select(key, F.when(F.col("half") == 1, "half-clear").when(F.col("colours") > 100, "too-many-colours").alias("why")).where("why is not null")
     good = pixel_rows.join(refused, key, "left_anti")
@@ -255,15 +310,8 @@ def write_zip(pages: DataFrame, key: str, name: str, data: str) -> DataFrame:
 def write_pages(cell_rows: DataFrame, palette_rows: DataFrame, size: tuple[int, int], per_page: tuple[int, int], overlap: int = 0, key: str = "chart_id") -> DataFrame:
     """(key, zip): each chart cut into overlapping pages, a PNG a page named by its letter and number."""
     shown = grid.onto_pages(cell_rows, cell_rows.sparkSession, size, per_page, overlap)
-    coloured = shown.join(palette_rows.select(key, F.col("idx").alias("label"), "r", "g", "b"), [key, "label"], "left")
-    named = coloured.withColumn("name", F.concat(scalars.page_letter(F.col("page_y")), F.col("page_x") + 1, F.lit(".png")))
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(y=rows["y"] - rows["y"].min(), x=rows["x"] - rows["x"].min())
-        return pd.DataFrame({key: [rows[key].iloc[0]], "name": [rows["name"].iloc[0]], "png": [_raster(rows, 4)]})
-
-    pictures = named.select(key, "name", "y", "x", "r", "g", "b").groupBy(key, "name").applyInPandas(draw, f"{key} long, name string, png binary")
-    return write_zip(pictures, key, "name", "png")
+    named = shown.withColumn("name", F.concat(scalars.page_letter(F.col("page_y")), F.col("page_x") + 1, F.lit(".png")))
+    return write_zip(_drawn(named, palette_rows, key, ["name"], 4), key, "name", "png")
 
 
 def two_label(cell_rows: DataFrame, first: int) -> DataFrame:

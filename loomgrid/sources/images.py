@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,20 +190,20 @@ def decode_png(data: bytes) -> np.ndarray:
 def pixels(images: DataFrame, key: str = "photo_id", content: str = "content") -> DataFrame:
     """(key, y, x, r, g, b, a), a row for each pixel of each PNG; a picture at a time, its rows in slices."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch[key], batch[content], strict=True):
-                rgba = decode_png(bytes(data))
-                step = max(1, 500_000 // rgba.shape[1])
-                for top in range(0, rgba.shape[0], step):
+            for i in range(batch.num_rows):
+                rgba = decode_png(batch.column(1)[i].as_py())
+                h, w = rgba.shape[:2]
+                step = max(1, 500_000 // w)
+                for top in range(0, h, step):
                     part = rgba[top : top + step]
-                    y, x = np.indices(part.shape[:2])
-                    frame = pd.DataFrame({key: name, "y": y.ravel() + top, "x": x.ravel()})
-                    for i, c in enumerate("rgba"):
-                        frame[c] = part[..., i].ravel().astype(np.int32)
-                    yield frame
+                    n = len(part) * w
+                    name = pa.repeat(batch.column(0)[i], n)
+                    places = np.repeat(np.arange(top, top + len(part)), w), np.tile(np.arange(w), len(part))
+                    yield pa.RecordBatch.from_arrays([name, *map(pa.array, places), *(pa.array(part[..., c].ravel().astype(np.int32)) for c in range(4))], names=[key, "y", "x", *"rgba"])
 
-    return images.select(key, content).mapInPandas(run, f"{key} string, y long, x long, r int, g int, b int, a int")
+    return images.select(F.col(key).cast("string").alias(key), content).mapInArrow(run, f"{key} string, y long, x long, r int, g int, b int, a int")
 
 
 def from_rgba(images: DataFrame, key: str, width: str, height: str, data: str) -> DataFrame:

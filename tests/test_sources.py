@@ -123,6 +123,46 @@ def test_palettes_pixel_art_png_and_zip(spark):
     assert bytes(zipped)[:2] == b"PK"
 
 
+def test_pictures_come_from_lines(spark):
+    """Charts of any place and size, cut by batches; labels without a colour and charts without a palette are clear."""
+    import io
+    import zipfile
+
+    rng = np.random.default_rng(4)
+    planes = {c: rng.integers(-1, 5, (3 + c, 9 - c)) for c in range(5)}
+    cells = spark.createDataFrame([(c, y, x, int(v) if v >= 0 else None) for c, g in planes.items() for (y, x), v in np.ndenumerate(g)], "chart_id int, y long, x long, label int")
+    palette = spark.createDataFrame([(c, i, 60 * i, 7, 255) for c in range(4) for i in (0, 1, 3)], "chart_id int, idx int, r long, g long, b long")
+    table = np.array([(0, 7, 255, 255), (60, 7, 255, 255), (0, 0, 0, 0), (180, 7, 255, 255), (0, 0, 0, 0), (0, 0, 0, 0)], np.uint8)
+    want = {c: table[g] if c < 4 else np.zeros((*g.shape, 4), np.uint8) for c, g in planes.items()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        drawn = charts.write_png(cells, palette, size=2)
+        plan = drawn._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and plan.count("MapInArrow") == 1
+        assert {r.chart_id: images.decode_png(bytes(r.png)).tolist() for r in drawn.collect()} == {c: p.repeat(2, 0).repeat(2, 1).tolist() for c, p in want.items()}
+        packed = charts.write_pages(cells.where("chart_id = 2"), palette, (7, 5), (4, 4), 1).first().zip
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with zipfile.ZipFile(io.BytesIO(bytes(packed))) as archive:
+        pages = {n: images.decode_png(archive.read(n)).tolist() for n in archive.namelist()}
+    cut = {"A1": (0, 4, 0, 4), "A2": (0, 4, 3, 7), "B1": (3, 5, 0, 4), "B2": (3, 5, 3, 7)}
+    assert pages == {f"{n}.png": want[2][a:b, c:d].repeat(4, 0).repeat(4, 1).tolist() for n, (a, b, c, d) in cut.items()}
+
+
+def test_pixel_art_decodes_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+    picture = images.encode_png(np.full((2, 3, 4), 255, np.uint8))
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    files = spark.createDataFrame([("a", bytearray(picture))], "photo_id string, content binary").mapInArrow(counted, "photo_id string, content binary")
+    cells, _, _ = charts.read_pixel_art(images.pixels(files))
+    assert cells.where("label = 0").count() == 6 and runs.value == 1
+
+
 def test_exports_of_every_kind(spark):
     import io
     import zipfile
