@@ -26,6 +26,7 @@ import json
 import os
 import re
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -51,7 +52,7 @@ from loomgrid.sources import charts, images
 
 CHUNK = 1 << 16
 PARTITION_BYTES = 32 << 20
-PARTITION_FILES = 4096
+PARTITION_FILES = 1024
 MAX_JSON = 256 << 20
 BLOCK = 1 << 16
 Block = dict[str, Any]
@@ -543,6 +544,18 @@ class ThreadSink(Sink):
 SINKS = {"chart_json": JsonSink, "chart_oxs": OxsSink, "chart_png": PngSink, "chart_pages": PagesSink, "thread_list": ThreadSink}
 
 
+def _rows(batch: pa.RecordBatch, kind: str) -> Iterator[dict]:
+    """The rows of a batch; the labels of pictures stay arrays, as numbers by themselves would take most of the time."""
+    if kind not in ("chart_png", "chart_pages"):
+        yield from batch.to_pylist()
+        return
+    labels = batch.column("labels")
+    ends, flat = labels.offsets.to_numpy(), labels.values.to_numpy(zero_copy_only=False)
+    names = [n for n in batch.schema.names if n != "labels"]
+    for i, values in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
+        yield {**dict(zip(names, values, strict=True)), "labels": flat[ends[i] : ends[i + 1]]}
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """The files of one task that succeeded: where they are and their names."""
@@ -560,7 +573,6 @@ class FileWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = place(self.path)
         folder = f"{path}/{self.work}/{uuid.uuid4().hex}"  # an attempt's own
-        system.create_dir(folder, recursive=True)
         done: list[tuple[str, str]] = []
         names: set[str] = set()
         name = out = sink = None
@@ -571,13 +583,15 @@ class FileWriter(DataSourceArrowWriter):
                 out.close()
 
         for batch in iterator:
-            for row in batch.to_pylist():
+            for row in _rows(batch, self.kind):
                 if sink is None or row["file"] != name:
                     close()
                     name = row["file"]
                     if not name or "/" in name or name.startswith((".", "_")) or name in names:
                         raise ValueError(f"{name!r} is no name of a file, or its rows do not follow each other")
                     names.add(name)
+                    if not done:  # a task without rows leaves nothing, also after an abort
+                        system.create_dir(folder, recursive=True)
                     done.append((f"{folder}/{len(done)}", name + ENDINGS[self.kind]))
                     out = system.open_output_stream(done[-1][0], compression=None)
                     sink = SINKS[self.kind](out, row)
@@ -601,7 +615,9 @@ class FileWriter(DataSourceArrowWriter):
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._clear()
+        for _ in range(5):  # tasks that are being stopped may still write
+            self._clear()
+            time.sleep(0.2)
 
     def _clear(self) -> None:
         system, path = place(self.path)
@@ -667,18 +683,22 @@ def register(spark: SparkSession) -> SparkSession:
 
 
 def _with_palette(rows: DataFrame, palette_rows: DataFrame, key: str, first: Column) -> DataFrame:
-    """A chart's palette on its first row; one entry a label, at most 100 a chart."""
+    """A chart's palette on its first row; one entry a label, at most 100 a chart.  The key becomes the file's name.
+
+    Up to here all is by the key, so that charts that lie together by it stay where they are; palettes are as many as charts, and are
+    never broadcast.
+    """
     entry = F.struct("idx", *(F.col(c).cast("int").alias(c) for c in "rgb"), "symbol", "name")
-    colours = palette_rows.groupBy(F.col(key).cast("string").alias("file")).agg(F.array_sort(F.collect_list(entry)).alias("palette"))
-    return rows.join(colours, "file", "left").withColumn("palette", F.when(first, F.col("palette")))
+    colours = palette_rows.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(entry)).alias("palette")).hint("merge")
+    return rows.join(colours, "_key", "left").withColumns({"file": F.col("_key").cast("string"), "palette": F.when(first, F.col("palette"))}).drop("_key")
 
 
 def lines(cell_rows: DataFrame, palette_rows: DataFrame, key: str = "chart_id") -> DataFrame:
     """A row for each line of each chart, for the formats of one chart a file; every place of the grid needs a row, null labels are empty."""
     label = F.coalesce(F.col("label"), F.lit(charts.EMPTY)).cast("int").alias("l")
-    rows = cell_rows.select(F.col(key).cast("string").alias("file"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), label).repartition("file")
-    row = rows.groupBy("file", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "l"))), lambda v: v["l"]).alias("labels"))
-    whole = row.withColumns({"width": F.size("labels"), "height": F.max("y").over(Window.partitionBy("file")) + 1})
+    rows = cell_rows.select(F.col(key).alias("_key"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), label)
+    row = rows.groupBy("_key", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "l"))), lambda v: v["l"]).alias("labels"))
+    whole = row.withColumns({"width": F.size("labels"), "height": F.max("y").over(Window.partitionBy("_key")) + 1})
     return _with_palette(whole, palette_rows, key, F.col("y") == 0)
 
 
@@ -687,11 +707,11 @@ def page_lines(cell_rows: DataFrame, palette_rows: DataFrame, size: tuple[int, i
     shown = grid.onto_pages(cell_rows, cell_rows.sparkSession, size, per_page, overlap)
     label = F.coalesce(F.col("label"), F.lit(charts.EMPTY)).cast("int").alias("l")
     named = F.concat(scalars.page_letter(F.col("page_y")), F.col("page_x") + 1, F.lit(".png"))
-    rows = shown.select(F.col(key).cast("string").alias("file"), "page_y", "page_x", named.alias("name"), F.col("y").cast("int").alias("at"), F.col("x").cast("int").alias("x"), label).repartition("file")
-    line = rows.groupBy("file", "page_y", "page_x", "name", "at").agg(F.min("x").alias("left"), F.transform(F.sort_array(F.collect_list(F.struct("x", "l"))), lambda v: v["l"]).alias("labels"))
-    page = Window.partitionBy("file", "page_y", "page_x")
+    rows = shown.select(F.col(key).alias("_key"), "page_y", "page_x", F.col("y").cast("int").alias("at"), F.col("x").cast("int").alias("x"), label)
+    line = rows.groupBy("_key", "page_y", "page_x", "at").agg(F.min("x").alias("left"), F.transform(F.sort_array(F.collect_list(F.struct("x", "l"))), lambda v: v["l"]).alias("labels"))
+    page = Window.partitionBy("_key", "page_y", "page_x")
     top = F.min("at").over(page)
-    whole = line.withColumns({"width": F.size("labels"), "top": top, "height": F.max("at").over(page) - top + 1, "y": F.col("at") - top}).drop("at")
+    whole = line.withColumns({"name": named, "width": F.size("labels"), "top": top, "height": F.max("at").over(page) - top + 1, "y": F.col("at") - top}).drop("at")
     again = {f"again_{a}": F.when(F.col(f"page_{a}") > 0, F.lit(overlap)).otherwise(F.lit(0)) for a in "xy"}
     return _with_palette(whole.withColumns(again), palette_rows, key, (F.col("page_y") == 0) & (F.col("page_x") == 0) & (F.col("y") == 0))
 
@@ -703,7 +723,9 @@ def saved(rows: DataFrame, path: str, kind: str, overwrite: bool = False) -> str
     """``rows`` of ``lines``, of ``page_lines`` or of threads (file, ord, code, name, hex) written as files; the path."""
     register(rows.sparkSession)
     order = ORDER.get(kind, ("file", "y"))
-    rows.repartition("file").sortWithinPartitions(*order).write.format(kind).mode("overwrite" if overwrite else "append").save(path)
+    # a number of parts of its own: rows are short for the files that they make, and parts of a usual size would be few
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(tasks, "file").sortWithinPartitions(*order).write.format(kind).mode("overwrite" if overwrite else "append").save(path)
     return path
 
 

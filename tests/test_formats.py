@@ -165,3 +165,15 @@ def test_a_file_in_two_tasks_fails(spark, made, tmp_path):
         formats.register(spark)
         twice.write.format("thread_list").mode("append").save(str(tmp_path / "t"))
     assert os.listdir(tmp_path / "t") == []
+
+
+def test_lines_of_charts_that_lie_together_are_dealt_once(spark, sf_dir):
+    """Cells of a chart that are in one task already are not dealt again, only the lines made of them are."""
+    from loomgrid.plans import files
+
+    rows = formats.page_lines(files._plain(spark, sf_dir), files._palette(spark, sf_dir), (48, 36), (20, 20), 3)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "name" in rows.columns and "file" in rows.columns
+    physical = rows._jdf.queryExecution().executedPlan().toString()
+    # suppliers by key, palettes by key; the two short tables of pages are broadcast
+    assert physical.count("Exchange hashpartitioning") == 2
