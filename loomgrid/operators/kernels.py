@@ -6,6 +6,7 @@ recolouring) goes cell by cell.  A chart has at most 2.25 million cells and 100
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -343,45 +344,85 @@ def settle_scales(labels: np.ndarray, lab: np.ndarray, palette: np.ndarray, evid
     return settle(settle(labels, lab, palette, evidence, COARSE), lab, palette, evidence, FINE)
 
 
+def small_of(shape: tuple[int, int]) -> int:
+    """The most cells of a small region."""
+    return 2 if shape[0] * shape[1] < 2500 else 6
+
+
 def recolour_small(labels: np.ndarray, lab: np.ndarray, palette: np.ndarray, small: int | None = None) -> np.ndarray:
     """Regions of a few cells (2 on a small chart, else 6) take, in order, the neighbouring label nearest to their mean colour."""
     h, w = labels.shape
-    small = (2 if h * w < 2500 else 6) if small is None else small
+    small = small_of(labels.shape) if small is None else small
     ids = label_regions(labels)
     out = labels.copy()
-    areas = np.bincount(ids[ids >= 0]) if (ids >= 0).any() else np.zeros(0, int)
-    order = np.argsort(ids.ravel(), kind="stable")
-    starts = np.searchsorted(ids.ravel()[order], np.arange(len(areas) + 1))
-    for region in np.flatnonzero(areas <= small).tolist():
-        cells = order[starts[region] : starts[region + 1]]
-        around = set()
-        for c in cells.tolist():
-            y, x = divmod(c, w)
-            for dy, dx in ((-1, 0), (0, -1), (0, 1), (1, 0)):
-                if 0 <= y + dy < h and 0 <= x + dx < w and ids[y + dy, x + dx] != region and out[y + dy, x + dx] != EMPTY:
-                    around.add(int(out[y + dy, x + dx]))
-        if around:
-            mean = lab.reshape(-1, lab.shape[2])[cells].mean(axis=0)
-            out.ravel()[cells] = min(sorted(around), key=lambda c: ((palette[c] - mean) ** 2).sum())
+    flat, colours, parts = out.ravel(), palette.tolist(), lab.shape[2]
+    of = ids.ravel()
+    areas = np.bincount(of[of >= 0], minlength=1)
+    little = np.flatnonzero((areas <= small) & (areas > 0))
+    cells = np.flatnonzero((of >= 0) & (areas <= small)[np.maximum(of, 0)])
+    cells = cells[np.argsort(of[cells], kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(areas[little])])
+    means = np.zeros((len(little), parts))
+    for area in np.unique(areas[little]).tolist():
+        same = areas[little] == area
+        means[same] = lab.reshape(-1, parts)[cells[starts[:-1][same, None] + np.arange(area)]].mean(axis=1)
+    # the neighbours of a small region's cells in other regions; only small regions change, and no cell is emptied
+    y, x = np.divmod(cells, w)
+    ny, nx = (v[:, None] + np.array(d) for v, d in ((y, (-1, 0, 0, 1)), (x, (0, -1, 1, 0))))
+    near = np.clip(ny, 0, h - 1) * w + np.clip(nx, 0, w - 1)
+    there = (ny >= 0) & (ny < h) & (nx >= 0) & (nx < w) & (of[near] != of[cells][:, None]) & (flat[near] != EMPTY)
+    ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))])[starts].tolist()
+    near, held = near[there].tolist(), flat[near[there]].tolist()
+    became: dict[int, int] = {}
+    for region, mean in enumerate(means.tolist()):
+        a, b = ends[region], ends[region + 1]
+        best, least = None, None
+        for c in sorted({became.get(q, v) for q, v in zip(near[a:b], held[a:b], strict=True)}):
+            d = 0.0
+            for p, m in zip(colours[c], mean, strict=True):
+                d += (p - m) * (p - m)
+            if least is None or d < least:
+                best, least = c, d
+        if best is not None:
+            became.update((cell, best) for cell in cells[starts[region] : starts[region + 1]].tolist())
+    flat[list(became)] = list(became.values())
     return out
 
 
+def _corners(grid: np.ndarray) -> np.ndarray:
+    """(h - 1, w - 1): the squares of four cells in which two of one label touch only at a corner."""
+    a, b, c, d = grid[:-1, :-1], grid[:-1, 1:], grid[1:, :-1], grid[1:, 1:]
+    whole = (a != EMPTY) & (b != EMPTY) & (c != EMPTY) & (d != EMPTY)
+    return whole & (((a == d) & (b != a) & (c != a)) | ((b == c) & (a != b) & (d != b)))
+
+
 def mend_diagonals(labels: np.ndarray, lab: np.ndarray, palette: np.ndarray, ceiling: float = 0.02, passes: int = 4) -> np.ndarray:
-    """Where two cells of one label touch only at a corner, the cheaper of the two between them joins, if it costs less than the ceiling."""
+    """Where two cells of one label touch only at a corner, the cheaper of the two between them joins, if it costs less than the ceiling.
+
+    A pass looks, in reading order, at the squares that have such a corner, and at those that get one from a cell that joined before them.
+    """
     h, w = labels.shape
     grid = labels.copy()
     for _ in range(passes):
-        changed = False
-        for y in range(h - 1):
-            for x in range(w - 1):
-                for (ay, ax), (by, bx), others in (((y, x), (y + 1, x + 1), ((y, x + 1), (y + 1, x))), ((y, x + 1), (y + 1, x), ((y, x), (y + 1, x + 1)))):
-                    c = grid[ay, ax]
-                    if c == EMPTY or grid[by, bx] != c or any(grid[o] in (c, EMPTY) for o in others):
-                        continue
-                    price = [((lab[o] - palette[c]) ** 2).sum() - ((lab[o] - palette[grid[o]]) ** 2).sum() for o in others]
-                    i = int(np.argmin(price))
-                    if price[i] < ceiling:
-                        grid[others[i]], changed = c, True
+        changed, due = False, np.flatnonzero(_corners(grid)).tolist()  # in order, so a heap
+        last = -1
+        while due:
+            at = heapq.heappop(due)
+            if at == last:
+                continue
+            last, (y, x) = at, divmod(at, w - 1)
+            for (ay, ax), (by, bx), others in (((y, x), (y + 1, x + 1), ((y, x + 1), (y + 1, x))), ((y, x + 1), (y + 1, x), ((y, x), (y + 1, x + 1)))):
+                c = grid[ay, ax]
+                if c == EMPTY or grid[by, bx] != c or any(grid[o] in (c, EMPTY) for o in others):
+                    continue
+                price = [((lab[o] - palette[c]) ** 2).sum() - ((lab[o] - palette[grid[o]]) ** 2).sum() for o in others]
+                i = int(np.argmin(price))
+                if price[i] < ceiling:
+                    (oy, ox), changed = others[i], True
+                    grid[oy, ox] = c
+                    for ny, nx in ((ny, nx) for ny in (oy - 1, oy) for nx in (ox - 1, ox) if 0 <= ny < h - 1 and 0 <= nx < w - 1):
+                        if ny * (w - 1) + nx > at:
+                            heapq.heappush(due, ny * (w - 1) + nx)
         if not changed:
             break
     return grid
@@ -397,19 +438,33 @@ def guarded(importance: np.ndarray, empty: np.ndarray | None = None) -> np.ndarr
 
 
 def medoid_filter(lab: np.ndarray, protect: np.ndarray | None = None) -> np.ndarray:
-    """Each cell's 3 × 3 neighbour with the least summed distance to the others, the centre first on a tie; protected cells stay."""
+    """Each cell's 3 × 3 neighbour with the least summed distance to the others, the centre first on a tie; protected cells stay.
+
+    Two neighbours lie at one of twelve steps from each other, so twelve planes of distances hold all that is summed.
+    """
     h, w = lab.shape[:2]
     offsets = [(0, 0)] + [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
-    stack = np.stack([_shifts(lab, dy, dx, np.nan) for dy, dx in offsets])
-    there = ~np.isnan(stack[..., 0])
+    padded = np.full((h + 2, w + 2, lab.shape[2]), np.nan)
+    padded[1:-1, 1:-1] = lab
+    apart = {}
+    for dy, dx in ((dy, dx) for dy in (0, 1, 2) for dx in (-2, -1, 0, 1, 2) if (dy, dx) > (0, 0)):
+        rows, columns = h + 2 - dy, slice(max(0, -dx), w + 2 - max(0, dx))
+        apart[dy, dx] = np.zeros((h + 2, w + 2))
+        if rows > 0 and columns.stop > columns.start:
+            gap = padded[:rows, columns] - padded[dy:, columns.start + dx : columns.stop + dx]
+            apart[dy, dx][:rows, columns] = np.nan_to_num(np.sqrt((gap**2).sum(axis=2)))
+    there = ~np.isnan(padded[..., 0])
     sums = np.zeros((9, h, w))
-    for i in range(9):
-        for j in range(9):
-            d = np.sqrt(((stack[i] - stack[j]) ** 2).sum(axis=2))
-            sums[i] += np.where(there[j], np.nan_to_num(d), 0.0)
-    sums[~there] = np.inf
+    for i, a in enumerate(offsets):
+        for b in offsets:
+            if a != b:
+                (oy, ox), (py, px) = min(a, b), max(a, b)
+                sums[i] += apart[py - oy, px - ox][1 + oy : 1 + oy + h, 1 + ox : 1 + ox + w]
+        sums[i][~there[1 + a[0] : 1 + a[0] + h, 1 + a[1] : 1 + a[1] + w]] = np.inf
     best = sums.argmin(axis=0)
-    out = np.take_along_axis(stack, best[None, :, :, None], axis=0)[0]
+    oy, ox = np.array(offsets).T
+    y, x = np.indices((h, w)) + 1
+    out = padded[y + oy[best], x + ox[best]]
     return out if protect is None else np.where(protect[:, :, None], lab, out)
 
 

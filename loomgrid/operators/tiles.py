@@ -112,49 +112,54 @@ def _halo(grid: np.ndarray, near: list[dict]) -> np.ndarray:
 
 
 def sweep_many(labels: list[np.ndarray], labs: list[np.ndarray], palettes: list[np.ndarray], weights: tuple[float, float, float], passes: int) -> list[np.ndarray]:
-    """``kernels.settle`` of many planes at once: what it decides for a line of one plane, this decides for that line of all."""
+    """``kernels.settle`` of many planes at once: what it decides for a line of one plane, this decides for that line of all.
+
+    Cells go by one number, their place in all padded planes; the costs of a cell's neighbours are added in the neighbours' order.
+    """
     n, h, w, k = len(labels), max(len(g) for g in labels), max(g.shape[1] for g in labels), max(1, *(len(p) for p in palettes))
     colour, smoothness, edge_loss = weights
-    width = labs[0].shape[2]
-    grid, costs, lab = np.full((n, h + 2, w + 2), kernels.EMPTY), np.zeros((8, n, h, w)), np.zeros((n, h, w, width))
-    colours, missing = np.zeros((n, k, width)), np.ones((n, k), bool)
+    width, size = labs[0].shape[2], (h + 2) * (w + 2)
+    grid, costs, lab = np.full((n, h + 2, w + 2), kernels.EMPTY), np.zeros((8, n, h + 2, w + 2)), np.zeros((width, n, h + 2, w + 2))
+    colours, missing = np.zeros((width, n, k)), np.ones((n, k), bool)
     for i, (g, at, p) in enumerate(zip(labels, labs, palettes, strict=True)):
         b, a = g.shape
-        grid[i, 1 : b + 1, 1 : a + 1], lab[i, :b, :a] = g, at
-        costs[:, i, :b, :a] = kernels.pair_costs(kernels.pair_evidence(at), smoothness, edge_loss)
-        colours[i, : len(p)], missing[i, : len(p)] = p, False
+        grid[i, 1 : b + 1, 1 : a + 1], lab[:, i, 1 : b + 1, 1 : a + 1] = g, np.moveaxis(at, 2, 0)
+        costs[:, i, 1 : b + 1, 1 : a + 1] = kernels.pair_costs(kernels.pair_evidence(at), smoothness, edge_loss)
+        colours[:, i, : len(p)], missing[i, : len(p)] = p.T, False
+    grid, costs, lab, short = grid.ravel(), costs.reshape(8, -1), lab.reshape(width, -1), missing.any()
     filled = grid != kernels.EMPTY
     dirty = filled.copy()
-    lines = [(y, line - 2 * y) for line in range(w + 2 * h - 2) for y in [np.arange(max(0, -(-(line - w + 1) // 2)), min(h - 1, line // 2) + 1)]]
+    by_plane = dirty.reshape(n, size)
+    around = np.array([dy * (w + 2) + dx for dx, dy, _ in kernels.OFFSETS])[:, None]
+    lines = [(y + 1) * (w + 2) + line - 2 * y + 1 for line in range(w + 2 * h - 2) for y in [np.arange(max(0, -(-(line - w + 1) // 2)), min(h - 1, line // 2) + 1)]]
     for _ in range(passes):
         if not dirty.any():
             break
-        for ys, xs in lines:
-            c, i = np.nonzero(dirty[:, ys + 1, xs + 1])
+        for places in lines:
+            c, i = np.nonzero(by_plane[:, places])
             if not len(c):
                 continue
-            y, x = ys[i], xs[i]
-            dirty[c, y + 1, x + 1] = False
-            same, total, each = np.zeros((len(c), k)), np.zeros(len(c)), np.arange(len(c))
-            for o, (dx, dy, _) in enumerate(kernels.OFFSETS):
-                near = grid[c, y + 1 + dy, x + 1 + dx]
-                cost = np.where(near == kernels.EMPTY, 0.0, costs[o, c, y, x])
-                same[each, np.maximum(near, 0)] += cost
-                total += cost
-            far, mine = np.zeros((len(c), k)), lab[c, y, x]
+            at = c * size + places[i]
+            dirty[at] = False
+            beside = around + at
+            near = grid[beside]
+            cost = np.where(near == kernels.EMPTY, 0.0, costs[:, at])
+            same = np.bincount((np.arange(len(at)) * k + np.maximum(near, 0)).ravel(), weights=cost.ravel(), minlength=len(at) * k).reshape(-1, k)
+            far = np.zeros((len(at), k))
             for j in range(width):
-                d = mine[:, j, None] - colours[c, :, j]
+                d = lab[j, at][:, None] - colours[j, c]
                 d *= d
                 far += d
-            energy = colour * far + total[:, None] - same
-            energy[missing[c]] = np.inf
+            energy = colour * far + cost.sum(axis=0)[:, None] - same
+            if short:
+                energy[missing[c]] = np.inf
             best = energy.argmin(axis=1)
-            moved = best != grid[c, y + 1, x + 1]
+            moved = best != grid[at]
             if moved.any():
-                c, y, x = c[moved], y[moved], x[moved]
-                grid[c, y + 1, x + 1] = best[moved]
-                for dx, dy, _ in kernels.OFFSETS:
-                    dirty[c, y + 1 + dy, x + 1 + dx] = filled[c, y + 1 + dy, x + 1 + dx]
+                grid[at[moved]] = best[moved]
+                beside = beside[:, moved]
+                dirty[beside] = filled[beside]
+    grid = grid.reshape(n, h + 2, w + 2)
     return [grid[i, 1 : len(g) + 1, 1 : g.shape[1] + 1] for i, g in enumerate(labels)]
 
 
