@@ -514,17 +514,28 @@ def greedy_match(distances: np.ndarray) -> list[tuple[int, int]]:
 
 def quota_top(rows: pd.DataFrame, per_block: int, cap: int, reach: float) -> pd.DataFrame:
     """Strongest first: at most ``per_block`` of each 8 × 8 block and ``cap`` in all, none nearer than ``reach`` to one already taken."""
+    return rows.iloc[quota_places(*(rows[c].to_numpy() for c in ("y", "x", "strength")), per_block, cap, reach)]
+
+
+def quota_places(ys: np.ndarray, xs: np.ndarray, strength: np.ndarray, per_block: int, cap: int, reach: float) -> list[int]:
+    """The numbers of the rows that ``quota_top`` takes."""
     taken: dict[tuple[int, int], list[tuple[float, float]]] = {}
     blocks: dict[tuple[int, int], int] = {}
-    keep = []
-    for i, x, y in rows.sort_values(["strength", "y", "x"], ascending=[False, True, True])[["x", "y"]].itertuples():
-        block, spot = (int(y) // 8, int(x) // 8), (int(y // reach), int(x // reach))
-        near = any((x - a) ** 2 + (y - b) ** 2 < reach * reach for dy in (-1, 0, 1) for dx in (-1, 0, 1) for a, b in taken.get((spot[0] + dy, spot[1] + dx), ()))
-        if len(keep) < cap and blocks.get(block, 0) < per_block and not near:
-            keep.append(i)
-            blocks[block] = blocks.get(block, 0) + 1
-            taken.setdefault(spot, []).append((x, y))
-    return rows.loc[keep]
+    keep: list[int] = []
+    order = np.lexsort((xs, ys, -strength))
+    for i, x, y in zip(order.tolist(), xs[order].tolist(), ys[order].tolist(), strict=True):
+        if len(keep) >= cap:
+            break
+        block = (int(y) // 8, int(x) // 8)
+        if blocks.get(block, 0) >= per_block:
+            continue
+        sy, sx = int(y // reach), int(x // reach)
+        if any((x - a) ** 2 + (y - b) ** 2 < reach * reach for dy in (-1, 0, 1) for dx in (-1, 0, 1) for a, b in taken.get((sy + dy, sx + dx), ())):
+            continue
+        keep.append(i)
+        blocks[block] = blocks.get(block, 0) + 1
+        taken.setdefault((sy, sx), []).append((x, y))
+    return keep
 
 
 def budgeted(lengths: list[float], budget: float) -> list[int]:

@@ -6,19 +6,19 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.operators import grid, kernels, palette, vision
+from loomgrid.operators import grid, kernels, palette, planes, vision
 
 # ---------------------------------------------------------------- overlays
 
-#: Name to the lines that are laid over a picture's light, (x1, y1, x2, y2); they run in this order.
-OVERLAYS: dict[str, Callable[[np.ndarray], pd.DataFrame]] = {
-    "traced-lines": lambda light: pd.DataFrame(vision.trace(light, 1.5, 2.0), columns=["x1", "y1", "x2", "y2"]),
-    "strokes": lambda light: vision.strokes(light)[["x1", "y1", "x2", "y2"]],
+#: Name to the lines that are laid over each of some pictures' light, (lines, 4) of x1, y1, x2, y2; they run in this order.
+OVERLAYS: dict[str, Callable[[list[np.ndarray]], list[np.ndarray]]] = {
+    "traced-lines": lambda lights: [np.array(t, float).reshape(-1, 4) for t in vision.traces(lights, 1.5, 2.0)],
+    "strokes": lambda lights: [np.stack([s[c] for c in ENDS], axis=1) for s in vision.strokes_of(lights)],
 }
+ENDS = ("x1", "y1", "x2", "y2")
 
 
 def overlays(light: DataFrame, names: list[str] | None = None, key: str = "image_id") -> DataFrame:
@@ -27,11 +27,14 @@ def overlays(light: DataFrame, names: list[str] | None = None, key: str = "image
     if names is not None and set(names) - set(OVERLAYS):
         raise ValueError(f"no overlay of the names {sorted(set(names) - set(OVERLAYS))}")
 
-    def run(a: np.ndarray) -> pd.DataFrame:
-        found = [OVERLAYS[n](a[..., 0]).astype(float).assign(overlay=n) for n in chosen]
-        return pd.concat(found)[["overlay", "x1", "y1", "x2", "y2"]] if found else pd.DataFrame(columns=["overlay", "x1", "y1", "x2", "y2"])
+    def run(charts: list[planes.Chart]) -> list[dict[str, np.ndarray]]:
+        lights = [c.grid(0.0)[..., 0] for c in charts]
+        laid = [np.concatenate([np.zeros((0, 5))] + [np.insert(lines, 0, n, axis=1) for n, lines in enumerate(of)]) for of in zip(*(OVERLAYS[n](lights) for n in chosen), strict=True)] if chosen else [np.zeros((0, 5))] * len(charts)
+        return [{"nth": of[:, 0].astype(np.int32)} | {c: of[:, i] for i, c in enumerate(ENDS, 1)} for of in laid]
 
-    return vision.per_picture(light, run, ["light"], "overlay string, x1 double, y1 double, x2 double, y2 double", key)
+    found = planes.by_chart(light, key, ["light"], run, "nth int, " + ", ".join(f"{c} double" for c in ENDS))
+    name = F.element_at(F.array(*(F.lit(n) for n in chosen)) if chosen else F.array().cast("array<string>"), F.col("nth") + 1)
+    return found.select(key, name.alias("overlay"), *ENDS)
 
 
 # ---------------------------------------------------------------- kinds of layers

@@ -5,6 +5,7 @@ Each takes and gives numpy arrays and goes over a whole picture at once; ``per_p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -143,15 +144,28 @@ def gaussian_taps(sigma: float) -> list[np.ndarray]:
 
 
 def gaussian_derivatives(a: np.ndarray, sigma: float) -> dict[str, np.ndarray]:
-    """First and second derivatives of a picture smoothed by a Gaussian, the edges' values repeated."""
+    """First and second derivatives of a picture, or of a stack of pictures, smoothed by a Gaussian, the edges' values repeated."""
     taps = gaussian_taps(sigma)
     r = len(taps[0]) // 2
 
     def run(x: np.ndarray, k: np.ndarray, axis: int) -> np.ndarray:
-        padded = np.pad(x, [(r, r) if i == axis else (0, 0) for i in range(2)], mode="edge")
-        return sum(w * np.take(padded, np.arange(i, i + x.shape[axis]), axis=axis) for i, w in enumerate(k[::-1]))
-
-    return {"x": run(run(a, taps[1], 1), taps[0], 0), "y": run(run(a, taps[0], 1), taps[1], 0), "xx": run(run(a, taps[2], 1), taps[0], 0), "xy": run(run(a, taps[1], 1), taps[1], 0), "yy": run(run(a, taps[0], 1), taps[2], 0)}
+        axis += x.ndim - 2
+        padded = np.pad(x, [(r, r) if i == axis else (0, 0) for i in range(x.ndim)], mode="edge")
+        along = lambda i: padded[(slice(None),) * axis + (slice(i, i + x.shape[axis]),)]
+        return sum(w * along(i) for i, w in enumerate(k[::-1]))
+
+    g, one, two = (run(a, k, 1) for k in taps)
+    return {"x": run(one, taps[0], 0), "y": run(g, taps[1], 0), "xx": run(two, taps[0], 0), "xy": run(one, taps[1], 0), "yy": run(g, taps[2], 0)}
+
+
+def _by_shape(pictures: list[np.ndarray], function: Callable[[np.ndarray], list]) -> list:
+    """A function of a stack of pictures, which gives a value for each, over pictures of any sizes."""
+    out: list = [None] * len(pictures)
+    for shape in dict.fromkeys(a.shape for a in pictures):
+        at = [i for i, a in enumerate(pictures) if a.shape == shape]
+        for i, found in zip(at, function(np.stack([pictures[i] for i in at]).astype(float)), strict=True):
+            out[i] = found
+    return out
 
 
 def ridges(a: np.ndarray, sigma: float, low: float = 1.0, anisotropy: float = 0.6, reach: float = 0.6) -> pd.DataFrame:
@@ -160,7 +174,12 @@ def ridges(a: np.ndarray, sigma: float, low: float = 1.0, anisotropy: float = 0.
     The Hessian's larger eigenvalue in size, times σ², is the strength; the other must be small beside it, and the slope along its
     direction must vanish within ``reach`` of the pixel's middle.
     """
-    d = gaussian_derivatives(a.astype(float), sigma)
+    return pd.DataFrame(_ridges(a.astype(float)[None], sigma, low, anisotropy, reach)[0])
+
+
+def _ridges(stack: np.ndarray, sigma: float, low: float = 1.0, anisotropy: float = 0.6, reach: float = 0.6) -> list[dict[str, np.ndarray]]:
+    """The columns of ``ridges`` of each picture of a stack."""
+    d = gaussian_derivatives(stack, sigma)
     mean, half = (d["xx"] + d["yy"]) / 2, np.hypot((d["xx"] - d["yy"]) / 2, d["xy"])
     one, two = mean + half, mean - half
     large, small = np.where(np.abs(one) >= np.abs(two), one, two), np.where(np.abs(one) >= np.abs(two), two, one)
@@ -171,112 +190,186 @@ def ridges(a: np.ndarray, sigma: float, low: float = 1.0, anisotropy: float = 0.
     strength = np.abs(large) * sigma * sigma
     good = (strength >= low) & (np.abs(small) <= anisotropy * np.abs(large)) & (np.abs(offset * nx) <= reach) & (np.abs(offset * ny) <= reach)
     value = np.where(good, strength, 0.0)
-    h, w = a.shape
-    ys, xs = np.nonzero(good)
-    sy, sx = np.rint(ny[ys, xs]).astype(int), np.rint(nx[ys, xs]).astype(int)
-    side = lambda k: value[np.clip(ys + k * sy, 0, h - 1), np.clip(xs + k * sx, 0, w - 1)]
+    h, w = stack.shape[1:]
+    of, ys, xs = np.nonzero(good)
+    ny, nx = ny[of, ys, xs], nx[of, ys, xs]
+    sy, sx = np.rint(ny).astype(int), np.rint(nx).astype(int)
+    side = lambda k: value[of, np.clip(ys + k * sy, 0, h - 1), np.clip(xs + k * sx, 0, w - 1)]
     back_first = (-sy * w - sx) < 0  # of equal neighbours the one with the lower index stays
-    v = value[ys, xs]
+    v = value[of, ys, xs]
     keep = np.where(back_first, (v > side(-1)) & (v >= side(1)), (v >= side(-1)) & (v > side(1)))
-    return pd.DataFrame({"y": ys[keep], "x": xs[keep], "strength": v[keep], "ny": ny[ys, xs][keep], "nx": nx[ys, xs][keep]})
+    cuts = np.cumsum(np.bincount(of[keep], minlength=len(stack)))[:-1]
+    columns = {c: np.split(x[keep], cuts) for c, x in (("y", ys), ("x", xs), ("strength", v), ("ny", ny), ("nx", nx))}
+    return [{c: x[i] for c, x in columns.items()} for i in range(len(stack))]
+
 
+def chains(points: pd.DataFrame | dict[str, np.ndarray], step: float = 2.0, straight: float = 0.64, alike: float = 0.7) -> list[list[int]]:
+    """Ridge points linked into chains, the strongest first, each point used once; a step goes on about straight to where the line runs alike.
 
-def chains(points: pd.DataFrame, step: float = 2.0, straight: float = 0.64, alike: float = 0.7) -> list[list[int]]:
-    """Ridge points linked into chains, the strongest first, each point used once; a step goes on about straight to where the line runs alike."""
-    p = points[["x", "y"]].to_numpy(float)
-    n = points[["nx", "ny"]].to_numpy(float)
+    Points go one by one as plain numbers, which arrays of two would slow down many times.
+    """
+    xs, ys, nxs, nys = (np.asarray(points[c], float).tolist() for c in ("x", "y", "nx", "ny"))
     squares: dict[tuple[int, int], list[int]] = {}
-    for i, (x, y) in enumerate(p):
+    for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
         squares.setdefault((int(x // step), int(y // step)), []).append(i)
-    free, found = np.ones(len(p), bool), []
+    around: dict[tuple[int, int], list[int]] = {}
+    free, found = [True] * len(xs), []
+
+    def beside(square: tuple[int, int]) -> list[int]:
+        if square not in around:
+            bx, by = square
+            around[square] = [j for spot in ((bx + dx, by + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)) if spot in squares for j in squares[spot]]
+        return around[square]
 
-    def onward(i: int, way: np.ndarray) -> list[int]:
+    def onward(i: int, u: float, v: float) -> list[int]:
         line = []
         while True:
-            bx, by = int(p[i, 0] // step), int(p[i, 1] // step)
-            best, score = None, np.inf
-            for j in (j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in squares.get((bx + dx, by + dy), ()) if free[j]):
-                gap = p[j] - p[i]
-                dist = np.hypot(*gap)
-                cos = float(gap @ way) / dist if dist else 0.0
-                if 0 < dist <= step and cos >= straight and abs(float(n[i] @ n[j])) >= alike and dist * (1.5 - cos) < score:
-                    best, score = j, dist * (1.5 - cos)
+            x, y, nx, ny = xs[i], ys[i], nxs[i], nys[i]
+            best, score = None, math.inf
+            for j in beside((int(x // step), int(y // step))):
+                if not free[j]:
+                    continue
+                gx, gy = xs[j] - x, ys[j] - y
+                dist = math.hypot(gx, gy)
+                if 0 < dist <= step:
+                    cos = (gx * u + gy * v) / dist
+                    if cos >= straight and dist * (1.5 - cos) < score and abs(nx * nxs[j] + ny * nys[j]) >= alike:
+                        best, score, to = j, dist * (1.5 - cos), (gx, gy, dist)
             if best is None:
                 return line
-            gap = p[best] - p[i]
-            way = 0.6 * way + 0.4 * gap / np.hypot(*gap)
-            way /= np.hypot(*way)
+            gx, gy, dist = to
+            u, v = 0.6 * u + 0.4 * gx / dist, 0.6 * v + 0.4 * gy / dist
+            size = float(np.hypot(u, v))
+            u, v = u / size, v / size
             free[best] = False
             line.append(best)
             i = best
 
-    for i in np.lexsort((np.arange(len(p)), -points["strength"].to_numpy())).tolist():
+    for i in np.lexsort((np.arange(len(xs)), -np.asarray(points["strength"]))).tolist():
         if free[i]:
             free[i] = False
-            along = np.array([-n[i, 1], n[i, 0]])
-            found.append(onward(i, -along)[::-1] + [i] + onward(i, along))
+            found.append(onward(i, nys[i], -nxs[i])[::-1] + [i] + onward(i, -nys[i], nxs[i]))
     return found
 
 
 def smooth(line: np.ndarray, every: float = 0.1, sigma: float = 2.0) -> np.ndarray:
     """A polyline resampled at even steps and smoothed, its ends fixed and the smoothing narrower towards them."""
-    gaps = np.hypot(*np.diff(line, axis=0).T) if len(line) > 1 else np.zeros(0)
-    total = gaps.sum()
-    if total == 0:
-        return line[:1].astype(float)
-    at = np.concatenate([[0], np.cumsum(gaps)])
-    s = np.linspace(0, total, max(2, int(np.ceil(total / every)) + 1))
-    even = np.stack([np.interp(s, at, line[:, c]) for c in (0, 1)], axis=1)
+    return _smoothed([line], every, sigma)[0]
+
+
+def _smoothed(lines: list[np.ndarray], every: float = 0.1, sigma: float = 2.0) -> list[np.ndarray]:
+    """``smooth`` of many lines at once."""
+    evens = []
+    for line in lines:
+        gaps = np.hypot(*np.diff(line, axis=0).T) if len(line) > 1 else np.zeros(0)
+        total = gaps.sum()
+        if total == 0:
+            evens.append(line[:1].astype(float))
+            continue
+        at = np.concatenate([[0], np.cumsum(gaps)])
+        s = np.linspace(0, total, max(2, int(np.ceil(total / every)) + 1))
+        evens.append(np.stack([np.interp(s, at, line[:, c]) for c in (0, 1)], axis=1))
+    if not evens:
+        return []
+    sizes = np.array([len(e) for e in evens])
+    even, i = np.concatenate(evens), np.concatenate([np.arange(n) for n in sizes.tolist()])
     out = even.copy()
-    i = np.arange(len(even))
-    reach = np.minimum(np.minimum(i, len(even) - 1 - i), int(3 * sigma))
-    for r in range(1, int(reach.max()) + 1):  # places of one reach at once
-        mine = i[reach == r]
+    reach = np.minimum(np.minimum(i, np.repeat(sizes, sizes) - 1 - i), int(3 * sigma))
+    for r in range(1, int(reach.max(initial=0)) + 1):  # places of one reach at once
+        mine = np.flatnonzero(reach == r)
         t = np.arange(-r, r + 1)
         g = np.exp(-t * t / (2 * sigma * sigma))
         out[mine] = sum((w * even[mine + k] for k, w in zip(t.tolist(), g.tolist(), strict=True)), np.zeros((len(mine), 2))) / g.sum()
-    return out
+    return np.split(out, np.cumsum(sizes)[:-1])
 
 
 def segments(line: np.ndarray, per_segment: float = 0.3, longest: int = 40) -> list[tuple[int, int, int, int]]:
     """Straight segments between grid corners that follow a polyline: least sum of mean distances and a price for each segment, by dynamic programming."""
-    path = smooth(line, 0.5)
-    stops = np.unique(np.rint(path).astype(int), axis=0, return_index=True)[1]
-    stops = np.sort(stops)
-    corners = np.rint(path[stops]).astype(int)
-    n = len(corners)
-    cost, back = np.full(n, np.inf), np.zeros(n, int)
-    cost[0] = 0.0
-    for j in range(1, n):
-        # all starts at once: a line for each, and of the path what lies behind its start
-        first = max(0, j - longest)
-        a, at = corners[first:j].astype(float), np.arange(stops[first], stops[j] + 1)
-        d, within = corners[j] - a, at >= stops[first:j, None]
-        px, py = (path[at, c] - a[:, c : c + 1] for c in (0, 1))
-        dx, dy = d[:, :1], d[:, 1:]
-        length = dx * dx + dy * dy
-        t = np.clip((px * dx + py * dy) / np.where(length > 0, length, 1.0), 0, 1)
-        off = np.where(within, np.hypot(px - t * dx, py - t * dy), 0.0).sum(axis=1) / within.sum(axis=1)
-        total = cost[first:j] + off + per_segment
-        back[j] = first + int(total.argmin())
-        cost[j] = total.min()
-    found, j = set(), n - 1
-    while j > 0:
-        i = back[j]
-        ends = sorted([tuple(corners[i].tolist()), tuple(corners[j].tolist())])
-        if ends[0] != ends[1]:
-            found.add((*ends[0], *ends[1]))
-        j = i
-    return sorted(found)
+    return _segmented([line], per_segment, longest)[0]
+
+
+#: Places times starts whose distances are worked out at once.
+PLACES = 1 << 17
+
+
+def _segmented(lines: list[np.ndarray], per_segment: float = 0.3, longest: int = 40) -> list[list[tuple[int, int, int, int]]]:
+    """``segments`` of many lines at once.
+
+    A segment's mean distance depends on its ends alone, so it is worked out before any choice, for all ends of all lines that look back
+    over as many places together.
+    """
+    paths = _smoothed(lines, 0.5)
+    if not paths:
+        return []
+    path, of = np.concatenate(paths), np.repeat(np.arange(len(paths)), [len(p) for p in paths])
+    near, axes = np.rint(path).astype(int), np.ascontiguousarray(path.T)
+    low, high = near.min(axis=0), near.max(axis=0) + 1
+    code = (of * (high[0] - low[0]) + near[:, 0] - low[0]) * (high[1] - low[1]) + near[:, 1] - low[1]
+    stops = np.sort(np.unique(code, return_index=True)[1])
+    corners, line_of = near[stops], of[stops]
+    begins = np.searchsorted(line_of, np.arange(len(paths) + 1))
+    ends = np.arange(len(stops))
+    firsts = np.maximum(begins[line_of], ends - longest)
+    upto = np.concatenate([[0], np.cumsum(ends - firsts)])  # the place of each end's first start in ``off``
+    off, back_over = np.zeros(upto[-1]), stops[ends] + 1 - stops[firsts]
+    order = np.argsort(back_over, kind="stable")
+    order = order[(ends > firsts)[order]]
+    for same in np.split(order, np.flatnonzero(np.diff(back_over[order])) + 1) if len(order) else ():
+        n = int(back_over[same[0]])
+        each = max(1, PLACES // (n * longest))
+        for mine in (same[i : i + each] for i in range(0, len(same), each)):
+            count = mine - firsts[mine]
+            end = np.repeat(mine, count)
+            start = np.concatenate([np.arange(a, b) for a, b in zip(firsts[mine].tolist(), mine.tolist(), strict=True)])
+            at = stops[firsts[end]][:, None] + np.arange(n)
+            a = corners[start].astype(float)
+            d, within = corners[end] - a, at >= stops[start][:, None]
+            px, py = (p[at] - a[:, c : c + 1] for c, p in enumerate(axes))
+            dx, dy = d[:, :1], d[:, 1:]
+            length = dx * dx + dy * dy
+            t = np.clip((px * dx + py * dy) / np.where(length > 0, length, 1.0), 0, 1)
+            gone = np.where(within, np.hypot(px - t * dx, py - t * dy), 0.0).sum(axis=1) / (stops[end] + 1 - stops[start])
+            off[upto[end] + start - firsts[end]] = gone
+    told, firsts, upto, places = off.tolist(), firsts.tolist(), upto.tolist(), corners.tolist()
+    out = []
+    for begin, end in zip(begins.tolist(), begins[1:].tolist(), strict=False):
+        cost, back = {begin: 0.0}, {}
+        for j in range(begin + 1, end):
+            first, least = firsts[j], math.inf
+            for i, gone in enumerate(told[upto[j] : upto[j + 1]], first):
+                total = cost[i] + gone + per_segment
+                if total < least:
+                    least, back[j] = total, i
+            cost[j] = least
+        found, j = set(), end - 1
+        while j > begin:
+            i = back[j]
+            one, two = sorted([tuple(places[i]), tuple(places[j])])
+            if one != two:
+                found.add((*one, *two))
+            j = i
+        out.append(sorted(found))
+    return out
 
 
 def trace(a: np.ndarray, sigma: float = 1.5, low: float = 4.0, shortest: int = 4, budget: float = 2000.0) -> list[tuple[int, int, int, int]]:
     """The lines of a picture as segments: ridges, chains, the longest chains within a budget of length, and their segments without duplicates."""
-    points = ridges(a, sigma, low)
-    linked = sorted((c for c in chains(points) if len(c) >= shortest), key=lambda c: (-len(c), c[0]))
-    taken = kernels.budgeted([float(len(c)) for c in linked], budget)
-    places = points[["x", "y"]].to_numpy(float)
-    return sorted({s for i in taken for s in segments(places[linked[i]])})
+    return traces([a], sigma, low, shortest, budget)[0]
+
+
+def traces(pictures: list[np.ndarray], sigma: float = 1.5, low: float = 4.0, shortest: int = 4, budget: float = 2000.0) -> list[list[tuple[int, int, int, int]]]:
+    """``trace`` of many pictures at once."""
+    lines, of = [], []
+    for i, points in enumerate(_by_shape(pictures, lambda stack: _ridges(stack, sigma, low))):
+        linked = sorted((c for c in chains(points) if len(c) >= shortest), key=lambda c: (-len(c), c[0]))
+        places = np.stack([points["x"], points["y"]], axis=1).astype(float)
+        mine = [places[linked[k]] for k in kernels.budgeted([float(len(c)) for c in linked], budget)]
+        lines += mine
+        of += [i] * len(mine)
+    found: list[set] = [set() for _ in pictures]
+    for i, segments_of in zip(of, _segmented(lines), strict=True):
+        found[i].update(segments_of)
+    return [sorted(f) for f in found]
 
 
 def paint_out(lab: np.ndarray, mask: np.ndarray, rounds: int = 64) -> np.ndarray:
@@ -298,15 +391,28 @@ def paint_out(lab: np.ndarray, mask: np.ndarray, rounds: int = 64) -> np.ndarray
 
 def strokes(a: np.ndarray, per_block: int = 2, cap: int = 4000, low: float = 6.0, length: float = 3.0) -> pd.DataFrame:
     """Short strokes along a picture's texture: (x1, y1, x2, y2, strength), strongest first, with quotas a block and in all and none over another."""
-    d = gaussian_derivatives(a.astype(float), 1.0)
-    strength = np.hypot(d["x"], d["y"])
-    ys, xs = np.nonzero(strength >= low)
-    rows = pd.DataFrame({"y": ys.astype(float), "x": xs.astype(float), "strength": strength[ys, xs]})
-    kept = kernels.quota_top(rows, per_block, cap, length)
-    gx, gy = (d[c][kept["y"].astype(int), kept["x"].astype(int)] for c in "xy")
-    norm = np.maximum(np.hypot(gx, gy), 1e-12)
-    ox, oy = -gy / norm * length / 2, gx / norm * length / 2
-    return pd.DataFrame({"x1": kept["x"] - ox, "y1": kept["y"] - oy, "x2": kept["x"] + ox, "y2": kept["y"] + oy, "strength": kept["strength"]}).reset_index(drop=True)
+    return pd.DataFrame(strokes_of([a], per_block, cap, low, length)[0])
+
+
+def strokes_of(pictures: list[np.ndarray], per_block: int = 2, cap: int = 4000, low: float = 6.0, length: float = 3.0) -> list[dict[str, np.ndarray]]:
+    """The columns of ``strokes`` of many pictures at once."""
+
+    def run(stack: np.ndarray) -> list[dict[str, np.ndarray]]:
+        d = gaussian_derivatives(stack, 1.0)
+        strength = np.hypot(d["x"], d["y"])
+        out = []
+        for sizes, dx, dy in zip(strength, d["x"], d["y"], strict=True):
+            ys, xs = np.nonzero(sizes >= low)
+            s = sizes[ys, xs]
+            kept = kernels.quota_places(ys.astype(float), xs.astype(float), s, per_block, cap, length)
+            ys, xs, s = ys[kept], xs[kept], s[kept]
+            gx, gy = dx[ys, xs], dy[ys, xs]
+            norm = np.maximum(np.hypot(gx, gy), 1e-12)
+            ox, oy = -gy / norm * length / 2, gx / norm * length / 2
+            out.append({"x1": xs - ox, "y1": ys - oy, "x2": xs + ox, "y2": ys + oy, "strength": s})
+        return out
+
+    return _by_shape(pictures, run)
 
 
 # ---------------------------------------------------------------- samples

@@ -5,7 +5,8 @@ import pytest
 
 from loomgrid.operators import kernels as K
 from loomgrid.operators import planes as P
-from loomgrid.plans import grid
+from loomgrid.operators import vision as V
+from loomgrid.plans import grid, more
 
 
 def chart(rng, h, w, empty=0.15):
@@ -63,7 +64,17 @@ def test_charts_cross_batches_and_meet_in_no_other_place(spark, monkeypatch):
     assert max(r.of for r in found) > 1
 
 
-@pytest.mark.parametrize("name", ["i8_to_i16_chart"])
-def test_charts_are_taken_together_where_they_lie(spark, sf_dir, name):
-    plan = getattr(grid, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and plan.count("Exchange") == 1  # the one that deals the suppliers
+@pytest.mark.parametrize("query", [grid.i8_to_i16_chart, more.x1_overlays])
+def test_charts_are_taken_together_where_they_lie(spark, sf_dir, query):
+    plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and plan.count("Exchange") == 1 + (query is more.x1_overlays)  # one deals the suppliers, one counts by overlay
+
+
+def test_lines_of_many_pictures_at_once():
+    y, x = np.indices((40, 60))
+    pictures = [200 * np.exp(-((y - 9 - (k * x) // 30) ** 2) / 4) + 90 * np.exp(-((x - 30 - y // (k + 2)) ** 2) / 5) for k in range(4)] + [np.zeros((5, 7)), (x[:20, :31] * y[:20, :31] * 7 % 256).astype(float)]
+    assert V.traces(pictures, 1.5, 2.0) == [V.trace(a, 1.5, 2.0) for a in pictures]
+    lines = [np.cumsum(np.random.default_rng(n).normal(0, 0.6, (n, 2)) + 0.5, axis=0) for n in (90, 1, 2, 40, 90)]
+    assert V._segmented(lines) == [V.segments(line) for line in lines] and V._segmented([]) == []
+    for found, a in zip(V.strokes_of(pictures), pictures, strict=True):
+        assert all(np.array_equal(found[c], values) for c, values in V.strokes(a).items())
