@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import colour
 from loomgrid.operators import kernels as K
+from loomgrid.operators import planes
 from loomgrid.operators import vision as V
 from loomgrid.plans.grid import _LIGHT, _P, _oklab_sql, pixels
 from loomgrid.plans.registry import query
@@ -92,7 +93,11 @@ def i23_ridges(spark, sf_dir):
 
 @query()
 def i24_i26_traced_lines(spark, sf_dir):
-    return V.per_picture(_light(spark, sf_dir), lambda a: pd.DataFrame(V.trace(a[..., 0], 1.5, 2.0), columns=["x1", "y1", "x2", "y2"]), ["light"], "x1 long, y1 long, x2 long, y2 long")
+    def run(charts: list[planes.Chart]) -> list[dict[str, np.ndarray]]:
+        found = V.traces([c.grid(0.0)[..., 0] for c in charts], 1.5, 2.0)
+        return [dict(zip(("x1", "y1", "x2", "y2"), np.array(t, np.int64).reshape(-1, 4).T, strict=True)) for t in found]
+
+    return planes.by_chart(_light(spark, sf_dir), "image_id", ["light"], run, "x1 long, y1 long, x2 long, y2 long")
 
 
 @query()

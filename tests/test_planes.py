@@ -7,6 +7,7 @@ from loomgrid.operators import kernels as K
 from loomgrid.operators import planes as P
 from loomgrid.operators import vision as V
 from loomgrid.plans import grid, more
+from loomgrid.plans import vision as plans
 
 
 def chart(rng, h, w, empty=0.15):
@@ -64,7 +65,7 @@ def test_charts_cross_batches_and_meet_in_no_other_place(spark, monkeypatch):
     assert max(r.of for r in found) > 1
 
 
-@pytest.mark.parametrize("query", [grid.i8_to_i16_chart, more.x1_overlays])
+@pytest.mark.parametrize("query", [grid.i8_to_i16_chart, plans.i24_i26_traced_lines, more.x1_overlays])
 def test_charts_are_taken_together_where_they_lie(spark, sf_dir, query):
     plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan and plan.count("Exchange") == 1 + (query is more.x1_overlays)  # one deals the suppliers, one counts by overlay
