@@ -288,6 +288,21 @@ def _rested(p: np.ndarray, w: np.ndarray, c: np.ndarray, rounds: int = kernels.M
     return c
 
 
+def in_one_block(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, palette) of a chart's cells, none of them missing: what ``Blocks.clusters`` and ``Blocks.labels`` give where its colours fill one block at most."""
+    points = points + 0.0  # one zero
+    order = np.lexsort(points.T[::-1])
+    first = np.ones(len(points), bool)
+    first[1:] = (points[order[1:]] != points[order[:-1]]).any(axis=1)
+    p, w = points[order[first]], np.diff(np.append(np.flatnonzero(first), len(points))).astype(float)
+    c = _rested(p, w, _seeded(p, w, k))
+    of = kernels.assign(p, c)
+    held = np.unique(of)
+    labels = np.empty(len(points), np.int64)
+    labels[order] = np.searchsorted(held, of)[np.cumsum(first) - 1]
+    return labels, c[held]
+
+
 def _refilled(p: np.ndarray, c: np.ndarray, free: int) -> np.ndarray:
     """The centres and up to ``free`` points of a chart that lies here whole, always the one farthest from its nearest centre."""
     gap = _gaps(p, c)

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from loomgrid.operators import clustering as C
 from loomgrid.operators import kernels as K
 from loomgrid.operators import planes as P
 from loomgrid.operators import vision as V
@@ -79,3 +80,20 @@ def test_lines_of_many_pictures_at_once():
     assert V._segmented(lines) == [V.segments(line) for line in lines] and V._segmented([]) == []
     for found, a in zip(V.strokes_of(pictures), pictures, strict=True):
         assert all(np.array_equal(found[c], values) for c, values in V.strokes(a).items())
+
+
+@pytest.mark.parametrize("name", ["i15_small_regions"])
+def test_clusters_where_they_lie_and_by_rounds(spark, sf_dir, monkeypatch, name):
+    """The same labels from charts that one task holds, from others, and from both kinds; the former shuffle no cell."""
+    cells = C.kept(grid._lab_cells(spark, sf_dir).where("chart_id = 1 and y < 9 or chart_id = 4 and y between 7 and 11 or chart_id = 2 and y > 30"))
+    monkeypatch.setattr(grid, "_lab_cells", lambda *_: cells)
+    told = lambda rows: {(r.chart_id, r.y, r.x): r.label for r in rows.select("chart_id", "y", "x", "label").collect()}
+    here = getattr(grid, name)(spark, sf_dir)
+    assert here._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of cells that are not dealt by chart
+    counts = sorted(r["count"] for r in cells.groupBy("chart_id").count().collect())
+    found = told(here)
+    assert len(found) == sum(counts) and len(set(found.values())) == 8
+    for most in (0, counts[0]):
+        with monkeypatch.context() as m:
+            m.setattr(grid.planes, "lone", lambda cells, key, _, most=most, lone=P.lone: lone(cells, key, most))
+            assert told(getattr(grid, name)(spark, sf_dir)) == found
