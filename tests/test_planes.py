@@ -82,7 +82,7 @@ def test_lines_of_many_pictures_at_once():
         assert all(np.array_equal(found[c], values) for c, values in V.strokes(a).items())
 
 
-@pytest.mark.parametrize("name", ["i15_small_regions"])
+@pytest.mark.parametrize("name", ["i14_settled", "i15_small_regions"])
 def test_clusters_where_they_lie_and_by_rounds(spark, sf_dir, monkeypatch, name):
     """The same labels from charts that one task holds, from others, and from both kinds; the former shuffle no cell."""
     cells = C.kept(grid._lab_cells(spark, sf_dir).where("chart_id = 1 and y < 9 or chart_id = 4 and y between 7 and 11 or chart_id = 2 and y > 30"))
