@@ -41,7 +41,7 @@ def palettes(spark, sf_dir):
 
 def prices(spark, sf_dir):
     """(chart_id, idx, p0, p1, p2) of line items by quantity, discount and price."""
-    rows = read(spark, sf_dir, "lineitem").selectExpr("l_suppkey chart_id", "l_orderkey * 10 + l_linenumber idx", "l_quantity / 50 p0", "l_discount * 10 p1", "l_extendedprice / 100000 p2")
+    rows = read(spark, sf_dir, "lineitem").selectExpr("l_suppkey chart_id", "l_orderkey * 10 + l_linenumber idx", "l_quantity / 50 p0", "l_discount * 10 p1", "l_extendedprice / 100000 p2").repartition("chart_id")  # one shuffle for lines and charts
     return rows.groupBy("chart_id", "idx").agg(*(F.min(p).alias(p) for p in PARTS))  # a line's number may stand twice
 
 
